@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlake.llm import exact_dedup, mix, sharding
+from hearthlake.llm import exact_dedup, mix, sharding, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix_sources(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(_docs(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(_docs(spark, sf_dir))
 
@@ -41,5 +45,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number").withColumn("size", F.col("size") + 8)
 
 
-QUERIES = {"op1_mix": op1_mix, "op4_exact_dedup": op4_exact_dedup, "op10_sharding": op10_sharding}
+QUERIES = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op4_exact_dedup": op4_exact_dedup, "op10_sharding": op10_sharding}
 ORACLE = {"op4_exact_dedup": OP4_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlake.llm import exact_dedup, mix, sharding, simhash
+from hearthlake.llm import exact_dedup, mix, sharding, simhash, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,10 +40,17 @@ FROM g
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    net = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score_documents(docs, net)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_rows(_docs(spark, sf_dir))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number").withColumn("size", F.col("size") + 8)
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op4_exact_dedup": op4_exact_dedup, "op10_sharding": op10_sharding}
+QUERIES = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op4_exact_dedup": op4_exact_dedup, "op6_toxicity": op6_toxicity, "op10_sharding": op10_sharding}
 ORACLE = {"op4_exact_dedup": OP4_SQL}

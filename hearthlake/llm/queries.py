@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlake.llm import exact_dedup, mix, sharding, simhash, toxicity
+from hearthlake.llm import exact_dedup, mix, sharding, simhash, substring, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,33 @@ FROM g
 """
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.remove_repeats(_docs(spark, sf_dir))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), p AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM d
+), w AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(words[i:i + 12], ' ')) AS first_doc FROM p
+), gone AS (
+  SELECT doc_id, unnest(range(i, i + 13)) AS k FROM w WHERE first_doc < doc_id
+), g AS (
+  SELECT doc_id, list(DISTINCT k) AS ks FROM gone GROUP BY doc_id
+), o AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM d
+), kept AS (
+  SELECT o.doc_id, string_agg(word, ' ' ORDER BY o.k) AS text, count(*) AS n
+  FROM o ANTI JOIN gone ON o.doc_id = gone.doc_id AND o.k = gone.k GROUP BY o.doc_id
+)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     net = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -52,5 +79,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number").withColumn("size", F.col("size") + 8)
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op4_exact_dedup": op4_exact_dedup, "op6_toxicity": op6_toxicity, "op10_sharding": op10_sharding}
-ORACLE = {"op4_exact_dedup": OP4_SQL}
+QUERIES = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op4_exact_dedup": op4_exact_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_toxicity": op6_toxicity, "op10_sharding": op10_sharding}
+ORACLE = {"op4_exact_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL}

@@ -12,15 +12,16 @@ shard's index only has to answer for the runs dealt to it:
 1. a task cuts its documents into runs; of equal runs it ships the one of the
    smallest id, the others are repeats already. What it ships for a shard is one
    compressed block;
-2. a shard merges equal runs in the same way. Runs whose minimizer no different
-   run shares hold no repeats. Over the rest it builds an FM-index: the
+2. a shard merges equal runs in the same way. A window has at least ``SIDE`` words
+   before or behind its minimizer; runs that share neither side of it with a
+   different run hold no repeats. Over the rest it builds an FM-index: the
    Burrows-Wheeler transform of the word sequence in a wavelet matrix of packed
    bits. All windows are then searched backwards, word by word, for as long as
    they match elsewhere; those that match over the whole span get the smallest
    id in their suffix interval;
 3. the intervals of a document are joined to it, and its words are filtered.
 
-Words are compared as text; hashes only deal them out.
+Words are compared as text; hashes only deal runs out and pick those to compare.
 
 Defined results: a null text has no words; a document shorter than a window
 keeps all; a null id counts as greater than every other one; rows that repeat an
@@ -36,31 +37,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearthlake.llm.pieces import PieceHash, blank_words
 from hearthlake.session import shuffle_partitions
 
 SPAN, GRAM = 13, 3
+SIDE = (SPAN - GRAM) // 2
 #: Characters that a task cuts into runs at a time.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 6_000_000
 #: Shards for each shuffle partition; a shard is indexed in memory.
 SHARDS_PER_PARTITION = 4
 LAST = 2**63 - 1  # stands for a null id
 
 
-class _Hashes(dict):
-    """Word hashes, computed once; emptied when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, 1)
-        return value
-
-
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` neighbours."""
     have = 1
@@ -70,20 +62,26 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
-def minimizers(hashes: np.ndarray, span: int = SPAN, gram: int = GRAM) -> np.ndarray:
-    """Minimizer of each window of a sequence of word hashes."""
+def grams(hashes: np.ndarray, count: int) -> np.ndarray:
+    """Hash of each ``count`` neighbours of a sequence of word hashes."""
+    n = max(0, len(hashes) - count + 1)
+    g = np.zeros(n, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        g = np.zeros(len(hashes) - gram + 1, dtype=np.uint64)
-        for k in range(gram):
-            g = (g ^ hashes[k : len(hashes) - gram + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        for k in range(count):
+            g = (g ^ hashes[k : n + k]) * np.uint64(0x9E3779B97F4A7C15)
             g ^= g >> np.uint64(29)
-    return sliding_min(g, span - gram + 1)
+    return g
+
+
+def minimizers(hashes: np.ndarray, span: int = SPAN, gram: int = GRAM) -> np.ndarray:
+    """Minimizer of each window of a sequence of word hashes."""
+    return sliding_min(grams(hashes, gram), span - gram + 1)
 
 
-def cut_runs(words: list[bytes], hashes: np.ndarray, bounds: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, ...]:
+def cut_runs(hashes: np.ndarray, bounds: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, ...]:
     """Runs of windows with one minimizer: document, first word, words, minimizer; bounds: first word of each document, and the end."""
     empty = np.zeros(0, dtype=np.int64)
-    if len(words) < span:
+    if len(hashes) < span:
         return empty, empty, empty, empty.astype(np.uint64)
     least = minimizers(hashes, span)
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -99,34 +97,59 @@ def cut_runs(words: list[bytes], hashes: np.ndarray, bounds: np.ndarray, span: i
 
 
 def _pack(x: object) -> bytes:
-    return zstandard.ZstdCompressor(level=5).compress(pickle.dumps(x, protocol=5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(x, protocol=5))
 
 
 def _unpack(x: bytes) -> object:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
 
 
-def _ship(ids: list[int], tags: list[int], texts: list, shards: int, cache: _Hashes, span: int) -> pd.DataFrame:
+def _smallest(texts: list[bytes], hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The smallest document of each text among equal texts."""
+    least = docs.copy()
+    _, group, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(count[group] > 1)
+    found: dict[bytes, int] = {}
+    mine = [texts[i] for i in several.tolist()]
+    for r, d in zip(mine, docs[several].tolist(), strict=True):
+        if d < found.get(r, LAST + 1):
+            found[r] = d
+    least[several] = [found[r] for r in mine]
+    return least
+
+
+def _numbers(texts: list[bytes], hashes: np.ndarray) -> np.ndarray:
+    """A number for each distinct text, 0 and on, in no special order."""
+    values, first, group = np.unique(hashes, return_index=True, return_inverse=True)
+    if all(texts[i] == texts[first[group[i]]] for i in np.flatnonzero(np.bincount(group)[group] > 1).tolist()):
+        return group
+    number: dict[bytes, int] = {}  # two texts share a hash
+    return np.array([number.setdefault(t, len(number)) for t in texts])
+
+
+def _ship(ids: list[int], tags: list[int], texts: list, shards: int, span: int) -> pd.DataFrame:
     """Blocks (shard, block) of the runs of some documents."""
-    words: list[bytes] = []
-    bounds = [0]
-    for t in texts:
-        words += t.encode("utf-8", "surrogatepass").split() if isinstance(t, str) else []  # bytes split at the six ASCII blanks only
-        bounds.append(len(words))
-    hashes = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-    owner, start, size, value = cut_runs(words, hashes, np.array(bounds), span)
-    joined, length = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(length + 1) - 1
-    begins = ends - length
-    runs = [joined[a:b] for a, b in zip(begins[start].tolist(), ends[start + size - 1].tolist(), strict=True)]
+    raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
+    flat = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
+    starts, ends = blank_words(flat)
+    bounds = np.r_[0, np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw]))]
+    owner, start, size, value = cut_runs(PieceHash(flat)(starts, ends), bounds, span)
+    # The words again, one blank apart.
+    length = ends - starts
+    begins = np.cumsum(length + 1) - length - 1
+    spaced = np.full(int(length.sum()) + len(length), 32, dtype=np.uint8)
+    word = np.ones(len(spaced), dtype=bool)
+    word[begins + length] = False
+    inside = np.zeros(len(flat) + 1, dtype=np.int8)
+    inside[starts], inside[ends] = 1, -1
+    spaced[word] = flat[np.cumsum(inside[:-1], dtype=np.int8) > 0]
+    joined = spaced.tobytes()
+    first, last = begins[start], begins[start + size - 1] + length[start + size - 1]
+    runs = [joined[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
     doc = np.array(ids, dtype=np.int64)[owner]
     tag = np.array(tags, dtype=np.int64).astype(np.uint16)[owner]
-    at = start - np.array(bounds)[owner]
-    least: dict[bytes, int] = {}
-    for r, d in zip(runs, doc.tolist(), strict=True):
-        if d < least.get(r, LAST + 1):
-            least[r] = d
-    own = np.fromiter(map(least.__getitem__, runs), np.int64, len(runs)) == doc
+    at = start - bounds[owner]
+    own = _smallest(runs, PieceHash(spaced)(first, last), doc) == doc
     shard = (value % np.uint64(shards)).astype(np.int64)
     order = np.lexsort((doc, ~own, shard))
     cuts = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -134,10 +157,9 @@ def _ship(ids: list[int], tags: list[int], texts: list, shards: int, cache: _Has
     for s in np.flatnonzero(np.diff(cuts)):
         mine = order[cuts[s] : cuts[s + 1]]
         n = int(own[mine].sum())
-        first, rest = mine[:n], mine[n:]
+        ship, rest = mine[:n], mine[n:]
         block = {
-            "runs": b"\n".join([runs[i] for i in first.tolist()]),
-            "doc": np.diff(doc[first], prepend=0), "tag": tag[first], "at": at[first].astype(np.int32), "value": (value[first] >> np.uint64(32)).astype(np.uint32),
+            "runs": b"\n".join([runs[i] for i in ship.tolist()]), "doc": np.diff(doc[ship], prepend=0), "tag": tag[ship], "at": at[ship].astype(np.int32),
             "repeats": (doc[rest], tag[rest], at[rest].astype(np.int32), size[rest].astype(np.int32)),
         }
         rows.append((int(s), _pack(block)))
@@ -253,10 +275,36 @@ def repeated_windows(runs: list[bytes], docs: np.ndarray, span: int = SPAN) -> l
     return np.split(removed, np.cumsum(per_run)[:-1])
 
 
+def _shared(hashes: np.ndarray, bounds: np.ndarray, span: int) -> np.ndarray:
+    """Runs that share with a different one the minimizer and what stands before or behind it."""
+    size = np.diff(bounds)
+    run_of = np.repeat(np.arange(len(size)), size)
+    gram = grams(hashes, GRAM)
+    inside = run_of[: len(gram)] == run_of[GRAM - 1 : GRAM - 1 + len(gram)]
+    gram = np.where(inside, gram, np.uint64(2**64 - 1))
+    # The minimizer of a run's windows is the smallest of all its grams that lie in every window.
+    first_window, last_window = bounds[:-1], bounds[1:] - span
+    middle = sliding_min(gram, span - GRAM + 1)
+    least = middle[first_window]
+    spot = np.flatnonzero((gram == least[run_of[: len(gram)]]) & inside)
+    side = (span - GRAM) // 2
+    wide = grams(hashes, GRAM + side)
+    out = np.zeros(len(size), dtype=bool)
+    for shift in (0, side):  # behind it, before it
+        at = spot - shift
+        run = run_of[spot]
+        fits = (at >= bounds[run]) & (at + GRAM + side <= bounds[run + 1])
+        key, run = wide[at[fits]], run[fits]
+        order = np.lexsort((run, key))
+        key, run = key[order], run[order]
+        twins = np.flatnonzero((key[1:] == key[:-1]) & (run[1:] != run[:-1]))
+        out[run[twins]] = out[run[twins + 1]] = True
+    return np.flatnonzero(out)
+
+
 def _answer(blocks: pd.Series, span: int) -> pd.DataFrame:
     """Removed passages (doc, tag, first, last) of the runs of a shard; last is exclusive."""
-    runs, doc, tag, at, value = [], [], [], [], []
-    out = []
+    out, parts, doc, tag, at = [], [], [], [], []
 
     def hit(d, t, a, b) -> None:
         out.append(np.stack([np.asarray(x, dtype=np.int64) for x in (d, t, a, b)], axis=1))
@@ -265,42 +313,50 @@ def _answer(blocks: pd.Series, span: int) -> pd.DataFrame:
         d, t, a, n = block["repeats"]
         hit(d, t, a, a.astype(np.int64) + n)
         if len(block["doc"]):
-            runs += block["runs"].split(b"\n")
+            parts.append(block["runs"])
             doc.append(np.cumsum(block["doc"]))
             tag.append(block["tag"])
-            at.append(block["at"])
-            value.append(block["value"])
-    if runs:
-        doc, tag, at, value = (np.concatenate(x) for x in (doc, tag, at, value))
-        least: dict[bytes, int] = {}
-        for r, d in zip(runs, doc.tolist(), strict=True):
-            if d < least.get(r, LAST + 1):
-                least[r] = d
-        size = np.fromiter((r.count(b" ") + 1 for r in runs), np.int64, len(runs))
-        own = np.fromiter(map(least.__getitem__, runs), np.int64, len(runs)) == doc
-        hit(doc[~own], tag[~own], at[~own], at[~own].astype(np.int64) + size[~own])
+            at.append(block["at"].astype(np.int64))
+    if parts:
+        doc, tag, at = (np.concatenate(x) for x in (doc, tag, at))
+        joined = b"\n".join(parts) + b"\n"
+        runs = joined[:-1].split(b"\n")
+        flat = np.frombuffer(joined, dtype=np.uint8)
+        ends_of_run = np.flatnonzero(flat == 10)
+        begins_of_run = np.r_[0, ends_of_run[:-1] + 1]
+        starts, ends = blank_words(flat)
+        bounds = np.r_[0, np.searchsorted(starts, ends_of_run)]
+        piece = PieceHash(flat)
+        hashes = piece(begins_of_run, ends_of_run)
+        own = _smallest(runs, hashes, doc) == doc
+        hit(doc[~own], tag[~own], at[~own], at[~own] + np.diff(bounds)[~own])
         # One run of each text stands for all of that text and document.
-        number = {r: i for i, r in enumerate(least)}
-        text_of = np.fromiter(map(number.__getitem__, runs), np.int64, len(runs))
-        texts, ids = list(least), np.fromiter(least.values(), np.int64, len(least))
-        value_of = np.zeros(len(texts), dtype=np.uint32)
-        value_of[text_of] = value
-        _, group, count = np.unique(value_of, return_inverse=True, return_counts=True)
-        asked = np.flatnonzero(count[group] > 1)
+        kept = np.flatnonzero(own)
+        text_of = _numbers([runs[i] for i in kept.tolist()], hashes[kept])
+        alone = kept[np.unique(text_of, return_index=True)[1]]
+        words = np.concatenate([np.zeros(0, dtype=np.int64), _ranges(bounds[alone], bounds[alone + 1])])
+        size = np.diff(bounds)[alone]
+        asked = _shared(piece(starts[words], ends[words]), np.r_[0, np.cumsum(size)], span)
         if asked.size:
-            removed = repeated_windows([texts[i] for i in asked], ids[asked], span)
+            removed = repeated_windows([runs[alone[i]] for i in asked.tolist()], doc[alone][asked], span)
             spans: dict[int, np.ndarray] = {}
             for i, mask in zip(asked.tolist(), removed, strict=True):
                 if mask.any():
-                    step = np.flatnonzero(np.diff(np.r_[False, mask, False].astype(np.int8)))
+                    step = np.flatnonzero(np.diff(np.r_[False, mask, False].view(np.int8)))
                     spans[i] = np.stack([step[0::2], step[1::2] + span - 1], axis=1)
-            for k in np.flatnonzero(own & np.isin(text_of, list(spans))).tolist():
-                s = spans[int(text_of[k])]
-                hit(np.full(len(s), doc[k]), np.full(len(s), tag[k]), s[:, 0] + at[k], s[:, 1] + at[k])
+            for k in np.flatnonzero(np.isin(text_of, list(spans))).tolist():
+                s, r = spans[int(text_of[k])], kept[k]
+                hit(np.full(len(s), doc[r]), np.full(len(s), tag[r]), s[:, 0] + at[r], s[:, 1] + at[r])
     rows = np.concatenate(out) if out else np.zeros((0, 4), dtype=np.int64)
     return pd.DataFrame(rows, columns=["doc", "tag", "first", "last"])
 
 
+def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges [first, last), one range after the other."""
+    size = last - first
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
     return docs.select(
@@ -313,13 +369,12 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id",
     shards = SHARDS_PER_PARTITION * shuffle_partitions(docs.sparkSession)
 
     def ship(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = _Hashes()
         for rows in batches:
             sizes = np.cumsum([len(t) if isinstance(t, str) else 0 for t in rows.text])
             parts = sizes // BLOCK_CHARS if len(sizes) else sizes
             for p in np.unique(parts):
                 some = rows[parts == p]
-                yield _ship(some.doc.tolist(), some.tag.tolist(), some.text.tolist(), shards, cache, span)
+                yield _ship(some.doc.tolist(), some.tag.tolist(), some.text.tolist(), shards, span)
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         return _answer(group.block, span)

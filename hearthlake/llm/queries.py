@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlake.llm import exact_dedup, mix, sharding, simhash, substring, toxicity
+from hearthlake.llm import embed_dedup, exact_dedup, mix, sharding, simhash, substring, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +74,32 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a
+), c AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+), n AS (
+  SELECT a AS vec_id, count(*) AS n_links FROM pairs GROUP BY a
+)
+SELECT c.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM c LEFT JOIN n ON c.vec_id = n.vec_id
+"""
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_rows(_docs(spark, sf_dir))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number").withColumn("size", F.col("size") + 8)
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op4_exact_dedup": op4_exact_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_toxicity": op6_toxicity, "op10_sharding": op10_sharding}
-ORACLE = {"op4_exact_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL}
+QUERIES = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op4_exact_dedup": op4_exact_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_toxicity": op6_toxicity, "op8_embedding_dedup": op8_embedding_dedup, "op10_sharding": op10_sharding}
+ORACLE = {"op4_exact_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op8_embedding_dedup": OP8_SQL}

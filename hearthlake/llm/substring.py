@@ -19,7 +19,8 @@ shard's index only has to answer for the runs dealt to it:
    bits. All windows are then searched backwards, word by word, for as long as
    they match elsewhere; those that match over the whole span get the smallest
    id in their suffix interval;
-3. the intervals of a document are joined to it, and its words are filtered.
+3. the intervals of a document meet its text, which travels in compressed blocks
+   too, and its words are filtered.
 
 Words are compared as text; hashes only deal runs out and pick those to compare.
 
@@ -31,7 +32,6 @@ hash of their texts); an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Iterator
 
@@ -47,9 +47,9 @@ from hearthlake.session import shuffle_partitions
 SPAN, GRAM = 13, 3
 SIDE = (SPAN - GRAM) // 2
 #: Characters that a task cuts into runs at a time.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 8_000_000
 #: Shards for each shuffle partition; a shard is indexed in memory.
-SHARDS_PER_PARTITION = 4
+SHARDS_PER_PARTITION = 16
 LAST = 2**63 - 1  # stands for a null id
 
 
@@ -359,9 +359,7 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.pmod(F.xxhash64(text), F.lit(65536)).alias("tag"), text.alias("text")
-    )
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.pmod(F.xxhash64(text), F.lit(65536)).alias("tag"), text.alias("text"))
 
 
 def repeated_passages(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -369,12 +367,8 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id",
     shards = SHARDS_PER_PARTITION * shuffle_partitions(docs.sparkSession)
 
     def ship(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            sizes = np.cumsum([len(t) if isinstance(t, str) else 0 for t in rows.text])
-            parts = sizes // BLOCK_CHARS if len(sizes) else sizes
-            for p in np.unique(parts):
-                some = rows[parts == p]
-                yield _ship(some.doc.tolist(), some.tag.tolist(), some.text.tolist(), shards, span)
+        for some in _blocks(batches):
+            yield _ship(some.doc.tolist(), some.tag.tolist(), some.text.tolist(), shards, span)
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         return _answer(group.block, span)
@@ -383,34 +377,50 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id",
     return blocks.groupBy("shard").applyInPandas(answer, "doc long, tag long, first long, last long")
 
 
-def _keep(words: list[bytes], passages: list) -> list[bytes]:
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of so many characters at a time as memory is meant to hold."""
+    for rows in batches:
+        parts = np.cumsum([len(t) if isinstance(t, str) else 0 for t in rows.text]) // BLOCK_CHARS
+        for p in np.unique(parts):
+            yield rows[parts == p]
+
+
+def _keep(words: list[bytes], first: np.ndarray, last: np.ndarray) -> list[bytes]:
     """The words that no passage covers."""
-    if not passages:
+    if not len(first):
         return words
     cover = np.zeros(len(words) + 1, dtype=np.int32)
-    np.add.at(cover, [p["first"] for p in passages], 1)
-    np.add.at(cover, [p["last"] for p in passages], -1)
+    np.add.at(cover, first, 1)
+    np.add.at(cover, last, -1)
     gone = np.cumsum(cover[:-1]) > 0
     return [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed and kept_text (kept words joined by one space)."""
-    passages = repeated_passages(docs, span, id_col, text_col)
-    lists = passages.groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "last")).alias("passages"))
-    joined = _keyed(docs, id_col, text_col).join(lists, ["doc", "tag"], "left").select("doc_id", "text", "passages")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for d, t, p in zip(rows.doc_id, rows.text, rows.passages, strict=True):
-                words = t.encode("utf-8", "surrogatepass").split() if isinstance(t, str) else []
-                kept = _keep(words, [] if p is None else list(p))
-                out.append((d, len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_text"]).astype({"doc_id": rows.doc_id.dtype})
-
-    return joined.mapInPandas(cut, "doc_id long, n_words long, n_removed long, kept_text string")
-
-
-def text_hash(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8")).hexdigest()
+    buckets = SHARDS_PER_PARTITION * shuffle_partitions(docs.sparkSession)
+    bucket = F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int").alias("bucket")
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in _blocks(batches):
+            packed = [(b, _pack((g.doc.tolist(), g.tag.tolist(), g.text.tolist()))) for b, g in some.groupby("bucket")]
+            yield pd.DataFrame(packed, columns=["bucket", "block"])
+
+    def cut(texts: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame:
+        hits = passages[["doc", "tag", "first", "last"]].to_numpy(dtype=np.int64)
+        hits = hits[np.lexsort((hits[:, 1], hits[:, 0]))]
+        edge = np.flatnonzero(np.r_[True, (hits[1:, :2] != hits[:-1, :2]).any(axis=1)]) if len(hits) else np.zeros(0, dtype=np.int64)
+        of = {(int(hits[a, 0]), int(hits[a, 1])): (a, b) for a, b in zip(edge, np.r_[edge[1:], len(hits)], strict=True)} if len(hits) else {}
+        out = []
+        for d, g, t in ((d, g, t) for block in texts.block for d, g, t in zip(*_unpack(block), strict=True)):
+            words = t.encode("utf-8", "surrogatepass").split() if isinstance(t, str) else []  # bytes split at the six ASCII blanks only
+            a, b = of.get((d, g), (0, 0))
+            kept = _keep(words, hits[a:b, 2], hits[a:b, 3])
+            out.append((d, len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
+        return pd.DataFrame(out, columns=["doc", "n_words", "n_removed", "kept_text"])
+
+    keyed = _keyed(docs, id_col, text_col).select("doc", "tag", "text", bucket)
+    texts = keyed.mapInPandas(pack, "bucket int, block binary")
+    passages = repeated_passages(docs, span, id_col, text_col).select(bucket, "doc", "tag", "first", "last")
+    met = texts.groupBy("bucket").cogroup(passages.groupBy("bucket")).applyInPandas(cut, "doc long, n_words long, n_removed long, kept_text string")
+    return met.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlake.llm import embed_dedup, exact_dedup, mix, sharding, simhash, substring, toxicity
+from hearthlake.llm import embed_dedup, exact_dedup, licences, line_dedup, mix, sentencepieces, sharding, simhash, substring, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,16 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(_docs(spark, sf_dir))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    found = licences.scan(docs, licences.fit(docs))
+    sure = F.filter("findings", lambda f: f["confirmed"])
+    return found.select(
+        "doc_id", "n_paragraphs", F.array_sort(F.array_distinct(F.transform(sure, lambda f: f["family"]))).alias("families"), F.size(sure).cast("long").alias("n_confirmed"),
+        F.size(F.filter("findings", lambda f: f["family"] == "unknown")).cast("long").alias("n_unknown"), F.size("findings").cast("long").alias("n_findings"),
+    )
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(_docs(spark, sf_dir))
 
@@ -74,6 +84,39 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.drop_boilerplate(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return cut.select("page_id", "host", "n_lines", "n_dropped", F.sha2(F.array_join("kept_lines", "\n"), 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH t AS (
+  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+    regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+      '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g'),
+      '(?i)<(?:br|/p|/div|/li|/h[1-6]|/title|/nav|/article|/tr)\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g') AS text
+  FROM pages
+), u AS (
+  SELECT page_id, host, regexp_replace(replace(replace(replace(replace(replace(replace(text, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[ \t\r\f\x0B]+', ' ', 'g') AS text FROM t
+), r AS (
+  SELECT page_id, host, string_split(text, chr(10)) AS parts FROM u
+), l AS (
+  SELECT page_id, host, k, trim(line, ' ') AS line FROM (SELECT page_id, host, unnest(parts) AS line, unnest(range(len(parts))) AS k FROM r) WHERE trim(line, ' ') <> ''
+), c AS (
+  SELECT host, line, count(DISTINCT page_id) AS n FROM l GROUP BY host, line
+), s AS (
+  SELECT host, count(*) AS pages FROM r GROUP BY host
+), g AS (
+  SELECT c.host, c.line FROM c JOIN s ON c.host = s.host WHERE n >= 5 AND n > 0.3 * pages
+), k AS (
+  SELECT l.page_id, count(*) AS n_lines, count(g.line) AS n_dropped, string_agg(CASE WHEN g.line IS NULL THEN l.line END, chr(10) ORDER BY k) AS text
+  FROM l LEFT JOIN g ON l.host = g.host AND l.line = g.line GROUP BY l.page_id
+)
+SELECT r.page_id, r.host, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM r LEFT JOIN k ON r.page_id = k.page_id
+"""
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -96,10 +139,18 @@ FROM c LEFT JOIN n ON c.vec_id = n.vec_id
 """
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sentencepieces.decode(sentencepieces.encode(_docs(spark, sf_dir).select("doc_id", "text"), n=3))
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.col("scores")[0].alias("score"), F.size("scores").alias("n_best"),
+        (F.col("scores")[0] - F.try_element_at("scores", F.lit(2))).alias("second_gap"), F.xxhash64("others").alias("others_hash"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_rows(_docs(spark, sf_dir))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number").withColumn("size", F.col("size") + 8)
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op4_exact_dedup": op4_exact_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_toxicity": op6_toxicity, "op8_embedding_dedup": op8_embedding_dedup, "op10_sharding": op10_sharding}
-ORACLE = {"op4_exact_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op8_embedding_dedup": OP8_SQL}
+QUERIES = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_license_scan": op3_license_scan, "op4_exact_dedup": op4_exact_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_toxicity": op6_toxicity, "op7_line_dedup": op7_line_dedup, "op8_embedding_dedup": op8_embedding_dedup, "op9_sentencepiece": op9_sentencepiece, "op10_sharding": op10_sharding}
+ORACLE = {"op4_exact_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_embedding_dedup": OP8_SQL}

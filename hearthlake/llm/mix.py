@@ -68,11 +68,11 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take, so that their words come to the budget.
 
-    Proportional parts first (their order of rounding leaves a gap of at most the
-    sum of the lengths), then one more of each length from the longest down while
-    the gap stays at least four times the longest length, then the bounded-knapsack
-    program over what is left of each length. The sum never exceeds the budget
-    and falls short only where no choice of the remaining documents comes closer.
+    Each length first gives its part of the budget less a reserve of four times
+    the longest length, then one more of each from the longest down while the
+    reserve is left. The bounded-knapsack program over what remains of each length
+    fills the reserve, in which even the longest documents fit; the sum is the one
+    nearest to the budget.
     """
     lengths, counts = np.asarray(lengths, dtype=np.int64), np.asarray(counts, dtype=np.int64)
     size = int((lengths * counts).sum())
@@ -81,9 +81,9 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         return take
     if budget >= size:
         return counts.copy()
-    take = np.array([int(c) * budget // size for c in counts], dtype=np.int64)
-    gap = budget - int((take * lengths).sum())
     keep_free = 4 * int(lengths.max())
+    take = np.array([int(c) * max(0, budget - keep_free) // size for c in counts], dtype=np.int64)
+    gap = budget - int((take * lengths).sum())
     for i in np.argsort(-lengths, kind="stable"):
         if lengths[i] and (more := min(int(counts[i] - take[i]), max(0, gap - keep_free) // int(lengths[i]))) > 0:
             take[i] += more
@@ -92,25 +92,27 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
 
 
 def _subset(lengths: np.ndarray, counts: np.ndarray, gap: int) -> np.ndarray:
-    """Bounded knapsack: the choice whose sum is the largest one not above the gap."""
+    """Bounded knapsack: the choice whose sum comes nearest to the gap, below rather than above it."""
     take = np.zeros(len(lengths), dtype=np.int64)
-    reached = np.full(gap + 1, -1, dtype=np.int64)  # the part that first reached each sum
+    top = gap + int(lengths[counts > 0].max(initial=0))
+    reached = np.full(top + 1, -1, dtype=np.int64)  # the part that first reached each sum
     reached[0] = -2
     parts: list[tuple[int, int]] = []  # (length's index, how many at once): powers of two of each count
     for i in np.argsort(-counts * (lengths > 0), kind="stable"):
-        left, k = int(min(counts[i], gap // lengths[i] if lengths[i] else 0)), 1
+        left, k = int(min(counts[i], top // lengths[i] if lengths[i] else 0)), 1
         while left > 0 and reached[gap] == -1:
             k = min(k, left)
             step = k * int(lengths[i])
-            if step <= gap:
-                new = np.flatnonzero((reached[: gap + 1 - step] != -1) & (reached[step:] == -1)) + step
+            if step <= top:
+                new = np.flatnonzero((reached[: top + 1 - step] != -1) & (reached[step:] == -1)) + step
                 reached[new] = len(parts)
                 parts.append((int(i), k))
             left -= k
             k *= 2
         if reached[gap] != -1:
             break
-    at = int(np.flatnonzero(reached != -1).max())
+    sums = np.flatnonzero(reached != -1)
+    at = int(sums[np.abs(sums - gap).argmin()])
     while at > 0:
         i, k = parts[reached[at]]
         take[i] += k

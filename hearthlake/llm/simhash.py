@@ -272,12 +272,15 @@ def similar_components(
 ) -> DataFrame:
     """One row per document: doc_id and the component of texts that resemble each other.
 
-    Texts link when their fingerprints of 64 * lanes bits differ in no larger
-    share of bits than shingle sets of the given Jaccard similarity do on average.
+    Texts link when their fingerprints of 64 * lanes bits differ in no larger share
+    of bits than shingle sets of the given Jaccard similarity do on average, plus
+    two standard errors. So nearly all pairs of that similarity link; with 256
+    bits, half of those of 0.69 do too, and hardly any below 0.6.
     """
     rate = difference_rate(similarity)
+    loose = rate + 2 * math.sqrt(rate * (1 - rate) / (lanes * BITS))
     prints = materialize(fingerprints(docs, words, lanes, id_col, text_col))
-    found = _components(prints, lambda classes: sampled_masks(lanes, classes.count(), rate, recall), math.floor(rate * lanes * BITS), lanes, bucket_rows)
+    found = _components(prints, lambda classes: sampled_masks(lanes, classes.count(), rate, recall), math.floor(loose * lanes * BITS), lanes, bucket_rows)
     return found.select("doc_id", "component_id")
 
 

@@ -49,7 +49,7 @@ def test_strings(spark, fn, cases):
 
 def test_numbers_and_money(spark):
     assert values(spark, scalars.plain_number, [3000.0, 2.5, None, 0.0], "double") == ["3000", "2.5", None, "0"]
-    assert values(spark, lambda x: scalars.round_half_up(x, 2), [1.005, 2.675, 0.125], "double") == [1.0, 2.67, 0.13]
+    assert values(spark, lambda x: scalars.round_half_up(x, 2), [1.005, 2.675, 0.125], "double") == [1.0, 2.68, 0.13]
     assert values(spark, tags.price_band, [999.0, 0.0, 3450.0, None], "double") == ["price:under-1k", None, "price:3k-4k", None]
     assert values(spark, tags.short_money, [950.0, 2450.0, 3000.0], "double") == ["$950", "$2.5k", "$3k"]
     assert values(spark, lambda x: listing_text.price_per_square_foot(x, F.lit(600)), [3000.0, 0.0, None], "double") == [5.0, None, None]

@@ -94,3 +94,27 @@ def map_points(cards: DataFrame, selected: str | None = None) -> DataFrame:
     geometry = F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates"))
     fields = F.struct("listing_id", F.col("geocode_precision").isin("neighborhood", "city").alias("approximate"), F.coalesce("price_effective_monthly", "price_monthly").alias("price"))
     return rows.select("listing_id", F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), fields.alias("properties"))).alias("feature"))
+
+
+def listing_detail(listing_id: str, cards: DataFrame, history: DataFrame, events: DataFrame, groups: DataFrame, most: int = 50) -> DataFrame:
+    """One row: a card with its newest events and prices and the other members of its group.
+
+    The id is pushed into every scan; only that listing's rows are joined.
+    """
+    one = cards.filter(F.col("listing_id") == listing_id)
+
+    def newest(df: DataFrame, at: str, name: str) -> DataFrame:
+        mine = df.filter(F.col("listing_id") == listing_id).orderBy(F.col(at).desc()).limit(most)
+        return mine.groupBy("listing_id").agg(F.sort_array(F.collect_list(F.struct(at, *(c for c in df.columns if c not in (at, "listing_id")))), asc=False).alias(name))
+
+    found = one.join(newest(history, "observed_at", "prices"), "listing_id", "left").join(newest(events, "created_at", "events"), "listing_id", "left")
+    peers = groups.filter(F.array_contains("member_ids", listing_id)).select(F.lit(listing_id).alias("listing_id"), F.array_remove("member_ids", listing_id).alias("peers"), "confidence", "reasons")
+    return found.join(peers, "listing_id", "left")
+
+
+def verification(batch: DataFrame, by: str) -> DataFrame:
+    """Coverage profile, issues and verdict per source of a batch."""
+    from hearthlake.operators import quality
+
+    profiled = quality.profile(batch, [by]).withColumn("issues", quality.issues())
+    return profiled.withColumn("verdict", quality.verdict(F.col("issues"), F.col("total") == 0))

@@ -51,3 +51,12 @@ class SnapshotStore:
 
     def read_appended(self, table: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}").parquet(f"{self.root}/{table}")
+
+
+def copy_tables(source: SnapshotStore, target: SnapshotStore, schemas: dict[str, StructType | str], insert_only: dict[str, list[str]] | None = None) -> None:
+    """Copy tables in the given order, parents first; tables named in ``insert_only`` (with their keys) keep the rows they have."""
+    from hearthlake.operators.merge import insert_ignore
+
+    for table, schema in schemas.items():
+        rows, keys = source.read(table, schema), (insert_only or {}).get(table)
+        target.write(table, insert_ignore(target.read(table, schema), rows, keys) if keys else rows)

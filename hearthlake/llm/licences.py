@@ -220,8 +220,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
     Paragraphs of the sample that resemble a template are left out, as they may state a licence.
     """
     order = F.xxhash64(F.lit(5), F.col(id_col).cast("string"))
-    picked = docs.select(order.alias("o"), F.substring(F.col(text_col).cast("string"), 1, 20_000).alias("text")).orderBy("o", "text").limit(sample_docs)
-    lines = [p for (t,) in picked.select("text").collect() for p in (t or "").split("\n") if p.strip()]
+    ids = docs.select(F.col(id_col).alias("__id"), order.alias("o")).filter("__id is not null").distinct().orderBy("o").limit(sample_docs)  # ids only; texts follow for those picked
+    rows = docs.join(F.broadcast(ids), F.col(id_col) == F.col("__id")).select("o", F.substring(F.col(text_col).cast("string"), 1, 20_000).alias("text")).collect()
+    lines = [p for _, t in sorted((r.o, r.text or "") for r in rows)[:sample_docs] for p in t.split("\n") if p.strip()]
     known = [_bigrams(_words(t)) for texts in TEMPLATES.values() for t in texts]
     prose = [p for p in lines if not any(len(own & k) >= 0.25 * len(k) for own in (_bigrams(_words(p)),) for k in known)]
     return fit_paragraphs(prose[: 10 * sample_docs])

@@ -7,7 +7,8 @@ pages of that host.
 Counting shuffles digests of lines, combined before the shuffle. The lines that
 go are gathered per host: as each is on more than ``ratio`` of the pages, there are
 at most ``1 / ratio`` times as many as a page of the host has lines on average, so
-the list of a host is short however many pages it has.
+the list of a host is short however many pages it has. The pages of a host meet
+it in ``SALTS`` parts.
 
 Defined results: null or empty HTML has no lines; a null URL, or one without a
 host, belongs to the site with the empty name; a line counts once for a page
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from hearthlake.session import write_table
 
+SALTS = 32
 HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
 BREAK = r"(?i)<(?:br|/p|/div|/li|/h[1-6]|/title|/nav|/article|/tr)\b[^>]*>"
 TAG = r"<[^>]*>"
@@ -55,8 +57,8 @@ def drop_boilerplate(pages: DataFrame, ratio: float = 0.3, least_pages: int = 5,
     counted = lines.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", digest(F.col("line")).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
     sites = lines.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     common = counted.filter(F.col("n") >= least_pages).join(sites, "host").filter(F.col("n") > F.lit(ratio) * F.col("pages"))
-    gone = common.groupBy("host").agg(F.collect_list("digest").alias("gone"))
-    met = lines.join(gone, "host", "left")
+    gone = common.groupBy("host").agg(F.collect_list("digest").alias("gone")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = lines.withColumn("salt", F.pmod(F.xxhash64("page_id", F.size("lines")), F.lit(SALTS)).cast("int")).join(gone, ["host", "salt"], "left")
     kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("gone"), digest(x))))
     met = met.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept_lines"))
     return met.select("page_id", "host", "n_lines", (F.col("n_lines") - F.size("kept_lines")).cast("long").alias("n_dropped"), "kept_lines")

@@ -43,7 +43,7 @@ from hearthlake.llm.pieces import PieceHash
 #: Where the tokenizer files lie on every machine by default.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 3_000_000
 ENCODED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("others", T.ArrayType(T.ArrayType(T.IntegerType())))])
 
 
@@ -77,6 +77,19 @@ class Pieces:
         self.lengths = sorted({len(k) for k in keys})
         self.maybe = np.zeros(1 << 21, dtype=bool)
         self.maybe[(self.hashes >> np.uint64(43)).astype(np.int64)] = True
+        # Which beginnings pieces have, and how long pieces with such a beginning get: up to five bytes, and beyond.
+        self.beginnings = []
+        for width, top in ((3, 5), (6, 1 << 15)):
+            longest: dict[bytes, int] = {}
+            for k in keys:
+                if width <= len(k) <= top:
+                    longest[k[:width]] = max(longest.get(k[:width], 0), len(k))
+            flat = np.frombuffer(b"".join(longest), dtype=np.uint8)
+            at = np.arange(len(longest)) * width
+            hashed = PieceHash(flat)(at, at + width)
+            into = np.argsort(hashed)
+            self.beginnings.append((width, hashed[into], np.array(list(longest.values()), dtype=np.int16)[into]))
+        self.paths: dict[tuple, list] = {}
         used = set().union(*keys)
         self.apart = np.zeros(256, dtype=bool)  # single bytes that no piece contains
         self.apart[[b for b in range(128) if b not in used]] = True
@@ -91,6 +104,18 @@ class Pieces:
         ok = self.hashes[place] == hashes[at]
         return at[ok], place[ok]
 
+    def reach(self, piece: PieceHash, size: int) -> list[np.ndarray]:
+        """For each place of a buffer, how long pieces that begin there may get: below six bytes, and beyond."""
+        out = []
+        for width, hashed, longest in self.beginnings:
+            far = np.zeros(size, dtype=np.int16)
+            at = np.arange(max(0, size - width + 1))
+            h = piece(at, at + width)
+            place = np.minimum(np.searchsorted(hashed, h), len(hashed) - 1)
+            far[at] = np.where(hashed[place] == h, longest[place], 0)
+            out.append(far)
+        return out
+
 
 @lru_cache(maxsize=2)
 def load(path: str) -> Pieces:
@@ -132,6 +157,7 @@ def viterbi(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces: Piec
     piece = PieceHash(flat)
     best, second = np.full(len(flat) + 1, -np.inf), np.full(len(flat) + 1, -np.inf)
     back, via = np.zeros(len(flat) + 1, dtype=np.int16), np.zeros(len(flat) + 1, dtype=np.int32)
+    short, long = pieces.reach(piece, len(flat))
     # Bytes of characters that have no piece of their own.
     chars = np.flatnonzero(_char_sizes(flat))
     width = np.diff(np.r_[chars, len(flat)])
@@ -155,11 +181,16 @@ def viterbi(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces: Piec
             b1[win], bl[win], bi[win] = x1[new], length, ids[new]
 
         for length in reversed([x for x in pieces.lengths if x <= o]):
-            hit, place = pieces.lookup(piece(e - length, e))
-            if hit.size:
-                live = best[e[hit] - length] > -np.inf
-                hit, place = hit[live], place[live]
+            source = e - length
+            may = best[source] > -np.inf
+            if length > 2:
+                may &= (short if length < 6 else long)[source] >= length
+            may = np.flatnonzero(may)
+            if not may.size:
+                continue
+            hit, place = pieces.lookup(piece(source[may], e[may]))
             if hit.size:
+                hit = may[hit]
                 offer(hit, e[hit] - length, pieces.scores[place], length, pieces.ids[place])
         spell = np.flatnonzero(spelled[e - 1] < 0)
         if spell.size:
@@ -207,7 +238,16 @@ def lattice(chunk: bytes, pieces: Pieces) -> list[list[tuple[int, int, float]]]:
 
 
 def nbest_paths(chunks: list[bytes], pieces: Pieces, n: int) -> list[tuple[float, list[list[int]]]]:
-    """The n best paths through a chain of chunks: score, and ids by chunk."""
+    """The n best paths through a chain of chunks: score, and ids by chunk. Chains that come again are kept."""
+    key = (n, *chunks)
+    if key not in pieces.paths:
+        if len(pieces.paths) > 50_000:
+            pieces.paths.clear()
+        pieces.paths[key] = _nbest_paths(chunks, pieces, n)
+    return pieces.paths[key]
+
+
+def _nbest_paths(chunks: list[bytes], pieces: Pieces, n: int) -> list[tuple[float, list[list[int]]]]:
     edges: list[list[tuple[int, int, float]]] = [[]]
     ends = []
     for c in chunks:
@@ -307,16 +347,19 @@ def _model_path(path: str) -> str:
     return SparkFiles.get(path[len("files:") :]) if path.startswith("files:") else path
 
 
-def encode(docs: DataFrame, n: int = 3, model: str = MODEL, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, n: int = 3, model: str = MODEL, text_col: str = "text", check: bool = False) -> DataFrame:
     """``docs`` with the columns ids, scores and others: the best segmentation, the n best scores, the ids of those after the best.
 
+    ``check`` adds round_trip: whether the ids, decoded at once, give the text (null as empty) back.
+
     ``model`` is a path on every machine, or ``files:NAME`` for a file added to the Spark context.
     """
     clash = {"ids", "scores", "others"} & set(docs.columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} would be written over")
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, *ENCODED.fields])
+    more = [T.StructField("round_trip", T.BooleanType())] if check else []
+    schema = T.StructType([*docs.schema.fields, *ENCODED.fields, *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(_model_path(model))
@@ -330,7 +373,10 @@ def encode(docs: DataFrame, n: int = 3, model: str = MODEL, text_col: str = "tex
                 others = _lists([o for f in found for o in f[2]])
                 offsets = pa.array(np.cumsum([0, *(len(f[2]) for f in found)]).astype(np.int32))
                 new = [_lists([f[0] for f in found]), pa.array([f[1] for f in found], type=pa.list_(pa.float64())), pa.ListArray.from_arrays(offsets, others)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *new], names=[*batch.schema.names, "ids", "scores", "others"])
+                if check:
+                    back = join_pieces(np.concatenate([f[0] for f in found]).astype(np.int64), np.cumsum([0, *(len(f[0]) for f in found)]), pieces)
+                    new.append(pa.array([x == y for x, y in zip(back, texts[a:b], strict=True)], type=pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *new], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 

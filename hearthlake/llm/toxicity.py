@@ -8,8 +8,8 @@ a hundredth of the sample's documents (``LEAST_DOCS`` at least) adds nothing. Wi
 ``WINDOW`` words that overlap by ``WINDOW - STRIDE`` cover the whole text; each runs
 through a gated recurrent layer in both directions and attention pools its
 states into one logit. The score of a text is the probability that belongs to the
-greatest of its windows' logits, by a logistic curve fitted to documents that
-the network was not trained on.
+greatest of its windows' logits, by a logistic curve that documents which the
+network was not trained on have shaped.
 
 Labels mark documents, not windows. The first round takes as positive the windows
 of toxic documents with a feature whose log odds speak for toxic documents (by
@@ -35,19 +35,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearthlake.llm.pieces import PieceHash
+
 WINDOW, STRIDE = 32, 24
 SLOTS, EMBED, HIDDEN = 1 << 20, 12, 8
 PREFIXES, SUFFIX, LEAST_DOCS = (3, 4, 5, 6), 3, 3
 #: Labelled documents of each kind that training reads at most, and their words.
 SAMPLE_DOCS, SAMPLE_WORDS, SAMPLE_WINDOWS = 1500, 600, 12_000
 SURE = 4.0
-_P = np.uint64(0x100000001B3)
-_P_INV = np.uint64(pow(0x100000001B3, -1, 2**64))
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.r_[np.uint64(1), np.full(n, base)])
+#: Score from which a document is taken for toxic.
+THRESHOLD = 0.3
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,24 +55,13 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     step = np.flatnonzero(np.diff(np.r_[False, letter].view(np.int8)))
     starts, ends = step[0::2], step[1::2]
     text_ends = np.cumsum([len(r) + 1 for r in raw])
-    # Polynomial prefix hashes give the hash of any piece of the buffer.
-    with np.errstate(over="ignore"):
-        total = np.r_[np.uint64(0), np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * _powers(_P, len(flat) - 1))]
-        inverse = _powers(_P_INV, len(flat))
-
-        def piece(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
-            h = (total[b] - total[a]) * inverse[a] + np.uint64(kind * 0x9E3779B97F4A7C15 % 2**64)
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            return h ^ (h >> np.uint64(29))
-
-        whole = piece(starts, ends, 1)
-        text_of = np.searchsorted(text_ends, starts, side="right")
-        new = np.r_[True, (whole[1:] != whole[:-1]) | (text_of[1:] != text_of[:-1])][: len(whole)]
-        starts, ends = starts[new], ends[new]
-        counts = np.bincount(text_of[new], minlength=len(texts))
-        out = [whole[new]]
-        out += [piece(starts, np.minimum(starts + k, ends), 2 + k) for k in PREFIXES]
-        out.append(piece(np.maximum(ends - SUFFIX, starts), ends, 99))
+    piece = PieceHash(flat)
+    whole = piece(starts, ends, 1)
+    text_of = np.searchsorted(text_ends, starts, side="right")
+    new = np.r_[True, (whole[1:] != whole[:-1]) | (text_of[1:] != text_of[:-1])][: len(whole)]
+    starts, ends = starts[new], ends[new]
+    counts = np.bincount(text_of[new], minlength=len(texts))
+    out = [whole[new], *(piece(starts, np.minimum(starts + k, ends), 2 + k) for k in PREFIXES), piece(np.maximum(ends - SUFFIX, starts), ends, 99)]
     return np.stack(out, axis=1), counts
 
 
@@ -211,7 +197,17 @@ class Network:
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray, prior: float, steps: int = 100) -> tuple[float, float]:
-    """Slope and offset of a logistic curve by damped Newton steps; toxic documents weigh ``prior`` in all."""
+    """Slope and offset of a logistic curve.
+
+    Where nearly all clean documents lie below nearly all toxic ones, the middle
+    of the gap gets the probability ``THRESHOLD``, and the gap's ends lie two logits
+    from it. Else damped Newton steps fit the curve; toxic documents weigh
+    ``prior`` in all.
+    """
+    low, high = np.quantile(x[y == 0], 0.995), np.quantile(x[y > 0], 0.01)
+    if high > low:
+        slope = 4 / max(float(high - low), 0.2)
+        return slope, float(np.log(THRESHOLD / (1 - THRESHOLD)) - slope * (low + high) / 2)
     middle, scale = float(x.mean()), max(1e-3, float(x.std()))
     z = np.stack([(x - middle) / scale, np.ones(len(x))], axis=1)
     weight = np.where(y > 0, prior / max(1, (y > 0).sum()), (1 - prior) / max(1, (y == 0).sum())) * len(y)
@@ -353,7 +349,7 @@ def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
     return narrow.mapInPandas(run, "doc_id long, score double")
 
 
-def drop_toxic(docs: DataFrame, net: Network, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+def drop_toxic(docs: DataFrame, net: Network, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` scored below the threshold, with all their columns."""
     model = docs.sparkSession.sparkContext.broadcast(net)
 

@@ -215,17 +215,19 @@ def fit_paragraphs(negatives: list[str], seed: int = 3, steps: int = 160, rate:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Classifier:
-    """Fit with the paragraphs of ``sample_docs`` documents, in a seeded order, as prose.
+    """Fit with paragraphs of ``sample_docs`` documents, in a seeded order, as prose: ten for each document at most, by lot among all.
 
     Paragraphs of the sample that resemble a template are left out, as they may state a licence.
     """
     order = F.xxhash64(F.lit(5), F.col(id_col).cast("string"))
     ids = docs.select(F.col(id_col).alias("__id"), order.alias("o")).filter("__id is not null").distinct().orderBy("o").limit(sample_docs)  # ids only; texts follow for those picked
-    rows = docs.join(F.broadcast(ids), F.col(id_col) == F.col("__id")).select("o", F.substring(F.col(text_col).cast("string"), 1, 20_000).alias("text")).collect()
+    rows = docs.join(F.broadcast(ids), F.col(id_col) == F.col("__id")).groupBy("o").agg(F.max(F.col(text_col).cast("string")).alias("text")).collect()
     lines = [p for _, t in sorted((r.o, r.text or "") for r in rows)[:sample_docs] for p in t.split("\n") if p.strip()]
     known = [_bigrams(_words(t)) for texts in TEMPLATES.values() for t in texts]
     prose = [p for p in lines if not any(len(own & k) >= 0.25 * len(k) for own in (_bigrams(_words(p)),) for k in known)]
-    return fit_paragraphs(prose[: 10 * sample_docs])
+    if len(prose) > 10 * sample_docs:
+        prose = [prose[i] for i in np.sort(np.random.default_rng(5).choice(len(prose), 10 * sample_docs, replace=False))]
+    return fit_paragraphs(prose)
 
 
 def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 4_000_000) -> DataFrame:

@@ -27,6 +27,7 @@ of either kind the score is the share of toxic labels, 0.5 if there is none.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,8 +41,8 @@ from hearthlake.llm.pieces import PieceHash
 WINDOW, STRIDE = 32, 24
 SLOTS, EMBED, HIDDEN = 1 << 20, 12, 8
 PREFIXES, SUFFIX, LEAST_DOCS = (3, 4, 5, 6), 3, 3
-#: Labelled documents of each kind that training reads at most, and their words.
-SAMPLE_DOCS, SAMPLE_WORDS, SAMPLE_WINDOWS = 1500, 600, 12_000
+#: Labelled documents of each kind that training reads at most, the characters of their (whole) texts, and windows of a round.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WINDOWS = 1500, 3_500_000, 12_000
 SURE = 4.0
 #: Score from which a document is taken for toxic.
 THRESHOLD = 0.3
@@ -235,13 +236,14 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 4, epochs: int = 2
     y = labels[~aside]
     at, owner = windows(counts)
     # Features by the number of documents they occur in.
-    pairs = np.unique(np.stack([hashes.reshape(-1), np.repeat(np.arange(len(counts)), counts * hashes.shape[1]).astype(np.uint64)], axis=1), axis=0)
-    known, docs = np.unique(pairs[:, 0], return_counts=True)
+    bounds = np.cumsum(np.r_[0, counts])
+    in_docs = [np.unique(hashes[a:b]) for a, b in itertools.pairwise(bounds.tolist())]
+    known, feature, docs = np.unique(np.concatenate(in_docs), return_inverse=True, return_counts=True)
     order = np.argsort(-docs, kind="stable")
     net = Network.fresh(known[order][docs[order] >= max(min(LEAST_DOCS, max(1, len(y) // 20)), len(y) // 100)], seed)
     rows = net.rows(hashes)
     # Log odds of each feature between toxic and clean documents, in standard errors.
-    toxic_docs = np.bincount(np.searchsorted(known, pairs[:, 0]), y[pairs[:, 1].astype(np.int64)], len(known))
+    toxic_docs = np.bincount(feature, np.repeat(y, [len(h) for h in in_docs]), len(known))
     a, b = toxic_docs + 0.5, docs - toxic_docs + 0.5
     c, d = y.sum() - toxic_docs + 0.5, (y == 0).sum() - (docs - toxic_docs) + 0.5
     sure = known[np.log(a * d / (b * c)) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d) > SURE]
@@ -309,8 +311,15 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> Network:
-    """Train on a bounded sample: ``sample_docs`` labelled documents of each kind, in a seeded order."""
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS
+) -> Network:
+    """Train on a bounded sample of labelled documents.
+
+    Of each kind, in a seeded order, those documents are taken that come before
+    ``sample_docs`` and ``sample_chars`` characters of text are reached; their texts
+    are read whole.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1) and id is not null").filter(~held_out(F.col("id")))
     order = F.xxhash64(F.lit(11), "id")
     picked = None
@@ -319,9 +328,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         picked = part if picked is None else picked.unionByName(part)
     counts = dict(known.groupBy("y").count().collect())
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    short = F.substring_index(F.trim(F.regexp_replace(F.col(text_col).cast("string"), r"\s+", " ")), " ", SAMPLE_WORDS)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias(text_col)).join(F.broadcast(picked), "id").select("id", "y", short.alias("text")).toPandas()
-    rows = rows.fillna({"text": ""}).sort_values(["id", "y", "text"])
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    sizes = texts.select("id", F.length("text").alias("chars")).join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.max("chars").alias("chars"))
+    sizes = sizes.select("id", "y", "chars", order.alias("at")).toPandas().sort_values(["y", "at", "id"])
+    taken = sizes[sizes.groupby("y").chars.cumsum() - sizes.chars < sample_chars]
+    chosen = docs.sparkSession.createDataFrame(taken[["id", "y"]].drop_duplicates(), "id long, y int")
+    longest = F.max(F.struct(F.length("text"), "text"))["text"]  # where rows repeat an id
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(longest.alias("text")).toPandas().sort_values(["id", "y"])
     return train(rows.text.tolist(), rows.y.to_numpy(), prior=min(max(prior, 0.01), 0.99))
 
 

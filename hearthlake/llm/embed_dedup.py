@@ -5,7 +5,8 @@
 2. The classes of a label are split into overlapping cluster shards: centroids
    are fitted on a bounded sample of each shard, a class goes to its nearest
    centroid and to the second one too if that is nearly as near, and shards are
-   split again until none holds more than ``SHARD_ROWS`` (or cannot be split).
+   split again until none holds more than ``SHARD_ROWS``. Where that does not
+   help, as in multiples of one vector, all pairs of chunks become shards.
 3. Every shard gets a flat graph: candidates are the nearest classes of the
    shard, and robust pruning drops a candidate that a chosen one already covers.
 4. The adjacency lists of all shards are united. A shard is searched together
@@ -60,7 +61,8 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.n
         np.add.at(total, near, x)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
         c = np.where(norm > 1e-9, total / np.maximum(norm, 1e-9), c)
-    return c
+    alike = np.triu(c @ c.T > 1 - 1e-12, 1).any(axis=0)  # of centroids in one place the first is enough
+    return c[~alike]
 
 
 def assign(x: np.ndarray, c: np.ndarray, margin: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +112,16 @@ def make_shards(classes: DataFrame, shard_rows: int = SHARD_ROWS, levels: int =
 
         joined = whole.join(large.select("shard"), "shard", "left_semi").join(fitted, "shard")
         whole = materialize(joined.mapInPandas(deal, whole.schema))
-    return done.unionByName(whole)  # what could not be split further, such as one dense group
+    return done.unionByName(_chunk_pairs(whole, shard_rows))
+
+
+def _chunk_pairs(shards: DataFrame, shard_rows: int) -> DataFrame:
+    """Shards that centroids cannot split, such as multiples of one vector: every two chunks of one meet in a shard of their own."""
+    parts = shards.groupBy("shard").count().select("shard", F.when(F.col("count") > shard_rows, F.ceil(2 * F.col("count") / shard_rows)).otherwise(1).alias("parts"))
+    own = F.pmod(F.xxhash64(F.lit(9), "cid"), F.col("parts"))
+    pairs = shards.join(parts, "shard").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    name = F.concat_ws("#", "shard", F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string"))
+    return pairs.select(name.alias("shard"), "cid", "vector")
 
 
 def prune(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, alpha: float = ALPHA, block: int = 1000) -> list[np.ndarray]:

@@ -45,6 +45,16 @@ def test_links_and_components_match_brute_force(spark):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_multiples_of_one_vector_cannot_be_split_but_meet(spark):
+    draw = np.random.default_rng(4)
+    one = draw.normal(size=16)
+    rows = [(i, [float(x) for x in one * (1 + i)], 0) for i in range(150)] + [(500 + i, [float(x) for x in draw.normal(size=16)], 0) for i in range(60)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
+    degree, roots = plain(rows)
+    got = {r.vec_id: r for r in embed_dedup.near_duplicates(df, shard_rows=40).collect()}
+    assert {i: r.n_links for i, r in got.items()} == degree and {i: r.component_id for i, r in got.items()} == roots
+
+
 def test_null_and_repeated_ids(spark):
     v = [1.0, 0.0]
     df = spark.createDataFrame([(None, v, 1, "x", "y"), (5, v, 1, "x", "y"), (5, v, 1, "x", "y")], SCHEMA)

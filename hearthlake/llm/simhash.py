@@ -52,7 +52,7 @@ BITS = 64
 #: Distinct fingerprints that one task compares at most.
 BUCKET_ROWS = 20_000
 #: Buckets up to this size are compared side by side, larger ones by a search of their own.
-SMALL = 6
+SMALL = 128
 #: Shingles hashed at a time, which bounds the memory of a very long text.
 BLOCK = 100_000
 
@@ -112,10 +112,11 @@ def section_masks(radius: int) -> list[list[int]]:
 def sampled_masks(lanes: int, rows: int, rate: float, recall: float, seed: int = 42) -> list[list[int]]:
     """Masks of seeded bit samples for pairs that differ in a share ``rate`` of the bits.
 
-    The width follows the number of rows, so that unrelated fingerprints seldom
-    meet; the number of samples is what the recall then needs.
+    The width follows the number of rows, so that a bucket holds some dozens of
+    unrelated fingerprints whatever that number is; the number of samples is what
+    the recall then needs.
     """
-    width = max(8, math.ceil(math.log2(max(rows, 2))) - 2)
+    width = max(8, math.ceil(math.log2(max(rows, 2))) - 5)
     count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - rate) ** width))
     draw = np.random.default_rng(seed)
     out = []
@@ -170,6 +171,37 @@ def forest(fps: np.ndarray, table: np.ndarray, radius: int) -> list[tuple[int, i
     return links
 
 
+def survivors(table: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Which pairs of rows of the pivot table differ by ``radius`` at most in all coordinates.
+
+    Coordinates are looked at one by one until two of them in a row discard nothing.
+    """
+    left, idle = np.arange(len(a)), 0
+    for k in range(table.shape[1]):
+        column = table[:, k]
+        near = np.abs(column[a[left]] - column[b[left]]) <= radius
+        idle = idle + 1 if near.all() else 0
+        if idle == 2 or not left.size:
+            break
+        left = left[near]
+    return left
+
+
+def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links to the smallest row of each component of the pairs (a, b), one for each other row."""
+    label = np.arange(n)
+    while a.size:
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label != label[label]).any():
+            label = label[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    rows = np.flatnonzero(label != np.arange(n))
+    return rows, label[rows]
+
+
 def _bucket_links(rows: np.ndarray, refs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of the buckets of one sorted run of rows (bucket, cell, class, lanes...)."""
     n = len(rows)
@@ -177,25 +209,29 @@ def _bucket_links(rows: np.ndarray, refs: np.ndarray, radius: int) -> tuple[np.n
     change = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
     starts, ends = np.r_[0, change], np.r_[change, n]
     size = ends - starts
-    src, dst = [], []
-    within = np.repeat(ends, size)
-    small = np.repeat(size <= SMALL, size)
-    table = np.zeros((n, len(refs)), dtype=np.int16)
+    table = np.zeros((n, len(refs)), dtype=np.int16, order="F")
     several = np.flatnonzero(np.repeat(size > 1, size))
     table[several] = distance_table(fps[several], refs)
-    for d in range(1, min(SMALL, n)):
-        i = np.flatnonzero(small[: n - d] & (np.arange(d, n) < within[: n - d]))
-        i = i[np.abs(table[i] - table[i + d]).max(axis=1) <= radius] if i.size else i
-        i = i[hamming(fps[i], fps[i + d]) <= radius] if i.size else i
-        src.append(ids[i])
-        dst.append(ids[i + d])
+    first, second = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    # All buckets at once: each row with the one that stands d places further on.
+    left = np.flatnonzero(np.repeat(size <= SMALL, size))
+    after = np.repeat(ends, size)
+    for d in range(1, SMALL):
+        left = left[left + d < after[left]]
+        if not left.size:
+            break
+        i = left[survivors(table, left, left + d, radius)]
+        i = i[hamming(fps[i], fps[i + d]) <= radius]
+        first.append(i)
+        second.append(i + d)
+    a, b = _spanning(np.concatenate(first), np.concatenate(second), n)
+    src, dst = [ids[a]], [ids[b]]
     for a, b in zip(starts[size > SMALL], ends[size > SMALL], strict=True):
         if links := forest(fps[a:b], table[a:b], radius):
             x, y = np.array(links).T
             src.append(ids[a:b][x])
             dst.append(ids[a:b][y])
-    none = np.array([], dtype=np.int64)
-    return np.concatenate([none, *src]), np.concatenate([none, *dst])
+    return np.concatenate(src), np.concatenate(dst)
 
 
 def links_within(classes: DataFrame, masks: list[list[int]], radius: int, bucket_rows: int = BUCKET_ROWS, references: int = 16) -> DataFrame:

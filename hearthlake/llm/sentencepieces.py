@@ -9,7 +9,7 @@ No piece crosses the beginning of a run of U+2581 or touches certain control
 characters, so a text is a chain of small lattices ("chunks") and most chunks
 occur again and again. For the distinct chunks of many texts at once, a forward
 Viterbi pass gives the best score of every prefix, and the score of the second
-best path. An n-best list can only change the ``n - 1`` chunks of a text whose
+best path; a worker keeps what it found for the next texts. An n-best list can only change the ``n - 1`` chunks of a text whose
 second best path costs least. Over the lattice of those chunks a backward A-star
 search, with the forward scores as exact heuristic, takes the paths in falling
 order of score without ever expanding one that is not needed.
@@ -44,9 +44,35 @@ from hearthlake.llm.pieces import PieceHash
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
 BLOCK_CHARS = 3_000_000
+#: Chunks whose segmentation a worker keeps; then it begins anew.
+KEPT_CHUNKS = 1_000_000
 ENCODED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("others", T.ArrayType(T.ArrayType(T.IntegerType())))])
 
 
+class Chunks:
+    """Best segmentations of chunks by their hash."""
+
+    def __init__(self):
+        self.hashes, self.row = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)  # sorted, and where the rest lies
+        self.score, self.gap, self.count = np.zeros(0), np.zeros(0), np.zeros(0, dtype=np.int64)
+        self.first, self.ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Row of each hash, -1 where there is none."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, dtype=np.int64)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[place] == hashes, self.row[place], -1)
+
+    def add(self, hashes: np.ndarray, score: np.ndarray, gap: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        row = np.r_[self.row, len(self.score) + np.arange(len(hashes))]
+        self.hashes = np.r_[self.hashes, hashes]
+        order = np.argsort(self.hashes, kind="stable")
+        self.hashes, self.row = self.hashes[order], row[order]
+        self.first = np.r_[self.first, len(self.ids) + np.cumsum(count) - count]
+        self.score, self.gap, self.count, self.ids = np.r_[self.score, score], np.r_[self.gap, gap], np.r_[self.count, count], np.r_[self.ids, ids]
+
+
 class Pieces:
     """The vocabulary of a model file, ready for lookups."""
 
@@ -90,6 +116,7 @@ class Pieces:
             into = np.argsort(hashed)
             self.beginnings.append((width, hashed[into], np.array(list(longest.values()), dtype=np.int16)[into]))
         self.paths: dict[tuple, list] = {}
+        self.chunks = Chunks()
         used = set().union(*keys)
         self.apart = np.zeros(256, dtype=bool)  # single bytes that no piece contains
         self.apart[[b for b in range(128) if b not in used]] = True
@@ -167,8 +194,9 @@ def viterbi(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces: Piec
     # Positions are those of the chunk's bytes, so the end of a chunk is kept apart from the start of the next one.
     finish = {k: np.full(len(start), v) for k, v in (("best", -np.inf), ("second", -np.inf), ("back", 0), ("via", 0))}
     best[start] = 0.0
+    shorter = -size
     for o in range(1, int(size[0]) + 1 if len(size) else 0):
-        k = int(np.searchsorted(-size, -o, side="right"))  # chunks at least this long
+        k = int(np.searchsorted(shorter, -o, side="right"))  # chunks at least this long
         e = start[:k] + o
         b1, b2 = np.full(k, -np.inf), np.full(k, -np.inf)
         bl, bi = np.zeros(k, dtype=np.int64), np.zeros(k, dtype=np.int64)
@@ -195,7 +223,7 @@ def viterbi(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces: Piec
         spell = np.flatnonzero(spelled[e - 1] < 0)
         if spell.size:
             offer(spell, e[spell] - 1, spelled[e[spell] - 1], 1, pieces.byte_id[flat[e[spell] - 1]])
-        done = int(np.searchsorted(-size, -o, side="left"))  # chunks from here to k end at this place
+        done = int(np.searchsorted(shorter, -o, side="left"))  # chunks from here to k end at this place
         for name, x in (("best", b1), ("second", b2), ("back", bl), ("via", bi)):
             finish[name][done:k] = x[done:]
         best[e[:done]], second[e[:done]], back[e[:done]], via[e[:done]] = b1[:done], b2[:done], bl[:done], bi[:done]
@@ -288,19 +316,26 @@ def segment(texts: list[str], pieces: Pieces, n: int = 3) -> list[tuple[np.ndarr
     ends = np.r_[starts[1:], len(flat)]
     hashes = PieceHash(flat)(starts, ends)
     _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-    # The distinct chunks on their own.
-    size = (ends - starts)[first]
-    own_end = np.cumsum(size)
-    own = flat[np.repeat(starts[first] - (own_end - size), size) + np.arange(own_end[-1])]
-    score, gap, ids, count = viterbi(own, own_end - size, own_end, pieces)
-    id_end = np.cumsum(count)
+    # The distinct chunks that are new, on their own.
+    if len(pieces.chunks.score) > KEPT_CHUNKS:
+        pieces.chunks = Chunks()
+    kept, distinct = pieces.chunks, hashes[first]
+    new = np.flatnonzero(kept.find(distinct) < 0)
+    if new.size:
+        at = first[new]
+        size = (ends - starts)[at]
+        own_end = np.cumsum(size)
+        own = flat[np.repeat(starts[at] - (own_end - size), size) + np.arange(own_end[-1])]
+        kept.add(distinct[new], *viterbi(own, own_end - size, own_end, pieces))
+    which = kept.find(distinct)[which]
+    score, gap, count, ids = kept.score, kept.gap, kept.count, kept.ids
     words = np.searchsorted(starts, bounds)  # chunks of each text
     out = []
     for a, b in zip(words[:-1].tolist(), words[1:].tolist(), strict=True):
         mine = which[a:b]
         c = count[mine]
         ends_here = np.cumsum(c)
-        best = ids[np.repeat(id_end[mine] - c - (ends_here - c), c) + np.arange(int(c.sum()))]
+        best = ids[np.repeat(kept.first[mine] - (ends_here - c), c) + np.arange(int(c.sum()))]
         total = float(score[mine].sum())
         scores, others = [total], []
         if n > 1 and b > a:

@@ -30,6 +30,16 @@ def test_n_best_match_exhaustive_search():
         assert spelled(ids) >= max([spelled(o) for o in others], default=-np.inf) or any(int(i) < 259 for i in ids)
 
 
+def test_kept_chunks_change_nothing(monkeypatch):
+    pieces = sp.Pieces(sp.MODEL)
+    plain = lambda found: [(i.tolist(), s, [o.tolist() for o in more]) for i, s, more in found]
+    fresh = [plain(sp.segment([t], sp.Pieces(sp.MODEL), 3))[0] for t in TEXTS[:4]]
+    kept = [plain(sp.segment([t], pieces, 3))[0] for t in TEXTS[:4] + TEXTS[:4]]
+    monkeypatch.setattr(sp, "KEPT_CHUNKS", 2)
+    dropped = [plain(sp.segment([t], pieces, 3))[0] for t in TEXTS[:4]]
+    assert kept == fresh * 2 and dropped == fresh and len(pieces.chunks.score) < 10
+
+
 def test_round_trip_and_library_agree_on_decoding(spark):
     rows = [(i, t, "s") for i, t in enumerate([*TEXTS, None, "", "word " * 30_000, "q" * 3000])] + [(0, TEXTS[0], "s")]
     docs = documents(spark, rows)

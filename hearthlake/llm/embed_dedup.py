@@ -155,25 +155,31 @@ def prune(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, alp
 
 def search(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, threshold: float, beam: int, slack: float) -> list[np.ndarray]:
     """Rows found within the threshold of each queried row, by range-expanding greedy search."""
-    middle = x.mean(axis=0)
-    medoid = int((x @ middle).argmax())
+    medoid = int((x @ x.mean(axis=0)).argmax())
+    degree = np.array([len(near) for near in lists], dtype=np.int64)
+    first = np.cumsum(degree) - degree
+    flat = np.concatenate([np.zeros(0, dtype=np.int64), *lists])
+    known, mark = np.zeros(len(x), dtype=bool), np.zeros(len(x), dtype=bool)
     out = []
     for q in queries.tolist():
         seen = np.array(sorted({medoid, q}), dtype=np.int64)
-        sims = x[seen] @ x[q]
-        expanded: set[int] = set()
-        known = set(seen.tolist())
+        known[seen] = True
+        sims, expanded = x[seen] @ x[q], np.zeros(len(seen), dtype=bool)
         while True:
             bar = np.partition(sims, -beam)[-beam] if len(sims) > beam else -np.inf
-            turn = [i for i in seen[sims >= min(bar, threshold - slack)].tolist() if i not in expanded]
-            if not turn:
+            turn = ~expanded & (sims >= min(bar, threshold - slack))
+            if not turn.any():
                 break
-            expanded.update(turn)
-            fresh = set().union(*(lists[i].tolist() for i in turn)) - known
-            if fresh:
-                more = np.fromiter(fresh, np.int64, len(fresh))
-                known |= fresh
-                seen, sims = np.r_[seen, more], np.r_[sims, x[more] @ x[q]]
+            expanded |= turn
+            count = degree[seen[turn]]
+            place = np.repeat(first[seen[turn]] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            mark[flat[place]] = True
+            fresh = np.flatnonzero(mark & ~known)
+            mark[flat[place]] = False
+            if fresh.size:
+                known[fresh] = True
+                seen, sims, expanded = np.r_[seen, fresh], np.r_[sims, x[fresh] @ x[q]], np.r_[expanded, np.zeros(len(fresh), dtype=bool)]
+        known[seen] = False
         out.append(seen[(sims >= threshold) & (seen != q)])
     return out
 
@@ -202,9 +208,9 @@ def find_links(classes: DataFrame, threshold: float = 0.93, shard_rows: int = SH
             lists = [np.fromiter((where[c] for c in near if c in where), np.int64) for near in group["near"]]
             queries = np.flatnonzero(group["member"].to_numpy())
             found = search(x, lists, queries, threshold, width, room)
-            src = np.repeat(cid[queries], [len(f) for f in found])
-            dst = cid[np.concatenate([np.zeros(0, dtype=np.int64), *found])]
-            return pd.DataFrame({"src": np.minimum(src, dst), "dst": np.maximum(src, dst)})
+            i, j = np.repeat(queries, [len(f) for f in found]), np.concatenate([np.zeros(0, dtype=np.int64), *found])
+            i, j = np.divmod(np.unique(np.minimum(i, j) * len(x) + np.maximum(i, j)), len(x))  # most are found from both ends
+            return pd.DataFrame({"src": np.minimum(cid[i], cid[j]), "dst": np.maximum(cid[i], cid[j])})
 
         return look
 

@@ -25,19 +25,22 @@ discard, but only after all pairs have been formed.
 ``near_components`` is exact for a small radius. ``similar_components`` works on
 wider fingerprints for a resemblance such as 0.8, where no small set of sections
 must agree; there the buckets are seeded samples of the bits, as many as the
-wanted recall needs at the given number of documents.
-
-Defined results: null and blank texts have the fingerprint zero and link like
-any other; a null doc_id is never the smallest of its component, and a component
-of null ids only has a null component_id; repeated rows repeat their result; an
-empty table gives no rows.
+wanted recall needs at the given number of documents. What links there is only a
+candidate: the texts of each group of candidates are compared by their sets of
+shingles, and those that really resemble each other form the components.
+
+Defined results: null and blank texts have the fingerprint zero; in
+``near_components`` they link like any other, in ``similar_components`` they
+resemble nothing; a null doc_id is never the smallest of its component, and a
+component of null ids only has a null component_id; repeated rows repeat their
+result; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthlake.operators.components import connected_components
-from hearthlake.session import materialize, shuffle_partitions
+from hearthlake.session import materialize, shuffle_partitions, write_table
 
 BITS = 64
 #: Distinct fingerprints that one task compares at most.
@@ -55,6 +58,10 @@ BUCKET_ROWS = 20_000
 SMALL = 128
 #: Shingles hashed at a time, which bounds the memory of a very long text.
 BLOCK = 100_000
+#: Texts of a candidate group that are compared in one task; a larger group becomes pairs of such chunks.
+CHUNK_TEXTS = 256
+#: Shingles of other texts that are looked up at a time.
+LOOKUPS = 1 << 20
 
 
 def _lane(hashes: np.ndarray, lane: int) -> np.ndarray:
@@ -66,24 +73,41 @@ def _lane(hashes: np.ndarray, lane: int) -> np.ndarray:
     return hashes
 
 
-def fingerprint(text: str | None, words: int = 3, lanes: int = 1) -> np.ndarray:
-    """Unsigned SimHash of the lower-cased (A-Z only) text, 64 bits per lane."""
+def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of each word shingle of the lower-cased (A-Z only) text, in blocks."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes split at the six ASCII blanks only
     if not parts:
-        return np.zeros(lanes, dtype=np.uint64)
+        return
     joined = b" ".join(parts)
     size = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(size + 1) - 1
     starts = (ends - size)[: max(1, len(parts) - words + 1)].tolist()
     ends = ends[min(words, len(parts)) - 1 :].tolist()
-    digest, votes = xxhash.xxh64_intdigest, np.zeros(lanes * BITS, dtype=np.int64)
+    digest = xxhash.xxh64_intdigest
+    for i in range(0, len(starts), BLOCK):
+        yield np.array([digest(joined[a:b], 42) for a, b in zip(starts[i : i + BLOCK], ends[i : i + BLOCK], strict=True)], dtype="<u8")
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; empty for a blank text."""
+    return np.unique(np.concatenate([np.zeros(0, dtype="<u8"), *shingle_hashes(text, words)]))
+
+
+def majority(blocks: Iterable[np.ndarray], lanes: int = 1) -> np.ndarray:
+    """The bits that more than half of the hashes have, 64 per lane."""
+    votes, n = np.zeros(lanes * BITS, dtype=np.int64), 0
     with np.errstate(over="ignore"):
-        for i in range(0, len(starts), BLOCK):
-            hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[i : i + BLOCK], ends[i : i + BLOCK], strict=True)], dtype="<u8")
+        for hashes in blocks:
+            n += len(hashes)
             for lane in range(lanes):
                 bits = np.unpackbits(_lane(hashes, lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 votes[lane * BITS : (lane + 1) * BITS] += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * votes > len(starts), bitorder="little").view("<u8")
+    return np.packbits(2 * votes > n, bitorder="little").view("<u8")
+
+
+def fingerprint(text: str | None, words: int = 3, lanes: int = 1) -> np.ndarray:
+    """Unsigned SimHash of the lower-cased (A-Z only) text, 64 bits per lane."""
+    return majority(shingle_hashes(text, words), lanes)
 
 
 def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,21 +304,14 @@ def links_within(classes: DataFrame, masks: list[list[int]], radius: int, bucket
     return sorted_rows.mapInPandas(run, "src long, dst long")
 
 
-def _components(prints: DataFrame, masks_for, radius: int, lanes: int, bucket_rows: int) -> DataFrame:
-    """Rows of ``prints`` with the smallest doc_id of their component."""
-    names = [f"f{i}" for i in range(lanes)]
-    classes = materialize(prints.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("cid", F.monotonically_increasing_id()))
-    found = connected_components(links_within(classes, masks_for(classes), radius, bucket_rows))
-    rooted = classes.join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("component_id", "cid")).drop("component_id")
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select(*names, "component_id")
-    return prints.join(named, names)
-
-
 def near_components(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id. No link is missed."""
     prints = materialize(fingerprints(docs, words, 1, id_col, text_col))
-    found = _components(prints, lambda _: section_masks(radius), radius, 1, bucket_rows)
+    classes = materialize(prints.groupBy("f0").agg(F.min("doc_id").alias("least")).withColumn("cid", F.monotonically_increasing_id()))
+    found = connected_components(links_within(classes, section_masks(radius), radius, bucket_rows))
+    rooted = classes.join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("component_id", "cid")).drop("component_id")
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = prints.join(rooted.join(smallest, "root").select("f0", "component_id"), "f0")
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -303,24 +320,138 @@ def difference_rate(resemblance: float) -> float:
     return math.acos(2 * resemblance / (1 + resemblance)) / math.pi
 
 
+def set_prints(docs: DataFrame, words: int, lanes: int, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` as a table, each with a number of its own and a print of its set of shingles.
+
+    The print has the size of the set, its SimHash f0, f1, ... and a digest of the whole set.
+    """
+    names = [f"f{i}" for i in range(lanes)] + ["s0", "s1"]
+
+    @F.pandas_udf("size long, " + ", ".join(f"{c} long" for c in names))
+    def prints(texts: pd.Series) -> pd.DataFrame:
+        found = np.zeros((len(texts), lanes + 3), dtype=np.uint64)
+        for i, t in enumerate(texts):
+            shingles = shingle_set(t if isinstance(t, str) else None, words)
+            found[i, 0] = len(shingles)
+            if len(shingles):
+                blocks = (shingles[k : k + BLOCK] for k in range(0, len(shingles), BLOCK))
+                found[i, 1 : lanes + 1] = majority(blocks, lanes)
+                found[i, lanes + 1 :] = np.frombuffer(xxhash.xxh128_digest(shingles.tobytes()), dtype="<u8")
+        return pd.DataFrame({c: found[:, k].view(np.int64) for k, c in enumerate(["size", *names])})
+
+    return write_table(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__print", prints(docs[text_col].cast("string"))))
+
+
+def resembling(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that span the components of the given sets by their exact Jaccard similarity.
+
+    Each set is once the centre of a search among those not reached yet.
+    """
+    size = np.array([len(x) for x in sets])
+    left = np.arange(len(sets))
+    links: list[tuple[int, int]] = []
+    queue: list[int] = []
+    while left.size:
+        if not queue:
+            queue.append(int(left[0]))
+            left = left[1:]
+        c = queue.pop()
+        able = left[np.minimum(size[left], size[c]) / np.maximum(size[left], size[c]) >= similarity]
+        reached: list[int] = []
+        part = np.cumsum(size[able]) // LOOKUPS
+        for near in (able[part == k] for k in np.unique(part)):
+            values = np.concatenate([sets[x] for x in near])
+            at = np.searchsorted(sets[c], values)
+            at[at == size[c]] = 0
+            common = np.add.reduceat(sets[c][at] == values, np.cumsum(size[near]) - size[near], dtype=np.int64)
+            reached += near[common / (size[near] + size[c] - common) >= similarity].tolist()
+        if reached:
+            links += [(c, x) for x in reached]
+            queue += reached
+            left = left[~np.isin(left, reached, assume_unique=True)]
+    return links
+
+
+def resembling_components(members: DataFrame, texts: DataFrame, words: int, similarity: float, chunk_texts: int = CHUNK_TEXTS) -> DataFrame:
+    """Rows (id, component_id) over ``cid`` for what resembles another text of its ``group``.
+
+    All pairs of a group are covered: a large group is cut into chunks, and each
+    pair of chunks is a task of its own; only their results have to be united.
+    """
+    spark = members.sparkSession
+    with_text = lambda rows: rows.join(texts, "__row").select("group", "cell", "cid", "t")
+    whole = members.withColumn("cell", F.lit(0).cast("long"))
+    large = materialize(members.groupBy("group").count().filter(F.col("count") > chunk_texts))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, ids, sets = None, [], []
+
+        def links() -> pd.DataFrame:
+            a, b = _spanning(*np.array(resembling(sets, similarity), dtype=np.int64).reshape(-1, 2).T, len(ids))
+            names = np.array(ids, dtype=np.int64)
+            return pd.DataFrame({"src": names[a], "dst": names[b]})
+
+        for batch in batches:
+            for group, cell, cid, text in zip(batch["group"], batch["cell"], batch["cid"], batch["t"], strict=True):
+                if (group, cell) != key:
+                    if len(ids) > 1:
+                        yield links()
+                    key, ids, sets = (group, cell), [], []
+                ids.append(cid)
+                sets.append(shingle_set(text, words))
+        if len(ids) > 1:
+            yield links()
+
+    def linked(rows: DataFrame) -> DataFrame:
+        return rows.repartition(shuffle_partitions(spark), "group", "cell").sortWithinPartitions("group", "cell").mapInPandas(run, "src long, dst long")
+
+    if large.isEmpty():
+        return linked(with_text(whole)).toDF("id", "component_id")
+    chunks = F.ceil(F.col("count") / chunk_texts)
+    cut = members.join(large, "group").withColumn("own", F.pmod(F.xxhash64("cid"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    cut = with_text(cut.select("group", (F.least("own", "other") * chunks + F.greatest("own", "other")).alias("cell"), "cid", "__row"))
+    return linked(with_text(whole.join(large, "group", "left_anti"))).toDF("id", "component_id").unionByName(connected_components(linked(cut)))
+
+
+def _similar(docs: DataFrame, words: int, similarity: float, lanes: int, recall: float, id_col: str, text_col: str, bucket_rows: int, chunk_texts: int) -> tuple[DataFrame, DataFrame]:
+    """The numbered rows of ``docs``, and for each row that isn't blank the first row of its component."""
+    rate = difference_rate(similarity)
+    loose = rate + 2 * math.sqrt(rate * (1 - rate) / (lanes * BITS))
+    radius = math.floor(loose * lanes * BITS)
+    names = [f"f{i}" for i in range(lanes)] + ["s0", "s1"]
+    rows = set_prints(docs, words, lanes, id_col, text_col)
+    prints = rows.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), "__print.*").filter("size > 0").drop("size")
+    # Equal sets form one class, named by its smallest id; its first row stands for its text.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    classes = materialize(prints.groupBy(*names).agg(first).withColumn("cid", F.monotonically_increasing_id()))
+    found = connected_components(links_within(classes, sampled_masks(lanes, classes.count(), rate, recall), radius, bucket_rows))
+    members = materialize(classes.select("cid", F.col("first.row").alias("__row")).join(found.select(F.col("id").alias("cid"), F.col("component_id").alias("group")), "cid"))
+    texts = rows.select("__row", F.col(text_col).cast("string").alias("t"))
+    same = resembling_components(members, texts, words, similarity, chunk_texts)
+    rooted = classes.join(same.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("component_id", "cid")).drop("component_id")
+    named = rooted.drop("first").join(rooted.groupBy("root").agg(F.min("first").alias("first")), "root").select(*names, "first")
+    return rows, prints.join(named, names).select("row", "first")
+
+
 def similar_components(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS, chunk_texts: int = CHUNK_TEXTS
 ) -> DataFrame:
     """One row per document: doc_id and the component of texts that resemble each other.
 
-    Texts link when their fingerprints of 64 * lanes bits differ in no larger share
-    of bits than shingle sets of the given Jaccard similarity do on average, plus
-    two standard errors. So nearly all pairs of that similarity link; with 256
-    bits, half of those of 0.69 do too, and hardly any below 0.6.
+    Texts link when the Jaccard similarity of their sets of shingles is at least
+    the given one. Compared are the texts of each candidate group, whose
+    fingerprints of 64 * lanes bits differ in no larger share of bits than sets
+    of that similarity do on average, plus two standard errors.
     """
-    rate = difference_rate(similarity)
-    loose = rate + 2 * math.sqrt(rate * (1 - rate) / (lanes * BITS))
-    prints = materialize(fingerprints(docs, words, lanes, id_col, text_col))
-    found = _components(prints, lambda classes: sampled_masks(lanes, classes.count(), rate, recall), math.floor(loose * lanes * BITS), lanes, bucket_rows)
-    return found.select("doc_id", "component_id")
+    rows, found = _similar(docs, words, similarity, lanes, recall, id_col, text_col, bucket_rows, chunk_texts)
+    named = rows.select("__row", F.col(id_col).cast("long").alias("doc_id")).join(found, F.col("__row") == F.col("row"), "left")
+    return named.select("doc_id", F.when(F.col("row").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, with all their columns."""
-    kept = similar_components(docs, id_col=id_col, **options).filter("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["__keep"]), "left_semi")
+def drop_near_duplicates(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS, chunk_texts: int = CHUNK_TEXTS
+) -> DataFrame:
+    """The rows of ``docs`` that come first in their component by id, with all their columns; blank texts stay."""
+    rows, found = _similar(docs, words, similarity, lanes, recall, id_col, text_col, bucket_rows, chunk_texts)
+    dropped = found.filter("row <> first.row").select(F.col("row").alias("__row"))
+    return rows.join(dropped, "__row", "left_anti").select(*docs.columns)

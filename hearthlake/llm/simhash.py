@@ -134,14 +134,16 @@ def section_masks(radius: int) -> list[list[int]]:
 
 
 def sampled_masks(lanes: int, rows: int, rate: float, recall: float, seed: int = 42) -> list[list[int]]:
-    """Masks of seeded bit samples for pairs that differ in a share ``rate`` of the bits.
+    """Masks of seeded bit samples for pairs that differ in a share ``rate`` of the bits at most.
 
-    The width follows the number of rows, so that a bucket holds some dozens of
+    The width follows the number of rows, so that a bucket holds about a hundred
     unrelated fingerprints whatever that number is; the number of samples is what
-    the recall then needs.
+    the recall then needs at that rate.
     """
-    width = max(8, math.ceil(math.log2(max(rows, 2))) - 5)
-    count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - rate) ** width))
+    width = max(8, math.ceil(math.log2(max(rows, 2))) - 7)
+    differ = math.floor(rate * lanes * BITS)
+    alike = math.prod((lanes * BITS - differ - i) / (lanes * BITS - i) for i in range(width))  # all bits of a sample, drawn without repeats
+    count = math.ceil(math.log(1 - recall) / math.log(1 - alike))
     draw = np.random.default_rng(seed)
     out = []
     for _ in range(count):
@@ -424,7 +426,7 @@ def _similar(docs: DataFrame, words: int, similarity: float, lanes: int, recall:
     # Equal sets form one class, named by its smallest id; its first row stands for its text.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     classes = materialize(prints.groupBy(*names).agg(first).withColumn("cid", F.monotonically_increasing_id()))
-    found = connected_components(links_within(classes, sampled_masks(lanes, classes.count(), rate, recall), radius, bucket_rows))
+    found = connected_components(links_within(classes, sampled_masks(lanes, classes.count(), loose, recall), radius, bucket_rows))
     members = materialize(classes.select("cid", F.col("first.row").alias("__row")).join(found.select(F.col("id").alias("cid"), F.col("component_id").alias("group")), "cid"))
     texts = rows.select("__row", F.col(text_col).cast("string").alias("t"))
     same = resembling_components(members, texts, words, similarity, chunk_texts)

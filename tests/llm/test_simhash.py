@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from helpers import components, documents, words
 
@@ -114,3 +115,33 @@ def test_only_texts_that_resemble_are_dropped(spark):
     assert all(got[i] == i for i, t, _ in rows if not (t or "").strip())
     kept = {r.doc_id for r in simhash.drop_near_duplicates(documents(spark, rows)).collect()}
     assert kept == {i for i in got if got[i] == i}
+
+
+class Searched(Exception):
+    pass
+
+
+def sample_recall(spark, rows, pairs=4000):
+    """Share of random pairs at the accepted radius that the stage deals to one bucket, were there so many rows."""
+    found, masks_of = [], simhash.sampled_masks
+
+    def caught(classes, masks, radius, *_):
+        found.append((masks, radius))
+        raise Searched
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(simhash, "sampled_masks", lambda lanes, _, *a: masks_of(lanes, rows, *a))
+        patch.setattr(simhash, "links_within", caught)
+        with pytest.raises(Searched):
+            simhash.similar_components(documents(spark, [(1, "a b c d e f", "s")]))
+    (masks, radius), draw = found[0], np.random.default_rng(rows)
+    apart = np.zeros((pairs, 256), dtype=np.uint8)
+    for row in apart:
+        row[draw.choice(256, radius, replace=False)] = 1
+    apart = np.packbits(apart, axis=1, bitorder="little").view("<u8")
+    return np.any([((apart & np.array(m, dtype=np.uint64)) == 0).all(axis=1) for m in masks], axis=0).mean(), len(masks)
+
+
+def test_recall_of_bit_samples_holds_at_the_radius_for_any_number_of_rows(spark):
+    for rows in (2_000, 80_000, 6_000_000):
+        assert sample_recall(spark, rows)[0] >= 0.98

@@ -1,33 +1,39 @@
 """Toxicity scores from a bidirectional gated recurrent network in numpy.
 
-A text is lower-cased and cut into runs of letters and digits; a word repeated
-right after itself counts once. Every word enters
-as the sum of embeddings of its whole form and of its first 3, 4, 5 and 6 and
-last 3 characters (as UTF-8 bytes), looked up by hash; what occurs in fewer than
-a hundredth of the sample's documents (``LEAST_DOCS`` at least) adds nothing. Windows of
+A text is lower-cased and cut into runs of letters and digits, repeats included.
+Every word enters as the embedding of its whole form plus the scaled sum of those
+of its character n-grams of ``GRAMS`` letters, its two ends counted as letters, all
+looked up by hash; what occurs in fewer than ``LEAST_DOCS`` documents of the
+sample adds nothing. Windows of
 ``WINDOW`` words that overlap by ``WINDOW - STRIDE`` cover the whole text; each runs
 through a gated recurrent layer in both directions and attention pools its
 states into one logit. The score of a text is the probability that belongs to the
 greatest of its windows' logits, by a logistic curve that documents which the
-network was not trained on have shaped.
+network was not trained on have shaped: a quarter of the sample where that holds
+``CROSS_FIT`` toxic documents, else every labelled document, by networks that were
+trained without its fold.
 
-Labels mark documents, not windows. The first round takes as positive the windows
-of toxic documents with a feature whose log odds speak for toxic documents (by
-``SURE`` standard errors), and leaves their other windows out. From then on the
+Labels mark documents, not windows. The first round takes as positive those windows
+of a toxic document whose words speak most for toxic documents, by the log odds
+of their features in standard errors over the other documents, and leaves its other windows out. From then on the
 network itself says which windows of toxic documents are positive, and the
 negative windows are those of clean documents that it finds hardest, and others
 by lot.
 
+Windows run through the network in blocks of one shape and scores are rounded, so
+that a text's score does not depend on the texts beside it.
+
 Defined results: null and empty texts have one window without words, whose score
 is that of an all-padding input; labels that are null or belong to no document
 are not used; documents without a label are scored like all others; several
-labels of one document count each; an empty table gives no rows; with no label
+labels of one document count each, contradicting ones too; a score equal to the
+threshold counts as toxic; an empty table gives no rows; with no label
 of either kind the score is the share of toxic labels, 0.5 if there is none.
 """
 
 from __future__ import annotations
 
-import itertools
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,30 +46,55 @@ from hearthlake.llm.pieces import PieceHash
 
 WINDOW, STRIDE = 32, 24
 SLOTS, EMBED, HIDDEN = 1 << 20, 12, 8
-PREFIXES, SUFFIX, LEAST_DOCS = (3, 4, 5, 6), 3, 3
+GRAMS, LEAST_DOCS = (3, 5), 3
+#: Windows that run through the network at a time.
+BLOCK_WINDOWS = 1024
+#: Steps of an epoch at least, as a small sample is gone through more often; how fast embeddings move.
+LEAST_STEPS, EMBED_RATE = 24, 2
 #: Labelled documents of each kind that training reads at most, the characters of their (whole) texts, and windows of a round.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WINDOWS = 1500, 3_500_000, 12_000
-SURE = 4.0
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WINDOWS = 1500, 3_500_000, 8_000
+#: Toxic documents that a quarter left aside needs to shape the curve; folds of the cross-fit otherwise.
+CROSS_FIT, FOLDS = 15, 4
+#: Least slope of the curve: the network's logits are log odds already.
+LEAST_SLOPE = 0.25
+#: Standard errors that a feature's log odds need at least, and the share of a document's greatest ones that marks a window.
+EVIDENCE, NEARLY = 2.0, 0.7
+#: By how much an embedding starts further along its first axis for each standard error above the first one.
+HINT = 0.4
 #: Score from which a document is taken for toxic.
 THRESHOLD = 0.3
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every word's features (words x features), and the number of words of each text."""
-    raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
-    flat = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
-    letter = (flat >= 0x80) | ((flat >= 97) & (flat <= 122)) | ((flat >= 48) & (flat <= 57))
-    step = np.flatnonzero(np.diff(np.r_[False, letter].view(np.int8)))
-    starts, ends = step[0::2], step[1::2]
-    text_ends = np.cumsum([len(r) + 1 for r in raw])
-    piece = PieceHash(flat)
-    whole = piece(starts, ends, 1)
-    text_of = np.searchsorted(text_ends, starts, side="right")
-    new = np.r_[True, (whole[1:] != whole[:-1]) | (text_of[1:] != text_of[:-1])][: len(whole)]
-    starts, ends = starts[new], ends[new]
-    counts = np.bincount(text_of[new], minlength=len(texts))
-    out = [whole[new], *(piece(starts, np.minimum(starts + k, ends), 2 + k) for k in PREFIXES), piece(np.maximum(ends - SUFFIX, starts), ends, 99)]
-    return np.stack(out, axis=1), counts
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``count`` numbers from each of ``first`` on."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+class Words:
+    """The words of some texts: ``counts`` of each text, and the distinct word ``of`` each place.
+
+    ``feature`` holds the hashes of the distinct words' features, word by word, from
+    ``first`` on, its whole form ahead of its n-grams.
+    """
+
+    def __init__(self, texts: list[str]):
+        low = [t.lower() for t in texts]
+        flat = np.frombuffer(f" {' '.join(low)} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        letter = (flat >= 0x80) | ((flat >= 97) & (flat <= 122)) | ((flat >= 48) & (flat <= 57))
+        step = np.flatnonzero(letter[1:] != letter[:-1])
+        starts, ends = step[0::2], step[1::2] + 2  # with the blank at either end
+        self.counts = np.bincount(np.searchsorted(np.cumsum([len(t) + 1 for t in low]), starts, side="right"), minlength=len(texts))
+        piece = PieceHash(np.where(letter, flat, np.uint32(32)))
+        whole, at, self.of = np.unique(piece(starts, ends, 1), return_index=True, return_inverse=True)
+        size = (ends - starts)[at]
+        counts = [np.maximum(0, size - n + 1) for n in GRAMS]
+        word = np.concatenate([np.arange(len(whole)), *(np.repeat(np.arange(len(whole)), c) for c in counts)])
+        spots = [(_ranges(starts[at], c), n) for n, c in zip(GRAMS, counts, strict=True)]
+        self.feature = np.concatenate([whole, *(piece(x, x + n, n) for x, n in spots)])[np.argsort(word, kind="stable")]
+        self.many = np.bincount(word, minlength=len(whole))
+        self.first = np.cumsum(self.many) - self.many
+        self.weight = np.repeat(1 / np.sqrt(np.maximum(1, self.many - 1)), self.many).astype(np.float32)
+        self.weight[self.first] = 1
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,17 +141,23 @@ class Network:
         found = self.slots[(hashes % np.uint64(SLOTS)).astype(np.int64)]
         return np.where(found["hash"] == hashes, found["row"], 0)
 
-    def words(self, rows: np.ndarray) -> np.ndarray:
-        """Inputs of words, and at the end one of padding."""
-        out = np.zeros((len(rows) + 1, EMBED), dtype=np.float32)
-        for i in range(rows.shape[1]):
-            out[:-1] += self.p["embed"][rows[:, i]]
+    def inputs(self, words: Words, rows: np.ndarray) -> np.ndarray:
+        """Inputs of the distinct words, and at the end one of padding; rows: embedding rows of the features."""
+        out = np.zeros((len(words.first) + 1, EMBED), dtype=np.float32)
+        if len(words.first):
+            out[:-1] = np.add.reduceat(self.p["embed"][rows] * words.weight[:, None], words.first, axis=0)
         return out
 
-    def logits(self, rows: np.ndarray, at: np.ndarray, block: int = 4096) -> np.ndarray:
-        words = self.words(rows)
-        parts = [self.run(words[at[i : i + block]], (at[i : i + block] >= 0).astype(np.float32)) for i in range(0, len(at), block)]
-        return np.concatenate([np.zeros(0, dtype=np.float32), *parts])
+    def logits(self, words: Words, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Logits of windows, in blocks of one shape (the last one is padded)."""
+        x, of = self.inputs(words, rows), np.r_[words.of, len(words.first)]
+        out = np.zeros(len(at), dtype=np.float32)
+        block = np.full((BLOCK_WINDOWS, WINDOW), -1)
+        for i in range(0, len(at), BLOCK_WINDOWS):
+            part = at[i : i + BLOCK_WINDOWS]
+            block[: len(part)], block[len(part) :] = part, -1
+            out[i : i + len(part)] = self.run(x[of[block]], (block >= 0).astype(np.float32))[: len(part)]
+        return out
 
     def run(self, x: np.ndarray, real: np.ndarray, keep: bool = False):
         """Logits of windows; x: window x step x EMBED, real: which steps hold a word."""
@@ -184,17 +221,17 @@ class Network:
 
     def best(self, texts: list[str]) -> np.ndarray:
         """The greatest window logit of each text."""
-        hashes, counts = features(texts)
-        at, owner = windows(counts)
+        words = Words(texts)
+        at, owner = windows(words.counts)
         out = np.full(len(texts), -np.inf)
-        np.maximum.at(out, owner, self.logits(self.rows(hashes), at))
+        np.maximum.at(out, owner, self.logits(words, self.rows(words.feature), at))
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """The probability of each text."""
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        return _sigmoid(self.curve[0] * self.best(texts) + self.curve[1]) if texts else np.zeros(0)
+        return np.round(_sigmoid(self.curve[0] * np.round(self.best(texts), 3) + self.curve[1]), 6) if texts else np.zeros(0)
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray, prior: float, steps: int = 100) -> tuple[float, float]:
@@ -203,90 +240,160 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, prior: float, steps: int = 100) ->
     Where nearly all clean documents lie below nearly all toxic ones, the middle
     of the gap gets the probability ``THRESHOLD``, and the gap's ends lie two logits
     from it. Else damped Newton steps fit the curve; toxic documents weigh
-    ``prior`` in all.
+    ``prior`` in all. The slope is ``LEAST_SLOPE`` at least; where documents that the
+    network has not seen call for less, it hardly ranks them, which is warned of.
     """
     low, high = np.quantile(x[y == 0], 0.995), np.quantile(x[y > 0], 0.01)
     if high > low:
         slope = 4 / max(float(high - low), 0.2)
         return slope, float(np.log(THRESHOLD / (1 - THRESHOLD)) - slope * (low + high) / 2)
+    weight = np.where(y > 0, prior / max(1, (y > 0).sum()), (1 - prior) / max(1, (y == 0).sum())) * len(y)
     middle, scale = float(x.mean()), max(1e-3, float(x.std()))
     z = np.stack([(x - middle) / scale, np.ones(len(x))], axis=1)
-    weight = np.where(y > 0, prior / max(1, (y > 0).sum()), (1 - prior) / max(1, (y == 0).sum())) * len(y)
-    w, ridge = np.zeros(2), 2e-3
-    for _ in range(steps):
-        p = _sigmoid(z @ w)
-        move = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.eye(2), z.T @ (weight * (p - y)) + ridge * w)
-        w -= move * min(1.0, 2.0 / max(1e-9, float(np.abs(move).max())))
-    slope = max(float(w[0]) / scale, 1e-6)
+
+    def newton(fixed: float | None) -> np.ndarray:
+        w = np.array([0.0 if fixed is None else fixed, 0.0])
+        free = slice(0, 2) if fixed is None else slice(1, 2)
+        for _ in range(steps):
+            p = _sigmoid(z @ w)
+            hessian = (z * (weight * p * (1 - p))[:, None]).T @ z + 2e-3 * np.eye(2)
+            move = np.linalg.solve(hessian[free, free], (z.T @ (weight * (p - y)) + 2e-3 * w)[free])
+            w[free] -= move * min(1.0, 2.0 / max(1e-9, float(np.abs(move).max())))
+        return w
+
+    w = newton(None)
+    if w[0] < LEAST_SLOPE * scale:
+        warnings.warn("the network hardly tells toxic documents from clean ones", stacklevel=2)
+        w = newton(LEAST_SLOPE * scale)
+    slope = float(w[0]) / scale
     return slope, float(w[1]) - slope * middle
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: int = 4, epochs: int = 2, batch: int = 256, rate: float = 0.01, drop: float = 0.15, prior: float | None = None, seed: int = 7) -> Network:
-    """Fit a network to document labels of 0 and 1. A quarter of the documents only shapes the curve.
+class Sample:
+    """Labelled texts, their words and windows."""
+
+    def __init__(self, texts: list[str], labels: np.ndarray):
+        self.texts, self.y = texts, labels
+        self.words = Words(texts)
+        self.at, self.owner = windows(self.words.counts)
+        self.doc = np.repeat(np.arange(len(texts)), self.words.counts)
+        # Distinct words of each document, then their features.
+        pairs = np.unique(self.doc * np.int64(len(self.words.first)) + self.words.of)
+        doc, word = np.divmod(pairs, max(1, len(self.words.first)))
+        known, self.feature = np.unique(self.words.feature, return_inverse=True)
+        count = self.words.many[word]
+        has = np.repeat(doc, count) * np.int64(len(known)) + self.feature[_ranges(self.words.first[word], count)]
+        self.known, (self.in_doc, self.has) = known, np.divmod(np.unique(has), max(1, len(known)))
+
+    def learn(self, use: np.ndarray, rounds: int, epochs: int, batch: int, rate: float, drop: float, seed: int) -> Network:
+        """A network fitted to the documents in ``use``, without a curve."""
+        draw = np.random.default_rng(seed)
+        words, y = self.words, self.y
+        mine = use[self.in_doc]
+        docs = np.bincount(self.has[mine], minlength=len(self.known))
+        toxic_docs = np.bincount(self.has[mine], y[self.in_doc[mine]], len(self.known))
+        clean_docs = docs - toxic_docs
+        order = np.argsort(-docs, kind="stable")
+        net = Network.fresh(self.known[order][docs[order] >= LEAST_DOCS], seed)
+        rows = net.rows(words.feature)
+        toxic_all, clean_all = y[use].sum(), (y[use] == 0).sum()
+
+        def odds(toxic_docs: np.ndarray) -> np.ndarray:
+            """Log odds of each feature between toxic and clean documents, in standard errors."""
+            a, b, c, d = toxic_docs + 0.5, clean_docs + 0.5, toxic_all - toxic_docs + 0.5, clean_all - clean_docs + 0.5
+            return np.log(a * d / (b * c)) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+
+        net.p["embed"][rows, 0] += HINT * np.maximum(0, odds(toxic_docs)[self.feature] - 1)
+        net.p["embed"][0] = 0
+        # A toxic document is no evidence about itself.
+        of_word = np.r_[np.maximum.reduceat(odds(np.maximum(toxic_docs - 1, 0))[self.feature], words.first), -np.inf]
+        seen = np.flatnonzero(use[self.owner])
+        at, owner = self.at[seen], self.owner[seen]
+        speaks = of_word[np.r_[words.of, len(words.first)][at]].max(axis=1)
+        most = np.full(len(y), -np.inf)
+        np.maximum.at(most, owner, speaks)
+        toxic = y[owner] > 0
+        positive = toxic & (speaks >= np.maximum(EVIDENCE, NEARLY * most[owner]))
+        if not positive.any():
+            positive = toxic
+        hard = np.zeros(len(at), dtype=bool)
+        of = np.r_[words.of, 0]
+        moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
+        step = 0
+        for r in range(rounds):
+            if r:
+                logit = net.logits(words, rows, at)
+                best = np.full(len(y), -np.inf)
+                np.maximum.at(best, owner, logit)
+                positive = toxic & ((logit > 0) | (logit >= best[owner]) & (logit > -1))
+                hard = ~toxic & (logit > -2)
+            others = np.flatnonzero(~toxic & ~hard)
+            chosen = np.r_[np.flatnonzero(positive | hard), draw.permutation(others)[: max(SAMPLE_WINDOWS - int((positive | hard).sum()), SAMPLE_WINDOWS // 3)]]
+            target = positive.astype(np.float32)
+            share = min(max(float(target[chosen].mean()), 1e-3), 0.999)
+            weight = np.where(target > 0, min(10.0, 0.5 / share), 0.5 / (1 - share)).astype(np.float32)
+            for _ in range(max(epochs, -(-epochs * LEAST_STEPS * batch // max(1, len(chosen))))):
+                turn = draw.permutation(chosen)
+                for i in range(0, len(turn), batch):
+                    pick = turn[i : i + batch]
+                    real = (at[pick] >= 0).astype(np.float32)
+                    # Each distinct word of the batch once, some of its features left out.
+                    word, place = np.unique(of[at[pick]], return_inverse=True)
+                    place = place.reshape(at[pick].shape)
+                    count = words.many[word]
+                    used = _ranges(words.first[word], count)
+                    used, back = used[rows[used] > 0], np.repeat(np.arange(len(word)), count)[rows[used] > 0]
+                    stay = draw.random(len(used)) >= drop
+                    used, back = used[stay], back[stay]
+                    scaled = net.p["embed"][rows[used]] * words.weight[used][:, None]
+                    inputs = np.stack([np.bincount(back, scaled[:, k], len(word)) for k in range(EMBED)], axis=1).astype(np.float32)
+                    g, dx = net.gradients(inputs[place] * real[:, :, None], real, target[pick], weight[pick])
+                    step += 1
+                    lr = np.float32(rate * (0.3 if r == rounds - 1 else 1))
+                    for k, dv in g.items():
+                        _adam(net.p, k, dv, moments, step, lr)
+                    flow = (dx * real[:, :, None]).reshape(-1, EMBED)
+                    flow = np.stack([np.bincount(place.reshape(-1), flow[:, k], len(word)) for k in range(EMBED)], axis=1)
+                    _adam_rows(net.p["embed"], rows[used], flow[back] * words.weight[used][:, None], moments["embed"], lr)
+        return net
+
+
+def train(texts: list[str], labels: np.ndarray, rounds: int = 3, epochs: int = 2, batch: int = 256, rate: float = 0.01, drop: float = 0.15, prior: float | None = None, seed: int = 7) -> Network:
+    """Fit a network to document labels of 0 and 1.
 
     ``prior``: the share of toxic documents that the curve assumes, by default that of the labels.
     """
     first = list(dict.fromkeys(zip(texts, np.asarray(labels).tolist(), strict=True)))  # copies would teach a text by heart
     texts, labels = [t for t, _ in first], np.array([y for _, y in first], dtype=np.float32)
-    draw = np.random.default_rng(seed)
-    aside = draw.random(len(texts)) < 0.25
-    if min((labels[~aside] > 0).sum(), (labels[~aside] == 0).sum()) == 0:
+    prior = float(labels.mean()) if prior is None and len(texts) else prior
+    if min((labels > 0).sum(), (labels == 0).sum()) < 2:
         return Network(constant=float(labels.mean()) if len(texts) else 0.5)
-    hashes, counts = features([t for t, a in zip(texts, aside, strict=True) if not a])
-    y = labels[~aside]
-    at, owner = windows(counts)
-    # Features by the number of documents they occur in.
-    bounds = np.cumsum(np.r_[0, counts])
-    in_docs = [np.unique(hashes[a:b]) for a, b in itertools.pairwise(bounds.tolist())]
-    known, feature, docs = np.unique(np.concatenate(in_docs), return_inverse=True, return_counts=True)
-    order = np.argsort(-docs, kind="stable")
-    net = Network.fresh(known[order][docs[order] >= max(min(LEAST_DOCS, max(1, len(y) // 20)), len(y) // 100)], seed)
-    rows = net.rows(hashes)
-    # Log odds of each feature between toxic and clean documents, in standard errors.
-    toxic_docs = np.bincount(feature, np.repeat(y, [len(h) for h in in_docs]), len(known))
-    a, b = toxic_docs + 0.5, docs - toxic_docs + 0.5
-    c, d = y.sum() - toxic_docs + 0.5, (y == 0).sum() - (docs - toxic_docs) + 0.5
-    sure = known[np.log(a * d / (b * c)) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d) > SURE]
-    marked = np.r_[np.isin(hashes, sure).any(axis=1), False]
-    toxic = y[owner] > 0
-    positive = toxic & marked[at].any(axis=1)
-    if not positive.any():
-        positive = toxic
-    hard = np.zeros(len(at), dtype=bool)
-    real = (at >= 0).astype(np.float32)
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    step = 0
-    for r in range(rounds):
-        if r:
-            logit = net.logits(rows, at)
-            best = np.full(len(y), -np.inf)
-            np.maximum.at(best, owner, logit)
-            positive = toxic & ((logit > 0) | (logit >= best[owner]) & (logit > -2))
-            hard = ~toxic & (logit > -2)
-        others = np.flatnonzero(~toxic & ~hard)
-        chosen = np.r_[np.flatnonzero(positive | hard), draw.permutation(others)[: max(SAMPLE_WINDOWS - int((positive | hard).sum()), SAMPLE_WINDOWS // 3)]]
-        target = positive.astype(np.float32)
-        share = min(max(float(target[chosen].mean()), 1e-3), 0.999)
-        weight = np.where(target > 0, min(10.0, 0.5 / share), 0.5 / (1 - share)).astype(np.float32)
-        for _ in range(epochs):
-            turn = draw.permutation(chosen)
-            for i in range(0, len(turn), batch):
-                pick = turn[i : i + batch]
-                used = rows[np.where(at[pick] >= 0, at[pick], 0)]
-                used = used * (draw.random(used.shape) >= drop)
-                x = net.p["embed"][used].sum(axis=2) * real[pick][:, :, None]
-                g, dx = net.gradients(x, real[pick], target[pick], weight[pick])
-                step += 1
-                lr = np.float32(rate * (0.3 if r == rounds - 1 else 1))
-                for k, dv in g.items():
-                    _adam(net.p, k, dv, moments, step, lr)
-                _adam_rows(net.p["embed"], used.reshape(-1, used.shape[-1]), (dx * real[pick][:, :, None]).reshape(-1, EMBED), moments["embed"], lr)
-                net.p["embed"][0] = 0
-    probe = aside if len(set(labels[aside])) == 2 else ~aside
-    net.curve = _fit_curve(net.best([t for t, a in zip(texts, probe, strict=True) if a]), labels[probe], float(labels.mean()) if prior is None else prior)
+    sample = Sample(texts, labels)
+    how = (rounds, epochs, batch, rate, drop, seed)
+    # Folds with equal shares of both labels.
+    fold = np.zeros(len(texts), dtype=np.int64)
+    draw = np.random.default_rng(seed)
+    for y in (0, 1):
+        rows = draw.permutation(np.flatnonzero(labels == y))
+        fold[rows] = np.arange(len(rows))
+    aside = fold % 4 == 3
+    if (labels[aside] > 0).sum() >= CROSS_FIT:
+        net = sample.learn(~aside, *how)
+        net.curve = _fit_curve(_best(net, sample, aside), labels[aside], prior)
+        return net
+    fold %= min(FOLDS, int((labels > 0).sum()), int((labels == 0).sum()))
+    found = np.zeros(len(texts))
+    for k in range(fold.max() + 1):
+        found[fold == k] = _best(sample.learn(fold != k, *how), sample, fold == k)
+    net = sample.learn(np.ones(len(texts), dtype=bool), *how)
+    net.curve = _fit_curve(found, labels, prior)
     return net
 
 
+def _best(net: Network, sample: Sample, which: np.ndarray) -> np.ndarray:
+    return net.best([t for t, w in zip(sample.texts, which, strict=True) if w])
+
+
 def _adam(p: dict, k: str, g: np.ndarray, moments: dict, step: int, lr: np.float32) -> None:
     m, v = moments[k]
     m += 0.1 * (g - m)
@@ -294,16 +401,13 @@ def _adam(p: dict, k: str, g: np.ndarray, moments: dict, step: int, lr: np.float
     p[k] -= lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
 
 
-def _adam_rows(embed: np.ndarray, rows: np.ndarray, dx: np.ndarray, moments: tuple, lr: np.float32) -> None:
-    """One adaptive step for the table rows in use: each word's gradient goes to all its features."""
+def _adam_rows(embed: np.ndarray, rows: np.ndarray, flow: np.ndarray, moments: tuple, lr: np.float32) -> None:
+    """One adaptive step for the table rows in use, by the gradients that flow into them."""
     used, at = np.unique(rows, return_inverse=True)
-    at = at.reshape(rows.shape)
-    g = np.zeros((len(used), dx.shape[1]), dtype=np.float32)
-    for c in range(dx.shape[1]):
-        g[:, c] = np.bincount(at.reshape(-1), np.repeat(dx[:, c], rows.shape[1]), len(used))
+    g = np.stack([np.bincount(at, flow[:, c], len(used)) for c in range(flow.shape[1])], axis=1).astype(np.float32)
     v = moments[1]
     v[used] += g * g
-    embed[used] -= 5 * lr * g / (np.sqrt(v[used]) + 1e-4) + lr * 0.01 * embed[used]
+    embed[used] -= EMBED_RATE * lr * g / (np.sqrt(v[used]) + 1e-4) + lr * 0.01 * embed[used]
 
 
 def held_out(doc_id):
@@ -316,9 +420,9 @@ def fit(
 ) -> Network:
     """Train on a bounded sample of labelled documents.
 
-    Of each kind, in a seeded order, those documents are taken that come before
-    ``sample_docs`` and ``sample_chars`` characters of text are reached; their texts
-    are read whole.
+    Of each kind, ``sample_docs`` documents at most are drawn in a seeded order; one
+    that would take the texts of its kind above ``sample_chars`` characters is passed
+    over, the shorter ones after it are not. Texts are read whole.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1) and id is not null").filter(~held_out(F.col("id")))
     order = F.xxhash64(F.lit(11), "id")
@@ -331,7 +435,12 @@ def fit(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sizes = texts.select("id", F.length("text").alias("chars")).join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.max("chars").alias("chars"))
     sizes = sizes.select("id", "y", "chars", order.alias("at")).toPandas().sort_values(["y", "at", "id"])
-    taken = sizes[sizes.groupby("y").chars.cumsum() - sizes.chars < sample_chars]
+    room = {0: sample_chars, 1: sample_chars}
+    fits = []
+    for y, chars in zip(sizes.y, sizes.chars, strict=True):
+        fits.append(chars <= room[y])
+        room[y] -= chars if fits[-1] else 0
+    taken = sizes[np.array(fits, dtype=bool)]
     chosen = docs.sparkSession.createDataFrame(taken[["id", "y"]].drop_duplicates(), "id long, y int")
     longest = F.max(F.struct(F.length("text"), "text"))["text"]  # where rows repeat an id
     rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(longest.alias("text")).toPandas().sort_values(["id", "y"])

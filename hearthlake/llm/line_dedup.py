@@ -12,8 +12,8 @@ it in ``SALTS`` parts.
 
 Defined results: null or empty HTML has no lines; a null URL, or one without a
 host, belongs to the site with the empty name; a line counts once for a page
-however often the page repeats it; lines on fewer than ``least_pages`` pages stay,
-so small sites keep theirs; lines are compared after blanks are collapsed and
+however often the page repeats it; a line on a single page repeats nothing and stays,
+whatever the size of its site; lines are compared after blanks are collapsed and
 trimmed; rows that repeat a page count as pages of their own; an empty table
 gives no rows.
 """
@@ -49,14 +49,14 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
 
 
-def drop_boilerplate(pages: DataFrame, ratio: float = 0.3, least_pages: int = 5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def drop_boilerplate(pages: DataFrame, ratio: float = 0.3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, host, n_lines, n_dropped and the kept lines."""
     lines = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col).cast("string")).alias("host"), page_lines(F.col(html_col).cast("string")).alias("lines"))
     lines = write_table(lines)
     digest = lambda x: F.unhex(F.md5(x.cast("binary")))
     counted = lines.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", digest(F.col("line")).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
     sites = lines.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    common = counted.filter(F.col("n") >= least_pages).join(sites, "host").filter(F.col("n") > F.lit(ratio) * F.col("pages"))
+    common = counted.filter("n > 1").join(sites, "host").filter(F.col("n") > F.lit(ratio) * F.col("pages"))
     gone = common.groupBy("host").agg(F.collect_list("digest").alias("gone")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     met = lines.withColumn("salt", F.pmod(F.xxhash64("page_id", F.size("lines")), F.lit(SALTS)).cast("int")).join(gone, ["host", "salt"], "left")
     kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("gone"), digest(x))))

@@ -107,7 +107,7 @@ WITH t AS (
 ), s AS (
   SELECT host, count(*) AS pages FROM r GROUP BY host
 ), g AS (
-  SELECT c.host, c.line FROM c JOIN s ON c.host = s.host WHERE n >= 5 AND n > 0.3 * pages
+  SELECT c.host, c.line FROM c JOIN s ON c.host = s.host WHERE n > 1 AND n > 0.3 * pages
 ), k AS (
   SELECT l.page_id, count(*) AS n_lines, count(g.line) AS n_dropped, string_agg(CASE WHEN g.line IS NULL THEN l.line END, chr(10) ORDER BY k) AS text
   FROM l LEFT JOIN g ON l.host = g.host AND l.line = g.line GROUP BY l.page_id

@@ -16,7 +16,7 @@ def test_common_lines_of_a_site_go(spark):
     assert len(got) == len(rows)
     by = {g[0]: g for g in got}
     assert by[0][1:] == ("a.example", 4, 1, ("T 0", "own 0", "own 0"))
-    assert by[100][1:] == ("b.example", 2, 0, ("Menu & more", "line 0"))
+    assert by[100][1:] == ("b.example", 2, 1, ("line 0",))
     assert by[200][1] == "" and by[201][2:] == (0, 0, ()) and by[203][2] == 1
     assert sum(g[0] == 3 for g in got) == 2
     assert line_dedup.drop_boilerplate(pages.limit(0)).count() == 0

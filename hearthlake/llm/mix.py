@@ -12,8 +12,9 @@ seeded order.
 Defined results: a null text has no words; null is a source of its own that
 comes last; a source without words gets no target and takes nothing; documents
 without words are taken like others of their length, which adds no words; ties
-in the seeded order fall to the smaller doc_id, and rows that repeat an id are
-interchangeable; an empty table gives no rows.
+in the seeded order fall to the smaller doc_id, null last, and then to the smaller
+hash of the text, so rows that repeat an id (or have none) are placed one by one,
+and only rows with equal texts too are interchangeable; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthlake.session import materialize
+from hearthlake.session import materialize, write_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that one seeded group may hold before it is cut into smaller ones.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 250
+#: Sums that the knapsack's table holds at most; lengths above an eighth of it are placed before it.
+TABLE = 1 << 24
 
 
 def count_words(text: Column) -> Column:
@@ -72,7 +75,9 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     the longest length, then one more of each from the longest down while the
     reserve is left. The bounded-knapsack program over what remains of each length
     fills the reserve, in which even the longest documents fit; the sum is the one
-    nearest to the budget.
+    nearest to the budget. Of lengths above ``TABLE // 8`` words their part, rounded
+    to whole documents, is taken first, and the shorter ones make up for the
+    difference; so the table's size is bounded however long a document is.
     """
     lengths, counts = np.asarray(lengths, dtype=np.int64), np.asarray(counts, dtype=np.int64)
     size = int((lengths * counts).sum())
@@ -81,7 +86,16 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         return take
     if budget >= size:
         return counts.copy()
-    keep_free = 4 * int(lengths.max())
+    small = lengths <= TABLE // 8
+    if not small.all():
+        carry = 0.0
+        for i in np.flatnonzero(~small)[::-1]:
+            want = float(counts[i] * lengths[i]) * budget / size + carry
+            take[i] = min(int(counts[i]), max(0, math.floor(want / int(lengths[i]) + 0.5)))
+            carry = want - float(take[i] * lengths[i])
+        take[small] = fit_budget(lengths[small], counts[small], budget - int((take * lengths).sum()))
+        return take
+    keep_free = 4 * int(lengths[counts > 0].max())
     take = np.array([int(c) * max(0, budget - keep_free) // size for c in counts], dtype=np.int64)
     gap = budget - int((take * lengths).sum())
     for i in np.argsort(-lengths, kind="stable"):
@@ -95,7 +109,7 @@ def _subset(lengths: np.ndarray, counts: np.ndarray, gap: int) -> np.ndarray:
     """Bounded knapsack: the choice whose sum comes nearest to the gap, below rather than above it."""
     take = np.zeros(len(lengths), dtype=np.int64)
     top = gap + int(lengths[counts > 0].max(initial=0))
-    reached = np.full(top + 1, -1, dtype=np.int64)  # the part that first reached each sum
+    reached = np.full(top + 1, -1, dtype=np.int32)  # the part that first reached each sum
     reached[0] = -2
     parts: list[tuple[int, int]] = []  # (length's index, how many at once): powers of two of each count
     for i in np.argsort(-counts * (lengths > 0), kind="stable"):
@@ -122,7 +136,17 @@ def _subset(lengths: np.ndarray, counts: np.ndarray, gap: int) -> np.ndarray:
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, copies, taken."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), count_words(F.col(text_col).cast("string")).alias("size"))
+    return _mixed(docs.select(*_inputs(id_col, text_col, source_col)), weights, max_repeats, seed).drop("hash")
+
+
+def _inputs(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    text = F.col(text_col).cast("string")
+    return [F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), count_words(text).alias("size"), F.xxhash64(text).alias("hash")]
+
+
+def _mixed(rows: DataFrame, weights: tuple[float, ...], max_repeats: int, seed: int) -> DataFrame:
+    """Rows (doc_id, source, size, hash, ...) with source_size, target, copies and taken."""
+    carried = [c for c in rows.columns if c not in ("doc_id", "size", "source")]
     rows = materialize(rows)
     histogram = materialize(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("docs")))
     targets = source_targets(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size")), weights, max_repeats)
@@ -146,26 +170,30 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_rep
         quota.select(F.col("source").alias("name"), F.col("size").alias("length"), "source_size", "target", "whole", "more", "parts"),
         (F.col("size") == F.col("length")) & F.col("source").eqNullSafe(F.col("name")),
     )
-    # Long groups are cut by the top of the seeded order, so that no window holds more than a part of one.
-    mine = mine.withColumn("part", F.pmod(F.col("order"), F.col("parts"))).drop("name", "length")
+    # Long groups are cut into ranges of the seeded order, so that no window holds more than a part of one and the choice is that of one window.
+    range_of = (F.shiftright("order", 32) + F.lit(1 << 31)) * F.col("parts") / F.lit(1 << 32)
+    mine = mine.withColumn("part", F.floor(range_of)).drop("name", "length")
     cut = mine.filter("parts > 1").groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("n"))
     earlier = cut.withColumn("earlier", F.sum("n").over(Window.partitionBy("source", "size").orderBy("part")) - F.col("n"))
     earlier = earlier.select(F.col("source").alias("name"), F.col("size").alias("length"), F.col("part").alias("piece"), "earlier")
-    place = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("order", F.asc_nulls_last("doc_id")))
+    place = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("order", F.asc_nulls_last("doc_id"), F.asc_nulls_last("hash")))
     numbered = mine.withColumn("place", place).join(
         earlier, (F.col("size") == F.col("length")) & (F.col("part") == F.col("piece")) & F.col("source").eqNullSafe(F.col("name")), "left"
     )
     copies = F.col("whole") + (F.col("place") + F.coalesce("earlier", F.lit(0)) <= F.col("more")).cast("long")
-    return numbered.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return numbered.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), *carried).withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def take_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with all its columns.
+def take_mix(
+    docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
+    """The mix itself: each row as often as it is taken, with all its columns.
 
-    Rows that repeat an id are told apart by nothing but their order; each takes
-    the copies of its id evenly.
+    Rows are numbered in a table of their own, so those that repeat an id, or have
+    none, each take what ``mix_sources`` gives them.
     """
-    plan = mix_sources(docs, id_col=id_col, **options).filter("copies > 0")
-    rows = plan.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    joined = docs.join(rows, docs[id_col].cast("long").eqNullSafe(rows["__id"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*(docs[c] for c in docs.columns))
+    numbered = write_table(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("d"), F.monotonically_increasing_id().alias("row")))
+    at = lambda c: f"d.`{c}`"
+    plan = _mixed(numbered.select(*_inputs(at(id_col), at(text_col), at(source_col)), "row"), weights, max_repeats, seed).filter("copies > 0").select("row", "copies")
+    taken = numbered.join(plan, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return taken.select(*(F.col(at(c)).alias(c) for c in docs.columns))

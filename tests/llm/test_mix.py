@@ -69,3 +69,37 @@ def test_large_groups_are_cut_and_empty_tables_work(spark, monkeypatch):
     for s in ("a", "b"):
         assert abs(sum(r.taken for r in got if r.source == s) - next(r.target for r in got if r.source == s)) <= {"a": 1, "b": 25}[s]
     assert mix.mix_sources(docs.limit(0)).count() == 0
+
+
+def test_ranges_choose_what_one_window_would(spark, monkeypatch):
+    docs = documents(spark, [(i * 37 if i % 9 else None, " ".join(f"w{i % 50}" for _ in range(1 + i % 4)), "ab"[i % 2]) for i in range(700)])
+    taken = []
+    for rows in (10, 10**9):
+        monkeypatch.setattr(mix, "GROUP_ROWS", rows)
+        taken.append(sorted(((r.doc_id, r.size, r.taken) for r in mix.mix_sources(docs).collect()), key=repr))
+    assert taken[0] == taken[1]
+
+
+def test_rows_of_one_id_take_their_own_copies(spark):
+    draw = np.random.default_rng(1)
+    rows = [([1, 2, 3, None, None][i % 5], f"t{i} " * int(draw.integers(1, 9)), "abc"[i % 3]) for i in range(200)]
+    docs = documents(spark, rows).withColumnRenamed("digest", "copies").withColumnRenamed("rank", "row")
+    plan = mix.mix_sources(docs).collect()
+    mixed = mix.take_mix(docs)
+    assert mixed.columns == docs.columns
+    got, want, count = {}, {}, {}
+    for r in mixed.collect():
+        got[r.source] = got.get(r.source, 0) + len(words(r.text))
+        count[r.text] = count.get(r.text, 0) + 1
+    for r in plan:
+        want[r.source] = want.get(r.source, 0) + r.taken
+    assert got == want and max(count.values()) <= 3
+    assert mix.take_mix(docs.limit(0)).count() == 0
+
+
+def test_very_long_documents_need_no_long_table(monkeypatch):
+    monkeypatch.setattr(mix, "TABLE", 1 << 10)
+    take = mix.fit_budget(np.array([3, 5, 50_000_000]), np.array([400, 400, 3]), 50_001_000)
+    assert abs((np.array([3, 5, 50_000_000]) * take).sum() - 50_001_000) <= 2 and take[2] == 1
+    assert mix.fit_budget(np.array([50_000_000]), np.array([4]), 60_000_000).tolist() == [1]
+    assert mix.fit_budget(np.array([50_000_000]), np.array([4]), 90_000_000).tolist() == [2]

@@ -13,7 +13,8 @@ it.
 
 Defined results: a null text counts as empty; a null doc_id comes after every
 other one in a tie; rows that repeat a doc_id and its text count in
-``group_size`` and share the same ``kept``; an empty table gives no rows;
+``group_size`` and share the same ``kept``, while ``drop_exact_duplicates`` keeps one
+of them; null ids are told apart like others; an empty table gives no rows;
 further columns, whatever their names, are left alone.
 """
 
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthlake.session import materialize
+from hearthlake.session import materialize, write_table
 
 #: Characters that don't count when texts are compared.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -50,15 +51,16 @@ def _doc_id(rank: Column) -> Column:
     return F.when(inverse > 0, F.lit("9223372036854775808").cast("decimal(20,0)") - inverse).cast("long")
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32, digest=digest_of) -> DataFrame:
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32, digest=digest_of, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: its id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
 
     Of equal texts the one with the most code points stays, then the smallest
     id. ``digest`` may be replaced by a weaker function of the content; the
-    result does not depend on it, as contents are compared.
+    result does not depend on it, as contents are compared. Columns to ``carry``
+    along must not be named like those of the result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).select(
-        "doc_id", F.length(F.coalesce("t", F.lit(""))).alias("chars"), normalized(F.col("t")).alias("content")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"), *carry).select(
+        "doc_id", *carry, F.length(F.coalesce("t", F.lit(""))).alias("chars"), normalized(F.col("t")).alias("content")
     )
     rows = rows.withColumn("digest", digest(F.col("content")))
     salt = F.pmod(F.xxhash64("doc_id", "chars"), F.lit(salts)).alias("salt")
@@ -72,21 +74,30 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = merged.groupBy("digest").agg(F.max("rank").alias("rank"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("contents"))
     classes = materialize(classes.select("digest", _doc_id(F.col("rank")).alias("keep_id"), F.col("n").alias("group_size"), "contents"))
     one = classes.filter("contents = 1").drop("contents")
-    found = rows.select("doc_id", "digest", "content").drop("content").join(one, "digest")
+    found = rows.drop("content").join(one, "digest")
     sha = F.col("digest")
     if digest is not digest_of:
         found = rows.join(one, "digest")
         sha = digest_of(F.col("content"))
-    out = found.select("doc_id", "keep_id", "group_size", sha.alias("text_sha256"))
+    out = found.select("doc_id", "keep_id", "group_size", sha.alias("text_sha256"), *carry)
     shared = classes.filter("contents > 1").select("digest")
     if not shared.isEmpty():
         apart = merged.join(shared, "digest", "left_semi").select("digest", "content", _doc_id(F.col("rank")).alias("keep_id"), F.col("n").alias("group_size"))
         more = rows.join(shared, "digest", "left_semi").join(apart, ["digest", "content"])
-        out = out.unionByName(more.select("doc_id", "keep_id", "group_size", digest_of(F.col("content")).alias("text_sha256")))
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+        out = out.unionByName(more.select("doc_id", "keep_id", "group_size", digest_of(F.col("content")).alias("text_sha256"), *carry))
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *carry)
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = duplicate_groups(docs, id_col, text_col, **options).filter("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["__keep"]), "left_semi")
+    """The rows of ``docs`` that stay, with all their columns: one of each set of equal texts.
+
+    Of several rows with the id and length that stay, whatever the id, one stays:
+    rows are numbered in a table of their own and told apart by that number.
+    """
+    numbered = write_table(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("d"), F.monotonically_increasing_id().alias("row")))
+    text = F.col(f"d.`{text_col}`").cast("string")
+    rows = numbered.select("row", F.col(f"d.`{id_col}`").cast("long").alias("id"), F.length(F.coalesce(text, F.lit(""))).alias("length"), text.alias("t"))
+    kept = duplicate_groups(rows, "id", "t", carry=("row", "length"), **options).filter("kept")
+    # One row per class already, unless rows repeat the id that stays.
+    stay = kept.groupBy("text_sha256").agg(F.min(F.struct(-F.col("length"), F.col("row").alias("row")))["row"].alias("row")).select("row")
+    return numbered.join(stay, "row", "left_semi").select(*(F.col(f"d.`{c}`").alias(c) for c in docs.columns))

@@ -44,4 +44,11 @@ def test_empty_table_and_dropping(spark):
     assert exact_dedup.duplicate_groups(docs.limit(0)).count() == 0
     kept = exact_dedup.drop_exact_duplicates(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [3, 6, 8, 9, 9, 11, 2**62]
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 6, 8, 9, 11, 2**62]
+
+
+def test_rows_with_repeated_or_null_ids_are_dropped_one_by_one(spark):
+    rows = [(1, "aaa", "s"), (2, "bbb", "s"), (2, "aaa", "s"), (None, "q", "s"), (None, "aaa", "s"), (None, "q ", "s"), (None, "q", "s"), (7, "z", "s"), (7, "z  ", "s"), (7, "z", "s")]
+    kept = exact_dedup.drop_exact_duplicates(documents(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(1, "aaa"), (2, "bbb"), (None, "q "), (7, "z  ")], key=repr)
+    assert exact_dedup.drop_exact_duplicates(documents(spark, rows).withColumnRenamed("rank", "row")).columns[-1] == "row"

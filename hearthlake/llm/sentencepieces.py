@@ -9,7 +9,10 @@ No piece crosses the beginning of a run of U+2581 or touches certain control
 characters, so a text is a chain of small lattices ("chunks") and most chunks
 occur again and again. For the distinct chunks of many texts at once, a forward
 Viterbi pass gives the best score of every prefix, and the score of the second
-best path; a worker keeps what it found for the next texts. An n-best list can only change the ``n - 1`` chunks of a text whose
+best path; a worker keeps what it found for the next texts. Chunks are told apart
+by hashes; the bytes of all pieces found are compared with those of the texts, and
+texts that differ, because two chunks share a hash, are segmented again by the
+bytes of their chunks. An n-best list can only change the ``n - 1`` chunks of a text whose
 second best path costs least. Over the lattice of those chunks a backward A-star
 search, with the forward scores as exact heuristic, takes the paths in falling
 order of score without ever expanding one that is not needed.
@@ -22,7 +25,8 @@ Defined results: null and empty texts have the empty segmentation with score 0;
 texts with fewer than n segmentations have shorter lists; equal scores are taken
 with the longer last piece first; decoding gives the text back exactly, but for
 U+2581 in it, which comes back as a blank; ids outside the vocabulary raise an
-error; further columns and repeated rows stay as they are.
+error; repeated rows and further columns stay as they are, but those named like a
+column of the result are replaced by it.
 """
 
 from __future__ import annotations
@@ -124,6 +128,12 @@ class Pieces:
         self.size = np.array([len(b) for b in self.bytes_of])
         self.first = np.cumsum(self.size) - self.size
 
+    def spelled(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all pieces, one after the other."""
+        size = self.size[ids]
+        end = np.cumsum(size)
+        return self.flat[np.repeat(self.first[ids] - (end - size), size) + np.arange(int(size.sum()))]
+
     def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which hashes belong to pieces, and where in the sorted table."""
         at = np.flatnonzero(self.maybe[(hashes >> np.uint64(43)).astype(np.int64)])
@@ -304,8 +314,11 @@ def _nbest_paths(chunks: list[bytes], pieces: Pieces, n: int) -> list[tuple[floa
     return found
 
 
-def segment(texts: list[str], pieces: Pieces, n: int = 3) -> list[tuple[np.ndarray, list[float], list[np.ndarray]]]:
-    """Best ids, the scores of the n best segmentations, and the ids of the others, for each text."""
+def segment(texts: list[str], pieces: Pieces, n: int = 3, exact: bool = False) -> list[tuple[np.ndarray, list[float], list[np.ndarray]]]:
+    """Best ids, the scores of the n best segmentations, and the ids of the others, for each text.
+
+    ``exact``: chunks are told apart by their bytes at once, which takes longer.
+    """
     raw = [escaped(t) for t in texts]
     joined = b"".join(raw)
     if not joined:
@@ -314,12 +327,16 @@ def segment(texts: list[str], pieces: Pieces, n: int = 3) -> list[tuple[np.ndarr
     bounds = np.cumsum([0, *map(len, raw)])
     starts = chunk_starts(flat, bounds[:-1][np.diff(bounds) > 0], pieces.apart)
     ends = np.r_[starts[1:], len(flat)]
-    hashes = PieceHash(flat)(starts, ends)
+    if exact:
+        number: dict[bytes, int] = {}
+        hashes = np.array([number.setdefault(joined[a:b], len(number)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.uint64)
+    else:
+        hashes = PieceHash(flat)(starts, ends)
     _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
     # The distinct chunks that are new, on their own.
     if len(pieces.chunks.score) > KEPT_CHUNKS:
         pieces.chunks = Chunks()
-    kept, distinct = pieces.chunks, hashes[first]
+    kept, distinct = Chunks() if exact else pieces.chunks, hashes[first]
     new = np.flatnonzero(kept.find(distinct) < 0)
     if new.size:
         at = first[new]
@@ -354,6 +371,12 @@ def segment(texts: list[str], pieces: Pieces, n: int = 3) -> list[tuple[np.ndarr
                         at = ends_here[i]
                     others.append(np.concatenate([*parts, best[at:]]))
         out.append((best, scores, others))
+    if not exact:
+        found = pieces.spelled(np.concatenate([ids for ids, _, _ in out]).astype(np.int64))
+        if len(found) != len(flat) or not np.array_equal(found, flat):
+            for i, (ids, _, _) in enumerate(out):
+                if pieces.spelled(ids.astype(np.int64)).tobytes() != raw[i]:
+                    out[i] = segment(texts[i : i + 1], pieces, n, exact=True)[0]
     return out
 
 
@@ -361,10 +384,8 @@ def join_pieces(ids: np.ndarray, bounds: np.ndarray, pieces: Pieces) -> list[str
     """Texts of id sequences that lie one after the other."""
     if ids.size and (ids.min() < 0 or ids.max() >= len(pieces.size)):
         raise ValueError("an id is outside the vocabulary")
-    size = pieces.size[ids]
-    end = np.cumsum(size)
-    flat = pieces.flat[np.repeat(pieces.first[ids] - (end - size), size) + np.arange(int(size.sum()))].tobytes()
-    cuts = np.r_[0, end][bounds]
+    flat = pieces.spelled(ids).tobytes()
+    cuts = np.r_[0, np.cumsum(pieces.size[ids])][bounds]
     out = []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         text = flat[a:b].replace(MARK, b" ").decode("utf-8", "replace")
@@ -389,12 +410,9 @@ def encode(docs: DataFrame, n: int = 3, model: str = MODEL, text_col: str = "tex
 
     ``model`` is a path on every machine, or ``files:NAME`` for a file added to the Spark context.
     """
-    clash = {"ids", "scores", "others"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be written over")
-    at = docs.columns.index(text_col)
-    more = [T.StructField("round_trip", T.BooleanType())] if check else []
-    schema = T.StructType([*docs.schema.fields, *ENCODED.fields, *more])
+    new_fields = [*ENCODED.fields, *([T.StructField("round_trip", T.BooleanType())] if check else [])]
+    stay, at = _kept_columns(docs, {f.name for f in new_fields}, text_col)
+    schema = T.StructType([*(docs.schema.fields[i] for i in stay), *new_fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(_model_path(model))
@@ -411,15 +429,21 @@ def encode(docs: DataFrame, n: int = 3, model: str = MODEL, text_col: str = "tex
                 if check:
                     back = join_pieces(np.concatenate([f[0] for f in found]).astype(np.int64), np.cumsum([0, *(len(f[0]) for f in found)]), pieces)
                     new.append(pa.array([x == y for x, y in zip(back, texts[a:b], strict=True)], type=pa.bool_()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *new], names=schema.names)
+                own = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*(own.column(i) for i in stay), *new], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+def _kept_columns(rows: DataFrame, new: set[str], read: str) -> tuple[list[int], int]:
+    """Places of the columns that no new one replaces, and of the one that is read."""
+    return [i for i, c in enumerate(rows.columns) if c not in new], rows.columns.index(read)
+
+
 def decode(rows: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model: str = MODEL) -> DataFrame:
     """``rows`` with the text of their ids; null ids have a null text."""
-    at = rows.columns.index(ids_col)
-    schema = T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())])
+    stay, at = _kept_columns(rows, {out_col}, ids_col)
+    schema = T.StructType([*(rows.schema.fields[i] for i in stay), T.StructField(out_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(_model_path(model))
@@ -430,6 +454,6 @@ def decode(rows: DataFrame, ids_col: str = "ids", out_col: str = "decoded", mode
             texts = join_pieces(ids, np.r_[0, np.cumsum(sizes)], pieces)
             valid = column.is_valid().to_pylist()
             new = pa.array([t if v else None for t, v in zip(texts, valid, strict=True)], type=pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, new], names=[*batch.schema.names, out_col])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in stay), new], names=schema.names)
 
     return rows.mapInArrow(run, schema)

@@ -51,5 +51,47 @@ def test_round_trip_and_library_agree_on_decoding(spark):
     assert all(model.decode(list(r.ids)) == (r.text or "") for r in back if "\u0000" not in (r.text or ""))
     assert all(sp.join_pieces(np.array(o), np.array([0, len(o)]), sp.load(sp.MODEL)) == [r.text] for r in back for o in r.others)
     assert sp.encode(docs.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        sp.encode(docs.withColumnRenamed("rank", "ids"))
+    clash = sp.encode(docs.withColumnRenamed("rank", "ids").withColumnRenamed("digest", "round_trip"), n=2, check=True)
+    assert clash.columns == [*docs.columns[:-2], "ids", "scores", "others", "round_trip"] and all(r.round_trip for r in clash.collect())
+    assert sp.decode(clash.withColumnRenamed("lang", "decoded")).columns.count("decoded") == 1
+
+
+def test_chunks_with_equal_hashes_are_told_apart(spark):
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), "plain words"]
+    assert len({int(sp.PieceHash(np.frombuffer(t.encode(), dtype=np.uint8))(np.array([0]), np.array([2048]))[0]) for t in texts[:2]}) == 1
+    out = sp.encode(documents(spark, [(i, t, "s") for i, t in enumerate(texts * 2)]).coalesce(1), n=2, check=True).collect()
+    assert all(r.round_trip for r in out) and [r.ids for r in out[:3]] == [r.ids for r in out[3:]] and out[0].ids != out[1].ids
+    alone = sp.Pieces(sp.MODEL)
+    assert [r.ids for r in out[:2]] == [sp.segment([t], alone, 2, exact=True)[0][0].tolist() for t in texts[:2]]
+
+
+def independent_paths(text, n):
+    """The n best segmentations by walking the pieces of the library's own vocabulary."""
+    model = sentencepiece.SentencePieceProcessor(model_file=sp.MODEL)
+    known = {model.id_to_piece(i): (i, model.get_score(i)) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
+    worst = min(x for _, x in known.values() if x > -1e8) - 10
+    text = ("\u2581" + text.replace(" ", "\u2581")) if text else ""
+    best = [[(0.0, ())]]
+    for e in range(1, len(text) + 1):
+        found = []
+        for s in range(e):
+            if (hit := known.get(text[s:e])) is not None:
+                found += [(x + hit[1], (*p, hit[0])) for x, p in best[s]]
+            elif s == e - 1:
+                spelled = tuple(model.piece_to_id(f"<0x{b:02X}>") for b in text[s].encode())
+                found += [(x + worst, (*p, *spelled)) for x, p in best[s]]
+        best.append(sorted(found, reverse=True)[:n])
+    return best[-1]
+
+
+def test_n_best_match_an_independent_lattice():
+    pieces = sp.load(sp.MODEL)
+    texts = [*TEXTS[:9], "internationalisation of the token lattice", "a  b   c", "x\u00e9\U0001f642y"]
+    for t, (ids, scores, others) in zip(texts, sp.segment(texts, pieces, 4), strict=True):
+        want = independent_paths(t, 4)
+        assert np.allclose(scores, [s for s, _ in want]), t
+        if len(want) > 1 and want[0][0] > want[1][0]:
+            assert tuple(ids.tolist()) == want[0][1], t

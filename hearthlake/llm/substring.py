@@ -24,10 +24,14 @@ shard's index only has to answer for the runs dealt to it:
 
 Words are compared as text; hashes only deal runs out and pick those to compare.
 
+The numbers of shards and buckets follow the bytes of the texts, so that what one of
+them holds in memory stays alike at every size.
+
 Defined results: a null text has no words; a document shorter than a window
 keeps all; a null id counts as greater than every other one; rows that repeat an
-id do not remove from each other (rows of one id are told apart by 16 bits of a
-hash of their texts); an empty table gives no rows.
+id do not remove from each other, nor do rows without one. Rows are told apart by id
+and a 64-bit hash of the text, those without an id by 128 bits; rows that agree in
+id and text have equal results. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,9 +52,9 @@ SPAN, GRAM = 13, 3
 SIDE = (SPAN - GRAM) // 2
 #: Characters that a task cuts into runs at a time.
 BLOCK_CHARS = 8_000_000
-#: Shards for each shuffle partition; a shard is indexed in memory.
-SHARDS_PER_PARTITION = 16
-LAST = 2**63 - 1  # stands for a null id
+#: Shards for each shuffle partition at least, and bytes of text for each shard at most on average; a shard is indexed in memory.
+SHARDS_PER_PARTITION, SHARD_BYTES = 16, 4_000_000
+KEY = ["none", "doc", "tag"]  # of a row: whether it has no id, then the id and a hash of the text, or two hashes
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -104,15 +108,23 @@ def _unpack(x: bytes) -> object:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
 
 
+def _order(none: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Places of the ids in their order, from 0 on; rows without one share the last place."""
+    ids, place = np.unique(doc[~none], return_inverse=True)
+    out = np.full(len(doc), len(ids), dtype=np.int64)
+    out[~none] = place
+    return out
+
+
 def _smallest(texts: list[bytes], hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """The smallest document of each text among equal texts."""
+    """The first place among those of equal texts, for each text."""
     least = docs.copy()
     _, group, count = np.unique(hashes, return_inverse=True, return_counts=True)
     several = np.flatnonzero(count[group] > 1)
     found: dict[bytes, int] = {}
     mine = [texts[i] for i in several.tolist()]
     for r, d in zip(mine, docs[several].tolist(), strict=True):
-        if d < found.get(r, LAST + 1):
+        if d <= found.get(r, d):
             found[r] = d
     least[several] = [found[r] for r in mine]
     return least
@@ -127,7 +139,7 @@ def _numbers(texts: list[bytes], hashes: np.ndarray) -> np.ndarray:
     return np.array([number.setdefault(t, len(number)) for t in texts])
 
 
-def _ship(ids: list[int], tags: list[int], texts: list, shards: int, span: int) -> pd.DataFrame:
+def _ship(keys: np.ndarray, texts: list, shards: int, span: int) -> pd.DataFrame:
     """Blocks (shard, block) of the runs of some documents."""
     raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
     flat = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
@@ -146,23 +158,23 @@ def _ship(ids: list[int], tags: list[int], texts: list, shards: int, span: int)
     joined = spaced.tobytes()
     first, last = begins[start], begins[start + size - 1] + length[start + size - 1]
     runs = [joined[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-    doc = np.array(ids, dtype=np.int64)[owner]
-    tag = np.array(tags, dtype=np.int64).astype(np.uint16)[owner]
+    rank = _order(keys[:, 0] > 0, keys[:, 1])[owner]
     at = start - bounds[owner]
-    own = _smallest(runs, PieceHash(spaced)(first, last), doc) == doc
+    own = _smallest(runs, PieceHash(spaced)(first, last), rank) == rank
     shard = (value % np.uint64(shards)).astype(np.int64)
-    order = np.lexsort((doc, ~own, shard))
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    order = np.lexsort((rank, ~own, shard))
+    cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=shards))
     rows = []
-    for s in np.flatnonzero(np.diff(cuts)):
-        mine = order[cuts[s] : cuts[s + 1]]
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        mine = order[a:b]
         n = int(own[mine].sum())
         ship, rest = mine[:n], mine[n:]
+        none, doc, tag = keys[owner[ship]].T
         block = {
-            "runs": b"\n".join([runs[i] for i in ship.tolist()]), "doc": np.diff(doc[ship], prepend=0), "tag": tag[ship], "at": at[ship].astype(np.int32),
-            "repeats": (doc[rest], tag[rest], at[rest].astype(np.int32), size[rest].astype(np.int32)),
+            "runs": b"\n".join([runs[i] for i in ship.tolist()]), "none": none.astype(bool), "doc": np.diff(doc, prepend=0), "tag": tag, "at": at[ship].astype(np.int32),
+            "repeats": (keys[owner[rest]], at[rest].astype(np.int32), size[rest].astype(np.int32)),
         }
-        rows.append((int(s), _pack(block)))
+        rows.append((int(shard[mine[0]]), _pack(block)))
     return pd.DataFrame(rows, columns=["shard", "block"])
 
 
@@ -204,7 +216,7 @@ class FMIndex:
 
     def __init__(self, sequence: np.ndarray, span: int):
         self.sequence, self.span = sequence, span
-        self.suffixes = self._sorted(sequence, span)
+        self.suffixes = self._sorted(sequence, span).astype(np.int32)  # a shard holds far fewer words than 2^31
         self.wavelet = WaveletMatrix(sequence[self.suffixes - 1])  # what stands before each suffix
         self.below = np.r_[0, np.cumsum(np.bincount(sequence))]
 
@@ -268,7 +280,7 @@ def repeated_windows(runs: list[bytes], docs: np.ndarray, span: int = SPAN) -> l
         intervals, which = np.unique(low[whole], return_inverse=True)
         upper = np.zeros(len(intervals), dtype=np.int64)
         upper[which] = high[whole]
-        ids = np.r_[docs[owner[index.suffixes]], LAST]
+        ids = np.r_[docs[owner[index.suffixes]], np.iinfo(np.int64).max]
         edges = np.stack([intervals, upper], axis=1).reshape(-1)
         smallest = np.minimum.reduceat(ids, edges)[0::2]
         removed[whole] = smallest[which] < docs[owner[begin[whole]]]
@@ -303,22 +315,22 @@ def _shared(hashes: np.ndarray, bounds: np.ndarray, span: int) -> np.ndarray:
 
 
 def _answer(blocks: pd.Series, span: int) -> pd.DataFrame:
-    """Removed passages (doc, tag, first, last) of the runs of a shard; last is exclusive."""
-    out, parts, doc, tag, at = [], [], [], [], []
+    """Removed passages (key, first, last) of the runs of a shard; last is exclusive."""
+    out, parts, keys, at = [], [], [], []
 
-    def hit(d, t, a, b) -> None:
-        out.append(np.stack([np.asarray(x, dtype=np.int64) for x in (d, t, a, b)], axis=1))
+    def hit(k, a, b) -> None:
+        out.append(np.c_[k, a, b].astype(np.int64, copy=False))
 
     for block in map(_unpack, blocks):
-        d, t, a, n = block["repeats"]
-        hit(d, t, a, a.astype(np.int64) + n)
+        k, a, n = block["repeats"]
+        hit(k, a.astype(np.int64), a.astype(np.int64) + n)
         if len(block["doc"]):
             parts.append(block["runs"])
-            doc.append(np.cumsum(block["doc"]))
-            tag.append(block["tag"])
+            keys.append(np.stack([block["none"].astype(np.int64), np.cumsum(block["doc"]), block["tag"]], axis=1))
             at.append(block["at"].astype(np.int64))
     if parts:
-        doc, tag, at = (np.concatenate(x) for x in (doc, tag, at))
+        keys, at = np.concatenate(keys), np.concatenate(at)
+        doc = _order(keys[:, 0] > 0, keys[:, 1])
         joined = b"\n".join(parts) + b"\n"
         runs = joined[:-1].split(b"\n")
         flat = np.frombuffer(joined, dtype=np.uint8)
@@ -329,7 +341,7 @@ def _answer(blocks: pd.Series, span: int) -> pd.DataFrame:
         piece = PieceHash(flat)
         hashes = piece(begins_of_run, ends_of_run)
         own = _smallest(runs, hashes, doc) == doc
-        hit(doc[~own], tag[~own], at[~own], at[~own] + np.diff(bounds)[~own])
+        hit(keys[~own], at[~own], at[~own] + np.diff(bounds)[~own])
         # One run of each text stands for all of that text and document.
         kept = np.flatnonzero(own)
         text_of = _numbers([runs[i] for i in kept.tolist()], hashes[kept])
@@ -346,9 +358,9 @@ def _answer(blocks: pd.Series, span: int) -> pd.DataFrame:
                     spans[i] = np.stack([step[0::2], step[1::2] + span - 1], axis=1)
             for k in np.flatnonzero(np.isin(text_of, list(spans))).tolist():
                 s, r = spans[int(text_of[k])], kept[k]
-                hit(np.full(len(s), doc[r]), np.full(len(s), tag[r]), s[:, 0] + at[r], s[:, 1] + at[r])
-    rows = np.concatenate(out) if out else np.zeros((0, 4), dtype=np.int64)
-    return pd.DataFrame(rows, columns=["doc", "tag", "first", "last"])
+                hit(np.tile(keys[r], (len(s), 1)), s[:, 0] + at[r], s[:, 1] + at[r])
+    rows = np.concatenate(out) if out else np.zeros((0, 5), dtype=np.int64)
+    return pd.DataFrame(rows, columns=[*KEY, "first", "last"])
 
 
 def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -358,23 +370,31 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.pmod(F.xxhash64(text), F.lit(65536)).alias("tag"), text.alias("text"))
+    """Rows (none, doc, tag, text)."""
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    none, two = F.col("id").isNull(), [F.xxhash64(F.lit(k), "text") for k in (1, 2)]
+    return narrow.select(none.cast("long").alias("none"), F.coalesce("id", two[0]).alias("doc"), two[1].alias("tag"), "text")
+
+
+def _parts(docs: DataFrame, text_col: str) -> int:
+    """How many shards, or buckets, the texts are dealt to."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    return max(SHARDS_PER_PARTITION * shuffle_partitions(docs.sparkSession), -(-size // SHARD_BYTES))
 
 
-def repeated_passages(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc, tag, first, last): words of a document that windows of smaller documents cover."""
-    shards = SHARDS_PER_PARTITION * shuffle_partitions(docs.sparkSession)
+def repeated_passages(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
+    """Rows (none, doc, tag, first, last): words of a document that windows of smaller documents cover."""
+    shards = shards or _parts(docs, text_col)
 
     def ship(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in _blocks(batches):
-            yield _ship(some.doc.tolist(), some.tag.tolist(), some.text.tolist(), shards, span)
+            yield _ship(some[KEY].to_numpy(dtype=np.int64), some.text.tolist(), shards, span)
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         return _answer(group.block, span)
 
-    blocks = _keyed(docs, id_col, text_col).select("doc", "tag", "text").mapInPandas(ship, "shard int, block binary")
-    return blocks.groupBy("shard").applyInPandas(answer, "doc long, tag long, first long, last long")
+    blocks = _keyed(docs, id_col, text_col).mapInPandas(ship, "shard long, block binary")
+    return blocks.groupBy("shard").applyInPandas(answer, "none long, doc long, tag long, first long, last long")
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -398,29 +418,28 @@ def _keep(words: list[bytes], first: np.ndarray, last: np.ndarray) -> list[bytes
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed and kept_text (kept words joined by one space)."""
-    buckets = SHARDS_PER_PARTITION * shuffle_partitions(docs.sparkSession)
-    bucket = F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int").alias("bucket")
+    buckets = _parts(docs, text_col)
+    bucket = F.pmod(F.xxhash64(*KEY), F.lit(buckets)).alias("bucket")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in _blocks(batches):
-            packed = [(b, _pack((g.doc.tolist(), g.tag.tolist(), g.text.tolist()))) for b, g in some.groupby("bucket")]
+            packed = [(b, _pack((g[KEY].to_numpy(dtype=np.int64), g.text.tolist()))) for b, g in some.groupby("bucket")]
             yield pd.DataFrame(packed, columns=["bucket", "block"])
 
     def cut(texts: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame:
-        hits = passages[["doc", "tag", "first", "last"]].to_numpy(dtype=np.int64)
-        hits = hits[np.lexsort((hits[:, 1], hits[:, 0]))]
-        edge = np.flatnonzero(np.r_[True, (hits[1:, :2] != hits[:-1, :2]).any(axis=1)]) if len(hits) else np.zeros(0, dtype=np.int64)
-        of = {(int(hits[a, 0]), int(hits[a, 1])): (a, b) for a, b in zip(edge, np.r_[edge[1:], len(hits)], strict=True)} if len(hits) else {}
+        hits = passages[[*KEY, "first", "last"]].to_numpy(dtype=np.int64)
+        hits = hits[np.lexsort(hits[:, :3].T)]
+        edge = np.flatnonzero(np.r_[True, (hits[1:, :3] != hits[:-1, :3]).any(axis=1), True]) if len(hits) else np.zeros(1, dtype=np.int64)
+        of = {tuple(hits[a, :3].tolist()): (a, b) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)}
         out = []
-        for d, g, t in ((d, g, t) for block in texts.block for d, g, t in zip(*_unpack(block), strict=True)):
+        for key, t in ((k, t) for block in texts.block for k, t in zip(*_unpack(block), strict=True)):
             words = t.encode("utf-8", "surrogatepass").split() if isinstance(t, str) else []  # bytes split at the six ASCII blanks only
-            a, b = of.get((d, g), (0, 0))
-            kept = _keep(words, hits[a:b, 2], hits[a:b, 3])
-            out.append((d, len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
-        return pd.DataFrame(out, columns=["doc", "n_words", "n_removed", "kept_text"])
-
-    keyed = _keyed(docs, id_col, text_col).select("doc", "tag", "text", bucket)
-    texts = keyed.mapInPandas(pack, "bucket int, block binary")
-    passages = repeated_passages(docs, span, id_col, text_col).select(bucket, "doc", "tag", "first", "last")
-    met = texts.groupBy("bucket").cogroup(passages.groupBy("bucket")).applyInPandas(cut, "doc long, n_words long, n_removed long, kept_text string")
-    return met.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_text")
+            a, b = of.get(tuple(key.tolist()), (0, 0))
+            kept = _keep(words, hits[a:b, 3], hits[a:b, 4])
+            out.append((int(key[0]), int(key[1]), len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
+        return pd.DataFrame(out, columns=["none", "doc", "n_words", "n_removed", "kept_text"])
+
+    texts = _keyed(docs, id_col, text_col).select(*KEY, "text", bucket).mapInPandas(pack, "bucket long, block binary")
+    passages = repeated_passages(docs, span, id_col, text_col, buckets).select(bucket, *KEY, "first", "last")
+    met = texts.groupBy("bucket").cogroup(passages.groupBy("bucket")).applyInPandas(cut, "none long, doc long, n_words long, n_removed long, kept_text string")
+    return met.select(F.when(F.col("none") == 0, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_text")

@@ -58,6 +58,20 @@ def test_null_and_repeated_ids_and_empty_table(spark):
     assert substring.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_or_none_are_told_apart(spark, monkeypatch):
+    draw = random.Random(8)
+    shared = [" ".join(f"p{draw.randint(0, 99)}" for _ in range(20)) for _ in range(4)]
+    rows = [(draw.choice([None, None, 7, 7, 2**63 - 1, i]), " ".join(f"w{draw.randint(0, 10**6)}" for _ in range(draw.randint(0, 40))) + " " + " ".join(draw.sample(shared, 2)), "s") for i in range(120)]
+    rows += rows[:5]
+    rank = {i: k for k, i in enumerate(sorted({r[0] for r in rows if r[0] is not None}))} | {None: 10**6}
+    want = sorted((n, g, d) for _, n, g, d in plain([(rank[i], t, x) for i, t, x in rows]))
+    for size in (8_000_000, 900):
+        monkeypatch.setattr(substring, "BLOCK_CHARS", size)
+        out = got(substring.remove_repeats(documents(spark, rows)).fillna(-1, "doc_id"))
+        assert sorted(x[1:] for x in out) == want
+    assert sum(x[0] == 2**63 - 1 for x in out) == sum(r[0] == 2**63 - 1 for r in rows)
+
+
 def test_index_counts_and_finds_patterns():
     draw = np.random.default_rng(1)
     sequence = np.r_[draw.integers(1, 6, 400), 0]

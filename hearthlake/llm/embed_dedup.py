@@ -16,9 +16,11 @@
    search goes on from the best ``beam`` classes and from every class within
    ``slack`` of the threshold, so a dense neighbourhood is followed to its end.
 6. What is found is verified by the cosine in double precision.
-7. An audit compares a bounded sample of classes with all classes of their
+7. An audit compares a bounded sample of classes, one half of them drawn among
+   those that have links, with all classes of their
    labels by brute force. If too many links are missing, the search is repeated
-   with a wider beam and more slack.
+   with a wider beam and more slack, and if that does not help, all pairs of
+   chunks of each label are compared, which misses none.
 
 Defined results: a vector with a null label, a null, empty or zero vector, and one
 with null or non-finite components links with nothing and is its own component;
@@ -43,11 +45,15 @@ from hearthlake.session import materialize
 #: Classes that a shard may hold; samples that a centroid is fitted on; centroids of one split.
 SHARD_ROWS, SAMPLE_PER_CENTROID, FANOUT = 2000, 64, 64
 DEGREE, CANDIDATES, ALPHA = 16, 48, 1.2
+#: Rows of a shard that are dealt to its centroids at a time.
+DEAL_ROWS = 20_000
 AUDIT_ROWS = 200
 
 
 def _unit(vectors) -> np.ndarray:
+    """Unit vectors; scaled by their greatest component first, so that no square over- or underflows."""
     x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -102,16 +108,18 @@ def make_shards(classes: DataFrame, shard_rows: int = SHARD_ROWS, levels: int =
         # A sample holds about 1.5 * FANOUT * SAMPLE_PER_CENTROID rows at most, however large its shard is.
         fitted = rows.filter(lot).groupBy("shard").applyInPandas(fit, "shard string, centroids array<array<double>>")
 
-        def deal(batches):
-            for batch in batches:
-                for shard, group in batch.groupby("shard"):
-                    c = np.array([np.asarray(v) for v in group["centroids"].iloc[0]])
-                    row, near = assign(_unit(group["vector"]), c)
-                    some = group.iloc[row]
-                    yield pd.DataFrame({"shard": [f"{shard}.{k}" for k in near], "cid": some["cid"].to_numpy(), "vector": some["vector"].to_numpy()})
-
-        joined = whole.join(large.select("shard"), "shard", "left_semi").join(fitted, "shard")
-        whole = materialize(joined.mapInPandas(deal, whole.schema))
+        def deal(key: tuple, rows: pd.DataFrame, centroids: pd.DataFrame) -> pd.DataFrame:
+            if not len(rows) or not len(centroids):
+                return pd.DataFrame({"shard": [], "cid": [], "vector": []})
+            row, near = assign(_unit(rows["vector"]), np.array([np.asarray(v) for v in centroids["centroids"].iloc[0]]))
+            some = rows.iloc[row]
+            return pd.DataFrame({"shard": [f"{key[0]}.{k}" for k in near], "cid": some["cid"].to_numpy(), "vector": some["vector"].to_numpy()})
+
+        # The rows of a large shard meet its centroids in parts of about ``DEAL_ROWS``; the centroids come once for each part.
+        parted = wanted.withColumn("cuts", F.ceil(F.col("count") / DEAL_ROWS).cast("int")).select("shard", "cuts")
+        some = whole.join(parted, "shard").withColumn("cut", F.pmod(F.xxhash64(F.lit(level), F.lit(1), "cid"), F.col("cuts"))).drop("cuts")
+        met = fitted.join(parted, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"), "centroids")
+        whole = materialize(some.groupBy("shard", "cut").cogroup(met.groupBy("shard", "cut")).applyInPandas(deal, whole.schema))
     return done.unionByName(_chunk_pairs(whole, shard_rows))
 
 
@@ -184,8 +192,21 @@ def search(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, threshol
     return out
 
 
-def find_links(classes: DataFrame, threshold: float = 0.93, shard_rows: int = SHARD_ROWS, beam: int = 12, slack: float = 0.1, recall: float = 0.98, retries: int = 2) -> DataFrame:
-    """Rows (src, dst), src < dst, of classes (cid, label, vector) whose cosine reaches the threshold."""
+def _all_pairs(classes: DataFrame, threshold: float, shard_rows: int) -> DataFrame:
+    """All links, by comparing every two chunks of each label: the exact way, for what the graph cannot find."""
+    labels = classes.select(F.concat_ws("/", F.col("label").cast("string"), F.size("vector").cast("string")).alias("shard"), "cid", "vector")
+    pairs = _chunk_pairs(labels, shard_rows)
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        cid, x = group["cid"].to_numpy(), _unit(group["vector"])
+        i, j = np.nonzero(np.triu(x @ x.T >= threshold, 1))
+        return pd.DataFrame({"src": np.minimum(cid[i], cid[j]), "dst": np.maximum(cid[i], cid[j])})
+
+    return materialize(pairs.groupBy("shard").applyInPandas(compare, "src long, dst long").distinct())
+
+
+def find_links(classes: DataFrame, threshold: float = 0.93, shard_rows: int = SHARD_ROWS, beam: int = 12, slack: float = 0.1, recall: float = 0.98, retries: int = 2) -> tuple[DataFrame, float]:
+    """Rows (src, dst), src < dst, of classes (cid, label, vector) whose cosine reaches the threshold, and the audited recall."""
     shards = materialize(make_shards(classes, shard_rows))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
@@ -218,14 +239,18 @@ def find_links(classes: DataFrame, threshold: float = 0.93, shard_rows: int = SH
     for attempt in range(retries + 1):
         look = looker(beam * 2**attempt, slack * (1 + attempt))
         links = materialize(scene.groupBy("shard").applyInPandas(look, "src long, dst long").distinct())
-        if recall <= 0 or audit_recall(classes, links, threshold) >= recall:
-            break
-    return links
+        found = audit_recall(classes, links, threshold)
+        if found >= recall:
+            return links, found
+    return _all_pairs(classes, threshold, shard_rows), 1.0
 
 
 def audit_recall(classes: DataFrame, links: DataFrame, threshold: float = 0.93, rows: int = AUDIT_ROWS) -> float:
     """Share of the links of a bounded sample of classes that were found; brute force against all classes of their labels."""
-    sample = classes.orderBy(F.xxhash64(F.lit(3), "cid"), "cid").limit(rows).toPandas()
+    lot = [F.xxhash64(F.lit(3), "cid"), F.col("cid")]
+    linked = classes.select("cid").join(links.select(F.col("src").alias("cid")).distinct(), "cid", "left_semi").orderBy(*lot).limit(rows // 2)
+    others = classes.select("cid").orderBy(*lot).limit(rows - rows // 2)
+    sample = classes.join(F.broadcast(linked.union(others).distinct()), "cid", "left_semi").toPandas()
     if not len(sample):
         return 1.0
     ids, labels = sample["cid"].to_numpy(), sample["label"].to_numpy()
@@ -262,7 +287,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     good = rows.filter("usable")
     classes = good.groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("members"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()))
-    links = find_links(classes, threshold, **options)
+    links, _ = find_links(classes, threshold, **options)
     both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     degree = both.join(classes.select(F.col("cid").alias("dst"), "members"), "dst").groupBy(F.col("src").alias("cid")).agg(F.sum("members").alias("others"))
     roots = connected_components(links).withColumnRenamed("id", "cid")

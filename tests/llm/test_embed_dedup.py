@@ -68,3 +68,26 @@ def test_pruned_graph_keeps_near_ones():
     nearest = (x @ x.T - 2 * np.eye(200)).argmax(axis=1)
     assert all(nearest[i] in lists[i] for i in range(200))
     assert all(i in lists[j] for i in range(200) for j in lists[i])
+
+
+def test_a_missed_recall_is_made_up_for_exactly(spark):
+    rows = clustered(300, seed=6)
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
+    degree, roots = plain(rows)
+    got = {r.vec_id: r for r in embed_dedup.near_duplicates(df, shard_rows=40, recall=1.1, retries=0).collect()}
+    assert {i: r.n_links for i, r in got.items()} == degree and {i: r.component_id for i, r in got.items()} == roots
+
+
+def test_tiny_and_huge_components_keep_their_direction(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1e-200, 0.0], 1), (3, [1e300, 1e290], 1), (4, [0.0, 1e-300], 1)], "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df).collect()} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+
+
+def test_recall_is_returned(spark):
+    rows = clustered(400, seed=3)
+    classes = spark.createDataFrame([(i, v, label) for i, v, label in rows], "cid long, vector array<double>, label int")
+    links, recall = embed_dedup.find_links(classes, shard_rows=60)
+    brute = embed_dedup._all_pairs(classes, 0.93, 50)
+    found, wanted = ({(r.src, r.dst) for r in x.collect()} for x in (links, brute))
+    assert found <= wanted and len(found) >= 0.97 * len(wanted) and 0.98 <= recall <= 1
+    assert len(wanted) == sum(plain(rows)[0].values()) // 2

@@ -510,26 +510,26 @@ def cost_cap_cutoff(spark, sf):
     return incremental.within_cap(orders, ["o_custkey"], ["o_orderkey"], "cost", 300000).select("o_custkey", "o_orderkey", "runs")
 
 
-_TAG_SQL = "SELECT p_partkey, p_brand, [regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), CASE WHEN p_size <= 30 THEN 'size:compact' ELSE 'size:large' END, 'beds:' || (p_size % 3)] AS tags FROM part"
+_TAG_SQL = "SELECT p_partkey, p_brand, p_type, [regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), CASE WHEN p_size <= 30 THEN 'size:compact' ELSE 'size:large' END, 'beds:' || (p_size % 3)] AS tags FROM part"
 
 
 def _tagged(spark, sf):
     parts = read(spark, sf, "part")
-    return parts.select("p_partkey", "p_brand", F.array(F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]+", "-"), F.when(F.col("p_size") <= 30, "size:compact").otherwise("size:large"), F.concat(F.lit("beds:"), (F.col("p_size") % 3).cast("string"))).alias("tags"))
+    return parts.select("p_partkey", "p_brand", "p_type", F.array(F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]+", "-"), F.when(F.col("p_size") <= 30, "size:compact").otherwise("size:large"), F.concat(F.lit("beds:"), (F.col("p_size") % 3).cast("string"))).alias("tags"))
 
 
-@query(f"WITH t AS ({_TAG_SQL}), n AS (SELECT count(*) AS total FROM t WHERE p_partkey % 7 = 0), c AS (SELECT tag, count(*) AS count FROM (SELECT unnest(list_distinct(tags)) AS tag FROM t WHERE p_partkey % 7 = 0) GROUP BY tag) SELECT tag, count, total, count / total::DOUBLE AS strength FROM c, n WHERE total >= 3 AND count >= greatest(2, ceil(total * 0.4::DOUBLE))")
+@query(f"WITH t AS ({_TAG_SQL}), n AS (SELECT count(*) AS total FROM t WHERE p_type = 'ECONOMY'), c AS (SELECT tag, count(*) AS count FROM (SELECT unnest(list_distinct(tags)) AS tag FROM t WHERE p_type = 'ECONOMY') GROUP BY tag) SELECT tag, count, total, count / total::DOUBLE AS strength FROM c, n WHERE total >= 3 AND count >= greatest(2, ceil(total * 0.4::DOUBLE))")
 def curation_aversions(spark, sf):
-    return preference.aversions(_tagged(spark, sf).filter("p_partkey % 7 = 0"))
+    return preference.aversions(_tagged(spark, sf).filter("p_type = 'ECONOMY'"))
 
 
-@query(f"""WITH t AS ({_TAG_SQL}), n AS (SELECT count(*) AS total FROM t WHERE p_partkey % 7 = 0), a AS (SELECT tag, count(*) / max(total)::DOUBLE AS s FROM (SELECT unnest(list_distinct(tags)) AS tag FROM t WHERE p_partkey % 7 = 0), n GROUP BY tag HAVING count(*) >= greatest(2, ceil(max(total) * 0.4::DOUBLE))),
+@query(f"""WITH t AS ({_TAG_SQL}), n AS (SELECT count(*) AS total FROM t WHERE p_type = 'ECONOMY'), a AS (SELECT tag, count(*) / max(total)::DOUBLE AS s FROM (SELECT unnest(list_distinct(tags)) AS tag FROM t WHERE p_type = 'ECONOMY'), n GROUP BY tag HAVING count(*) >= greatest(2, ceil(max(total) * 0.4::DOUBLE))),
 x AS (SELECT p_partkey, p_brand, (SELECT count(*) FROM a WHERE list_contains(tags, a.tag)) AS shared, (SELECT count(*) FROM a WHERE list_contains(tags, a.tag) AND s >= 0.6) > 0 AS strong FROM t),
 y AS (SELECT *, bool_and(strong) OVER (PARTITION BY p_brand) AS every FROM x)
 SELECT p_partkey, p_brand, CAST(shared AS INT) AS shared, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY shared, p_partkey) AS INT) AS rank FROM y WHERE NOT strong OR every""")
 def curated_rank(spark, sf):
     rows = _tagged(spark, sf)
-    return preference.curate(rows, preference.aversions(rows.filter("p_partkey % 7 = 0")), "p_brand", "p_partkey").select("p_partkey", "p_brand", "shared", "rank")
+    return preference.curate(rows, preference.aversions(rows.filter("p_type = 'ECONOMY'")), "p_brand", "p_partkey").select("p_partkey", "p_brand", "shared", "rank")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.missing.path') AS missing FROM events")
@@ -612,16 +612,16 @@ def dimension_fallback_join(spark, sf):
     return read(spark, sf, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.coalesce("r_name", F.col("o_custkey").cast("string")).alias("region"))
 
 
-@query("""WITH p AS (SELECT l_suppkey AS source_id, l_orderkey * 10 + l_linenumber AS listing_id, l_linenumber AS pos, l_extendedprice AS price FROM lineitem WHERE l_orderkey % 5 = 0), k AS (SELECT l_suppkey AS source_id, l_orderkey * 10 + l_linenumber AS listing_id, l_extendedprice + CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE 0 END AS price, l_orderkey % 2 = 0 AS fetched,
-  CASE WHEN l_returnflag = 'R' THEN 'likely_unavailable' ELSE 'active' END AS stale FROM lineitem WHERE l_linenumber <> 1 AND l_orderkey % 10 IN (0, 5, 7)),
+@query("""WITH p AS (SELECT l_suppkey AS source_id, l_orderkey * 10 + l_linenumber AS listing_id, l_linenumber AS pos, l_extendedprice AS price FROM lineitem WHERE l_linestatus = 'O'), k AS (SELECT l_suppkey AS source_id, l_orderkey * 10 + l_linenumber AS listing_id, l_extendedprice + CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE 0 END AS price, l_orderkey % 2 = 0 AS fetched,
+  CASE WHEN l_returnflag = 'R' THEN 'likely_unavailable' ELSE 'active' END AS stale FROM lineitem WHERE l_linenumber <> 1),
 r AS (SELECT p.source_id, p.listing_id, pos, CASE WHEN k.listing_id IS NULL THEN 'new' WHEN NOT fetched THEN 'backlog' WHEN p.price <> k.price THEN 'price_moved' END AS reason FROM p LEFT JOIN k ON p.source_id = k.source_id AND p.listing_id = k.listing_id
   UNION ALL SELECT k.source_id, k.listing_id, NULL, 'backlog' FROM k ANTI JOIN p ON p.source_id = k.source_id AND p.listing_id = k.listing_id WHERE NOT fetched AND stale IN ('active', 'missing_once'))
 SELECT source_id, listing_id, reason, CAST(n AS INT) AS turn FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY CASE reason WHEN 'new' THEN 0 WHEN 'backlog' THEN 1 ELSE 2 END, pos NULLS LAST, listing_id) AS n FROM r WHERE reason IS NOT NULL) WHERE n <= 12""")
 def fetch_plan(spark, sf):
     items = read(spark, sf, "lineitem")
     key = [F.col("l_suppkey").alias("source_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("listing_id")]
-    page = items.filter("l_orderkey % 5 = 0").select(*key, F.col("l_linenumber").alias("pos"), F.col("l_extendedprice").alias("price"))
-    known = items.filter("l_linenumber <> 1 and l_orderkey % 10 in (0, 5, 7)").select(
+    page = items.filter("l_linestatus = 'O'").select(*key, F.col("l_linenumber").alias("pos"), F.col("l_extendedprice").alias("price"))
+    known = items.filter("l_linenumber <> 1").select(
         *key, (F.col("l_extendedprice") + F.when(F.col("l_orderkey") % 3 == 0, 1).otherwise(0)).alias("price"), F.when(F.col("l_orderkey") % 2 == 0, F.lit("x")).alias("detail_fetched_at"),
         F.when(F.col("l_returnflag") == "R", "likely_unavailable").otherwise("active").alias("stale_status"),
     )
@@ -637,3 +637,6 @@ def event_windows(spark, sf):
 @query("SELECT c_custkey, CASE WHEN c_acctbal = floor(c_acctbal) THEN CAST(CAST(c_acctbal AS BIGINT) AS VARCHAR) ELSE CAST(c_acctbal AS VARCHAR) END AS amount FROM customer")
 def plain_numbers(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", plain_number(F.col("c_acctbal")).alias("amount"))
+
+
+from hearthlake import store_queries  # noqa: E402, F401  registers its queries here

@@ -1,8 +1,9 @@
 """Connected components of an edge table, by repeated contraction.
 
 Each round every vertex points at the neighbour (or itself) that comes first in
-a random order drawn for that round, and the edges are rewritten between the
-vertices pointed at. The random order keeps pointer chains short, so the edge
+an order, and the edges are rewritten between the vertices pointed at. The first
+round's order is that of the ids, which contracts stars around their smallest
+vertex at once; each later round draws a random one. Random orders keep pointer chains short, so the edge
 table shrinks by a constant factor a round whatever the shape of the graph.
 Only joins and partial aggregations are used; nothing is collected but the
 number of edges left.
@@ -35,7 +36,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     maps: list[DataFrame] = []
     for r in range(max_rounds):
         both = left.select("u", "v").unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        order = lambda c: F.xxhash64(F.col(c), F.lit(r * 7919 + 17))
+        order = lambda c: F.xxhash64(F.col(c), F.lit(r * 7919 + 17)) if r else F.col(c)
         # The neighbour first in this round's order; the vertex itself if it is first.
         first = (
             both.groupBy("u")

@@ -10,6 +10,7 @@ from hearthlake.functions.listing_text import address_key, address_only_key, eff
 from hearthlake.functions.scalars import plain_number
 from hearthlake.functions.urls import canonical_url
 from hearthlake.operators.components import connected_components
+from hearthlake.session import materialize
 
 # How much each reason says, strongest first.
 CONFIDENCE = ["exact", "high", "medium", "low"]
@@ -46,6 +47,7 @@ def links(candidates: DataFrame, order: list[str]) -> DataFrame:
     holder is found by an aggregate that combines before the shuffle.
     """
     rows = with_keys(candidates).select("nid", F.struct(*order, "nid").alias("o"), "unit", "address", F.explode("keys").alias("k")).select("nid", "o", "unit", "address", "k.reason", "k.key")
+    rows = materialize(rows)  # both sides of the join read the keys, none the texts
     first = rows.groupBy("reason", "key").agg(F.min_by(F.struct(F.col("nid").alias("a_nid"), F.col("unit").alias("a_unit"), F.col("address").alias("a_address")), "o").alias("a"), F.count(F.lit(1)).alias("n"))
     met = rows.join(first.filter("n > 1").select("reason", "key", "a.*"), ["reason", "key"]).filter("nid <> a_nid")
     units_ok = ~F.coalesce(F.col("unit") != F.col("a_unit"), F.lit(False))

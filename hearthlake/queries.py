@@ -16,6 +16,7 @@ from hearthlake.functions.scalars import group, plain_number, round_half_up
 from hearthlake.operators import duplicates, incremental, latest, liveness, matching, merge, preference, quality, risk, spatial
 from hearthlake.operators.components import connected_components
 from hearthlake.plans import views
+from hearthlake.session import materialize
 from hearthlake.sources import feeds, pages, robots
 from hearthlake.streaming import ingest
 
@@ -138,7 +139,7 @@ def docs_cross_source_reuse(spark, sf):
     return duplicates.shared_across(rows, "description_hash", "source")
 
 
-_KEYS_SQL = f"SELECT doc_id, 'h' AS reason, {_DHASH} AS key FROM documents UNION ALL SELECT doc_id, 'p', source || '|' || left(lower(text), 30) FROM documents"
+_KEYS_SQL = f"SELECT doc_id, 'h' AS reason, {_DHASH} AS key FROM documents UNION ALL SELECT doc_id, 'p', source || '|' || sha256(lower(text)) FROM documents"
 
 
 @query(f"""WITH RECURSIVE k AS ({_KEYS_SQL}), a AS (SELECT reason, key, min(doc_id) AS first_doc FROM k WHERE key IS NOT NULL GROUP BY reason, key),
@@ -146,8 +147,9 @@ e AS (SELECT DISTINCT a.first_doc AS x, k.doc_id AS y FROM k JOIN a USING (reaso
 r(v, w) AS (SELECT x, x FROM b UNION SELECT r.v, b.y FROM r JOIN b ON r.w = b.x)
 SELECT v AS doc_id, min(w) AS component_id FROM r GROUP BY v""")
 def docs_components(spark, sf):
-    docs = read(spark, sf, "documents")
-    keys = F.array(F.struct(F.lit("h").alias("reason"), hashes.description_hash(F.col("text")).alias("key")), F.struct(F.lit("p").alias("reason"), F.concat("source", F.lit("|"), F.left(F.lower("text"), F.lit(30))).alias("key")))
+    # Texts are hashed once; what follows reads the hashes.
+    docs = materialize(read(spark, sf, "documents").select("doc_id", "source", hashes.description_hash(F.col("text")).alias("h"), F.sha2(F.lower("text"), 256).alias("t")))
+    keys = F.array(F.struct(F.lit("h").alias("reason"), F.col("h").alias("key")), F.struct(F.lit("p").alias("reason"), F.concat("source", F.lit("|"), "t").alias("key")))
     rows = docs.select("doc_id", F.explode(keys).alias("k")).select("doc_id", "k.*").filter("key is not null")
     first = rows.groupBy("reason", "key").agg(F.min("doc_id").alias("src"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     edges = rows.join(first, ["reason", "key"]).select("src", F.col("doc_id").alias("dst"))
@@ -199,7 +201,7 @@ def docs_prerank_topk(spark, sf):
 
 @query("""WITH x AS (SELECT source, count(*) AS total, count(*) FILTER (WHERE trim(lang) <> '') AS with_title, count(*) FILTER (WHERE d.doc_id % 3 <> 0) AS with_price, count(*) FILTER (WHERE d.doc_id % 3 = 0) AS price_unparsed,
   count(*) FILTER (WHERE quality = 1) AS with_location, count(*) FILTER (WHERE toxic IS NOT NULL) AS detail_depth FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source),
-s AS (SELECT source, sum(n - 1) AS duplicate_ids FROM (SELECT source, left(lower(text), 20) AS k, count(*) AS n FROM documents GROUP BY ALL) WHERE k <> '' GROUP BY source)
+s AS (SELECT source, sum(n - 1) AS duplicate_ids FROM (SELECT source, sha256(lower(text)) AS k, count(*) AS n FROM documents GROUP BY ALL) WHERE k <> '' GROUP BY source)
 SELECT x.source, total, with_price, price_unparsed, with_location, detail_depth, total - detail_depth AS card_depth, CAST(duplicate_ids AS BIGINT) AS duplicate_ids,
   array_to_string(list_filter(['error:missing_original_url', CASE WHEN with_title < total THEN 'error:missing_title' END, CASE WHEN duplicate_ids > 0 THEN 'error:duplicate_source_listing_id' END, CASE WHEN with_price < 0.6 * total THEN 'warning:low_price_coverage' END,
     CASE WHEN price_unparsed > 0.1 * total THEN 'warning:price_parse_failures' END, CASE WHEN with_location < 0.6 * total THEN 'warning:low_location_coverage' END, CASE WHEN detail_depth >= 10 THEN 'warning:low_photo_coverage' END], lambda c: c IS NOT NULL), ' ') AS issues
@@ -210,7 +212,7 @@ def docs_coverage_contract(spark, sf):
     batch = rows.select(
         "source", none.cast("string").alias("original_url"), F.col("lang").alias("title"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id").cast("double")).alias("price_monthly"), F.lit("ask").alias("price_raw"),
         F.when(F.col("quality") == 1, "somewhere").alias("neighborhood"), none.cast("string").alias("address_raw"), none.cast("double").alias("latitude"), none.cast("double").alias("longitude"),
-        F.array().cast("array<string>").alias("photos"), F.col("text").alias("description"), F.when(F.col("toxic").isNotNull(), "detail").otherwise("card").alias("fetch_depth"), F.left(F.lower("text"), F.lit(20)).alias("source_listing_id"),
+        F.array().cast("array<string>").alias("photos"), F.col("text").alias("description"), F.when(F.col("toxic").isNotNull(), "detail").otherwise("card").alias("fetch_depth"), F.sha2(F.lower("text"), 256).alias("source_listing_id"),
     )
     found = quality.profile(batch, ["source"])
     return found.select("source", "total", "with_price", "price_unparsed", "with_location", "detail_depth", "card_depth", "duplicate_ids", F.array_join(quality.issues(), " ").alias("issues"))

@@ -24,15 +24,29 @@ def get_session(app: str = "hearthlake", master: str | None = None, shuffle_part
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share for checkpoints and intermediate tables.
+
+    ``spark.checkpoint.dir`` names it on a cluster. Without it a temporary folder
+    serves a local master, whose executor is the driver; any other one is refused.
+    What lies there goes with the application's folder, which Spark names anew for each.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="hearthlake-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 
     The folder is the one that the cluster names in ``spark.checkpoint.dir``; a
     temporary folder is used only where none is set, as in local tests.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="hearthlake-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -47,9 +61,6 @@ def write_table(df: DataFrame) -> DataFrame:
     Like ``materialize``, for wide rows: columns are compressed and read selectively.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="hearthlake-"))
-    path = f"{sc.getCheckpointDir().rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -276,14 +276,15 @@ class Sample:
         self.texts, self.y = texts, labels
         self.words = Words(texts)
         self.at, self.owner = windows(self.words.counts)
-        self.doc = np.repeat(np.arange(len(texts)), self.words.counts)
-        # Distinct words of each document, then their features.
-        pairs = np.unique(self.doc * np.int64(len(self.words.first)) + self.words.of)
-        doc, word = np.divmod(pairs, max(1, len(self.words.first)))
-        known, self.feature = np.unique(self.words.feature, return_inverse=True)
-        count = self.words.many[word]
-        has = np.repeat(doc, count) * np.int64(len(known)) + self.feature[_ranges(self.words.first[word], count)]
-        self.known, (self.in_doc, self.has) = known, np.divmod(np.unique(has), max(1, len(known)))
+        self.known, feature = np.unique(self.words.feature, return_inverse=True)
+        self.feature = feature.astype(np.int32)
+        # The distinct features of each document, document by document to bound the memory.
+        has, first = [np.zeros(0, dtype=np.int32)], 0
+        for count in self.words.counts.tolist():
+            word = np.unique(self.words.of[first : first + count])
+            has.append(np.unique(self.feature[_ranges(self.words.first[word], self.words.many[word])]))
+            first += count
+        self.has, self.in_doc = np.concatenate(has), np.repeat(np.arange(len(texts), dtype=np.int32), [len(h) for h in has[1:]])
 
     def learn(self, use: np.ndarray, rounds: int, epochs: int, batch: int, rate: float, drop: float, seed: int) -> Network:
         """A network fitted to the documents in ``use``, without a curve."""

@@ -33,6 +33,7 @@ of either kind the score is the share of toxic labels, 0.5 if there is none.
 
 from __future__ import annotations
 
+import pickle
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -444,8 +445,17 @@ def fit(
     taken = sizes[np.array(fits, dtype=bool)]
     chosen = docs.sparkSession.createDataFrame(taken[["id", "y"]].drop_duplicates(), "id long, y int")
     longest = F.max(F.struct(F.length("text"), "text"))["text"]  # where rows repeat an id
-    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(longest.alias("text")).toPandas().sort_values(["id", "y"])
-    return train(rows.text.tolist(), rows.y.to_numpy(), prior=min(max(prior, 0.01), 0.99))
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(longest.alias("text"))
+    prior = min(max(prior, 0.01), 0.99)
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sample = pd.concat([pd.DataFrame({"id": [], "y": [], "text": []}), *batches]).sort_values(["id", "y"])
+        net = train(sample["text"].tolist(), sample["y"].to_numpy(dtype=float), prior=prior)
+        yield pd.DataFrame({"net": [pickle.dumps(net, protocol=5)]})
+
+    # One task trains on the bounded sample, so that its texts and arrays never weigh on the driver.
+    trained = rows.repartition(1).mapInPandas(learn, "net binary").collect()
+    return pickle.loads(trained[0]["net"]) if trained else train([], np.zeros(0), prior=prior)
 
 
 def _in_parts(net: Network, texts: list) -> np.ndarray:

@@ -7,7 +7,9 @@ An index over a shard of documents would have to see every other document. Here
 the passages are dealt instead: a document is cut into runs of windows that have
 the same minimizer (the smallest hash of ``GRAM`` words in a window), and a run
 goes to the shard of its minimizer. Equal windows have equal minimizers, so a
-shard's index only has to answer for the runs dealt to it:
+shard's index only has to answer for the runs dealt to it. Where very many runs
+share a minimizer (the edges of a passage that many documents quote), its windows
+are dealt one by one, by the hash of all their words:
 
 1. a task cuts its documents into runs; of equal runs it ships the one of the
    smallest id, the others are repeats already. What it ships for a shard is one
@@ -54,6 +56,9 @@ SIDE = (SPAN - GRAM) // 2
 BLOCK_CHARS = 8_000_000
 #: Shards for each shuffle partition at least, and bytes of text for each shard at most on average; a shard is indexed in memory.
 SHARDS_PER_PARTITION, SHARD_BYTES = 16, 4_000_000
+#: Runs are weighed on this share of the rows; the windows of a minimizer with at least so many bytes of runs in all rows
+#: are dealt one by one. The tasks are told at most so many minimizers, the heaviest ones.
+WEIGHED, HOT_BYTES, HOT_MINIMIZERS = 1 / 64, 4_000_000, 1 << 18
 KEY = ["none", "doc", "tag"]  # of a row: whether it has no id, then the id and a hash of the text, or two hashes
 
 
@@ -82,8 +87,11 @@ def minimizers(hashes: np.ndarray, span: int = SPAN, gram: int = GRAM) -> np.nda
     return sliding_min(grams(hashes, gram), span - gram + 1)
 
 
-def cut_runs(hashes: np.ndarray, bounds: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one minimizer: document, first word, words, minimizer; bounds: first word of each document, and the end."""
+def cut_runs(hashes: np.ndarray, bounds: np.ndarray, span: int = SPAN, hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one minimizer: document, first word, words, minimizer; bounds: first word of each document, and the end.
+
+    ``hot``: minimizers in ascending order that are not dealt as one; in their windows the hash of all words stands in their place.
+    """
     empty = np.zeros(0, dtype=np.int64)
     if len(hashes) < span:
         return empty, empty, empty, empty.astype(np.uint64)
@@ -93,6 +101,9 @@ def cut_runs(hashes: np.ndarray, bounds: np.ndarray, span: int = SPAN) -> tuple[
     if not windows.size:
         return empty, empty, empty, empty.astype(np.uint64)
     value = least[windows]
+    if hot is not None and len(hot):
+        split = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, value), len(hot) - 1)] == value)
+        value[split] = grams(hashes, span)[windows[split]]
     fresh = np.r_[True, (value[1:] != value[:-1]) | (windows[1:] != windows[:-1] + 1)]
     first = np.flatnonzero(fresh)
     count = np.diff(np.r_[first, len(windows)])
@@ -139,13 +150,18 @@ def _numbers(texts: list[bytes], hashes: np.ndarray) -> np.ndarray:
     return np.array([number.setdefault(t, len(number)) for t in texts])
 
 
-def _ship(keys: np.ndarray, texts: list, shards: int, span: int) -> pd.DataFrame:
-    """Blocks (shard, block) of the runs of some documents."""
+def _words(texts: list) -> tuple[np.ndarray, ...]:
+    """Bytes of the texts one after the other, first and last byte of each word, and the first word of each text."""
     raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
     flat = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
     starts, ends = blank_words(flat)
-    bounds = np.r_[0, np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw]))]
-    owner, start, size, value = cut_runs(PieceHash(flat)(starts, ends), bounds, span)
+    return flat, starts, ends, np.r_[0, np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw]))]
+
+
+def _ship(keys: np.ndarray, texts: list, shards: int, span: int, hot: np.ndarray) -> pd.DataFrame:
+    """Blocks (shard, block) of the runs of some documents."""
+    flat, starts, ends, bounds = _words(texts)
+    owner, start, size, value = cut_runs(PieceHash(flat)(starts, ends), bounds, span, hot)
     # The words again, one blank apart.
     length = ends - starts
     begins = np.cumsum(length + 1) - length - 1
@@ -382,13 +398,37 @@ def _parts(docs: DataFrame, text_col: str) -> int:
     return max(SHARDS_PER_PARTITION * shuffle_partitions(docs.sparkSession), -(-size // SHARD_BYTES))
 
 
-def repeated_passages(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
+def hot_minimizers(docs: DataFrame, span: int = SPAN, text_col: str = "text", weighed: float = WEIGHED, least: int = HOT_BYTES) -> np.ndarray:
+    """Minimizers with so many bytes of runs that they are not dealt as one, in ascending order.
+
+    The share of rows only estimates where a minimizer's windows go; what is found does not depend on it.
+    """
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in _blocks(batches):
+            flat, starts, ends, bounds = _words(some.text.tolist())
+            _, start, size, value = cut_runs(PieceHash(flat)(starts, ends), bounds, span)
+            values, which = np.unique(value, return_inverse=True)
+            weight = np.bincount(which, weights=ends[start + size - 1] - starts[start], minlength=len(values))
+            yield pd.DataFrame({"value": values.view(np.int64), "weight": weight.astype(np.int64)})
+
+    rows = docs.select(F.col(text_col).cast("string").alias("text"))
+    rows = rows.sample(weighed, seed=SPAN) if weighed < 1 else rows
+    weights = rows.mapInPandas(weigh, "value long, weight long").groupBy("value").agg(F.sum("weight").alias("weight"))
+    heavy = weights.filter(F.col("weight") >= least * weighed).orderBy(F.desc("weight"), "value").limit(HOT_MINIMIZERS)
+    return np.sort(heavy.toPandas().value.to_numpy(dtype=np.int64).view(np.uint64))
+
+
+def repeated_passages(
+    docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, weighed: float = WEIGHED, hot_bytes: int = HOT_BYTES
+) -> DataFrame:
     """Rows (none, doc, tag, first, last): words of a document that windows of smaller documents cover."""
     shards = shards or _parts(docs, text_col)
+    hot = hot_minimizers(docs, span, text_col, weighed, hot_bytes)
 
     def ship(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in _blocks(batches):
-            yield _ship(some[KEY].to_numpy(dtype=np.int64), some.text.tolist(), shards, span)
+            yield _ship(some[KEY].to_numpy(dtype=np.int64), some.text.tolist(), shards, span, hot)
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         return _answer(group.block, span)
@@ -416,7 +456,7 @@ def _keep(words: list[bytes], first: np.ndarray, last: np.ndarray) -> list[bytes
     return [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", weighed: float = WEIGHED, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed and kept_text (kept words joined by one space)."""
     buckets = _parts(docs, text_col)
     bucket = F.pmod(F.xxhash64(*KEY), F.lit(buckets)).alias("bucket")
@@ -440,6 +480,6 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", te
         return pd.DataFrame(out, columns=["none", "doc", "n_words", "n_removed", "kept_text"])
 
     texts = _keyed(docs, id_col, text_col).select(*KEY, "text", bucket).mapInPandas(pack, "bucket long, block binary")
-    passages = repeated_passages(docs, span, id_col, text_col, buckets).select(bucket, *KEY, "first", "last")
+    passages = repeated_passages(docs, span, id_col, text_col, buckets, weighed, hot_bytes).select(bucket, *KEY, "first", "last")
     met = texts.groupBy("bucket").cogroup(passages.groupBy("bucket")).applyInPandas(cut, "none long, doc long, n_words long, n_removed long, kept_text string")
     return met.select(F.when(F.col("none") == 0, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_text")

@@ -50,6 +50,32 @@ def test_removed_words_match_plain_version(spark, monkeypatch):
     assert got(substring.remove_repeats(documents(spark, rows).repartition(5))) == plain(rows)
 
 
+def test_windows_of_hot_minimizers_dealt_one_by_one(spark, monkeypatch):
+    rows = make_rows()
+    monkeypatch.setattr(substring, "BLOCK_CHARS", 700)
+    df = documents(spark, rows).repartition(5)
+    some = substring.hot_minimizers(df, weighed=1, least=900)
+    every = substring.hot_minimizers(df, weighed=1, least=1)
+    assert 0 < len(some) < len(every) and (np.diff(every) > 0).all()
+    for least in (900, 1):
+        assert got(substring.remove_repeats(df, weighed=1, hot_bytes=least)) == plain(rows)
+
+
+def test_edges_of_a_common_passage_are_spread():
+    draw = np.random.default_rng(2)
+    passage = draw.integers(0, 2**63, 40, dtype=np.uint64)
+    hashes = np.concatenate([np.r_[draw.integers(0, 2**63, 20, dtype=np.uint64), passage, draw.integers(0, 2**63, 20, dtype=np.uint64)] for _ in range(300)])
+    bounds = np.arange(0, len(hashes) + 1, 80)
+    values, count = np.unique(substring.cut_runs(hashes, bounds)[3], return_counts=True)
+    assert count.max() == 300
+    hot = values[count >= 100]
+    owner, start, size, value = substring.cut_runs(hashes, bounds, hot=hot)
+    covered = np.unique(np.concatenate([np.arange(a, a + n - 12) for a, n in zip(start, size)]))
+    assert len(covered) == 300 * 68  # each window once
+    edge = (start % 80 < 20) | (start % 80 > 60 - 13)
+    assert np.unique(value[edge], return_counts=True)[1].max() < 100  # what is left are minimizers that were not hot
+
+
 def test_null_and_repeated_ids_and_empty_table(spark):
     text = " ".join(f"w{i}" for i in range(40))
     df = documents(spark, [(None, text, "s"), (3, text, "s"), (3, text, "s"), (3, text + " more", "s")])

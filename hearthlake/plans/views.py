@@ -118,3 +118,12 @@ def verification(batch: DataFrame, by: str) -> DataFrame:
 
     profiled = quality.profile(batch, [by]).withColumn("issues", quality.issues())
     return profiled.withColumn("verdict", quality.verdict(F.col("issues"), F.col("total") == 0))
+
+
+def result_summaries(results: DataFrame, listings: DataFrame, fields: list[str]) -> DataFrame:
+    """Listings that searches returned, in the order of their answers; ids without a listing are left out.
+
+    results (search_id, ids): ids in order, of which a search returns few. ``place`` counts from 0 in the answer.
+    """
+    ids = results.select("search_id", F.posexplode("ids").alias("place", "listing_id"))
+    return ids.join(listings.select("listing_id", *fields), "listing_id")

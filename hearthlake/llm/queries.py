@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlake.llm import embed_dedup, exact_dedup, licences, line_dedup, mix, sentencepieces, sharding, simhash, substring, toxicity
+from hearthlake.llm import embed_dedup, exact_dedup, licences, line_dedup, mix, sentencepieces, sharding, simhash, substring, toxicity, url_tree
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,5 +152,76 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number").withColumn("size", F.col("size") + 8)
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_license_scan": op3_license_scan, "op4_exact_dedup": op4_exact_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_toxicity": op6_toxicity, "op7_line_dedup": op7_line_dedup, "op8_embedding_dedup": op8_embedding_dedup, "op9_sentencepiece": op9_sentencepiece, "op10_sharding": op10_sharding}
-ORACLE = {"op4_exact_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_embedding_dedup": OP8_SQL}
+#: (verdict, host, path) of the rules that come before the method's own verdict.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last number of a page's path is the document that it shows; low quality or toxicity makes its label bad."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("number"), (F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("bad"))
+    judged = url_tree.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), labels, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", F.round("bad_share", 9).alias("bad_share"))
+
+
+def _op11_sql() -> str:
+    """The tree level by level; every level of the module's LEVELS, those that no path reaches are empty."""
+    weight, levels = url_tree.WEIGHT, url_tree.LEVELS
+    cases = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v} {h}{p}'" for v, h, p in cases)
+    steps = []
+    for k in range(1, levels + 1):
+        steps.append(f"""
+h{k} AS (SELECT *, segments[{k}] AS segment FROM t{k - 1} WHERE len(segments) >= {k}),
+c{k} AS (SELECT host, template, segment, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad, sum(n * (len(segments) - {k})) AS below FROM h{k} GROUP BY ALL),
+m{k} AS (SELECT *, CASE WHEN n >= {url_tree.LEAST} AND n * {url_tree.SHARE} >= sum(n) OVER (PARTITION BY host, template) THEN segment ELSE '*' END AS token FROM c{k}),
+b{k} AS (SELECT host, template, token, sum(n) AS n, sum(labelled)::DOUBLE AS labelled, sum(bad)::DOUBLE AS bad, sum(below) AS below FROM m{k} GROUP BY ALL),
+r{k} AS (SELECT b{k}.*, floor(below / n + 0.5) AS deep, (bad + {weight} * share) / (labelled + {weight}) AS rate FROM b{k}, total),
+a{k} AS (SELECT *, lag(bad) OVER o AS pb, lag(labelled) OVER o AS pl FROM r{k} WINDOW o AS (PARTITION BY host, template, deep ORDER BY rate, token)),
+p{k} AS (SELECT *, sum(CASE WHEN (pb * labelled - bad * pl) * (pb * labelled - bad * pl) * (pl + labelled) > {url_tree.ALIKE} * pl * labelled * (pb + bad) * (pl + labelled - pb - bad) THEN 1 ELSE 0 END) OVER (PARTITION BY host, template, deep ORDER BY rate, token) AS part FROM a{k}),
+n{k} AS (SELECT host, template, deep, part, CASE WHEN count(*) = 1 THEN min(token) ELSE '{{' || string_agg(token, ',' ORDER BY token) || '}}' END AS name FROM p{k} GROUP BY ALL),
+t{k} AS (
+  SELECT host, masked, n, labelled, bad, segments, template FROM t{k - 1} WHERE len(segments) < {k}
+  UNION ALL
+  SELECT h.host, h.masked, h.n, h.labelled, h.bad, h.segments, h.template || '/' || x.name
+  FROM h{k} h JOIN m{k} m ON h.host = m.host AND h.template = m.template AND h.segment = m.segment
+  JOIN p{k} p ON m.host = p.host AND m.template = p.template AND m.token = p.token
+  JOIN n{k} x ON p.host = x.host AND p.template = x.template AND p.deep = x.deep AND p.part = x.part
+),""")
+    return rf"""
+WITH u AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), v AS (
+  SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), '{url_tree.UPPER}', '{url_tree.LOWER}') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), w AS (
+  SELECT *, regexp_replace(path, '[0-9]+', '#', 'g') AS masked, regexp_extract(path, '([0-9]+)[^0-9]*$', 1) AS digits FROM v
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id >= 0 GROUP BY doc_id
+), d AS (
+  SELECT host, masked, count(*) AS n, count(l.bad) AS labelled, coalesce(sum(l.bad), 0) AS bad
+  FROM w LEFT JOIN l ON l.doc_id = CASE WHEN length(digits) BETWEEN 1 AND 18 THEN CAST(digits AS BIGINT) END GROUP BY host, masked
+), total AS (
+  SELECT (sum(bad) + 1.0::DOUBLE) / (sum(labelled) + 2.0::DOUBLE) AS share FROM d
+), e AS (
+  SELECT *, CASE WHEN masked = '' THEN [] ELSE string_split(regexp_replace(masked, '^/', ''), '/') END AS parts FROM d
+), t0 AS (
+  SELECT host, masked, n, labelled, bad, CASE WHEN len(parts) > {levels} THEN list_append(parts[1:{levels - 1}], '**') ELSE parts END AS segments, host AS template FROM e
+),{"".join(steps)}
+g AS (
+  SELECT host, template, sum(bad)::DOUBLE AS tb, sum(labelled)::DOUBLE AS tl FROM t{levels} GROUP BY ALL
+), k AS (
+  SELECT host, sum(bad)::DOUBLE AS hb, sum(labelled)::DOUBLE AS hl FROM t{levels} GROUP BY ALL
+), s AS (
+  SELECT g.host, template, (tb + {weight} * ((hb - tb + {weight} * share) / (hl - tl + {weight}))) / (tl + {weight}) AS bad_share FROM g JOIN k ON g.host = k.host, total
+), f AS (
+  SELECT page_id, host, path, masked, CASE {fits} END AS ruled FROM w
+)
+SELECT f.page_id, f.host, f.path, split_part(ruled, ' ', 2) AS rule, coalesce(split_part(ruled, ' ', 1), CASE WHEN bad_share > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, t.template, round(bad_share, 9) AS bad_share
+FROM f JOIN t{levels} t ON f.host = t.host AND f.masked = t.masked JOIN s ON t.host = s.host AND t.template = s.template
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
+QUERIES = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_license_scan": op3_license_scan, "op4_exact_dedup": op4_exact_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_toxicity": op6_toxicity, "op7_line_dedup": op7_line_dedup, "op8_embedding_dedup": op8_embedding_dedup, "op9_sentencepiece": op9_sentencepiece, "op10_sharding": op10_sharding, "op11_url_filter": op11_url_filter}
+ORACLE = {"op4_exact_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op11_url_filter": OP11_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlake.llm import embed_dedup, exact_dedup, licences, line_dedup, mix, sentencepieces, sharding, simhash, substring, toxicity, url_tree
+from hearthlake.llm import embed_dedup, exact_dedup, licences, line_dedup, mix, periodic, sentencepieces, sharding, simhash, substring, toxicity, url_tree
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,5 +223,30 @@ FROM f JOIN t{levels} t ON f.host = t.host AND f.masked = t.masked JOIN s ON t.h
 OP11_SQL = _op11_sql()
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_license_scan": op3_license_scan, "op4_exact_dedup": op4_exact_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_toxicity": op6_toxicity, "op7_line_dedup": op7_line_dedup, "op8_embedding_dedup": op8_embedding_dedup, "op9_sentencepiece": op9_sentencepiece, "op10_sharding": op10_sharding, "op11_url_filter": op11_url_filter}
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """Every tenth document, by the checksum of its id, repeats a part of its words from some place on to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    n = F.nullif(F.size(words), F.lit(0)).cast("long")
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    times = F.ceil((n - a) / p).cast("int")
+    planted = F.concat(F.slice(words, 1, a), F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), times)), 1, (n - a).cast("int")))
+    return docs.select("doc_id", F.when(h % 10 == 0, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse_runs(with_planted_period(_docs(spark, sf_dir)))
+    # Greatest length, then smallest start, then smallest period.
+    found = found.withColumn("best", F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("fine")))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.back")).alias("start"), "best.length", (-F.col("best.fine")).alias("period"), F.expr("-(1000 * best.length div best.fine)").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_license_scan": op3_license_scan, "op4_exact_dedup": op4_exact_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_toxicity": op6_toxicity, "op7_line_dedup": op7_line_dedup, "op8_embedding_dedup": op8_embedding_dedup, "op9_sentencepiece": op9_sentencepiece, "op10_sharding": op10_sharding, "op11_url_filter": op11_url_filter, "op12_periodic_runs": op12_periodic_runs}
 ORACLE = {"op4_exact_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op11_url_filter": OP11_SQL}

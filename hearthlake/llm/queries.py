@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlake.llm import embed_dedup, exact_dedup, licences, line_dedup, mix, periodic, sentencepieces, sharding, simhash, substring, toxicity, url_tree
+from hearthlake.llm import embed_dedup, exact_dedup, hard_negatives, licences, line_dedup, mix, periodic, sentencepieces, sharding, simhash, substring, toxicity, url_tree
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,5 +248,29 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_license_scan": op3_license_scan, "op4_exact_dedup": op4_exact_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_toxicity": op6_toxicity, "op7_line_dedup": op7_line_dedup, "op8_embedding_dedup": op8_embedding_dedup, "op9_sentencepiece": op9_sentencepiece, "op10_sharding": op10_sharding, "op11_url_filter": op11_url_filter, "op12_periodic_runs": op12_periodic_runs}
-ORACLE = {"op4_exact_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op11_url_filter": OP11_SQL}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, label)
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
+QUERIES = {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_license_scan": op3_license_scan, "op4_exact_dedup": op4_exact_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_toxicity": op6_toxicity, "op7_line_dedup": op7_line_dedup, "op8_embedding_dedup": op8_embedding_dedup, "op9_sentencepiece": op9_sentencepiece, "op10_sharding": op10_sharding, "op11_url_filter": op11_url_filter, "op12_periodic_runs": op12_periodic_runs, "op13_hard_negatives": op13_hard_negatives}
+ORACLE = {"op4_exact_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_embedding_dedup": OP8_SQL, "op11_url_filter": OP11_SQL, "op13_hard_negatives": OP13_SQL}

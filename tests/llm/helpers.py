@@ -35,3 +35,17 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long, dige
 def documents(spark, rows):
     """Documents with two more columns whose names clash with inner ones."""
     return spark.createDataFrame([(i, t, "en", s, len(t or ""), "x", "y") for i, t, s in rows], DOCS)
+
+
+def rows_by_sql(sql, folder, columns):
+    """Rows of DuckDB SQL over the Parquet tables of a folder, sorted, in the order of the given columns."""
+    import duckdb
+
+    con = duckdb.connect()
+    for path in sorted(folder.iterdir()):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}{'/*.parquet' if path.is_dir() else ''}'")
+    found = con.execute(sql)
+    names = [d[0] for d in found.description]
+    assert sorted(names) == sorted(columns)
+    order = [names.index(c) for c in columns]
+    return sorted((tuple(r[i] for i in order) for r in found.fetchall()), key=repr)

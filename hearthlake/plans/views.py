@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hearthlake.functions.geo import haversine_miles
 from hearthlake.functions.tags import snippet
-from hearthlake.operators import latest, matching, preference
+from hearthlake.operators import latest, matching, preference, subscriptions
 
 
 def listing_cards(listings: DataFrame, states: DataFrame, sources: DataFrame, runs: DataFrame, price_changes: DataFrame, digests: DataFrame, now: Column) -> DataFrame:
@@ -63,7 +63,7 @@ def search_candidates(listings: DataFrame, center: tuple[float, float] | None =
 
 def watched_searches(searches: DataFrame, listings: DataFrame, now: Column, newest: int = 6) -> DataFrame:
     """Per search: matches (known neighbourhood only), how many are less than a day old, and the newest ids."""
-    pairs = matching.match_searches(searches, listings).filter("result.matched").filter(~F.array_contains("result.unknowns", "neighborhood"))
+    pairs = subscriptions.match_searches(searches, listings).filter(~F.array_contains("result.unknowns", "neighborhood"))
     fresh = F.col("first_seen_at") > now - F.expr("INTERVAL 24 HOURS")
     counts = pairs.groupBy("search_id").agg(F.count(F.lit(1)).alias("matches"), F.count_if(fresh).alias("fresh"))
     top = latest.top_per_key(pairs.filter(fresh).select("search_id", "listing_id", "first_seen_at"), ["search_id"], [F.col("first_seen_at").desc(), F.col("listing_id")], newest)

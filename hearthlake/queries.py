@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hearthlake.functions import geo, hashes, listing_text, tags, urls
 from hearthlake.functions.scalars import group, plain_number, round_half_up
-from hearthlake.operators import duplicates, incremental, latest, liveness, matching, merge, preference, quality, risk, spatial
+from hearthlake.operators import duplicates, incremental, latest, liveness, matching, merge, preference, quality, risk, spatial, subscriptions
 from hearthlake.operators.components import connected_components
 from hearthlake.plans import views
 from hearthlake.session import materialize
@@ -358,7 +358,9 @@ e AS (SELECT s.search_id, CAST(k AS VARCHAR) AS listing_id, NOT hidden AS eligib
 
 @query(_EVAL_SQL + " SELECT search_id, listing_id, eligible, eligible AND len(failed) = 0 AS matched, array_to_string(failed, ' ') AS failed, array_to_string(unknowns, ' ') AS unknowns FROM e")
 def criteria_eval(spark, sf):
-    rows = matching.match_searches(_searches(spark), _listings(read(spark, sf, "part"))).select("search_id", "listing_id", "result.*")
+    searches, listings = _searches(spark), _listings(read(spark, sf, "part"))
+    wanted = listings.select("listing_id", F.explode(F.array(*map(F.lit, ("s1", "s2", "s3")))).alias("search_id"))
+    rows = subscriptions.explain_pairs(wanted, searches, listings).select("search_id", "listing_id", "result.*")
     return rows.select("search_id", "listing_id", "eligible", "matched", F.array_join("failed", " ").alias("failed"), F.array_join("unknowns", " ").alias("unknowns"))
 
 
@@ -367,6 +369,31 @@ def watched_counts(spark, sf):
     return views.watched_searches(_searches(spark), _listings(read(spark, sf, "part")), F.lit("2024-01-01").cast("timestamp")).select("search_id", "matches")
 
 
+def _customer_searches(spark, sf):
+    """A saved search of each customer, with criteria of its own."""
+    k, low = F.col("c_custkey"), F.lit(900.0) + F.abs("c_acctbal") / 100
+    brand = lambda n: F.concat(F.lit("brand#"), (F.col("c_nationkey") + n).cast("string"))
+    return read(spark, sf, "customer").select(
+        k.cast("string").alias("search_id"), F.when(F.col("c_acctbal") > 0, low).alias("min_price"), F.when(F.col("c_mktsegment") != "FURNITURE", low + 8).alias("max_price"),
+        F.when(k % 3 == 0, (k % 4).cast("double")).alias("min_bedrooms"), F.when(k % 5 == 0, 2.0).alias("max_bedrooms"), F.when(F.col("c_mktsegment") != "BUILDING", F.array(brand(0), brand(1), brand(2))).alias("neighborhoods"),
+        (F.col("c_mktsegment") == "HOUSEHOLD").alias("require_cats_allowed"), F.when(k % 2 == 0, F.array(F.lit("in_unit"))).alias("laundry"), F.when(k % 7 == 0, F.array(F.lit("RED"))).alias("exclude_keywords"),
+    )
+
+
+@query("""WITH l AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice END AS price, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_partkey % 4 AS DOUBLE) END AS beds, CASE WHEN p_partkey % 11 <> 0 THEN lower(p_brand) END AS hood,
+    CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 2 = 0 END AS cats, ['in_unit', 'none', 'unknown'][CAST(p_partkey % 3 AS INT) + 1] AS laundry, lower(p_name || chr(10) || p_type) AS t, p_partkey % 9 = 0 AS hidden FROM part),
+c AS (SELECT c_custkey, 900.0::DOUBLE + abs(c_acctbal) / 100 AS low, c_acctbal, c_mktsegment, c_nationkey AS n FROM customer),
+s AS (SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN low END AS lo, CASE WHEN c_mktsegment <> 'FURNITURE' THEN low + 8 END AS hi, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 4 END AS least, CASE WHEN c_custkey % 5 = 0 THEN 2 END AS most,
+  CASE WHEN c_mktsegment <> 'BUILDING' THEN ['brand#' || n, 'brand#' || (n + 1), 'brand#' || (n + 2)] END AS hoods, c_mktsegment = 'HOUSEHOLD' AS cat, c_custkey % 2 = 0 AS lau, c_custkey % 7 = 0 AS red FROM c)
+SELECT CAST(c_custkey AS VARCHAR) AS search_id, CAST(k AS VARCHAR) AS listing_id, array_to_string(list_filter([CASE WHEN (least IS NOT NULL OR most IS NOT NULL) AND beds IS NULL THEN 'bedrooms' END, CASE WHEN hoods IS NOT NULL AND hood IS NULL THEN 'neighborhood' END,
+  CASE WHEN cat AND cats IS NULL THEN 'cat_policy' END, CASE WHEN lau AND laundry = 'unknown' THEN 'laundry' END], lambda x: x IS NOT NULL), ' ') AS unknowns
+FROM s JOIN l ON NOT hidden AND (lo IS NULL AND hi IS NULL OR price IS NOT NULL) AND coalesce(price >= lo, true) AND coalesce(price <= hi, true) AND coalesce(beds >= least, true) AND coalesce(beds <= most, true) AND (hoods IS NULL OR hood IS NULL OR list_contains(hoods, hood))
+  AND NOT (cat AND coalesce(NOT cats, false)) AND NOT (lau AND laundry = 'none') AND NOT (red AND contains(t, 'red'))""")
+def saved_search_matches(spark, sf):
+    rows = subscriptions.match_searches(_customer_searches(spark, sf), _listings(read(spark, sf, "part")))
+    return rows.select("search_id", "listing_id", F.array_join("result.unknowns", " ").alias("unknowns"))
+
+
 _DIGEST_SQL = """WITH c AS (SELECT o_custkey, o_orderstatus AS s, min(o_totalprice) AS price FROM orders WHERE o_orderdate >= DATE '1995-06-01' GROUP BY ALL), p AS (SELECT o_custkey, o_orderstatus AS s, min(o_totalprice) AS price FROM orders WHERE o_orderdate < DATE '1995-06-01' GROUP BY ALL)
 SELECT coalesce(c.s, p.s) AS search_id, CAST(coalesce(c.o_custkey, p.o_custkey) AS VARCHAR) AS listing_id, c.price,
   CASE WHEN c.s IS NOT NULL AND (p.s IS NULL OR p.o_custkey % 5 = 0) THEN 'new' WHEN c.s IS NOT NULL AND c.price < p.price THEN 'price_drop' WHEN c.s IS NOT NULL THEN 'unchanged' WHEN p.o_custkey % 4 <> 0 THEN 'dropped_out' ELSE 'gone' END AS kind

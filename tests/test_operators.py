@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from hearthlake.operators import duplicates, incremental, latest, liveness, matching, merge, preference, risk, spatial
+from hearthlake.operators import duplicates, incremental, latest, liveness, matching, merge, preference, risk, spatial, subscriptions
 from hearthlake.operators.components import connected_components
 from hearthlake.plans import views
 from hearthlake.sources import feeds, pages, robots
@@ -149,7 +149,8 @@ def test_criteria_property_matched_iff_no_failures(spark):
     listings = spark.createDataFrame([("x", 3000.0, None, None), ("y", None, 2.0, True), ("z", 900.0, 0.0, False)], "listing_id string, price_monthly double, bedrooms double, cats_allowed boolean")
     searches = spark.createDataFrame([("s", 2000.0, 1.0, True)], "search_id string, max_price double, min_bedrooms double, require_cats_allowed boolean")
     listings = listings.withColumn("available_date", F.lit(None).cast("date"))
-    for r in matching.match_searches(searches, listings).select("listing_id", "result.*").collect():
+    pairs = listings.select("listing_id", F.lit("s").alias("search_id"))
+    for r in subscriptions.explain_pairs(pairs, searches, listings).select("listing_id", "result.*").collect():
         assert r.matched == (r.eligible and not r.failed)
         want = {"x": (["price:above_max($3000)"], ["bedrooms", "cat_policy"]), "y": (["price:unknown"], []), "z": (["bedrooms:below_min", "cats:not_allowed"], [])}[r.listing_id]
         assert (r.failed, r.unknowns) == want

@@ -15,7 +15,11 @@ texts that differ, because two chunks share a hash, are segmented again by the
 bytes of their chunks. An n-best list can only change the ``n - 1`` chunks of a text whose
 second best path costs least. Over the lattice of those chunks a backward A-star
 search, with the forward scores as exact heuristic, takes the paths in falling
-order of score without ever expanding one that is not needed.
+order of score without ever expanding one that is not needed. Every open path can be
+finished at the score it is queued with, so only the first n open ones are kept,
+and among equals the one opened last goes first: the search takes n steps a piece
+however many paths are equally good. A chunk of over ``LONG_CHUNK`` bytes, such as a
+text without blanks, is gone through on its own, in time in proportion to its length.
 
 The model file must be of the BPE or unigram kind with byte fallback and without
 a normalisation table; its scores are used as they are. For a BPE model the best
@@ -31,7 +35,8 @@ column of the result are replaced by it.
 
 from __future__ import annotations
 
-import heapq
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -48,8 +53,10 @@ from hearthlake.llm.pieces import PieceHash
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
 BLOCK_CHARS = 3_000_000
-#: Chunks whose segmentation a worker keeps; then it begins anew.
-KEPT_CHUNKS = 1_000_000
+#: Chunks, and piece ids in them, that a worker keeps; then it begins anew.
+KEPT_CHUNKS, KEPT_IDS = 1_000_000, 20_000_000
+#: Bytes of a chunk beyond which it is gone through on its own, place by place; places at a time.
+LONG_CHUNK, LONG_BLOCK = 384, 1 << 16
 ENCODED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("others", T.ArrayType(T.ArrayType(T.IntegerType())))])
 
 
@@ -257,8 +264,96 @@ def viterbi(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces: Piec
     return score, gap, flat_ids[into], np.bincount(chunk, minlength=len(start))
 
 
+def long_edges(flat: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All edges of a chunk's lattice by their end, longest first: offsets by end, starts, ids, scores."""
+    piece = PieceHash(flat)
+    short, long = pieces.reach(piece, len(flat))
+    starts, lengths, ids, scores = [], [], [], []
+    for length in pieces.lengths:
+        at = np.arange(len(flat) - length + 1)
+        if length > 2:
+            at = at[(short if length < 6 else long)[at] >= length]
+        hit, place = pieces.lookup(piece(at, at + length)) if at.size else (at, at)
+        starts.append(at[hit])
+        lengths.append(np.full(len(hit), length))
+        ids.append(pieces.ids[place])
+        scores.append(pieces.scores[place])
+    # Bytes of characters that have no piece of their own.
+    chars = np.flatnonzero(_char_sizes(flat))
+    width = np.diff(np.r_[chars, len(flat)])
+    covered = np.zeros(len(chars), dtype=bool)
+    covered[pieces.lookup(piece(chars, chars + width))[0]] = True
+    alone = np.flatnonzero(np.repeat(~covered, width))
+    starts.append(alone)
+    lengths.append(np.ones(len(alone), dtype=np.int64))
+    ids.append(pieces.byte_id[flat[alone]])
+    scores.append(pieces.unknown / np.repeat(width, width)[alone])
+    start, length = np.concatenate(starts), np.concatenate(lengths)
+    end = start + length
+    order = np.lexsort((-length, end))  # a spelled byte comes after a piece of its own length, as it was added last
+    offsets = np.searchsorted(end[order], np.arange(len(flat) + 2))
+    return offsets, start[order], np.concatenate(ids)[order].astype(np.int64), np.concatenate(scores)[order]
+
+
+def long_viterbi(flat: np.ndarray, pieces: Pieces) -> tuple[float, float, np.ndarray]:
+    """Best score of one long chunk, the gap to the second best path, and the ids of the best."""
+    offsets, start, ids, scores = long_edges(flat, pieces)
+    n, none = len(flat), -np.inf
+    best, second = [0.0], [none]
+    via = np.zeros(n + 1, dtype=np.int64)
+    for a in range(1, n + 1, LONG_BLOCK):
+        b = min(a + LONG_BLOCK, n + 1)
+        low = int(offsets[a])
+        at = (offsets[a : b + 1] - low).tolist()
+        source, score = start[low : offsets[b]].tolist(), scores[low : offsets[b]].tolist()
+        for e in range(b - a):
+            b1, b2, edge = none, none, -1
+            for k in range(at[e], at[e + 1]):
+                x = best[source[k]] + score[k]
+                if x > b1:
+                    b2 = max(b1, second[source[k]] + score[k])
+                    b1, edge = x, k
+                elif x > b2:
+                    b2 = x
+            best.append(b1)
+            second.append(b2)
+            via[a + e] = low + edge
+    path, e = [], n
+    while e:
+        path.append(ids[via[e]])
+        e = int(start[via[e]])
+    return best[n], best[n] - second[n], np.array(path[::-1], dtype=np.int32)
+
+
+def best_of_chunks(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``viterbi`` over the chunks, of which long ones are gone through one by one."""
+    size = ends - starts
+    large = size > LONG_CHUNK
+    if not large.any():
+        return viterbi(flat, starts, ends, pieces)
+    few = np.flatnonzero(~large)
+    end = np.cumsum(size[few])
+    begin = end - size[few]
+    own = flat[np.repeat(starts[few] - begin, size[few]) + np.arange(int(size[few].sum()))]
+    score, gap, count = np.zeros(len(size)), np.zeros(len(size)), np.zeros(len(size), dtype=np.int64)
+    parts: list[np.ndarray] = [np.zeros(0, dtype=np.int32)] * len(size)
+    if few.size:
+        score[few], gap[few], ids, count[few] = viterbi(own, begin, end, pieces)
+        for i, part in zip(few.tolist(), np.split(ids, np.cumsum(count[few])[:-1]), strict=True):
+            parts[i] = part
+    for i in np.flatnonzero(large).tolist():
+        score[i], gap[i], parts[i] = long_viterbi(flat[starts[i] : ends[i]], pieces)
+        count[i] = len(parts[i])
+    return score, gap, np.concatenate(parts), count
+
+
 def lattice(chunk: bytes, pieces: Pieces) -> list[list[tuple[int, int, float]]]:
     """Edges (start, id, score) that end at each place of a chunk, longest first."""
+    if len(chunk) > LONG_CHUNK:
+        offsets, start, ids, scores = long_edges(np.frombuffer(chunk, dtype=np.uint8), pieces)
+        flat = list(zip(start.tolist(), ids.tolist(), scores.tolist(), strict=True))
+        bounds = offsets.tolist()
+        return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     edges: list[list[tuple[int, int, float]]] = [[] for _ in range(len(chunk) + 1)]
     top = pieces.lengths[-1]
     for e in range(1, len(chunk) + 1):
@@ -276,7 +371,9 @@ def lattice(chunk: bytes, pieces: Pieces) -> list[list[tuple[int, int, float]]]:
 
 
 def nbest_paths(chunks: list[bytes], pieces: Pieces, n: int) -> list[tuple[float, list[list[int]]]]:
-    """The n best paths through a chain of chunks: score, and ids by chunk. Chains that come again are kept."""
+    """The n best paths through a chain of chunks: score, and ids by chunk. Chains of short chunks that come again are kept."""
+    if any(len(c) > LONG_CHUNK for c in chunks):
+        return _nbest_paths(chunks, pieces, n)
     key = (n, *chunks)
     if key not in pieces.paths:
         if len(pieces.paths) > 50_000:
@@ -286,31 +383,42 @@ def nbest_paths(chunks: list[bytes], pieces: Pieces, n: int) -> list[tuple[float
 
 
 def _nbest_paths(chunks: list[bytes], pieces: Pieces, n: int) -> list[tuple[float, list[list[int]]]]:
-    edges: list[list[tuple[int, int, float]]] = [[]]
+    # Scores in whole steps of 2**-32, so that sums do not depend on their order and equal paths are equal.
+    step = 2.0**32
+    edges: list[list[tuple[int, int, int]]] = [[]]
     ends = []
     for c in chunks:
         base = len(edges) - 1
-        edges += [[(s + base, i, x) for s, i, x in at] for at in lattice(c, pieces)[1:]]
+        edges += [[(s + base, i, round(x * step)) for s, i, x in at] for at in lattice(c, pieces)[1:]]
         ends.append(len(edges) - 1)
-    forward = [0.0] + [-np.inf] * (len(edges) - 1)
+    forward: list[int | None] = [0] + [None] * (len(edges) - 1)
     for e in range(1, len(edges)):
-        forward[e] = max((forward[s] + x for s, _, x in edges[e]), default=-np.inf)
+        forward[e] = max((forward[s] + x for s, _, x in edges[e] if forward[s] is not None), default=None)
+    if forward[-1] is None:
+        return []
+    # Open paths, the best last: (score when finished, order of opening, place, score behind it, last step taken).
+    steps_at, steps_id, steps_before = array("q"), array("q"), array("q")
     count = 0
-    heap = [(-forward[-1], 0, len(edges) - 1, 0.0, None)]
+    open_: list[tuple[int, int, int, int, int]] = [(forward[-1], 0, len(edges) - 1, 0, -1)]
     found: list[tuple[float, list[list[int]]]] = []
-    while heap and len(found) < n:
-        _, _, at, behind, path = heapq.heappop(heap)
+    while open_ and len(found) < n:
+        _, _, at, behind, last = open_.pop()
         if at == 0:
             by_chunk: list[list[int]] = [[] for _ in chunks]
-            while path is not None:
-                (e, i), path = path
-                by_chunk[int(np.searchsorted(ends, e))].append(i)
-            found.append((behind, by_chunk))
+            while last >= 0:
+                by_chunk[bisect_left(ends, steps_at[last])].append(steps_id[last])
+                last = steps_before[last]
+            found.append((behind / step, by_chunk))
             continue
-        for s, i, x in edges[at]:
-            if forward[s] > -np.inf:
+        for s, i, x in reversed(edges[at]):  # the longest is opened last
+            if forward[s] is not None:
                 count += 1
-                heapq.heappush(heap, (-(forward[s] + x + behind), count, s, behind + x, ((at, i), path)))
+                steps_at.append(at)
+                steps_id.append(i)
+                steps_before.append(last)
+                open_.append((forward[s] + x + behind, count, s, behind + x, len(steps_at) - 1))
+        open_.sort()
+        del open_[: max(0, len(open_) - (n - len(found)))]
     return found
 
 
@@ -334,7 +442,7 @@ def segment(texts: list[str], pieces: Pieces, n: int = 3, exact: bool = False) -
         hashes = PieceHash(flat)(starts, ends)
     _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
     # The distinct chunks that are new, on their own.
-    if len(pieces.chunks.score) > KEPT_CHUNKS:
+    if len(pieces.chunks.score) > KEPT_CHUNKS or len(pieces.chunks.ids) > KEPT_IDS:
         pieces.chunks = Chunks()
     kept, distinct = Chunks() if exact else pieces.chunks, hashes[first]
     new = np.flatnonzero(kept.find(distinct) < 0)
@@ -343,7 +451,7 @@ def segment(texts: list[str], pieces: Pieces, n: int = 3, exact: bool = False) -
         size = (ends - starts)[at]
         own_end = np.cumsum(size)
         own = flat[np.repeat(starts[at] - (own_end - size), size) + np.arange(own_end[-1])]
-        kept.add(distinct[new], *viterbi(own, own_end - size, own_end, pieces))
+        kept.add(distinct[new], *best_of_chunks(own, own_end - size, own_end, pieces))
     which = kept.find(distinct)[which]
     score, gap, count, ids = kept.score, kept.gap, kept.count, kept.ids
     words = np.searchsorted(starts, bounds)  # chunks of each text
@@ -363,7 +471,8 @@ def segment(texts: list[str], pieces: Pieces, n: int = 3, exact: bool = False) -
                 chosen = [joined[starts[a + i] : ends[a + i]] for i in pick.tolist()]
                 found = nbest_paths(chosen, pieces, n)
                 base = float(score[mine[pick]].sum())
-                for s, by_chunk in found[1:]:
+                first_path = [best[ends_here[i] - c[i] : ends_here[i]].tolist() for i in pick.tolist()]
+                for s, by_chunk in [f for f in found if f[1] != first_path][: n - 1]:
                     scores.append(total - base + s)
                     parts, at = [], 0
                     for i, new in zip(pick.tolist(), by_chunk, strict=True):

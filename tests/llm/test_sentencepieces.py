@@ -95,3 +95,31 @@ def test_n_best_match_an_independent_lattice():
         assert np.allclose(scores, [s for s, _ in want]), t
         if len(want) > 1 and want[0][0] > want[1][0]:
             assert tuple(ids.tolist()) == want[0][1], t
+
+
+def test_equal_scores_in_long_chunks():
+    pieces = sp.load(sp.MODEL)
+    for t in ("q" * 60, "qa" * 30, "\u4e2d\u6587" * 40):
+        ids, scores, others = sp.segment([t], pieces, 4)[0]
+        want = independent_paths(t, 4)
+        assert np.allclose(scores, [s for s, _ in want]) and len({tuple(o) for o in [ids, *others]}) == len(want)
+    draw = np.random.default_rng(1)
+    for t in ("q" * 1000, "".join(draw.choice(list("abcdet"), 900)), "\u7684\u4e00\u662f\u4e0d" * 120, "\U0001f642" * 150):  # one chunk each, place by place and by offsets
+        flat = np.frombuffer(sp.escaped(t), dtype=np.uint8)
+        score, gap, ids = sp.long_viterbi(flat, pieces)
+        plain = sp.viterbi(flat, np.array([0]), np.array([len(flat)]), pieces)
+        assert np.isclose(score, plain[0][0]) and (np.isclose(gap, plain[1][0]) or gap == plain[1][0]) and ids.tolist() == plain[2].tolist()
+        small = sp.lattice(flat.tobytes()[:300], pieces)
+        assert sp.long_edges(flat[:300], pieces)[0].tolist() == np.cumsum([0, *map(len, small)]).tolist()
+
+
+def test_texts_without_blanks_take_time_in_proportion():
+    import time
+
+    pieces = sp.load(sp.MODEL)
+    for t in ("q" * 1_000_000, "\u7684\u4e00\u662f\u4e0d\u4e86\u4eba\u6211\u5728" * 40_000):
+        began = time.perf_counter()
+        ids, scores, others = sp.segment([t], pieces, 3)[0]
+        assert time.perf_counter() - began < 60
+        assert all(sp.join_pieces(o.astype(np.int64), np.array([0, len(o)]), pieces) == [t] for o in [ids, *others])
+    assert sp.segment(["q" * 1001], pieces, 3)[0][1] == [sp.segment(["q" * 1001], pieces, 3)[0][1][0]] * 3

@@ -122,4 +122,5 @@ def test_texts_without_blanks_take_time_in_proportion():
         ids, scores, others = sp.segment([t], pieces, 3)[0]
         assert time.perf_counter() - began < 60
         assert all(sp.join_pieces(o.astype(np.int64), np.array([0, len(o)]), pieces) == [t] for o in [ids, *others])
-    assert sp.segment(["q" * 1001], pieces, 3)[0][1] == [sp.segment(["q" * 1001], pieces, 3)[0][1][0]] * 3
+    scores = sp.segment(["q" * 2000], pieces, 3)[0][1]
+    assert scores == scores[:1] * 3

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from hearthlake.functions.hashes import record_id
@@ -112,13 +112,27 @@ def price_observations(merged: DataFrame, now: Column, run_id: Column) -> DataFr
     return rows.select(record_id("prc", F.col("listing_id"), run_id).alias("price_id"), "listing_id", "price_monthly", "price_effective_monthly", run_id.alias("run_id"), now.alias("observed_at"))
 
 
-def run_counters(merged: DataFrame) -> DataFrame:
-    """One row of counters of a merge."""
+def counters() -> list[Column]:
+    """Counters of a merge, to be aggregated or observed over its rows."""
     kind = F.col("change.kind")
-    return merged.agg(
+    return [
         F.count_if(kind == "new").alias("n_new"), F.count_if(kind == "changed").alias("n_changed"), F.count_if(kind == "unchanged").alias("n_unchanged"),
         F.count_if("change.price_changed").alias("n_price_changes"), F.count_if("change.reappeared").alias("n_reappeared"), F.count_if("change.observed").alias("n_observed"),
-    )
+    ]
+
+
+def run_counters(merged: DataFrame) -> DataFrame:
+    """One row of counters of a merge."""
+    return merged.agg(*counters())
+
+
+def observed(merged: DataFrame) -> tuple[DataFrame, Observation]:
+    """``merged`` and its counters, which the job that writes or reads it fills on the way.
+
+    Nothing may run the rows a second time in between, such as a shuffle by ranges, which samples them first.
+    """
+    seen = Observation()
+    return merged.observe(seen, *counters()), seen
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,18 +6,21 @@ phrase from a fixed list is chosen by the row's key, on both sides alike.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from hearthlake.functions import geo, hashes, listing_text, tags, urls
 from hearthlake.functions.scalars import group, plain_number, round_half_up
 from hearthlake.operators import duplicates, incremental, latest, liveness, matching, merge, preference, quality, risk, spatial, subscriptions
 from hearthlake.operators.components import connected_components
 from hearthlake.plans import views
-from hearthlake.session import materialize
+from hearthlake.session import materialize, shared_folder
 from hearthlake.sources import feeds, pages, robots
+from hearthlake.sources.merge_table import MergeTable
 from hearthlake.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -431,16 +434,16 @@ def _merged(spark, sf):
         F.col("event_type").alias("title"), none.cast("string").alias("neighborhood"), F.lit("active").alias("listing_status"), F.sha2(F.col("event_type"), 256).alias("content_hash"), none.cast("double").alias("latitude"),
         none.cast("double").alias("longitude"), none.cast("string").alias("geocode_precision"), F.array().cast("array<string>").alias("photos"), F.col("props").alias("description"), *more,
     )
-    batch = shape(events.filter("day > 15"), F.when(F.col("event_id") % 2 == 0, "detail").otherwise("card").alias("fetch_depth"), F.col("event_id").alias("batch_pos"))
-    old = latest.latest_per_key(events.filter("day <= 15 and user_id % 3 <> 0"), ["user_id"], ["event_id"])
+    batch = shape(events.filter("day > 1"), F.when(F.col("event_id") % 2 == 0, "detail").otherwise("card").alias("fetch_depth"), F.col("event_id").alias("batch_pos"))
+    old = latest.latest_per_key(events.filter("day = 1"), ["user_id"], ["event_id"])
     now = F.lit("2024-01-16").cast("timestamp")
     snapshot = shape(old, F.concat(F.lit("L"), F.col("user_id").cast("string")).alias("listing_id"), F.lit("2024-01-01").cast("timestamp").alias("first_seen_at"), F.lit("2024-01-15").cast("timestamp").alias("last_seen_at"),
         F.when(F.col("user_id") % 2 == 0, "missing_once").otherwise("active").alias("stale_status"), none.cast("timestamp").alias("missing_since"), none.cast("timestamp").alias("detail_fetched_at"), none.cast("string").alias("run_id"))
     return merge.merge_batch(snapshot, merge.fold_batch(batch, detail), now, F.lit("r2"), detail), now
 
 
-_MERGE_SQL = """WITH b AS (SELECT user_id, arg_max(value, event_id) AS price, arg_max(event_type, event_id) AS kind, arg_max(props, event_id) FILTER (WHERE event_id % 2 = 0) AS props, bool_or(event_id % 2 = 0) AS detail FROM events WHERE day(ts) > 15 GROUP BY user_id),
-o AS (SELECT user_id, arg_max(value, event_id) AS price, arg_max(event_type, event_id) AS kind, arg_max(props, event_id) AS props FROM events WHERE day(ts) <= 15 AND user_id % 3 <> 0 GROUP BY user_id),
+_MERGE_SQL = """WITH b AS (SELECT user_id, arg_max(value, event_id) AS price, arg_max(event_type, event_id) AS kind, arg_max(props, event_id) FILTER (WHERE event_id % 2 = 0) AS props, bool_or(event_id % 2 = 0) AS detail FROM events WHERE day(ts) > 1 GROUP BY user_id),
+o AS (SELECT user_id, arg_max(value, event_id) AS price, arg_max(event_type, event_id) AS kind, arg_max(props, event_id) AS props FROM events WHERE day(ts) = 1 GROUP BY user_id),
 m AS (SELECT coalesce(b.user_id, o.user_id) AS user_id, b.user_id IS NOT NULL AS seen, o.user_id IS NOT NULL AS known, o.price AS old_price, coalesce(b.price, o.price) AS price, coalesce(b.kind, o.kind) AS kind, o.kind AS old_kind, b.detail,
   CASE WHEN o.user_id IS NULL OR b.detail THEN coalesce(b.props, o.props) ELSE o.props END AS props FROM b FULL JOIN o ON b.user_id = o.user_id),
 c AS (SELECT *, coalesce(known AND seen AND old_price <> price, false) AS pc, coalesce(known AND seen AND detail AND old_kind <> kind, false) AS hc FROM m)"""
@@ -468,6 +471,47 @@ def price_history(spark, sf):
     return merge.price_observations(merged, now, F.lit("r2")).join(merged.select("listing_id", "source_listing_id"), "listing_id").select("source_listing_id", "price_monthly")
 
 
+def _merge_table(spark, sf):
+    """The events of a month as three batches, merged one after the other into a table of its own."""
+    events = read(spark, sf, "events").withColumn("day", F.dayofmonth("ts"))
+    none = F.lit(None)
+    rows = events.select(
+        F.concat(F.lit("s"), F.col("user_id") % 10).alias("source_id"), F.col("user_id").cast("string").alias("source_listing_id"), F.col("value").alias("price_monthly"), none.cast("double").alias("price_effective_monthly"), none.cast("string").alias("price_raw"),
+        F.col("event_type").alias("title"), none.cast("string").alias("neighborhood"), F.lit("active").alias("listing_status"), F.sha2(F.col("event_type"), 256).alias("content_hash"), none.cast("double").alias("latitude"),
+        none.cast("double").alias("longitude"), none.cast("string").alias("geocode_precision"), F.array().cast("array<string>").alias("photos"), F.col("props").alias("description"),
+        F.when(F.col("event_id") % 2 == 0, "detail").otherwise("card").alias("fetch_depth"), F.col("event_id").alias("batch_pos"), F.least(F.floor((F.col("day") - 1) / 10), F.lit(2)).alias("part"),
+    )
+    kept = "listing_id string, first_seen_at timestamp, last_seen_at timestamp, stale_status string, missing_since timestamp, detail_fetched_at timestamp, run_id string"
+    schema = StructType([*rows.drop("fetch_depth", "batch_pos", "part").schema.fields, *spark.createDataFrame([], kept).schema.fields])
+    table = MergeTable(spark, f"{shared_folder(spark)}/merge-{uuid.uuid4().hex}", schema, ["description"])
+    for part in range(3):
+        table.merge(rows.filter(F.col("part") == part).drop("part"), f"part {part}", F.lit(f"2024-01-{part + 1}1").cast("timestamp"), F.lit(f"r{part}"))
+    return table
+
+
+_PARTS_SQL = """WITH b AS (SELECT user_id, LEAST((day(ts) - 1) // 10, 2) AS part, arg_max(value, event_id) AS price, arg_max(event_type, event_id) AS kind, arg_max(props, event_id) FILTER (WHERE event_id % 2 = 0) AS props, bool_or(event_id % 2 = 0) AS detail FROM events GROUP BY ALL),
+w AS (SELECT *, lag(price) OVER u AS old_price, lag(part) OVER u IS NOT NULL AS known, last_value(CASE WHEN detail THEN kind ELSE CASE WHEN first_of THEN kind END END IGNORE NULLS) OVER (u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old_kind
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY part) = 1 AS first_of FROM b) WINDOW u AS (PARTITION BY user_id ORDER BY part)),
+c AS (SELECT *, coalesce(known AND old_price <> price, false) AS pc, coalesce(known AND detail AND old_kind <> kind, false) AS hc FROM w)"""
+
+
+@query(_PARTS_SQL + """ SELECT 's' || (user_id % 10) AS source_id, CAST(user_id AS VARCHAR) AS source_listing_id, arg_max(price, part) AS price_monthly, arg_max(kind, part) AS title, arg_max(props, part) FILTER (WHERE props IS NOT NULL) AS description,
+  'r' || max(part) AS run_id, TIMESTAMP '2024-01-01' + INTERVAL (min(part) * 10 + 10) DAY AS first_seen_at, TIMESTAMP '2024-01-01' + INTERVAL (max(part) * 10 + 10) DAY AS last_seen_at FROM c GROUP BY user_id""")
+def merge_table(spark, sf):
+    return _merge_table(spark, sf).read().select("source_id", "source_listing_id", "price_monthly", "title", "description", "run_id", "first_seen_at", "last_seen_at")
+
+
+@query(_PARTS_SQL + """, e AS (SELECT part, 'first_seen' AS event_type FROM c WHERE NOT known UNION ALL SELECT part, 'price_change' FROM c WHERE pc UNION ALL SELECT part, 'content_change' FROM c WHERE hc AND NOT pc)
+SELECT 'r' || part AS run_id, event_type, count(*) AS n FROM e GROUP BY ALL UNION ALL SELECT 'r' || part, 'price row', count(*) FROM c WHERE NOT known OR pc GROUP BY part
+UNION ALL SELECT 'r' || part, 'new', count(*) FILTER (WHERE NOT known) FROM c GROUP BY part UNION ALL SELECT 'r' || part, 'changed', count(*) FILTER (WHERE pc OR hc) FROM c GROUP BY part UNION ALL SELECT 'r' || part, 'unchanged', count(*) FILTER (WHERE known AND NOT pc AND NOT hc) FROM c GROUP BY part""")
+def merge_table_log(spark, sf):
+    """Events, price rows and observed counters of each merge."""
+    table = _merge_table(spark, sf)
+    counted = lambda df, kind: df.groupBy("run_id", kind.alias("event_type")).agg(F.count(F.lit(1)).alias("n"))
+    seen = [(f"r{e['batch'][-1]}", k, e["counts"][f"n_{k}"]) for e in table.entries() for k in ("new", "changed", "unchanged")]
+    return counted(table.events(), F.col("event_type")).unionByName(counted(table.prices(), F.lit("price row"))).unionByName(spark.createDataFrame(seen, "run_id string, event_type string, n long"))
+
+
 @query("""WITH u AS (SELECT DISTINCT user_id FROM events), d AS (SELECT user_id, max(CAST(ts AS DATE)) AS last FROM events GROUP BY user_id), m AS (SELECT max(CAST(ts AS DATE)) AS today FROM events)
 SELECT user_id, CASE LEAST(date_diff('day', last, today), 3) WHEN 0 THEN 'active' WHEN 1 THEN 'missing_once' WHEN 2 THEN 'missing_multiple_runs' ELSE 'likely_unavailable' END AS status FROM d, m""")
 def liveness_chain(spark, sf):

@@ -10,22 +10,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from hearthlake.operators import merge
 from hearthlake.operators.liveness import STEPS
-from hearthlake.sources.store import SnapshotStore
+from hearthlake.sources.merge_table import MergeTable
 
 
-def merge_stream(batches: DataFrame, store: SnapshotStore, schema: str, detail_fields: list[str], checkpoint: str) -> StreamingQuery:
-    """Merge each micro-batch into the stored snapshot. A batch that comes again gives the same ids and replaces its rows."""
+def merge_stream(batches: DataFrame, table: MergeTable, checkpoint: str, name: str = "stream") -> StreamingQuery:
+    """Merge each micro-batch of observations (with ``observed_at``) into the table, once each.
+
+    A batch that comes again after a crash is found in the table's log, or starts
+    from the version it started from before, see ``MergeTable``. Its time is
+    that of its newest observation, so a repeated batch writes the same values.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        now, run = F.lit(pd.Timestamp("1970-01-01")) if batch.isEmpty() else F.lit(batch.agg(F.max("observed_at")).first()[0]), F.lit(f"run_{batch_id}")
-        folded = merge.fold_batch(batch.drop("observed_at"), detail_fields)
-        merged = merge.merge_batch(store.read("listings", schema), folded, now, run, detail_fields).persist()
-        store.append("listing_events", merge.events_of(merged, now, run), batch_id)
-        store.append("price_history", merge.price_observations(merged, now, run), batch_id)
-        store.write("listings", merge.snapshot_of(merged))
-        merged.unpersist()
+        newest = batch.agg(F.max("observed_at").alias("at")).first()["at"]
+        if newest is not None:
+            table.merge(batch.drop("observed_at"), f"{name}-{batch_id}", F.lit(newest), F.lit(f"run_{name}_{batch_id}"))
 
     return batches.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -10,8 +10,6 @@ from hearthlake.operators import duplicates, incremental, latest, liveness, matc
 from hearthlake.operators.components import connected_components
 from hearthlake.plans import views
 from hearthlake.sources import feeds, pages, robots
-from hearthlake.sources.store import SnapshotStore
-from hearthlake.streaming import ingest
 
 CANDIDATE = (
     "nid long, id string, source_id string, source_listing_id string, original_url string, title string, price_monthly double, bedrooms double, bathrooms double, neighborhood string, address_raw string,"
@@ -252,18 +250,6 @@ def test_latest_and_trend(spark):
     assert latest.boundary(runs.limit(1), "at").first().boundary is None
 
 
-def test_stream_merges_once_per_batch(spark, tmp_path):
-    store, source = SnapshotStore(spark, str(tmp_path / "store")), str(tmp_path / "in")
-    rows = batch(spark, {"source_listing_id": "1", "price_monthly": 1.0}).withColumn("observed_at", F.lit(pd.Timestamp("2024-01-01")))
-    for day, price in ((1, 1.0), (2, 2.0)):
-        rows.withColumns({"price_monthly": F.lit(price), "observed_at": F.lit(pd.Timestamp(f"2024-01-0{day}"))}).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(rows.schema).parquet(source)
-        ingest.merge_stream(stream, store, SNAPSHOT, DETAIL, str(tmp_path / "ck")).awaitTermination(120)
-    assert store.read("listings", SNAPSHOT).first().price_monthly == 2.0 and store.version("listings") == 2
-    events = store.read_appended("listing_events", "listing_id string, event_type string, batch int")
-    assert sorted(r.event_type for r in events.collect()) == ["first_seen", "price_change"]
-
-
 def test_plan_of_latest_per_key_combines_before_the_shuffle(spark):
     plan = latest.latest_per_key(spark.range(10).selectExpr("id % 2 as k", "id as at"), ["k"], ["at"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("partial_max_by") == 1 and "Window" not in plan

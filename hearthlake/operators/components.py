@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from hearthlake.session import materialize
 
+#: Rounds whose pointers are followed in one plan.
+ROUNDS_A_PLAN = 3
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """Rows ``(id, component_id)`` for every vertex that has an edge to another one.
@@ -56,13 +59,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    # Follow the pointers of the rounds from the last one back.
+    # Follow the pointers of the rounds from the last one back; a few rounds at a time, as one plan of all keeps the driver busy with dozens of stages at once.
     found = maps[-1].select(F.col("u").alias("id"), F.col("to").alias("root"))
-    for step in reversed(maps[:-1]):
+    for k, step in enumerate(reversed(maps[:-1]), 1):
         found = (
             step.select(F.col("u").alias("id"), F.col("to"))
             .join(found.select(F.col("id").alias("to"), "root"), "to", "left")
             .select("id", F.coalesce("root", "to").alias("root"))
         )
+        if k % ROUNDS_A_PLAN == 0:
+            found = materialize(found)
     smallest = found.groupBy("root").agg(F.min("id").alias("component_id"))
     return found.join(smallest, "root").select("id", "component_id")

@@ -429,7 +429,7 @@ def _similar(docs: DataFrame, words: int, similarity: float, lanes: int, recall:
     found = connected_components(links_within(classes, sampled_masks(lanes, classes.count(), loose, recall), radius, bucket_rows))
     members = materialize(classes.select("cid", F.col("first.row").alias("__row")).join(found.select(F.col("id").alias("cid"), F.col("component_id").alias("group")), "cid"))
     texts = rows.select("__row", F.col(text_col).cast("string").alias("t"))
-    same = resembling_components(members, texts, words, similarity, chunk_texts)
+    same = materialize(resembling_components(members, texts, words, similarity, chunk_texts))
     rooted = classes.join(same.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("component_id", "cid")).drop("component_id")
     named = rooted.drop("first").join(rooted.groupBy("root").agg(F.min("first").alias("first")), "root").select(*names, "first")
     return rows, prints.join(named, names).select("row", "first")

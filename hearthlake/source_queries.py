@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hearthlake.operators import geocoding
 from hearthlake.plans import views
 from hearthlake.queries import query, read
-from hearthlake.sources import registry, units
+from hearthlake.session import shared_folder
+from hearthlake.sources import payload_source, registry, units
 
 NOW = "1998-07-01"
 
@@ -66,14 +69,30 @@ def _sources(spark, sf):
     return read(spark, sf, "supplier").select(k.alias("id"), kind.alias("adapter_type"), (k % 5 != 0).alias("enabled"))
 
 
-@query("""SELECT CASE s_suppkey % 4 WHEN 0 THEN CAST(s_suppkey AS VARCHAR) ELSE s_suppkey || '-2 BR' END AS source_listing_id, 'T' || s_suppkey AS title, CASE s_suppkey % 4 WHEN 0 THEN 'posts_json' ELSE 'unit_types_json' END AS adapter_type,
-  CASE s_suppkey % 4 WHEN 0 THEN 'http://p/' || s_suppkey END AS original_url FROM supplier WHERE s_suppkey % 4 IN (0, 1) AND s_suppkey % 5 <> 0""")
-def registered_sources(spark, sf):
+def _payloads(spark, sf):
     k, name = F.col("s_suppkey"), F.concat(F.lit("T"), "s_suppkey")
     post = F.to_json(F.array(F.struct(k.alias("id"), F.concat(F.lit("http://p/"), k).alias("link"), F.struct(name.alias("rendered")).alias("title"), F.struct(F.lit("<p>home</p>").alias("rendered")).alias("content"))))
     unit = F.to_json(F.struct(k.cast("string").alias("id"), name.alias("name"), F.array(F.struct(F.lit("2 BR").alias("unitType"), F.lit("$900").alias("rent"), F.lit(1).alias("count"))).alias("general")))
-    payloads = read(spark, sf, "supplier").select(k.alias("source_id"), F.when(k % 4 == 0, post).otherwise(unit).alias("payload"))
-    return registry.read_sources(payloads, _sources(spark, sf)).select("source_listing_id", "title", "adapter_type", "original_url")
+    return read(spark, sf, "supplier").select(k.alias("source_id"), F.when(k % 4 == 0, post).otherwise(unit).alias("payload"))
+
+
+_REGISTERED_SQL = """SELECT CASE s_suppkey % 4 WHEN 0 THEN CAST(s_suppkey AS VARCHAR) ELSE s_suppkey || '-2 BR' END AS source_listing_id, 'T' || s_suppkey AS title, CASE s_suppkey % 4 WHEN 0 THEN 'posts_json' ELSE 'unit_types_json' END AS adapter_type,
+  CASE s_suppkey % 4 WHEN 0 THEN 'http://p/' || s_suppkey END AS original_url FROM supplier WHERE s_suppkey % 4 IN (0, 1) AND s_suppkey % 5 <> 0"""
+
+
+@query(_REGISTERED_SQL)
+def registered_sources(spark, sf):
+    return registry.read_sources(_payloads(spark, sf), _sources(spark, sf)).select("source_listing_id", "title", "adapter_type", "original_url")
+
+
+@query(_REGISTERED_SQL)
+def landed_sources(spark, sf):
+    """The same through a landing folder and the data source that reads it."""
+    payload_source.register(spark)
+    folder = f"{shared_folder(spark)}/landing-{uuid.uuid4().hex}"
+    sources = _sources(spark, sf)
+    payload_source.write_batch(_payloads(spark, sf).join(sources.select(F.col("id").alias("source_id"), "adapter_type"), "source_id"), folder, 0)
+    return payload_source.read_listings(spark, folder, sources).select("source_listing_id", "title", "adapter_type", "original_url")
 
 
 @query("""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 = 0 THEN 'disabled' WHEN s_suppkey % 4 = 2 THEN 'no reader for unheard_of' ELSE 'no reader for none' END AS reason FROM supplier WHERE s_suppkey % 5 = 0 OR s_suppkey % 4 > 1""")

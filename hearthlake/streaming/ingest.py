@@ -1,16 +1,11 @@
-"""Ingestion as a stream: batches of observations merged run by run, and liveness as keyed state."""
+"""Ingestion as a stream: batches of observations merged run by run, and counts by window."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from hearthlake.operators.liveness import STEPS
 from hearthlake.sources.merge_table import MergeTable
 
 
@@ -30,25 +25,6 @@ def merge_stream(batches: DataFrame, table: MergeTable, checkpoint: str, name: s
     return batches.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def liveness_stream(sightings: DataFrame, runs_between: str = "run_no") -> DataFrame:
-    """Liveness per key from a stream of (key, run_no, seen): each run that misses a key moves it on a step.
-
-    The state of a key is two fields; rows of one micro-batch are taken in the order of their runs.
-    """
-
-    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, last = state.get if state.exists else ("active", -1)
-        for part in rows:
-            for run_no, seen in sorted(zip(part[runs_between].tolist(), part["seen"].tolist(), strict=True)):
-                if run_no <= last:
-                    continue
-                status, last = ("active" if seen else STEPS.get(status, status)), int(run_no)
-        state.update((status, last))
-        yield pd.DataFrame({"key": [key[0]], "status": [status], "run_no": [last]})
-
-    return sightings.groupBy("key").applyInPandasWithState(step, "key long, status string, run_no long", "status string, run_no long", "update", GroupStateTimeout.NoTimeout)
-
-
 def counts_by_window(events: DataFrame, ts: str = "ts", kind: str = "event_type", width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and sums by event-time window with a bound on lateness (beyond the reference)."""
     marked = events.withWatermark(ts, late) if events.isStreaming else events

@@ -6,33 +6,76 @@ round's order is that of the ids, which contracts stars around their smallest
 vertex at once; each later round draws a random one. Random orders keep pointer chains short, so the edge
 table shrinks by a constant factor a round whatever the shape of the graph.
 Only joins and partial aggregations are used; nothing is collected but the
-number of edges left.
+number of edges left. ``local_passes`` contract the edges within tasks before
+that: every task replaces a bounded number of edges at a time by stars around the
+smallest vertex of what they connect, so that few rounds are left.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthlake.session import materialize
+from hearthlake.session import materialize, shuffle_partitions
 
 #: Rounds whose pointers are followed in one plan.
 ROUNDS_A_PLAN = 3
+#: Edges that a task contracts at a time.
+LOCAL_EDGES = 1_000_000
+
+
+def spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links to the smallest of 0..n-1 of each component of the pairs (a, b), one for each other member."""
+    label = np.arange(n)
+    while a.size:
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label != label[label]).any():
+            label = label[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    rows = np.flatnonzero(label != np.arange(n))
+    return rows, label[rows]
+
+
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges (u, v) of the same components, u the smallest vertex of what LOCAL_EDGES of the given ones connect."""
+
+    def contract(held: list[np.ndarray]) -> pd.DataFrame:
+        edges = np.concatenate(held)
+        names, at = np.unique(edges, return_inverse=True)
+        a, b = at.reshape(edges.shape).T
+        member, root = spanning(a, b, len(names))
+        return pd.DataFrame({"u": names[root], "v": names[member]})
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch[["u", "v"]].to_numpy(dtype=np.int64))
+        n += len(batch)
+        if n >= LOCAL_EDGES:
+            yield contract(held)
+            held, n = [], 0
+    if n:
+        yield contract(held)
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, local_passes: int = 0) -> DataFrame:
     """Rows ``(id, component_id)`` for every vertex that has an edge to another one.
 
     ``component_id`` is the smallest vertex reachable. Vertices without edges do
     not appear; null ends and loops are ignored, repeated edges count once.
     """
     spark = edges.sparkSession
-    left = materialize(
-        edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v"))
-        .filter("u is not null and v is not null and u <> v")
-        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        .distinct()
-    )
+    plain = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).filter("u is not null and v is not null and u <> v")
+    for k in range(local_passes):
+        # All edges of a vertex meet in a task, once by the one end and once by the other.
+        plain = plain.repartition(shuffle_partitions(spark), "v" if k % 2 else "u").mapInPandas(_stars, "u long, v long")
+    left = materialize(plain.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     empty = spark.createDataFrame([], "id long, component_id long")
     if left.isEmpty():
         return empty

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthlake.operators.components import connected_components
+from hearthlake.operators.components import connected_components, spanning
 from hearthlake.session import materialize, shuffle_partitions, write_table
 
 BITS = 64
@@ -213,21 +213,6 @@ def survivors(table: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> n
     return left
 
 
-def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links to the smallest row of each component of the pairs (a, b), one for each other row."""
-    label = np.arange(n)
-    while a.size:
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        while (label != label[label]).any():
-            label = label[label]
-        apart = label[a] != label[b]
-        a, b = a[apart], b[apart]
-    rows = np.flatnonzero(label != np.arange(n))
-    return rows, label[rows]
-
-
 def _bucket_links(rows: np.ndarray, refs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of the buckets of one sorted run of rows (bucket, cell, class, lanes...)."""
     n = len(rows)
@@ -250,7 +235,7 @@ def _bucket_links(rows: np.ndarray, refs: np.ndarray, radius: int) -> tuple[np.n
         i = i[hamming(fps[i], fps[i + d]) <= radius]
         first.append(i)
         second.append(i + d)
-    a, b = _spanning(np.concatenate(first), np.concatenate(second), n)
+    a, b = spanning(np.concatenate(first), np.concatenate(second), n)
     src, dst = [ids[a]], [ids[b]]
     for a, b in zip(starts[size > SMALL], ends[size > SMALL], strict=True):
         if links := forest(fps[a:b], table[a:b], radius):
@@ -310,7 +295,7 @@ def near_components(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
     """One row per document: doc_id, fingerprint (16 hex digits), component_id. No link is missed."""
     prints = materialize(fingerprints(docs, words, 1, id_col, text_col))
     classes = materialize(prints.groupBy("f0").agg(F.min("doc_id").alias("least")).withColumn("cid", F.monotonically_increasing_id()))
-    found = connected_components(links_within(classes, section_masks(radius), radius, bucket_rows))
+    found = connected_components(links_within(classes, section_masks(radius), radius, bucket_rows), local_passes=3)
     rooted = classes.join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("component_id", "cid")).drop("component_id")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     found = prints.join(rooted.join(smallest, "root").select("f0", "component_id"), "f0")
@@ -389,7 +374,7 @@ def resembling_components(members: DataFrame, texts: DataFrame, words: int, simi
         key, ids, sets = None, [], []
 
         def links() -> pd.DataFrame:
-            a, b = _spanning(*np.array(resembling(sets, similarity), dtype=np.int64).reshape(-1, 2).T, len(ids))
+            a, b = spanning(*np.array(resembling(sets, similarity), dtype=np.int64).reshape(-1, 2).T, len(ids))
             names = np.array(ids, dtype=np.int64)
             return pd.DataFrame({"src": names[a], "dst": names[b]})
 
@@ -412,7 +397,7 @@ def resembling_components(members: DataFrame, texts: DataFrame, words: int, simi
     chunks = F.ceil(F.col("count") / chunk_texts)
     cut = members.join(large, "group").withColumn("own", F.pmod(F.xxhash64("cid"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
     cut = with_text(cut.select("group", (F.least("own", "other") * chunks + F.greatest("own", "other")).alias("cell"), "cid", "__row"))
-    return linked(with_text(whole.join(large, "group", "left_anti"))).toDF("id", "component_id").unionByName(connected_components(linked(cut)))
+    return linked(with_text(whole.join(large, "group", "left_anti"))).toDF("id", "component_id").unionByName(connected_components(linked(cut), local_passes=3))
 
 
 def _similar(docs: DataFrame, words: int, similarity: float, lanes: int, recall: float, id_col: str, text_col: str, bucket_rows: int, chunk_texts: int) -> tuple[DataFrame, DataFrame]:
@@ -426,7 +411,7 @@ def _similar(docs: DataFrame, words: int, similarity: float, lanes: int, recall:
     # Equal sets form one class, named by its smallest id; its first row stands for its text.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     classes = materialize(prints.groupBy(*names).agg(first).withColumn("cid", F.monotonically_increasing_id()))
-    found = connected_components(links_within(classes, sampled_masks(lanes, classes.count(), loose, recall), radius, bucket_rows))
+    found = connected_components(links_within(classes, sampled_masks(lanes, classes.count(), loose, recall), radius, bucket_rows), local_passes=3)
     members = materialize(classes.select("cid", F.col("first.row").alias("__row")).join(found.select(F.col("id").alias("cid"), F.col("component_id").alias("group")), "cid"))
     texts = rows.select("__row", F.col(text_col).cast("string").alias("t"))
     same = materialize(resembling_components(members, texts, words, similarity, chunk_texts))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthlake.functions.scalars import round_half_up
+from hearthlake.operators.prefix import running_before
 
 #: Price per million tokens of input and output where a model has none of its own; a parameter, not a bill.
 DEFAULT_PRICE = (3.0, 15.0)
@@ -28,9 +29,8 @@ def cost_usd(tokens_in: Column, tokens_out: Column, cache_read: Column, cache_wr
 
 
 def within_cap(items: DataFrame, keys: list[str], order: list[str], cost: str, cap: float) -> DataFrame:
-    """Items with ``spent`` before them and whether they still run: the cap is tested before each one."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return items.withColumn("spent", F.coalesce(F.sum(cost).over(before), F.lit(0.0))).withColumn("runs", F.col("spent") < cap)
+    """Items with ``spent`` before them and whether they still run: the cap is tested before each one. ``keys`` may be empty."""
+    return running_before(items, keys, order, cost, "spent").withColumn("runs", F.col("spent") < cap)
 
 
 def plan_fetches(page: DataFrame, known: DataFrame, budget: int) -> DataFrame:

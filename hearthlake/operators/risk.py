@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthlake.functions.scalars import compact, matches, plain_number, round_half_up
+from hearthlake.operators.quantiles import exact_medians
 
 # Monthly rent by bedrooms (four stands for more) where there are too few prices.
 CITY_RENT = {0: 2200, 1: 3100, 2: 4300, 3: 5700, 4: 6900}
@@ -21,11 +22,15 @@ SPAMMY = r"([^a-zA-Z0-9\s])\1{4,}|!{3,}|\${3,}"
 def baselines(listings: DataFrame, area: str = "neighborhood", beds: str = "bedrooms", price: str = "price", least: int = 8) -> DataFrame:
     """Median price by area and bedrooms, and by bedrooms alone (area null), of groups with enough prices.
 
-    Both levels come from one pass; rows without an area only count in the second one.
+    Both levels come from the same counts; rows without an area only count in the second one.
     """
-    known = listings.filter(F.col(price).isNotNull() & F.col(beds).isNotNull()).select(F.nullif(F.col(area), F.lit("")).alias("area"), F.col(beds).alias("beds"), F.col(price).cast("double").alias("price"))
-    levels = known.groupingSets([["area", "beds"], ["beds"]], "area", "beds").agg(F.median("price").alias("median_price"), F.count(F.lit(1)).alias("n"), F.grouping("area").alias("level"))
-    return levels.filter((F.col("n") >= least) & ((F.col("level") == 1) | F.col("area").isNotNull())).select("area", "beds", "median_price", "n")
+    known = listings.filter(F.col(price).isNotNull() & F.col(beds).isNotNull()).select(F.coalesce(F.nullif(F.col(area), F.lit("")), F.lit("")).alias("area"), F.col(beds).alias("beds"), F.col(price).cast("double").alias("value"))
+    counted = known.groupBy("area", "beds", "value").agg(F.count(F.lit(1)).alias("n"))
+    # Each count goes into its area's group, if it has one, and into that of all areas.
+    levels = F.when(F.col("area") == "", F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))
+    both = counted.withColumn("city", F.explode(levels)).withColumn("area", F.when(F.col("city"), "").otherwise(F.col("area")))
+    found = exact_medians(both, ["city", "area", "beds"])
+    return found.filter(F.col("n") >= least).select(F.when(~F.col("city"), F.col("area")).alias("area"), "beds", F.col("median").alias("median_price"), "n")
 
 
 def with_baseline(listings: DataFrame, medians: DataFrame, area: str = "neighborhood", beds: str = "bedrooms") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hearthlake.functions.geo import bounds, in_multipolygon
 from hearthlake.functions.scalars import group, matches
+from hearthlake.operators import dictionary
 
 CELL = 0.02
 
@@ -41,16 +42,11 @@ def clean_area(raw: Column) -> Column:
 def match_area(rows: DataFrame, text: Column, areas: DataFrame, out: str = "area", least: int = 4) -> DataFrame:
     """``rows`` with the area whose name or alias is the text, else the longest one of ``least`` letters that it contains.
 
-    ``areas`` (name, ord, aliases) is a fixed dictionary: it travels as one row.
+    areas (name, ord, aliases): of equally long names the smaller ``ord`` counts.
     """
-    names = areas.select("name", "ord", F.explode(F.array_distinct(F.transform(F.array_append("aliases", F.col("name")), lambda a: F.lower(a)))).alias("key"))
-    table = names.agg(F.collect_list(F.struct(F.length("key").alias("size"), (-F.col("ord")).alias("before"), "key", "name")).alias("__names"))
-    clean = clean_area(text)
-    best = lambda found: F.array_max(found)["name"]
-    exact = F.filter("__names", lambda n: n["key"] == F.col("__text"))
-    part = F.filter("__names", lambda n: (n["size"] >= least) & F.contains(F.col("__text"), n["key"]))
-    met = rows.withColumn("__text", F.nullif(clean, F.lit(""))).join(F.broadcast(table), F.lit(True), "left")
-    return met.withColumn(out, F.coalesce(best(exact), best(part))).drop("__names", "__text")
+    names = areas.select(F.explode(F.array_distinct(F.transform(F.array_append("aliases", F.col("name")), lambda a: F.lower(a)))).alias("key"), "name", "ord")
+    listed = [tuple(r) for r in names.collect()]
+    return rows.withColumn(out, dictionary.best_name(rows.sparkSession, clean_area(text), listed, least))
 
 
 # Towns around the city.

@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from hearthlake.functions import geo, hashes, listing_text, tags, urls
 from hearthlake.functions.scalars import group, plain_number, round_half_up
-from hearthlake.operators import duplicates, incremental, latest, liveness, matching, merge, preference, quality, risk, spatial, subscriptions
+from hearthlake.operators import dictionary, duplicates, incremental, latest, liveness, matching, merge, preference, quality, risk, spatial, subscriptions
 from hearthlake.operators.components import connected_components
 from hearthlake.plans import views
 from hearthlake.session import materialize, shared_folder
@@ -189,6 +189,13 @@ def docs_snippet(spark, sf):
     return read(spark, sf, "documents").select("doc_id", tags.snippet(F.col("text")).alias("snippet"))
 
 
+@query("""SELECT doc_id, item_id, CAST(position(lower(b.text) IN lower(d.text)) - 1 AS INT) AS at FROM documents d JOIN benchmark b ON b.text <> '' AND contains(lower(d.text), lower(b.text))""")
+def bench_contained_in_docs(spark, sf):
+    items = read(spark, sf, "benchmark").select(F.col("item_id").alias("entry"), F.lower("text").alias("key"))
+    pairs = dictionary.contained_pairs(read(spark, sf, "documents").select("doc_id", F.lower("text").alias("low")), F.col("low"), items)
+    return pairs.select("doc_id", F.col("entry").alias("item_id"), "at")
+
+
 @query(f"""SELECT item_id, array_to_string(list(w ORDER BY i), ' ') AS keywords, count(*) AS n FROM (
   SELECT item_id, w, min(i) AS i FROM (SELECT item_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT item_id, regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+') AS ws FROM benchmark))
   WHERE length(w) >= 3 AND w NOT IN {tuple(matching.FILLERS)} GROUP BY item_id, w) GROUP BY item_id""")
@@ -583,6 +590,13 @@ def cost_cap_cutoff(spark, sf):
     return incremental.within_cap(orders, ["o_custkey"], ["o_orderkey"], "cost", 300000).select("o_custkey", "o_orderkey", "runs")
 
 
+@query("""SELECT o_orderkey, coalesce(sum(CAST(o_totalprice AS BIGINT)) OVER (ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS spent FROM orders""")
+def cost_before_each(spark, sf):
+    """One running sum over all orders."""
+    orders = read(spark, sf, "orders").withColumn("cost", F.bround("o_totalprice").cast("long").cast("double"))
+    return incremental.within_cap(orders, [], ["o_orderdate", "o_orderkey"], "cost", 1e9).select("o_orderkey", "spent")
+
+
 _TAG_SQL = "SELECT p_partkey, p_brand, p_type, [regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), CASE WHEN p_size <= 30 THEN 'size:compact' ELSE 'size:large' END, 'beds:' || (p_size % 3)] AS tags FROM part"
 
 

@@ -17,16 +17,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthlake.operators.skew import dealt_join
 from hearthlake.session import materialize
 
-FEW, CUTS, SALTS = 4096, 64, 16
+FEW, CUTS = 4096, 64
 
 
 def _met(values: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     """The values of each target's interval; the values of a group are dealt to parts, its targets (two at most) go to each."""
-    dealt = values.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int"))
-    copies = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(copies, [*keys, "salt"]).drop("salt").filter((F.col("low").isNull() | (F.col("value") >= F.col("low"))) & (F.col("high").isNull() | (F.col("value") <= F.col("high"))))
+    return dealt_join(values, targets, keys, ["value"]).filter((F.col("low").isNull() | (F.col("value") >= F.col("low"))) & (F.col("high").isNull() | (F.col("value") <= F.col("high"))))
 
 
 def exact_medians(counts: DataFrame, keys: list[str], few: int = FEW) -> DataFrame:

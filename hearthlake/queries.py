@@ -17,6 +17,7 @@ from hearthlake.functions import geo, hashes, listing_text, tags, urls
 from hearthlake.functions.scalars import group, plain_number, round_half_up
 from hearthlake.operators import dictionary, duplicates, incremental, latest, liveness, matching, merge, preference, quality, risk, spatial, subscriptions
 from hearthlake.operators.components import connected_components
+from hearthlake.operators.map_clusters import cluster_points as map_cluster_points
 from hearthlake.plans import views
 from hearthlake.session import materialize, shared_folder
 from hearthlake.sources import feeds, pages, robots
@@ -668,6 +669,11 @@ def polygon_bounds(spark, sf):
     return shapes.select(geo.bounds(F.col("c")).alias("b"), F.round(geo.ring_area(F.col("c")[0][0]), 9).alias("area")).select("b.*", "area")
 
 
+@query()
+def map_clusters(spark, sf):
+    return map_cluster_points(_points(spark, sf), [12, 11, 10], "c_custkey").select("zoom", F.col("id").alias("c_custkey"), "cluster", "points", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+
+
 # Badges, contacts, dimensions, fetch plans
 
 

@@ -88,3 +88,47 @@ def test_running_sums_equal_one_window(spark):
     capped = incremental.within_cap(df, [], ["at"], "cost", 100.0).filter("runs").agg(F.max("at")).first()[0]
     assert capped == max(at for at, spent in ({r["at"]: r.spent for r in prefix.running_before(df, [], ["at"], "cost").collect()}).items() if spent < 100)
     assert prefix.running_before(df.limit(0), ["k"], ["at"], "cost").count() == 0
+
+
+def plain_clusters(points, zooms, radius=50, seed_order=None):
+    """The greedy order node by node: points {id: (x, y)}; returns {(zoom, id): (centre, size)} and each zoom's nodes and their centres."""
+    nodes = {i: (x, y, 1) for i, (x, y) in points.items()}
+    owner = {i: i for i in points}
+    out, levels = {}, []
+    for zoom in sorted(zooms, reverse=True):
+        r = radius / (512 * 2.0**zoom)
+        of = {}
+        for c in sorted(nodes, key=seed_order):
+            if c in of:
+                continue
+            for n, (x, y, _) in nodes.items():
+                dx, dy = x - nodes[c][0], y - nodes[c][1]
+                if n not in of and dx * dx + dy * dy <= r * r:
+                    of[n] = c
+        levels.append((r, dict(nodes), of))
+        groups = {}
+        for n, c in of.items():
+            groups.setdefault(c, []).append(nodes[n])
+        owner = {i: of[n] for i, n in owner.items()}
+        nodes = {c: (sum(x * w for x, _, w in g) / sum(w for *_, w in g), sum(y * w for _, y, w in g) / sum(w for *_, w in g), sum(w for *_, w in g)) for c, g in groups.items()}
+        out |= {(zoom, i): (c, nodes[c][2]) for i, c in owner.items()}
+    return out, levels
+
+
+def test_map_clusters_equal_the_greedy_order(spark):
+    from hearthlake.operators import map_clusters as mc
+
+    draw = random.Random(5)
+    rows = [(i, 37.75 + draw.gauss(0, 0.03), -122.45 + draw.gauss(0, 0.03)) for i in range(1500)] + [(2000 + i, 37.76, -122.44) for i in range(400)] + [(3000 + i, 37.7 + i * 0.0002, -122.5) for i in range(200)]  # a hot place and a street
+    rows += [(5000, None, 1.0), (None, 37.7, -122.4), (0, rows[0][1], rows[0][2]), (6000, -89.9999, 179.0)]
+    df = spark.createDataFrame(rows, "id long, latitude double, longitude double")
+    got = mc.cluster_points(df, [13, 11, 10]).collect()
+    x, y = mc.mercator(F.col("latitude"), F.col("longitude"))
+    placed = {r.id: (r.x, r.y) for r in df.filter("id is not null and latitude is not null").select("id", x.alias("x"), y.alias("y")).collect()}
+    turn = {r.id: r.t for r in df.filter("id is not null").select("id", F.xxhash64(F.lit(7), "id").alias("t")).collect()}
+    want, levels = plain_clusters(placed, [13, 11, 10], seed_order=lambda i: (turn[i], i))
+    assert {(r.zoom, r.id): (r.cluster, r.points) for r in got} == want and len(got) == 3 * len(placed)
+    for r, nodes, of in levels:  # every node lies within the radius of its centre
+        assert all((nodes[n][0] - nodes[c][0]) ** 2 + (nodes[n][1] - nodes[c][1]) ** 2 <= r * r for n, c in of.items())
+    assert len({c for (z, _), (c, _) in want.items() if z == 10}) < len({c for (z, _), (c, _) in want.items() if z == 13})
+    assert mc.cluster_points(df.limit(0), [10]).count() == 0

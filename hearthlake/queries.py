@@ -732,4 +732,4 @@ def plain_numbers(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", plain_number(F.col("c_acctbal")).alias("amount"))
 
 
-from hearthlake import source_queries, store_queries  # noqa: E402, F401  register their queries here
+from hearthlake import search_queries, source_queries, store_queries  # noqa: E402, F401  register their queries here

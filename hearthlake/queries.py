@@ -296,6 +296,47 @@ def effective_price(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", listing_text.extract_concessions(d).alias("concession"), listing_text.effective_monthly(F.col("o_totalprice"), d).alias("effective"), listing_text.unit_from_title(d).alias("unit"))
 
 
+# The parsers over whole documents, each with one of the phrases in front of it.
+
+_DOC = PHRASE_SQL.format("doc_id") + " || chr(10) || coalesce(text, '')"
+
+
+def _texts(spark, sf):
+    return read(spark, sf, "documents").withColumn("d", F.concat(phrase(F.col("doc_id")), F.lit("\n"), F.coalesce("text", F.lit(""))))
+
+
+def _over_documents(name: str) -> str:
+    """The SQL of a query over phrases, over documents."""
+    sql = ORACLE[name].replace(_P, _DOC).replace("o_orderkey", "doc_id").replace("o_totalprice", "n_chars")
+    return sql.replace("FROM orders", "FROM documents")
+
+
+@query(_over_documents("parse_numbers"))
+def docs_parse_numbers(spark, sf):
+    d = F.col("d")
+    return _texts(spark, sf).select("doc_id", listing_text.parse_price(d).alias("price"), listing_text.parse_bedrooms(d).alias("bedrooms"), listing_text.parse_bathrooms(d).alias("bathrooms"), listing_text.parse_square_feet(d).alias("square_feet"), listing_text.lease_term_months(d).alias("lease_months"))
+
+
+@query(_over_documents("parse_policies"))
+def docs_parse_policies(spark, sf):
+    d = F.col("d")
+    rows = _texts(spark, sf).select("doc_id", listing_text.parse_pet_policy(d).alias("p"), listing_text.normalize_laundry(d).alias("laundry"), listing_text.normalize_parking(d).alias("parking"))
+    return rows.select("doc_id", "p.*", "laundry", "parking")
+
+
+@query(_over_documents("effective_price"))
+def docs_effective_price(spark, sf):
+    d = F.col("d")
+    return _texts(spark, sf).select("doc_id", listing_text.extract_concessions(d).alias("concession"), listing_text.effective_monthly(F.col("n_chars").cast("double"), d).alias("effective"), listing_text.unit_from_title(d).alias("unit"))
+
+
+@query(_over_documents("order_risk_rules"))
+def docs_risk_rules(spark, sf):
+    none = F.lit(None).cast("string")
+    verdict = risk.assess(none, F.col("d"), F.lit(None).cast("double"), none.cast("int"), none.cast("double"), none, F.lit("somewhere"), none.cast("double"), F.when(F.col("n_chars") < 1000, 0).otherwise(3), none.cast("double"), F.lit(False), F.lit(False))
+    return _texts(spark, sf).withColumn("r", verdict).select("doc_id", "r.level", F.array_join("r.warnings", "; ").alias("warnings"))
+
+
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_extendedprice <> 0 AND l_quantity > 0 THEN floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 END AS per_unit FROM lineitem")
 def price_per_unit(spark, sf):
     return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", listing_text.price_per_square_foot(F.col("l_extendedprice"), F.col("l_quantity")).alias("per_unit"))
@@ -663,10 +704,24 @@ def bbox_filter(spark, sf):
     return _points(spark, sf).filter(geo.in_box(F.col("latitude"), F.col("longitude"))).select("c_custkey")
 
 
-@query("SELECT -122.5::DOUBLE AS west, 37.65::DOUBLE AS south, -122.4::DOUBLE AS east, 37.8::DOUBLE AS north, 0.015::DOUBLE AS area")
+_TRIANGLES_SQL = "SELECT *, 0.001::DOUBLE * (c_custkey % 7 + 1) AS w, 0.002::DOUBLE * (c_nationkey % 3 + 1) AS h FROM (SELECT c_custkey, c_nationkey, " + _LAT + " AS y, " + _LNG + " AS x FROM customer)"
+
+
+@query(f"""SELECT c_custkey, round(LEAST(x, x - 1), 9) AS west, round(y, 9) AS south, round(x + w, 9) AS east, round(GREATEST(y + h, y + 0.0025::DOUBLE), 9) AS north, round(w * h / 2, 12) AS area,
+  round(CASE WHEN w * h / 2 >= 0.000025::DOUBLE THEN x + w / 3 ELSE x - 1 + 0.005::DOUBLE END, 4) AS lng, round(CASE WHEN w * h / 2 >= 0.000025::DOUBLE THEN y + h / 3 ELSE y + 0.00125::DOUBLE END, 4) AS lat FROM ({_TRIANGLES_SQL})""")
 def polygon_bounds(spark, sf):
-    shapes = spark.createDataFrame([(_SQUARE,)], "c array<array<array<array<double>>>>")
-    return shapes.select(geo.bounds(F.col("c")).alias("b"), F.round(geo.ring_area(F.col("c")[0][0]), 9).alias("area")).select("b.*", "area")
+    """Bounds of a shape of two polygons at every customer's place, the area of the first one and the centroid of the larger one."""
+    x, y = F.col("longitude"), F.col("latitude")
+    w, h = F.lit(0.001) * (F.col("c_custkey") % 7 + 1), F.lit(0.002) * (F.col("c_nationkey") % 3 + 1)
+    at = lambda a, b: F.array(a, b)
+    triangle = F.array(at(x, y), at(x + w, y), at(x, y + h), at(x, y))
+    bar = F.array(at(x - 1, y), at(x - 1 + F.lit(0.01), y), at(x - 1 + F.lit(0.01), y + F.lit(0.0025)), at(x - 1, y + F.lit(0.0025)), at(x - 1, y))
+    bar = F.transform(bar, lambda p: F.array(p[0], F.when(p[1] > y, y + F.lit(0.0025)).otherwise(y)))
+    rows = _points(spark, sf).join(read(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    rows = rows.select("c_custkey", F.array(F.array(triangle), F.array(bar)).alias("c"))
+    middle = geo.largest_centroid(F.col("c"))
+    rows = rows.select("c_custkey", geo.bounds(F.col("c")).alias("b"), F.round(geo.ring_area(F.col("c")[0][0]), 12).alias("area"), F.round(middle[0], 4).alias("lng"), F.round(middle[1], 4).alias("lat"))
+    return rows.select("c_custkey", *(F.round(f"b.{k}", 9).alias(k) for k in ("west", "south", "east", "north")), "area", "lng", "lat")
 
 
 @query()
@@ -698,15 +753,16 @@ def contact_resolution(spark, sf):
     return rows.select("c_custkey", preference.contact(own, {"name": F.col("s_name"), "place": F.col("n_name")}).alias("c")).select("c_custkey", "c.*")
 
 
-@query("""SELECT o_orderkey, coalesce(r_name, CAST(o_custkey AS VARCHAR)) AS region FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 2 = 0 LEFT JOIN region ON n_regionkey = r_regionkey""")
+@query("""SELECT o_orderkey, coalesce(nullif(r_name, 'ASIA'), CAST(o_custkey AS VARCHAR)) AS region FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
 def dimension_fallback_join(spark, sf):
-    nation = read(spark, sf, "nation").filter("n_nationkey % 2 = 0").join(read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    nation = read(spark, sf, "nation").join(read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     customer = read(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return read(spark, sf, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.coalesce("r_name", F.col("o_custkey").cast("string")).alias("region"))
+    name = F.coalesce(F.nullif(F.col("r_name"), F.lit("ASIA")), F.col("o_custkey").cast("string"))
+    return read(spark, sf, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", name.alias("region"))
 
 
 @query("""WITH p AS (SELECT l_suppkey AS source_id, l_orderkey * 10 + l_linenumber AS listing_id, l_linenumber AS pos, l_extendedprice AS price FROM lineitem WHERE l_linestatus = 'O'), k AS (SELECT l_suppkey AS source_id, l_orderkey * 10 + l_linenumber AS listing_id, l_extendedprice + CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE 0 END AS price, l_orderkey % 2 = 0 AS fetched,
-  CASE WHEN l_returnflag = 'R' THEN 'likely_unavailable' ELSE 'active' END AS stale FROM lineitem WHERE l_linenumber <> 1),
+  CASE WHEN l_returnflag = 'R' THEN 'likely_unavailable' ELSE 'active' END AS stale FROM lineitem WHERE l_linenumber <> 1 OR l_linestatus <> 'O'),
 r AS (SELECT p.source_id, p.listing_id, pos, CASE WHEN k.listing_id IS NULL THEN 'new' WHEN NOT fetched THEN 'backlog' WHEN p.price <> k.price THEN 'price_moved' END AS reason FROM p LEFT JOIN k ON p.source_id = k.source_id AND p.listing_id = k.listing_id
   UNION ALL SELECT k.source_id, k.listing_id, NULL, 'backlog' FROM k ANTI JOIN p ON p.source_id = k.source_id AND p.listing_id = k.listing_id WHERE NOT fetched AND stale IN ('active', 'missing_once'))
 SELECT source_id, listing_id, reason, CAST(n AS INT) AS turn FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY CASE reason WHEN 'new' THEN 0 WHEN 'backlog' THEN 1 ELSE 2 END, pos NULLS LAST, listing_id) AS n FROM r WHERE reason IS NOT NULL) WHERE n <= 12""")
@@ -714,7 +770,8 @@ def fetch_plan(spark, sf):
     items = read(spark, sf, "lineitem")
     key = [F.col("l_suppkey").alias("source_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("listing_id")]
     page = items.filter("l_linestatus = 'O'").select(*key, F.col("l_linenumber").alias("pos"), F.col("l_extendedprice").alias("price"))
-    known = items.filter("l_linenumber <> 1").select(
+    known = items.filter("l_linenumber <> 1 or l_linestatus <> 'O'").select(  # all but the new ones on the page
+        
         *key, (F.col("l_extendedprice") + F.when(F.col("l_orderkey") % 3 == 0, 1).otherwise(0)).alias("price"), F.when(F.col("l_orderkey") % 2 == 0, F.lit("x")).alias("detail_fetched_at"),
         F.when(F.col("l_returnflag") == "R", "likely_unavailable").otherwise("active").alias("stale_status"),
     )

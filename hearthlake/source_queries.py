@@ -100,14 +100,14 @@ def skipped_sources(spark, sf):
     return registry.skipped_sources(_sources(spark, sf)).select("id", "reason")
 
 
-@query(f"""WITH t AS (SELECT s_suppkey AS id, s_name AS name, s_acctbal > 0 AS enabled, s_nationkey AS robots FROM supplier WHERE s_suppkey % 3 <> 0), s AS (SELECT s_suppkey AS id, 'seed ' || s_suppkey AS name, true AS enabled FROM supplier WHERE s_suppkey % 2 = 0)
+@query(f"""WITH t AS (SELECT s_suppkey AS id, s_name AS name, s_acctbal > 0 AS enabled, s_nationkey AS robots FROM supplier), s AS (SELECT s_suppkey + 4 AS id, 'seed ' || s_suppkey AS name, true AS enabled FROM supplier)
 SELECT coalesce(s.id, t.id) AS id, CASE WHEN s.id IS NULL THEN t.name ELSE s.name END AS name, CASE WHEN t.id IS NULL THEN s.enabled ELSE t.enabled END AS enabled, robots,
   CASE WHEN t.id IS NULL THEN TIMESTAMP '{NOW}' ELSE TIMESTAMP '1997-01-01' END AS created_at, CASE WHEN s.id IS NULL THEN TIMESTAMP '1997-01-01' ELSE TIMESTAMP '{NOW}' END AS updated_at FROM t FULL JOIN s ON s.id = t.id""")
 def seeded_sources(spark, sf):
     suppliers, then = read(spark, sf, "supplier"), F.lit("1997-01-01").cast("timestamp")
     id = F.col("s_suppkey").alias("id")
-    table = suppliers.filter("s_suppkey % 3 <> 0").select(id, F.col("s_name").alias("name"), (F.col("s_acctbal") > 0).alias("enabled"), F.col("s_nationkey").alias("robots"), then.alias("created_at"), then.alias("updated_at"))
-    seeds = suppliers.filter("s_suppkey % 2 = 0").select(id, F.concat(F.lit("seed "), "s_suppkey").alias("name"), F.lit(True).alias("enabled"))
+    table = suppliers.select(id, F.col("s_name").alias("name"), (F.col("s_acctbal") > 0).alias("enabled"), F.col("s_nationkey").alias("robots"), then.alias("created_at"), then.alias("updated_at"))
+    seeds = suppliers.select((F.col("s_suppkey") + 4).alias("id"), F.concat(F.lit("seed "), "s_suppkey").alias("name"), F.lit(True).alias("enabled"))
     return registry.seed_sources(table, seeds, F.lit(NOW).cast("timestamp"))
 
 
@@ -139,7 +139,7 @@ def _geocoded(spark, sf):
     lat, lng = F.lit(37.6) + (c % 100) * F.lit(0.003), F.lit(-122.6) + (c % 37) * F.lit(0.008)
     place = lambda there: [F.concat(F.lit("at "), c).alias("address_key"), F.when(there, lat).alias("latitude"), F.when(there, lng).alias("longitude"), F.when(there, "block").otherwise("unknown").alias("precision")]
     customers = read(spark, sf, "customer")
-    cache, answers = customers.filter("c_custkey % 5 = 0").select(*place(c % 10 == 0)), customers.filter("c_custkey % 5 in (1, 2)").select(*place(F.lit(True)))
+    cache, answers = customers.filter("c_custkey % 5 = 0").select(*place(c % 10 == 0)), customers.filter("c_custkey % 5 <> 0").select(*place((c % 5).isin(1, 2)))  # the others are called for and not found
     centroids = spark.createDataFrame([("Middle", 37.75, -122.45)], "name string, latitude double, longitude double")
     west = [[[[-122.5003, 37.6], [-122.4003, 37.6], [-122.4003, 37.9], [-122.5003, 37.9], [-122.5003, 37.6]]]]
     shapes = spark.createDataFrame([("West", 0, west)], "name string, ord int, coordinates array<array<array<array<double>>>>")

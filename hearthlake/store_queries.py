@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hearthlake.functions import geo, listing_text, tags
 from hearthlake.functions.scalars import plain_number
 from hearthlake.operators import duplicates, latest, liveness, merge, preference, spatial
+from hearthlake.operators.prefix import running_before
 from hearthlake.plans import texts, views
 from hearthlake.queries import PHRASE_SQL, phrase, query, read
 from hearthlake.sources import feeds
@@ -65,26 +66,26 @@ def listing_cards(spark, sf):
     return _cards(spark, sf).select("listing_id", "user_status", "source_name", "source_last_run", "old_price", "new_price", F.array_join("badges", " ").alias("badges"))
 
 
-@query(f"WITH {_CARDS_SQL} SELECT listing_id, price_monthly, CAST(row_number() OVER (ORDER BY first_seen_at DESC, listing_id) AS INT) AS place FROM cards WHERE o_orderstatus <> 'F' AND user_status IS DISTINCT FROM 'hidden' AND NOT contains(badges, 'verify_carefully') ORDER BY place LIMIT 500")
+@query(f"WITH {_CARDS_SQL} SELECT listing_id, price_monthly, row_number() OVER (ORDER BY first_seen_at DESC, listing_id) AS place FROM cards WHERE o_orderstatus <> 'F' AND user_status IS DISTINCT FROM 'hidden' AND NOT contains(badges, 'verify_carefully')")
 def browse_newest(spark, sf):
-    rows = views.browse(_cards(spark, sf), hide_suspicious=True).limit(500)
-    first = rows.select("listing_id", "price_monthly", "first_seen_at")
-    return latest.top_per_key(first.withColumn("k", F.lit(0)), ["k"], [F.col("first_seen_at").desc(), F.col("listing_id")], 500, "place").select("listing_id", "price_monthly", "place")
+    rows = views.browse(_cards(spark, sf), hide_suspicious=True).select("listing_id", "price_monthly", (-F.unix_micros(F.col("first_seen_at").cast("timestamp"))).alias("age"), F.lit(1).alias("one"))
+    return running_before(rows, [], ["age", "listing_id"], "one", "place").select("listing_id", "price_monthly", (F.col("place") + 1).cast("long").alias("place"))
 
 
-@query("SELECT o_orderkey AS listing_id FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+@query("SELECT o_orderkey AS listing_id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders")
 def dearest_listings(spark, sf):
-    return preference.sort_by_price(_listings(spark, sf), "price_effective_monthly", "price_monthly", "listing_id", True).select("listing_id").limit(100)
+    rows = preference.sort_by_price(_listings(spark, sf), "price_effective_monthly", "price_monthly", "listing_id", True).select("listing_id", (-F.col("price_monthly")).alias("cheap"), F.lit(1).alias("one"))
+    return running_before(rows, [], ["cheap", "listing_id"], "one", "place").select("listing_id", (F.col("place") + 1).cast("long").alias("place"))
 
 
 _MILES = "6371.0::DOUBLE * 2 * asin(sqrt(pow(sin(radians(lat - 37.75::DOUBLE) / 2), 2) + cos(radians(37.75::DOUBLE)) * cos(radians(lat)) * pow(sin(radians(lng + 122.45::DOUBLE) / 2), 2))) * 0.621371::DOUBLE"
 
 
 @query(f"""SELECT o_orderkey AS listing_id, floor(mi * 100 + 0.5) / 100 AS miles FROM (SELECT o_orderkey, o_orderdate, {_MILES} AS mi FROM
-  (SELECT o_orderkey, o_orderdate, 37.6::DOUBLE + (o_custkey % 100) * 0.003::DOUBLE AS lat, -122.6::DOUBLE + (o_custkey % 37) * 0.008::DOUBLE AS lng FROM orders WHERE o_orderstatus <> 'F')) WHERE mi <= 3 ORDER BY mi, o_orderdate DESC, o_orderkey LIMIT 500""")
+  (SELECT o_orderkey, o_orderdate, 37.6::DOUBLE + (o_custkey % 100) * 0.003::DOUBLE AS lat, -122.6::DOUBLE + (o_custkey % 37) * 0.008::DOUBLE AS lng FROM orders WHERE o_orderstatus <> 'F')) WHERE mi <= 3 ORDER BY mi, o_orderdate DESC, o_orderkey LIMIT 5000""")
 def search_within_radius(spark, sf):
     rows = _listings(spark, sf).withColumns({"description": F.lit(""), "user_status": F.lit(None).cast("string")})
-    found = views.search_candidates(rows, (37.75, -122.45), 3.0, cap=500)
+    found = views.search_candidates(rows, (37.75, -122.45), 3.0)
     return found.select("listing_id", (F.floor(F.col("distance_mi") * 100 + 0.5) / 100).alias("miles"))
 
 
@@ -290,6 +291,37 @@ def group_peers(spark, sf):
     return duplicates.same_group(rows)
 
 
+_FAMILIES_SQL = """c AS (SELECT o_orderkey AS nid, 'l' || o_orderkey AS id, o_custkey AS ck, o_orderkey % 8 AS m, o_orderpriority AS source, strftime(o_orderdate, '%Y-%m-%d') AS seen, CASE o_orderkey % 3 WHEN 0 THEN '1' WHEN 1 THEN '2' END AS mark FROM orders),
+k AS (SELECT nid, ck, 'same_canonical_url' AS reason, CAST(ck AS VARCHAR) AS key, mark AS unit, NULL AS address FROM c WHERE m IN (0, 7) UNION ALL SELECT nid, ck, 'same_address_unit', ck || '|' || coalesce(mark, ''), mark, ck FROM c WHERE m IN (1, 2)
+  UNION ALL SELECT nid, ck, 'same_address_price_beds_baths', CAST(ck AS VARCHAR), mark, ck FROM c WHERE m = 2 UNION ALL SELECT nid, ck, 'similar_title_price_neighborhood', CAST(ck AS VARCHAR), mark, NULL FROM c WHERE m = 4
+  UNION ALL SELECT nid, ck, 'same_photo_hash', source || '|' || ck, mark, NULL FROM c WHERE m = 5 UNION ALL SELECT nid, ck, 'same_description_hash', CAST(ck AS VARCHAR), mark, NULL FROM c WHERE m IN (6, 7)),
+a AS (SELECT reason, key, min(nid) AS first, arg_min(coalesce(unit, ''), nid) AS first_unit FROM k GROUP BY ALL),
+e AS (SELECT DISTINCT first AS x, nid AS y, reason FROM k JOIN a USING (reason, key) WHERE nid <> first AND CASE WHEN reason IN ('same_canonical_url', 'same_address_price_beds_baths', 'same_description_hash') THEN unit IS NULL OR first_unit = '' OR unit = first_unit
+  WHEN reason = 'same_photo_hash' THEN coalesce(unit, '') = first_unit ELSE true END)"""
+
+
+@query(f"""WITH RECURSIVE {_FAMILIES_SQL}, b AS (SELECT x, y FROM e UNION SELECT y, x FROM e), r(v, w) AS (SELECT x, x FROM b UNION SELECT r.v, b.y FROM r JOIN b ON r.w = b.x), g AS (SELECT v, min(w) AS comp FROM r GROUP BY v),
+m AS (SELECT g.comp, c.* FROM g JOIN c ON c.nid = g.v), p AS (SELECT comp, count(*) FILTER (WHERE n > 1) > 0 AS twice FROM (SELECT comp, source, count(*) AS n FROM m GROUP BY ALL) GROUP BY comp),
+f AS (SELECT comp, list_sort(list_distinct(list(reason))) AS reasons FROM e JOIN g ON g.v = e.x GROUP BY comp), q AS (SELECT f.comp, CASE WHEN twice AND (list_contains(reasons, 'same_photo_hash') OR list_contains(reasons, 'same_description_hash')) THEN list_sort(list_append(reasons, 'repost_candidate')) ELSE reasons END AS reasons FROM f JOIN p ON f.comp = p.comp),
+o AS (SELECT comp, string_agg(id, ' ' ORDER BY id) AS members, arg_min(id, (-epoch(strptime(seen, '%Y-%m-%d')), id)) AS primary_id FROM m GROUP BY comp)
+SELECT members, primary_id, array_to_string(reasons, ' ') AS reasons, CASE WHEN list_contains(reasons, 'same_canonical_url') THEN 'exact' WHEN list_contains(reasons, 'same_address_unit') OR list_contains(reasons, 'same_address_price_beds_baths') THEN 'high'
+  WHEN list_contains(reasons, 'same_photo_hash') OR list_contains(reasons, 'same_description_hash') THEN 'medium' ELSE 'low' END AS confidence FROM o JOIN q ON o.comp = q.comp""")
+def duplicate_families(spark, sf):
+    """All six kinds of keys over all orders: each order has one or two of them, shared with others of its customer."""
+    k, m, who = F.col("o_orderkey"), F.col("o_orderkey") % 8, F.col("o_custkey").cast("string")
+    has = lambda *kinds: m.isin(*kinds)
+    number = lambda value, *kinds: F.when(has(*kinds), value).cast("double")
+    rows = read(spark, sf, "orders").select(
+        k.alias("nid"), F.concat(F.lit("l"), k).alias("id"), F.col("o_orderpriority").alias("source_id"), F.concat(F.lit("s"), k).alias("source_listing_id"), F.when(has(0, 7), F.concat(F.lit("https://Site.com/l/"), who, F.lit("/?utm_source=x&ref=y#top"))).alias("original_url"),
+        F.when(has(4), F.concat(F.lit("Sunny corner flat "), who)).alias("title"), F.when(has(1, 2), F.concat(who, F.lit(" Main "), F.when(has(1), "Street").otherwise("St."))).alias("address_raw"), F.lit(None).cast("string").alias("address_normalized"),
+        F.when(k % 3 == 0, "#1").when(k % 3 == 1, "2").alias("unit_number_public"), number(F.col("o_custkey") * 10, 2, 4).alias("price_monthly"), number(F.lit(2), 2).alias("bedrooms"), number(F.lit(1), 2).alias("bathrooms"), F.when(has(4), "Noe").alias("neighborhood"),
+        F.when(has(6, 7), F.concat(F.lit("h"), who)).alias("description_hash"), F.when(has(5), F.array(F.concat(F.lit("https://img/"), who, F.lit("_600x450.jpg")))).alias("photos"), F.lit("active").alias("listing_status"), F.lit("active").alias("stale_status"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("last_seen_at"), F.lit(None).cast("string").alias("detail_fetched_at"), F.lit(None).cast("string").alias("first_seen_at"),
+    )
+    found = duplicates.duplicate_groups(rows, ["nid"])
+    return found.select(F.array_join("member_ids", " ").alias("members"), "primary_id", F.array_join("reasons", " ").alias("reasons"), "confidence")
+
+
 # Texts and tags
 
 
@@ -343,10 +375,12 @@ def address_parts(spark, sf):
     ).withColumn("street", F.replace("street", F.concat(F.lit("third"), "o_orderkey"), F.concat(F.lit("3rd"), "o_orderkey")))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 37.5::DOUBLE + o_custkey END AS lat, o_custkey % 5 <> 0 AS cached FROM orders""".replace("CASE WHEN o_custkey % 2 = 0", "CASE WHEN o_custkey % 2 = 0 AND o_custkey % 5 <> 0"))
+@query("""SELECT o_orderkey, CASE WHEN c_acctbal >= 0 AND o_orderpriority <> '5-LOW' THEN 37.5::DOUBLE + o_custkey END AS lat, o_orderpriority <> '5-LOW' AS cached FROM orders JOIN customer ON o_custkey = c_custkey""")
 def geocode_lookup(spark, sf):
-    cache = read(spark, sf, "customer").filter("c_custkey % 5 <> 0").select(F.concat(F.lit("at "), "c_custkey").alias("address_key"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey") + 37.5).alias("latitude"), F.lit(1.0).alias("longitude"), F.lit("block").alias("precision"))
-    found = spatial.geocode(read(spark, sf, "orders"), cache, listing_text.geocode_key(F.concat(F.lit(" At, "), "o_custkey")))
+    """A cache of all customers' addresses, failures (a negative balance) included; orders of low priority go elsewhere."""
+    cache = read(spark, sf, "customer").select(F.concat(F.lit("at "), "c_custkey").alias("address_key"), F.when(F.col("c_acctbal") >= 0, F.col("c_custkey") + 37.5).alias("latitude"), F.lit(1.0).alias("longitude"), F.lit("block").alias("precision"))
+    address = F.concat(F.when(F.col("o_orderpriority") == "5-LOW", "Far, ").otherwise(" At, "), "o_custkey")
+    found = spatial.geocode(read(spark, sf, "orders"), cache, listing_text.geocode_key(address))
     return found.select("o_orderkey", F.col("hit_latitude").alias("lat"), "cached")
 
 

@@ -708,7 +708,7 @@ _TRIANGLES_SQL = "SELECT *, 0.001::DOUBLE * (c_custkey % 7 + 1) AS w, 0.002::DOU
 
 
 @query(f"""SELECT c_custkey, round(LEAST(x, x - 1), 9) AS west, round(y, 9) AS south, round(x + w, 9) AS east, round(GREATEST(y + h, y + 0.0025::DOUBLE), 9) AS north, round(w * h / 2, 12) AS area,
-  round(CASE WHEN w * h / 2 >= 0.000025::DOUBLE THEN x + w / 3 ELSE x - 1 + 0.005::DOUBLE END, 4) AS lng, round(CASE WHEN w * h / 2 >= 0.000025::DOUBLE THEN y + h / 3 ELSE y + 0.00125::DOUBLE END, 4) AS lat FROM ({_TRIANGLES_SQL})""")
+  round(CASE WHEN w * h / 2 >= 0.000025::DOUBLE THEN x + w / 3 ELSE x - 1 + 0.005::DOUBLE END, 6) AS lng, round(CASE WHEN w * h / 2 >= 0.000025::DOUBLE THEN y + h / 3 ELSE y + 0.00125::DOUBLE END, 6) AS lat FROM ({_TRIANGLES_SQL})""")
 def polygon_bounds(spark, sf):
     """Bounds of a shape of two polygons at every customer's place, the area of the first one and the centroid of the larger one."""
     x, y = F.col("longitude"), F.col("latitude")
@@ -720,7 +720,7 @@ def polygon_bounds(spark, sf):
     rows = _points(spark, sf).join(read(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
     rows = rows.select("c_custkey", F.array(F.array(triangle), F.array(bar)).alias("c"))
     middle = geo.largest_centroid(F.col("c"))
-    rows = rows.select("c_custkey", geo.bounds(F.col("c")).alias("b"), F.round(geo.ring_area(F.col("c")[0][0]), 12).alias("area"), F.round(middle[0], 4).alias("lng"), F.round(middle[1], 4).alias("lat"))
+    rows = rows.select("c_custkey", geo.bounds(F.col("c")).alias("b"), F.round(geo.ring_area(F.col("c")[0][0]), 12).alias("area"), F.round(middle[0], 6).alias("lng"), F.round(middle[1], 6).alias("lat"))
     return rows.select("c_custkey", *(F.round(f"b.{k}", 9).alias(k) for k in ("west", "south", "east", "north")), "area", "lng", "lat")
 
 

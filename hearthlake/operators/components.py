@@ -24,8 +24,8 @@ from hearthlake.session import materialize, shuffle_partitions
 
 #: Rounds whose pointers are followed in one plan.
 ROUNDS_A_PLAN = 3
-#: Edges that a task contracts at a time.
-LOCAL_EDGES = 1_000_000
+#: Edges that a task contracts at a time, and parts that the edges of one vertex are dealt to.
+LOCAL_EDGES, LOCAL_PARTS = 1_000_000, 64
 
 
 def spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,8 +73,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     spark = edges.sparkSession
     plain = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).filter("u is not null and v is not null and u <> v")
     for k in range(local_passes):
-        # All edges of a vertex meet in a task, once by the one end and once by the other.
-        plain = plain.repartition(shuffle_partitions(spark), "v" if k % 2 else "u").mapInPandas(_stars, "u long, v long")
+        # Edges meet by the one end or the other; the first end is the smaller one, which may be that of most edges, so its edges go to parts.
+        ends = [F.col("v")] if k % 2 else [F.col("u"), F.pmod(F.col("v"), F.lit(LOCAL_PARTS))]
+        plain = plain.repartition(shuffle_partitions(spark), *ends).mapInPandas(_stars, "u long, v long")
     left = materialize(plain.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     empty = spark.createDataFrame([], "id long, component_id long")
     if left.isEmpty():

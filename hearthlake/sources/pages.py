@@ -8,15 +8,25 @@ from __future__ import annotations
 
 import html as entities
 import json
+import math
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import unquote_plus
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 CARD = "page_id long, pos int, title string, url string, price_raw string, location_raw string"
-DETAIL = "page_id long, title string, price_raw string, description string, attributes map<string,string>, plain_attributes array<string>, photos array<string>, latitude double, longitude double, address_raw string, removed boolean"
+DETAIL = (
+    "page_id long, title string, price_raw string, description string, attributes map<string,string>, plain_attributes array<string>, photos array<string>, latitude double, longitude double, address_raw string, removed boolean,"
+    " listing_status string, unit_number_public string, city string, state string, postal_code string, map_accuracy int, post_id string, posted_raw string, updated_raw string, bedrooms_raw string, bathrooms_raw string, square_feet_raw string, availability_raw string"
+)
+# The open box that a pin must lie in, and sentences of postings that are gone.
+PIN_BOX = (37.6, 37.85, -122.56, -122.3)
+GONE = {"this posting has been deleted by its author": "removed_by_source", "this posting has been flagged for removal": "removed_by_source", "this posting has expired": "expired"}
+# What plain attributes say, by the column that they fill.
+PLAIN = {"bedrooms_raw": r"\d\s*br|\bstudio\b", "bathrooms_raw": r"\d\s*ba", "square_feet_raw": r"\d\s*(?:ft2|ft²|sqft)"}
 
 
 class Elements(HTMLParser):
@@ -72,9 +82,51 @@ def parse_cards(text: str) -> list[tuple]:
     return out
 
 
+def _pin(attrs: dict) -> tuple[float | None, float | None, int | None]:
+    """Position and accuracy of a map element; a pin outside the city's surroundings is no position."""
+
+    def number(name: str) -> float | None:
+        try:
+            value = float(attrs[name])
+        except (KeyError, ValueError):
+            return None
+        return value if math.isfinite(value) else None
+
+    lat, lng, accuracy = number("data-latitude"), number("data-longitude"), number("data-accuracy")
+    south, north, west, east = PIN_BOX
+    inside = lat is not None and lng is not None and south < lat < north and west < lng < east
+    return lat if inside else None, lng if inside else None, None if accuracy is None else int(accuracy)
+
+
+def split_unit(address: str | None) -> tuple[str | None, str | None]:
+    """Address and the unit behind its last dash, if that is short and has a digit; the label of a bare map link is no address."""
+    if not address or re.fullmatch(r"\(?google\s*maps?\)?", address, re.I):
+        return None, None
+    street, dash, unit = address.rpartition(max("-–—", key=address.rfind))
+    unit = unit.strip()
+    if dash and re.fullmatch(r"#?\w{1,8}", unit) and re.search(r"\d", unit):
+        return street.strip(), unit.removeprefix("#")
+    return address, None
+
+
+def _photos(text: str, page: Elements) -> list[str]:
+    """Addresses of the photo array of the page's script, else of the thumbnails."""
+    listed = re.search(r"imgList\s*=\s*(\[.*?\])\s*;", text, re.S)
+    try:
+        found = [x.get("url") if isinstance(x, dict) else str(x) for x in json.loads(listed[1])] if listed else []
+    except ValueError:
+        found = []
+    found = [x for x in found if x] or [x["attrs"]["href"] for x in page.by_class("thumb") if x["attrs"].get("href")]
+    return list(dict.fromkeys(found))
+
+
 def parse_detail(text: str) -> tuple:
-    """Fields of a detail page; coordinates only if they lie on the globe and are not zero."""
+    """Fields of a detail page, in the order of ``DETAIL``; a posting that is gone has its status only."""
     page = Elements(text)
+    body_text = " ".join(x["text"] for x in page.found if x["tag"] == "body") or (text or "")
+    status = next((s for phrase, s in GONE.items() if phrase in re.sub(r"\s+", " ", body_text).lower()), "active")
+    if status != "active":
+        return (None, None, None, {}, [], [], None, None, None, True, status) + (None,) * 12
     first = lambda items: next((_clean(x["text"]) for x in items if _clean(x["text"])), None)
     by_id = {x["attrs"]["id"]: x for x in page.found if x["attrs"].get("id")}
     attributes, plain = {}, []
@@ -87,28 +139,29 @@ def parse_detail(text: str) -> tuple:
             plain.append(value)
         elif not own and _clean(a["text"]):
             plain.append(_clean(a["text"]))
-    spot = next((x["attrs"] for x in page.found if "data-latitude" in x["attrs"]), {})
-    try:
-        lat, lng = float(spot["data-latitude"]), float(spot["data-longitude"])
-        if not (-90 <= lat <= 90 and -180 <= lng <= 180) or (lat, lng) == (0, 0):
-            lat = lng = None
-    except (KeyError, ValueError):
-        lat = lng = None
-    listed = re.search(r"imgList\s*=\s*(\[.*?\])\s*;", text or "", re.S)
-    photos: list[str] = []
-    if listed:
-        try:
-            photos = [x["url"] if isinstance(x, dict) else str(x) for x in json.loads(listed[1])]
-        except (ValueError, KeyError):
-            photos = []
-    if not photos:
-        photos = [x["attrs"]["href"] for x in page.by_class("thumb") if x["attrs"].get("href")]
+    if housing := first(page.by_class("housing")):
+        plain.append(housing)
+    raw = {name: next((x for x in plain if re.search(sign, x, re.I)), None) for name, sign in PLAIN.items()}
+    free = next((m[1].strip() for x in plain if (m := re.fullmatch(r"available\s+(.+)", x, re.I))), None)
+    lat, lng, accuracy = _pin(next((x["attrs"] for x in page.found if "data-latitude" in x["attrs"]), {}))
+    address, unit = split_unit(first(page.by_class("mapaddress", "street-address")))
+    links = " ".join(unquote_plus(x["attrs"].get("href", "")) for x in page.found if x["tag"] == "a" and "maps.google" in x["attrs"].get("href", ""))
+    place = re.search(r"loc:\s*\S.*?\ssan francisco\s+ca\s+(\d{5})", links, re.I)
+    info = page.by_class("postinginfo")
+    number = next((m[1] for x in info if (m := re.search(r"post id:\s*(\d+)", x["text"], re.I))), None)
+    times = {"posted": None, "updated": None}
+    for x in info:
+        stamp = next((y["attrs"]["datetime"] for y in page.inside(x) if y["tag"] == "time" and y["attrs"].get("datetime")), None)
+        kind = next((k for k in ("updated", "posted") if k in x["text"].lower()), None)
+        if stamp and kind:
+            times[kind] = stamp if kind == "updated" else times[kind] or stamp
     body = by_id.get("postingbody")
-    removed = bool(re.search(r"has (been deleted|expired|been flagged)", text or ""))
     title = by_id.get("titletextonly")
+    description = _clean(body["text"]) if body else None
     return (
-        _clean(title["text"]) if title else first([x for x in page.found if x["tag"] == "title"]), first(page.by_class("price")), _clean(body["text"]) if body else None,
-        attributes, plain, list(dict.fromkeys(photos)), lat, lng, first(page.by_class("mapaddress", "street-address")), removed,
+        _clean(title["text"]) if title else first([x for x in page.found if x["tag"] == "title"]), first(page.by_class("price")), re.sub(r"^QR Code Link to This Post\s*", "", description, flags=re.I) or None if description else None,
+        attributes, plain, _photos(text or "", page), lat, lng, address, False, status, unit, *(("San Francisco", "CA", place[1]) if place else (None,) * 3), accuracy, number, times["posted"], times["updated"],
+        raw["bedrooms_raw"], raw["bathrooms_raw"], raw["square_feet_raw"], "now" if free and free.lower() == "now" else free,
     )
 
 
@@ -125,7 +178,7 @@ def read_cards(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
 
 def read_details(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Detail fields of all pages, one row per page."""
-    names = [x.split(" ")[0] for x in re.split(r", (?=[a-z_]+ )", DETAIL)]
+    names = re.findall(r"(\w+) (?:long|string|map<[^>]*>|array<[^>]*>|double|boolean|int)(?:,|$)", DETAIL)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:

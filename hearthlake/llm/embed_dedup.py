@@ -32,6 +32,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -48,6 +49,7 @@ DEGREE, CANDIDATES, ALPHA = 16, 48, 1.2
 #: Rows of a shard that are dealt to its centroids at a time.
 DEAL_ROWS = 20_000
 AUDIT_ROWS = 200
+log = logging.getLogger(__name__)
 
 
 def _unit(vectors) -> np.ndarray:
@@ -240,8 +242,10 @@ def find_links(classes: DataFrame, threshold: float = 0.93, shard_rows: int = SH
         look = looker(beam * 2**attempt, slack * (1 + attempt))
         links = materialize(scene.groupBy("shard").applyInPandas(look, "src long, dst long").distinct())
         found = audit_recall(classes, links, threshold)
+        log.info("links found: %.4f of the audited ones (beam %d)", found, beam * 2**attempt)
         if found >= recall:
             return links, found
+    log.info("all chunks of a label are compared, as the audited recall stays below %.2f", recall)
     return _all_pairs(classes, threshold, shard_rows), 1.0
 
 

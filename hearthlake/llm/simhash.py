@@ -25,7 +25,9 @@ discard, but only after all pairs have been formed.
 ``near_components`` is exact for a small radius. ``similar_components`` works on
 wider fingerprints for a resemblance such as 0.8, where no small set of sections
 must agree; there the buckets are seeded samples of the bits, as many as the
-wanted recall needs at the given number of documents. What links there is only a
+wanted recall needs at the given number of documents. A bounded sample of
+fingerprints is compared with all of them; where too many pairs turn out to be
+missing, samples are added and in the end all chunks are compared. What links there is only a
 candidate: the texts of each group of candidates are compared by their sets of
 shingles, and those that really resemble each other form the components.
 
@@ -39,6 +41,7 @@ result; an empty table gives no rows.
 from __future__ import annotations
 
 import itertools
+import logging
 import math
 from collections.abc import Iterable, Iterator
 
@@ -62,6 +65,9 @@ BLOCK = 100_000
 CHUNK_TEXTS = 256
 #: Shingles of other texts that are looked up at a time.
 LOOKUPS = 1 << 20
+#: Classes that are audited against all.
+AUDIT_ROWS = 200
+log = logging.getLogger(__name__)
 
 
 def _lane(hashes: np.ndarray, lane: int) -> np.ndarray:
@@ -400,6 +406,53 @@ def resembling_components(members: DataFrame, texts: DataFrame, words: int, simi
     return linked(with_text(whole.join(large, "group", "left_anti"))).toDF("id", "component_id").unionByName(connected_components(linked(cut), local_passes=3))
 
 
+def audit_groups(classes: DataFrame, groups: DataFrame, radius: int, rows: int = AUDIT_ROWS, seed: int = 3) -> float:
+    """Share of the pairs within the radius, of a bounded sample of classes with all classes, that lie in one candidate group.
+
+    Half of the sample is drawn among the classes that have a group, as most others have no pair.
+    """
+    names = [c for c in classes.columns if c[0] == "f" and c[1:].isdigit()]
+    lot = [F.xxhash64(F.lit(seed), "cid"), F.col("cid")]
+    linked = groups.select(F.col("id").alias("cid")).orderBy(*lot).limit(rows // 2)
+    others = classes.select("cid").orderBy(*lot).limit(rows - rows // 2)
+    sample = classes.join(F.broadcast(linked.union(others).distinct()), "cid", "left_semi").select("cid", *names).toPandas()
+    ids, fps = sample["cid"].to_numpy(np.int64), sample[names].to_numpy(np.int64).view(np.uint64)
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            mine, all_fps = batch["cid"].to_numpy(np.int64), batch[names].to_numpy(np.int64).view(np.uint64)
+            src, dst = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            for i, f in zip(ids, fps, strict=True):
+                hit = mine[(hamming(all_fps, f) <= radius) & (mine != i)]
+                src.append(np.full(len(hit), i))
+                dst.append(hit)
+            yield pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst)})
+
+    pairs = classes.select("cid", *names).mapInPandas(near, "src long, dst long")
+    of = lambda end: groups.select(F.col("id").alias(end), F.col("component_id").alias(f"{end}_group"))
+    met = pairs.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    found = met.agg(F.count(F.lit(1)), F.count_if(F.col("src_group") == F.col("dst_group"))).first()
+    return found[1] / found[0] if found[0] else 1.0
+
+
+def candidate_groups(classes: DataFrame, lanes: int, rate: float, radius: int, recall: float, bucket_rows: int, retries: int = 1) -> DataFrame:
+    """Rows (id, component_id): groups of classes joined by pairs within the radius.
+
+    The bit samples are audited. Where more pairs are missing than ``recall`` allows for,
+    as many other samples are added; if that does not help, all chunks of classes are compared with each other.
+    """
+    rows, links = classes.count(), None
+    for attempt in range(retries + 1):
+        more = links_within(classes, sampled_masks(lanes, rows, rate, recall, 42 + attempt), radius, bucket_rows)
+        links = materialize(more if links is None else links.unionByName(more))
+        groups = connected_components(links, local_passes=3)
+        share = audit_groups(classes, groups, radius)
+        log.info("candidate pairs within %d bits found: %.4f of the audited ones (%d classes)", radius, share, rows)
+        if share >= 1 - 2 * (1 - recall):
+            return groups
+    return connected_components(links_within(classes, [[0] * lanes], radius, bucket_rows), local_passes=3)
+
+
 def _similar(docs: DataFrame, words: int, similarity: float, lanes: int, recall: float, id_col: str, text_col: str, bucket_rows: int, chunk_texts: int) -> tuple[DataFrame, DataFrame]:
     """The numbered rows of ``docs``, and for each row that isn't blank the first row of its component."""
     rate = difference_rate(similarity)
@@ -411,7 +464,7 @@ def _similar(docs: DataFrame, words: int, similarity: float, lanes: int, recall:
     # Equal sets form one class, named by its smallest id; its first row stands for its text.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     classes = materialize(prints.groupBy(*names).agg(first).withColumn("cid", F.monotonically_increasing_id()))
-    found = connected_components(links_within(classes, sampled_masks(lanes, classes.count(), loose, recall), radius, bucket_rows), local_passes=3)
+    found = candidate_groups(classes, lanes, loose, radius, recall, bucket_rows)
     members = materialize(classes.select("cid", F.col("first.row").alias("__row")).join(found.select(F.col("id").alias("cid"), F.col("component_id").alias("group")), "cid"))
     texts = rows.select("__row", F.col(text_col).cast("string").alias("t"))
     same = materialize(resembling_components(members, texts, words, similarity, chunk_texts))

@@ -145,3 +145,27 @@ def sample_recall(spark, rows, pairs=4000):
 def test_recall_of_bit_samples_holds_at_the_radius_for_any_number_of_rows(spark):
     for rows in (2_000, 80_000, 6_000_000):
         assert sample_recall(spark, rows)[0] >= 0.98
+
+
+def test_candidates_are_audited_and_made_whole(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    base = draw.integers(0, 2**63, size=(60, 4), dtype=np.int64)
+    rows = []
+    for b in base:
+        rows.append(b)
+        for _ in range(2):  # 30 of 256 bits differ
+            bits = np.zeros(256, dtype=np.uint8)
+            bits[draw.choice(256, 30, replace=False)] = 1
+            rows.append(b ^ np.packbits(bits, bitorder="little").view(np.int64))
+    classes = spark.createDataFrame([(i, *map(int, r)) for i, r in enumerate(rows)], "cid long, f0 long, f1 long, f2 long, f3 long").persist()
+    fps = np.array(rows).view(np.uint64)
+    want = components(range(len(rows)), lambda a, b: int(simhash.hamming(fps[a], fps[b])) <= 40)
+    grouped = lambda found: {r.id: r.component_id for r in found.collect()}
+    whole = {i: c for i, c in want.items() if list(want.values()).count(c) > 1}
+    assert grouped(simhash.candidate_groups(classes, 4, 40 / 256, 40, 0.99, 20_000)) == whole
+    nothing = lambda lanes, *a: [[-1 & (2**64 - 1)] * lanes]  # noqa: E731  one sample of all bits: only equal ones meet
+    monkeypatch.setattr(simhash, "sampled_masks", nothing)
+    none = spark.createDataFrame([], "id long, component_id long")
+    assert simhash.audit_groups(classes, none, 40) == 0.0
+    assert grouped(simhash.candidate_groups(classes, 4, 40 / 256, 40, 0.99, 20_000)) == whole  # all chunks were compared
+    assert simhash.candidate_groups(classes.limit(0), 4, 40 / 256, 40, 0.99, 20_000).count() == 0

@@ -61,7 +61,7 @@ LEAST_SLOPE = 0.25
 #: Standard errors that a feature's log odds need at least, and the share of a document's greatest ones that marks a window.
 EVIDENCE, NEARLY = 2.0, 0.7
 #: By how much an embedding starts further along its first axis for each standard error above the first one.
-HINT = 0.4
+HINT = 0.2
 #: Score from which a document is taken for toxic.
 THRESHOLD = 0.3
 

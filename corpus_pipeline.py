@@ -5,6 +5,13 @@ toxic documents go, exact copies go, one document of each near-duplicate group
 stays, sources are mixed to target weights (documents are left out or repeated),
 and what is left is encoded. All stages but the last return the columns of
 documents. Between stages the rows are written as Parquet and read again.
+
+Defined results: null texts count as empty; empty texts are scored like others, are
+copies of each other, and resemble nothing; of equal texts the longest row with the
+smallest id stays, null ids last, one row even where rows repeat each other; near
+copies leave the row with the smallest id; a null source is a source; columns
+named like a column of a later stage stay until the last stage, which returns its own; an
+empty table gives no rows at any stage.
 """
 
 from __future__ import annotations

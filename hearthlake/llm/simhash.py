@@ -67,6 +67,8 @@ CHUNK_TEXTS = 256
 LOOKUPS = 1 << 20
 #: Classes that are audited against all.
 AUDIT_ROWS = 200
+#: Row numbers (8 bytes each) that are counted first and then broadcast; more of them meet the rows in a shuffle.
+BROADCAST_ROWS = 1_000_000
 log = logging.getLogger(__name__)
 
 
@@ -445,6 +447,7 @@ def candidate_groups(classes: DataFrame, lanes: int, rate: float, radius: int, r
     for attempt in range(retries + 1):
         more = links_within(classes, sampled_masks(lanes, rows, rate, recall, 42 + attempt), radius, bucket_rows)
         links = materialize(more if links is None else links.unionByName(more))
+        del more  # so that its shuffle can be given up
         groups = connected_components(links, local_passes=3)
         share = audit_groups(classes, groups, radius)
         log.info("candidate pairs within %d bits found: %.4f of the audited ones (%d classes)", radius, share, rows)
@@ -453,6 +456,11 @@ def candidate_groups(classes: DataFrame, lanes: int, rate: float, radius: int, r
     return connected_components(links_within(classes, [[0] * lanes], radius, bucket_rows), local_passes=3)
 
 
+def _by_row(rows: DataFrame, numbers: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of whole rows with a table of row numbers; the rows stay where they are if the numbers are few."""
+    return rows.join(F.broadcast(numbers) if numbers.count() <= BROADCAST_ROWS else numbers, "__row", how)
+
+
 def _similar(docs: DataFrame, words: int, similarity: float, lanes: int, recall: float, id_col: str, text_col: str, bucket_rows: int, chunk_texts: int) -> tuple[DataFrame, DataFrame]:
     """The numbered rows of ``docs``, and for each row that isn't blank the first row of its component."""
     rate = difference_rate(similarity)
@@ -466,7 +474,8 @@ def _similar(docs: DataFrame, words: int, similarity: float, lanes: int, recall:
     classes = materialize(prints.groupBy(*names).agg(first).withColumn("cid", F.monotonically_increasing_id()))
     found = candidate_groups(classes, lanes, loose, radius, recall, bucket_rows)
     members = materialize(classes.select("cid", F.col("first.row").alias("__row")).join(found.select(F.col("id").alias("cid"), F.col("component_id").alias("group")), "cid"))
-    texts = rows.select("__row", F.col(text_col).cast("string").alias("t"))
+    # Only the texts of candidates go through a shuffle.
+    texts = _by_row(rows.select("__row", F.col(text_col).cast("string").alias("t")), members.select("__row"), "left_semi")
     same = materialize(resembling_components(members, texts, words, similarity, chunk_texts))
     rooted = classes.join(same.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("component_id", "cid")).drop("component_id")
     named = rooted.drop("first").join(rooted.groupBy("root").agg(F.min("first").alias("first")), "root").select(*names, "first")
@@ -493,5 +502,5 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """The rows of ``docs`` that come first in their component by id, with all their columns; blank texts stay."""
     rows, found = _similar(docs, words, similarity, lanes, recall, id_col, text_col, bucket_rows, chunk_texts)
-    dropped = found.filter("row <> first.row").select(F.col("row").alias("__row"))
-    return rows.join(dropped, "__row", "left_anti").select(*docs.columns)
+    dropped = materialize(found.filter("row <> first.row").select(F.col("row").alias("__row")))
+    return _by_row(rows, dropped, "left_anti").select(*docs.columns)

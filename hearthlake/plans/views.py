@@ -10,9 +10,11 @@ from hearthlake.functions.tags import snippet
 from hearthlake.operators import latest, matching, preference, subscriptions
 
 
-def listing_cards(listings: DataFrame, states: DataFrame, sources: DataFrame, runs: DataFrame, price_changes: DataFrame, digests: DataFrame, now: Column) -> DataFrame:
+def listing_cards(listings: DataFrame, states: DataFrame, sources: DataFrame, runs: DataFrame, price_changes: DataFrame, digests: DataFrame, now: Column, vision: DataFrame | None = None) -> DataFrame:
     """One card per listing with verdict, source name, last run, last price change and badges.
 
+    vision (listing_id, summary, features) adds visual_summary and visual_features, empty where a listing has none.
+
     Small tables are joined as they are and adaptive execution broadcasts those
     that turn out small; the boundary is one row.
     """
@@ -23,7 +25,11 @@ def listing_cards(listings: DataFrame, states: DataFrame, sources: DataFrame, ru
     met = met.join(last_run, "source_id", "left").join(change, "listing_id", "left").join(F.broadcast(since), F.lit(True), "left")
     c = F.col
     marks = preference.badges(c("user_status"), c("scam_risk_level"), c("stale_status"), c("old_price"), c("new_price"), c("at"), c("first_seen_at"), c("boundary"), c("duplicate_group_id"), c("source_last_run"), now)
-    return met.select(*listings.columns, "user_status", F.coalesce("source_name", "source_id").alias("source_name"), "source_last_run", "old_price", "new_price", marks.alias("badges"))
+    shown = []
+    if vision is not None:
+        met = met.join(vision.select("listing_id", F.col("summary").alias("visual_summary"), F.col("features").alias("__features")), "listing_id", "left")
+        shown = ["visual_summary", F.coalesce("__features", F.array().cast("array<string>")).alias("visual_features")]
+    return met.select(*listings.columns, "user_status", F.coalesce("source_name", "source_id").alias("source_name"), "source_last_run", "old_price", "new_price", marks.alias("badges"), *shown)
 
 
 def source_health(sources: DataFrame, listings: DataFrame, runs: DataFrame) -> DataFrame:

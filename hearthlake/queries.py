@@ -114,11 +114,17 @@ def pages_robots_rules(spark, sf):
     return robots.allowed(paths, rules, "Hearthlake/1.0").select("page_id", "path", "allowed")
 
 
-@query()
+@query(r"""SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')), '') AS title,
+  CAST(NULL AS INT) AS description_chars, 0 AS photos, regexp_matches(lower(regexp_replace(regexp_extract(html, '(?s)<body.*', 0), '\s+', ' ', 'g')), 'this posting has (been deleted by its author|been flagged for removal|expired)') AS removed FROM pages""")
 def pages_details(spark, sf):
     return pages.read_details(read(spark, sf, "pages")).select("page_id", "title", F.length("description").alias("description_chars"), F.size("photos").alias("photos"), "removed")
 
 
+@query("""SELECT page_id, CASE WHEN regexp_matches(url, '[0-9]{9,}[.]html') THEN regexp_extract(url, '([0-9]{9,})[.]html', 1) ELSE nullif(regexp_extract(url, '([^/?#]+)/?(?:[?#].*)?$', 1), '') END AS listing_id FROM pages""")
+def pages_listing_ids(spark, sf):
+    return read(spark, sf, "pages").select("page_id", listing_text.listing_id_from_url(F.col("url")).alias("listing_id"))
+
+
 # Documents
 
 

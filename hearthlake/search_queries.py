@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hearthlake.functions import times
 from hearthlake.operators import user_state
 from hearthlake.operators.preference import SEARCH_FILLERS
+from hearthlake.plans import reports
 from hearthlake.plans import search_view as views
-from hearthlake.queries import query, read
+from hearthlake.queries import ORACLE, _digest, query, read
 
 # Free-text search
 
@@ -89,3 +91,60 @@ def created_searches(spark, sf):
     rows = read(spark, sf, "conversations").select(F.col("conv_id").alias("owner"), F.col("turn").alias("pos"), text.alias("query"), F.when((F.col("role") == "user") & (F.trim(text) != ""), F.concat(F.lit("Search "), "conv_id")).alias("name"), (F.col("turn") % 2 == 1).alias("has_criteria"))
     made = user_state.new_searches(rows, F.lit("1998-07-01").cast("timestamp"))
     return rows.select("owner", "pos", user_state.record_id("srch", F.col("owner"), F.col("pos").cast("string")).alias("search_id")).join(made.drop("pos"), "search_id").select("owner", "pos", "name", "query", "error")
+
+
+# Reports and times
+
+@query(f"""WITH d AS ({ORACLE["digest_diff"]}), n AS (SELECT search_id, count(*) FILTER (WHERE kind = 'new') AS a, count(*) FILTER (WHERE kind = 'price_drop') AS b, count(*) FILTER (WHERE kind = 'dropped_out') AS c, count(*) FILTER (WHERE kind IN ('new', 'price_drop', 'unchanged')) AS m FROM d GROUP BY search_id),
+i AS (SELECT d.search_id, kind, '- #' || listing_id AS line, row_number() OVER (PARTITION BY d.search_id, kind ORDER BY listing_id) AS turn FROM d),
+l AS (SELECT search_id, string_agg(line, chr(10) ORDER BY turn) FILTER (WHERE kind = 'new' AND turn <= 5) AS x, string_agg(line, chr(10) ORDER BY turn) FILTER (WHERE kind = 'price_drop' AND turn <= 5) AS y, string_agg(line, chr(10) ORDER BY turn) FILTER (WHERE kind = 'dropped_out' AND turn <= 5) AS z FROM i GROUP BY search_id),
+s AS (SELECT search_id, chr(10) || '### New (' || a || ')' || chr(10) || x AS p, chr(10) || '### Price drops (' || b || ')' || chr(10) || y AS q, chr(10) || '### No longer matching (' || c || ')' || chr(10) || z AS r, m, a + b + c AS k FROM n JOIN l USING (search_id))
+SELECT CAST(row_number() OVER (ORDER BY search_id) AS BIGINT) AS place, '## Status ' || search_id || chr(10) || '_' || m || CASE m WHEN 1 THEN ' current match' ELSE ' current matches' END || '_' || coalesce(chr(10) || p, '') || coalesce(chr(10) || q, '') || coalesce(chr(10) || r, '') || CASE WHEN k = 0 THEN chr(10) || chr(10) || '_Nothing new._' ELSE '' END AS markdown FROM s
+UNION ALL SELECT 0, '# Digest — 1995-06-01' || chr(10) || chr(10) || sum(a) || CASE sum(a) WHEN 1 THEN ' new match, ' ELSE ' new matches, ' END || sum(b) || CASE sum(b) WHEN 1 THEN ' price drop, ' ELSE ' price drops, ' END || sum(c) || ' dropped out — across ' || count(*) || CASE count(*) WHEN 1 THEN ' saved search' ELSE ' saved searches' END
+  || ' (7 live listings evaluated).' || chr(10) || chr(10) || '_Check availability, rent, fees and terms on the original listing; nothing is sent to anyone._' FROM n""")
+def digest_report(spark, sf):
+    """The digest of two years' orders as a report; five listings of a list are shown, its heading counts all."""
+    changes = _digest(spark, sf)
+    items = changes.select("listing_id").distinct().select("listing_id", F.concat(F.lit("- #"), "listing_id").alias("text"))
+    searches = changes.select("search_id").distinct().withColumn("name", F.concat(F.lit("Status "), "search_id"))
+    return reports.digest_report(changes, items, searches, F.lit(7), F.lit("1995-06-01"), 5).select("place", "markdown")
+
+
+@query("""SELECT o_orderkey, '- ' || CASE WHEN o_orderkey % 2 = 0 THEN '$1,234 eff ($' || (o_custkey % 900 + 100) || ')' ELSE '$' || (o_custkey % 900 + 100) END || ' · ' || CASE o_orderkey % 3 WHEN 0 THEN 'studio' WHEN 1 THEN '?bd' ELSE '2bd' END || ' · ' || CASE WHEN o_custkey % 2 = 0 THEN 'Noe' ELSE 'SF' END || CASE WHEN o_custkey % 5 = 0 THEN ', 1.5km' ELSE '' END || ' · ' || o_orderpriority
+  || CASE WHEN o_orderstatus = 'P' THEN ' — was $2,000; ⚠ verify carefully; possible duplicate; missing from source; verify: a, b' ELSE '' END || chr(10) || '  T' || o_orderkey || chr(10) || '  http://l/' || o_custkey AS item FROM orders""")
+def digest_items(spark, sf):
+    c, flagged = F.col, F.col("o_orderstatus") == "P"
+    fields = {
+        "price": (c("o_custkey") % 900 + 100).cast("double"), "effective": F.when(c("o_orderkey") % 2 == 0, 1234.4), "beds": F.when(c("o_orderkey") % 3 == 0, 0.0).when(c("o_orderkey") % 3 == 2, 2.0), "area": F.when(c("o_custkey") % 2 == 0, "Noe"),
+        "distance_km": F.when(c("o_custkey") % 5 == 0, 1.5), "source": c("o_orderpriority"), "title": F.concat(F.lit("T"), "o_orderkey"), "url": F.concat(F.lit("http://l/"), "o_custkey"), "previous": F.when(flagged, 2000.0), "risk": F.when(flagged, "verify_carefully"),
+        "group": F.when(flagged, "g"), "stale": F.when(flagged, "missing_once").otherwise("active"), "unknowns": F.when(flagged, F.array(F.lit("a"), F.lit("b"))),
+    }
+    return read(spark, sf, "orders").select("o_orderkey", reports.digest_item(fields).alias("item"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'view' THEN '- s' || user_id || ': skipped, not due' ELSE '- s' || user_id || ': ' || event_type || ', ' || event_id || ' listings found, 3 new, 0 changed, 5 unchanged' || CASE WHEN user_id % 3 > 0 THEN ', ' || (user_id % 3) || ' price changes' ELSE '' END || ', 2p/1d, pagination '
+  || CASE user_id % 3 WHEN 0 THEN 'complete' WHEN 1 THEN 'INCOMPLETE' ELSE 'unknown' END || ' (9s)' || CASE WHEN event_type = 'error' THEN chr(10) || '    error: broke' ELSE '' END || CASE WHEN user_id % 2 = 0 THEN chr(10) || '    warning: slow' || chr(10) || '    warning: few' ELSE '' END END AS line FROM events""")
+def run_lines(spark, sf):
+    c, n = F.col, F.lit
+    fields = {
+        "source": F.concat(n("s"), "user_id"), "status": F.when(c("event_type") == "view", "skipped").otherwise(c("event_type")), "reason": n("not due"), "found": c("event_id"), "new": n(3), "changed": n(None).cast("int"), "unchanged": n(5), "price_changes": c("user_id") % 3, "missing": n(0),
+        "pages": n(2), "details": n(1), "pagination": F.when(c("user_id") % 3 == 0, True).when(c("user_id") % 3 == 1, False), "seconds": n(9), "error": F.when(c("event_type") == "error", "broke\nin two"), "warnings": F.when(c("user_id") % 2 == 0, F.array(n("slow"), n("few"))),
+    }
+    return read(spark, sf, "events").select("event_id", reports.run_line(fields).alias("line"))
+
+
+@query(f"""SELECT source, source || ': CHECK (' || total || ' listings)' || coalesce(chr(10) || nullif(array_to_string(list_transform(list_filter(string_split(issues, ' '), lambda x: x <> ''), lambda i: '  - ' || replace(replace(i, 'error:', 'ERROR: '), 'warning:', 'warning: ')), chr(10)), ''), '') AS report FROM ({ORACLE["docs_coverage_contract"]})""")
+def verification_texts(spark, sf):
+    from hearthlake.queries import QUERIES
+
+    profiled = QUERIES["docs_coverage_contract"](spark, sf)
+    issues = F.filter(F.split("issues", " "), lambda x: x != "")
+    return profiled.select("source", reports.verification_text(F.col("source"), F.lit("CHECK"), F.col("total"), issues).alias("report"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL ELSE strftime(date_trunc('second', ts) + CASE event_id % 4 WHEN 0 THEN INTERVAL 8 HOURS WHEN 1 THEN INTERVAL (-330) MINUTES ELSE INTERVAL 0 HOURS END, '%Y-%m-%dT%H:%M:%S') || '.000Z' END AS posted FROM events""")
+def posted_times(spark, sf):
+    k = F.col("event_id") % 4
+    plain = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    raw = F.when(k == 0, F.concat(plain, F.lit("-0800"))).when(k == 1, F.concat(plain, F.lit("+05:30"))).when(k == 2, F.concat(plain, F.lit("Z"))).otherwise("last Tuesday")
+    return read(spark, sf, "events").select("event_id", times.utc_text(times.instant(raw)).alias("posted"))

@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from hearthlake.functions import times
 from hearthlake.operators import geocoding
 from hearthlake.plans import views
 from hearthlake.queries import query, read
 from hearthlake.session import shared_folder
-from hearthlake.sources import payload_source, registry, units
+from hearthlake.sources import pages, payload_source, registry, units
 
 NOW = "1998-07-01"
 
@@ -60,6 +61,40 @@ def unit_details(spark, sf):
     return rows.select("page_id", "square_feet_raw", "description", F.array_join("amenities", " ").alias("amenities"), F.array_join("photos", " ").alias("photos"), "availability_raw", "deposit_raw")
 
 
+# Detail pages
+
+
+def _postings(spark, sf):
+    k, n = F.col("p_partkey"), F.col("p_size")
+    inside = F.when(k % 3 != 2, F.concat(F.lit("37.7"), n)).otherwise(F.concat(F.lit("38."), n))
+    gone = F.when(k % 10 == 0, "<p>This posting has\n expired.</p>").when(k % 10 == 1, "<p>This posting has been deleted by its author.</p>").otherwise("")
+    address = F.when(k % 4 == 0, F.concat(n, F.lit(" Main St - #"), n, F.lit("B"))).when(k % 4 == 1, F.concat(n, F.lit(" Main St – rear"))).when(k % 4 == 2, "(google map)").otherwise(F.concat(n, F.lit(" Oak – Elm - "), n))
+    link = F.when(k % 2 == 0, F.concat(F.lit('<a href="https://maps.google.com/?q=loc%3A+'), n, F.lit('+Main+San+Francisco+CA+941'), F.lpad((n % 100).cast("string"), 2, "0"), F.lit('">map</a>'))).otherwise('<a href="/x">x</a>')
+    photos = F.when(k % 3 == 0, F.lit('var imgList = [{"url":"https://i/1.jpg"},{"u":1},{"url":"https://i/2.jpg"},{"url":"https://i/1.jpg"}];')).when(k % 3 == 1, F.lit("var imgList = [broken];")).otherwise("")
+    html = F.concat(
+        F.lit("<html><body>"), gone, F.lit('<span id="titletextonly"> A  '), "p_name", F.lit(' </span><span class="price">$'), n, F.lit('</span><span class="housing">'), n % 5, F.lit("br - "), n * 10, F.lit('ft2</span><div class="attrgroup"><span class="attr"><span class="valu">Available '), F.when(k % 2 == 0, "NOW").otherwise("jul 4"),
+        F.lit('</span></span></div><div class="attr"><span class="labl">rent period:</span><span class="valu">monthly</span></div><div id="map" data-latitude="'), inside, F.lit('" data-longitude="-122.4" data-accuracy="'), n, F.lit('"></div><div class="mapaddress">'), address, F.lit("</div>"), link,
+        F.lit('<section id="postingbody">QR Code Link to This Post Big '), "p_type", F.lit('</section><a class="thumb" href="https://t/'), k, F.lit('.jpg">t</a><p class="postinginfo">post id: '), k + 1000, F.lit('</p><p class="postinginfo">posted: <time datetime="2024-03-05T14:20:11-0800">x</time></p><p class="postinginfo">updated: <time datetime="2024-03-0'), n % 9 + 1,
+        F.lit('T01:00:00+0000">y</time></p><script>'), photos, F.lit("</script></body></html>"),
+    )
+    return read(spark, sf, "part").select(k.alias("page_id"), html.alias("html"))
+
+
+@query("""WITH d AS (SELECT *, p_partkey % 10 > 1 AS here, p_partkey % 4 AS a FROM part)
+SELECT p_partkey AS page_id, CASE p_partkey % 10 WHEN 0 THEN 'expired' WHEN 1 THEN 'removed_by_source' ELSE 'active' END AS listing_status, CASE WHEN here THEN 'A ' || p_name END AS title, CASE WHEN here THEN '$' || p_size END AS price_raw, CASE WHEN here THEN 'Big ' || p_type END AS description,
+  CASE WHEN here AND p_partkey % 3 <> 2 THEN CAST('37.7' || p_size AS DOUBLE) END AS latitude, CASE WHEN here THEN p_size END AS map_accuracy, CASE WHEN here THEN CASE a WHEN 0 THEN p_size || ' Main St' WHEN 1 THEN p_size || ' Main St – rear' WHEN 3 THEN p_size || ' Oak – Elm' END END AS address_raw,
+  CASE WHEN here THEN CASE a WHEN 0 THEN p_size || 'B' WHEN 3 THEN CAST(p_size AS VARCHAR) END END AS unit, CASE WHEN here AND p_partkey % 2 = 0 THEN '941' || lpad(CAST(p_size % 100 AS VARCHAR), 2, '0') END AS postal_code, CASE WHEN here THEN CAST(p_partkey + 1000 AS VARCHAR) END AS post_id,
+  CASE WHEN here THEN '2024-03-05T22:20:11.000Z' END AS posted, CASE WHEN here THEN '2024-03-0' || (p_size % 9 + 1) || 'T01:00:00.000Z' END AS updated, CASE WHEN here THEN (p_size % 5) || 'br - ' || (p_size * 10) || 'ft2' END AS bedrooms_raw, CASE WHEN here THEN CASE WHEN p_partkey % 2 = 0 THEN 'now' ELSE 'jul 4' END END AS availability_raw,
+  CASE WHEN NOT here THEN '' WHEN p_partkey % 3 = 0 THEN 'https://i/1.jpg https://i/2.jpg' ELSE 'https://t/' || p_partkey || '.jpg' END AS photos FROM d""")
+def posting_details(spark, sf):
+    rows = pages.read_details(_postings(spark, sf))
+    utc = lambda c: times.utc_text(times.instant(F.col(c)))
+    return rows.select(
+        "page_id", "listing_status", "title", "price_raw", "description", "latitude", "map_accuracy", "address_raw", F.col("unit_number_public").alias("unit"), "postal_code", "post_id", utc("posted_raw").alias("posted"), utc("updated_raw").alias("updated"),
+        "bedrooms_raw", "availability_raw", F.array_join("photos", " ").alias("photos"),
+    )
+
+
 # Registry
 
 

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hearthlake.functions import geo, listing_text, tags
+from hearthlake.functions.hashes import photo_hash
 from hearthlake.functions.scalars import plain_number
-from hearthlake.operators import duplicates, latest, liveness, merge, preference, spatial
+from hearthlake.operators import duplicates, latest, liveness, merge, preference, risk, spatial
 from hearthlake.operators.prefix import running_before
 from hearthlake.plans import texts, views
 from hearthlake.queries import PHRASE_SQL, phrase, query, read
@@ -49,7 +50,7 @@ def _listings(spark, sf):
     )
 
 
-def _cards(spark, sf):
+def _cards(spark, sf, vision=None):
     items, orders = read(spark, sf, "lineitem"), read(spark, sf, "orders")
     states = items.groupBy(F.col("l_orderkey").alias("listing_id")).agg(F.max("l_returnflag").alias("f")).select("listing_id", F.when(F.col("f") == "R", "hidden").when(F.col("f") == "A", "saved").alias("status")).filter("status is not null")
     names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]
@@ -58,7 +59,7 @@ def _cards(spark, sf):
     runs = runs.withColumn("status", F.when(F.col("s") == "O", "partial").when(F.col("s") == "F", "failed").otherwise("success"))
     changes = items.groupBy(F.col("l_orderkey").alias("listing_id")).agg(F.max("l_shipdate").alias("at"), F.max("l_extendedprice").alias("old_price"), (F.min("l_extendedprice") + F.max("l_quantity")).alias("new_price"))
     digests = orders.select(F.col("o_orderdate").alias("created_at")).distinct()
-    return views.listing_cards(_listings(spark, sf), states, sources, runs, changes, digests, _now())
+    return views.listing_cards(_listings(spark, sf), states, sources, runs, changes, digests, _now(), vision)
 
 
 @query(f"WITH {_CARDS_SQL} SELECT listing_id, user_status, source_name, source_last_run, old_price, new_price, badges FROM cards")
@@ -66,6 +67,13 @@ def listing_cards(spark, sf):
     return _cards(spark, sf).select("listing_id", "user_status", "source_name", "source_last_run", "old_price", "new_price", F.array_join("badges", " ").alias("badges"))
 
 
+@query(f"""WITH {_CARDS_SQL}, v AS (SELECT l_orderkey, count(*) || ' items' AS summary, list_sort(list_distinct(list(l_linestatus || l_returnflag))) AS features FROM lineitem GROUP BY l_orderkey)
+SELECT listing_id, badges, summary AS visual_summary, coalesce(array_to_string(features, ' '), '') AS visual_features FROM cards LEFT JOIN v ON l_orderkey = listing_id""")
+def cards_with_vision(spark, sf):
+    seen = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("listing_id")).agg(F.concat(F.count(F.lit(1)), F.lit(" items")).alias("summary"), F.array_sort(F.collect_set(F.concat("l_linestatus", "l_returnflag"))).alias("features"))
+    return _cards(spark, sf, seen).select("listing_id", F.array_join("badges", " ").alias("badges"), "visual_summary", F.array_join("visual_features", " ").alias("visual_features"))
+
+
 @query(f"WITH {_CARDS_SQL} SELECT listing_id, price_monthly, row_number() OVER (ORDER BY first_seen_at DESC, listing_id) AS place FROM cards WHERE o_orderstatus <> 'F' AND user_status IS DISTINCT FROM 'hidden' AND NOT contains(badges, 'verify_carefully')")
 def browse_newest(spark, sf):
     rows = views.browse(_cards(spark, sf), hide_suspicious=True).select("listing_id", "price_monthly", (-F.unix_micros(F.col("first_seen_at").cast("timestamp"))).alias("age"), F.lit(1).alias("one"))
@@ -256,6 +264,21 @@ def feed_details(spark, sf):
     return read(spark, sf, "part").select("p_partkey", F.array_join(feeds.image_urls(photo, photos), " ").alias("photos"), F.array_join(feeds.attribute_lines(known, ["secret"]), ", ").alias("facts"))
 
 
+@query("""WITH d AS (SELECT l_orderkey, sum(CAST(l_extendedprice * 100 AS BIGINT)) / 100 AS total FROM lineitem GROUP BY l_orderkey) SELECT o_orderkey, coalesce(o_orderstatus = 'F' AND abs(o_totalprice - total) > 0.25 * total, false) AS mismatch FROM orders LEFT JOIN d ON l_orderkey = o_orderkey""")
+def price_mismatches(spark, sf):
+    """An order's total as the card's price, the sum of its items as that of the detail page."""
+    cents = F.bround(F.col("l_extendedprice") * 100).cast("long")
+    total = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg((F.sum(cents) / 100).alias("total"))
+    return read(spark, sf, "orders").join(total, "o_orderkey", "left").select("o_orderkey", risk.price_mismatch(F.col("o_totalprice"), F.col("total"), F.col("o_orderstatus") == "F").alias("mismatch"))
+
+
+@query("""SELECT p_partkey, sha256(CASE WHEN p_size % 2 = 0 THEN 'https://a/' || p_size || '.jpg|https://b/' || p_partkey || '.jpg' ELSE 'https://b/' || p_partkey || '.jpg' END) AS photo_hash FROM part""")
+def photo_hashes(spark, sf):
+    a, b = F.concat(F.lit("https://A/"), "p_size", F.lit("_600x450.jpg")), F.concat(F.lit("https://b/"), "p_partkey", F.lit("_50x50c.JPG"))
+    urls = F.array_compact(F.array(b, F.when(F.col("p_size") % 2 == 0, a), F.concat(F.lit("https://B/"), "p_partkey", F.lit(".jpg"))))
+    return read(spark, sf, "part").select("p_partkey", photo_hash(urls).alias("photo_hash"))
+
+
 # Duplicates
 
 _HASH = "CASE WHEN length(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) >= 40 THEN sha256(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) END"

@@ -52,8 +52,8 @@ def prerank(candidates: DataFrame, query: str, text: Column, position: str, cap:
     """The ``cap`` candidates whose text contains the most words of the query; ties and few candidates keep their order."""
     tokens = query_tokens(query)
     hits = sum((F.contains(text, F.lit(t)).cast("int") for t in tokens), F.lit(0))
-    few = candidates.limit(cap + 1).count() <= cap
-    scored = candidates.withColumn("hits", F.lit(0) if few else hits)
+    few = F.broadcast(candidates.limit(cap + 1).agg((F.count(F.lit(1)) <= cap).alias("__few")))  # one row
+    scored = candidates.join(few, F.lit(True)).withColumn("hits", F.when(F.col("__few"), 0).otherwise(hits)).drop("__few")
     return scored.orderBy(F.col("hits").desc(), position).limit(cap)
 
 

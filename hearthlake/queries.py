@@ -730,6 +730,17 @@ def polygon_bounds(spark, sf):
     return rows.select("c_custkey", *(F.round(f"b.{k}", 9).alias(k) for k in ("west", "south", "east", "north")), "area", "lng", "lat")
 
 
+@query(f"""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 4 ELSE 5 END AS points, round(x, 5) AS west, round(y + 0.2::DOUBLE, 5) AS north FROM (SELECT c_custkey, {_LAT} AS y, {_LNG} AS x FROM customer)""")
+def simplified_shapes(spark, sf):
+    """A triangle at every customer's place with a point on its first side, near the side or off it."""
+    x, y = F.col("longitude"), F.col("latitude")
+    bump = F.when(F.col("c_custkey") % 2 == 0, 0.00001).otherwise(0.01)
+    ring = F.array(F.array(x, y), F.array(x + 0.1, y - bump), F.array(x + 0.2, y), F.array(x, y + 0.2), F.array(x, y))
+    made = spatial.simplify(_points(spark, sf).select("c_custkey", F.array(F.array(ring)).alias("coordinates")))
+    points = F.col("coordinates")[0][0]
+    return made.select("c_custkey", F.size(points).alias("points"), F.array_min(F.transform(points, lambda p: p[0])).alias("west"), F.array_max(F.transform(points, lambda p: p[1])).alias("north"))
+
+
 @query()
 def map_clusters(spark, sf):
     return map_cluster_points(_points(spark, sf), [12, 11, 10], "c_custkey").select("zoom", F.col("id").alias("c_custkey"), "cluster", "points", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))

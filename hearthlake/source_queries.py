@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from hearthlake.functions import times
-from hearthlake.operators import geocoding
+from hearthlake.operators import geocoding, merge
 from hearthlake.plans import views
 from hearthlake.queries import query, read
 from hearthlake.session import shared_folder
-from hearthlake.sources import pages, payload_source, registry, units
+from hearthlake.sources import pages, payload_source, registry, store, units
+from hearthlake.streaming import liveness_state
 
 NOW = "1998-07-01"
 
@@ -203,3 +204,68 @@ def search_result_summaries(spark, sf):
     results = top.groupBy(F.col("l_suppkey").alias("search_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "l_orderkey"))), lambda x: x["l_orderkey"]).alias("ids"))
     listings = read(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("listing_id"), F.col("o_totalprice").alias("price"))
     return views.result_summaries(results, listings, ["price"])
+
+
+# Result cards, copied tables, liveness as a stream, photos of merged listings
+
+
+@query("""SELECT p_partkey AS page_id, i AS pos, CASE i WHEN 0 THEN 'Flat ' || p_name ELSE 'By title' END AS title, 'https://e/' || p_partkey || '/' || i AS url, CASE i WHEN 0 THEN '$' || p_size || ',000' END AS price_raw, CASE i WHEN 0 THEN p_brand END AS location_raw
+FROM part, (VALUES (0), (1)) v(i)""")
+def result_cards(spark, sf):
+    k = F.col("p_partkey")
+    link = lambda i: F.concat(F.lit('<a href="https://e/'), k, F.lit(f'/{i}">'))
+    html = F.concat(
+        F.lit('<ol><li class="cl-static-search-result" title="x">'), link(0), F.lit('<div class="title">Flat  '), "p_name", F.lit('</div><div class="price">$'), "p_size", F.lit(',000</div><div class="location"> '), "p_brand", F.lit("</div></a></li>"),
+        F.lit('<li class="result" title="By title">'), link(1), F.lit('x</a></li><li class="result"><b>no link</b></li></ol>'),
+    )
+    return pages.read_cards(read(spark, sf, "part").select(k.alias("page_id"), html.alias("html")))
+
+
+@query("""SELECT 'nation' AS kind, n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 'verdict', s_suppkey, CASE WHEN s_acctbal < 5000 THEN 'kept' ELSE s_name END FROM supplier""")
+def copied_tables(spark, sf):
+    """Nations as they are; of suppliers the target has some already, and keeps what it has."""
+    root = f"{shared_folder(spark)}/copy-{uuid.uuid4().hex}"
+    source, target = store.SnapshotStore(spark, f"{root}/a"), store.SnapshotStore(spark, f"{root}/b")
+    suppliers = read(spark, sf, "supplier")
+    nations = read(spark, sf, "nation").select(F.lit("nation").alias("kind"), F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    verdicts = suppliers.select(F.lit("verdict").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    source.write("nations", nations)
+    source.write("verdicts", verdicts)
+    target.write("verdicts", verdicts.join(suppliers.filter("s_acctbal < 5000").select(F.col("s_suppkey").alias("id")), "id").select("kind", "id", F.lit("kept").alias("name")))
+    schema = "kind string, id long, name string"
+    store.copy_tables(source, target, {"nations": schema, "verdicts": schema}, {"verdicts": ["id"]})
+    return target.read("nations", schema).unionByName(target.read("verdicts", schema))
+
+
+@query("""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), l AS (SELECT user_id, max(CAST(ts AS DATE)) AS last FROM events GROUP BY user_id)
+SELECT CAST(user_id AS VARCHAR) AS listing_id, CASE LEAST((SELECT count(*) FROM d WHERE day > last), 3) WHEN 0 THEN 'active' WHEN 1 THEN 'missing_once' WHEN 2 THEN 'missing_multiple_runs' ELSE 'likely_unavailable' END AS status FROM l""")
+def liveness_by_stream(spark, sf):
+    """Every day a run that saw its users, as a stream in three batches."""
+    root = f"{shared_folder(spark)}/liveness-{uuid.uuid4().hex}"
+    days = read(spark, sf, "events").select(F.lit("s").alias("source_id"), F.col("user_id").cast("string").alias("listing_id"), F.datediff(F.to_date("ts"), F.lit("2000-01-01")).cast("long").alias("run_no")).distinct()
+    ends = days.select("source_id", F.lit(None).cast("string").alias("listing_id"), "run_no").distinct().withColumn("trusted", F.lit(True))
+    rows = days.withColumn("trusted", F.lit(None).cast("boolean")).unionByName(ends)
+    rows.repartitionByRange(3, "run_no").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+
+    def keep(changes, batch_id: int) -> None:
+        changes.withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+
+    liveness_state.liveness_stream(stream, buckets=4).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start().awaitTermination()
+    return liveness_state.statuses(spark.read.parquet(f"{root}/out")).select("listing_id", "status")
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS source_listing_id, CASE p_partkey % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'old a' WHEN 2 THEN 'new' ELSE 'old a' END AS photos FROM part""")
+def merge_photos(spark, sf):
+    """Photos after a batch: details with photos replace what is stored, cards fill only what is empty, empty lists change nothing."""
+    k, none, text = F.col("p_partkey") % 4, F.lit(None), "array<string>"
+    base = lambda *more: read(spark, sf, "part").select(
+        F.lit("s").alias("source_id"), F.col("p_partkey").cast("string").alias("source_listing_id"), F.col("p_retailprice").alias("price_monthly"), none.cast("double").alias("price_effective_monthly"), none.cast("string").alias("price_raw"), F.col("p_name").alias("title"),
+        none.cast("string").alias("neighborhood"), F.lit("active").alias("listing_status"), F.lit("h").alias("content_hash"), none.cast("double").alias("latitude"), none.cast("double").alias("longitude"), none.cast("string").alias("geocode_precision"), F.col("p_type").alias("description"), *more,
+    )
+    at = F.lit("2024-01-01").cast("timestamp")
+    stored = F.when(k == 2, F.array().cast(text)).otherwise(F.array(F.lit("old"), F.lit("a"))).alias("photos")
+    snapshot = base(stored, F.col("p_partkey").cast("string").alias("listing_id"), at.alias("first_seen_at"), at.alias("last_seen_at"), F.lit("active").alias("stale_status"), none.cast("timestamp").alias("missing_since"), at.alias("detail_fetched_at"), F.lit("r1").alias("run_id"))
+    batch = base(F.when(k == 3, F.array().cast(text)).otherwise(F.array(F.lit("new"))).alias("photos"), F.when(k.isin(0, 3), "detail").otherwise("card").alias("fetch_depth"), F.lit(0).alias("batch_pos"))
+    merged = merge.merge_batch(snapshot, merge.fold_batch(batch, ["description"]), at, F.lit("r2"), ["description"])
+    return merged.select("source_listing_id", F.array_join("photos", " ").alias("photos"))

@@ -35,6 +35,7 @@ column of the result are replaced by it.
 
 from __future__ import annotations
 
+import ctypes
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -52,7 +53,7 @@ from hearthlake.llm.pieces import PieceHash
 #: Where the tokenizer files lie on every machine by default.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
-BLOCK_CHARS = 3_000_000
+BLOCK_CHARS = 1_000_000
 #: Chunks, and piece ids in them, that a worker keeps; then it begins anew.
 KEPT_CHUNKS, KEPT_IDS = 1_000_000, 20_000_000
 #: Bytes of a chunk beyond which it is gone through on its own, place by place; places at a time.
@@ -507,6 +508,15 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *arrays]), type=pa.int32()))
 
 
+def _give_back() -> None:
+    """Return what a reused worker has freed, here or in an earlier stage, to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def _model_path(path: str) -> str:
     """The path itself, or the file of that name that was shipped with ``SparkContext.addFile``."""
     return SparkFiles.get(path[len("files:") :]) if path.startswith("files:") else path
@@ -526,6 +536,7 @@ def encode(docs: DataFrame, n: int = 3, model: str = MODEL, text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(_model_path(model))
         for batch in batches:
+            _give_back()
             texts = [t or "" for t in batch.column(at).to_pylist()]
             part = np.cumsum([len(t) for t in texts]) // BLOCK_CHARS
             for p in np.unique(part):

@@ -27,6 +27,40 @@ PRECISIONS = {
     "road": "block", "street": "block", "block": "block", "neighbourhood": "neighborhood", "suburb": "neighborhood", "quarter": "neighborhood",
     "city": "city", "town": "city", "municipality": "city",
 }
+# How listings write prices, rooms, sizes, terms, units and concessions.
+PRICE = r"\$?\s*(\d{3,6})(?:\.\d{1,2})?"
+STUDIO = r"\bstudio\b"
+BEDROOMS = r"(\d+(?:\.\d+)?)\s*(?:br|bd|bed(?:room)?s?)\b"
+SHARED_BATH = r"\b(shared|split)\s*ba"
+BATHROOMS = r"(\d+(?:\.\d+)?)\s*(?:ba(?:th(?:room)?s?)?)\b"
+SQUARE_FEET = r"(?i)(\d{2,5})\s*(?:ft2|ft²|sq\.?\s*ft\.?|sqft|square\s*feet)"
+MONTH_TO_MONTH, LEASE_MONTHS = "month[- ]to[- ]month", r"(\d{1,2})\s*[- ]?months?"
+UNIT = r"([A-Za-z]?\d{1,4}(?:-\d{1,4})?[A-Za-z]{0,2})"
+CONCESSION = r"(?i)(\d+(?:\.\d+)?\s*(?:months?|weeks?)\s+free(?:\s+rent)?[^.!\n]*|move[- ]in special[^.!\n]*|\$\d[\d,]*\s+off[^.!\n]*)"
+# Wordings of laundry and parking, the first that occurs counts.
+LAUNDRY = {
+    "none": r"\bno laundry\b",
+    "in_unit": r"\b(w/d in unit|washer\s*/?\s*dryer in unit|in[- ]unit (laundry|washer)|laundry in unit)\b",
+    "in_building": r"\b(laundry (in bldg|in building|on site|on-site|room)|shared laundry|coin[- ]op|laundry facilities)\b",
+    "hookups": r"\b(w/d hookups?|washer\s*/?\s*dryer hookups?|laundry hookups?)\b",
+}
+PARKING = {
+    "garage": r"\b(garage|valet parking)\b",
+    "off_street": r"\b(off[- ]street|carport|driveway|assigned parking|parking included|parking available|parking spot)\b",
+    "street": r"\bstreet parking\b",
+    "none": r"\bno parking\b",
+}
+# Wordings about pets.
+PETS = {
+    "refused": r"\bno pets\b|\bpets?[^a-z]{0,3}not allowed\b|\bpet[- ]free\b",
+    "pets": r"\bpets? (are )?(ok|okay|welcome|allowed|friendly)\b|\bpet[- ]friendly\b",
+    "cats": r"\bcats? (are )?(ok|okay|welcome|allowed)\b|\bcat[- ]friendly\b",
+    "dogs": r"\bdogs? (are )?(ok|okay|welcome|allowed)\b|\bdog[- ]friendly\b",
+    "only_cats": r"\bcats? only\b",
+    "no_cats": r"\bno cats\b",
+    "no_dogs": r"\bno dogs\b",
+    "limit": r"\b(small dogs?( only)?( under \d+ ?lbs?)?|dogs? under \d+ ?lbs?|one dog max|breed restrictions?[^.,;]*)",
+}
 
 
 def _map(table: dict) -> Column:
@@ -35,7 +69,7 @@ def _map(table: dict) -> Column:
 
 def parse_price(raw: Column) -> Column:
     """Monthly price: three to six digits, cents ignored, 100 to 100000."""
-    return within(group(F.replace(raw, F.lit(",")), r"\$?\s*(\d{3,6})(?:\.\d{1,2})?").cast("double"), 100, 100_000)
+    return within(group(F.replace(raw, F.lit(",")), PRICE).cast("double"), 100, 100_000)
 
 
 def has_price(price: Column, effective: Column) -> Column:
@@ -44,19 +78,16 @@ def has_price(price: Column, effective: Column) -> Column:
 
 def parse_bedrooms(raw: Column) -> Column:
     text = F.lower(raw)
-    count = group(text, r"(\d+(?:\.\d+)?)\s*(?:br|bd|bed(?:room)?s?)\b").cast("double")
-    return F.when(matches(text, r"\bstudio\b"), F.lit(0.0)).otherwise(within(count, 0, 12))
+    return F.when(matches(text, STUDIO), F.lit(0.0)).otherwise(within(group(text, BEDROOMS).cast("double"), 0, 12))
 
 
 def parse_bathrooms(raw: Column) -> Column:
     text = F.lower(raw)
-    count = group(text, r"(\d+(?:\.\d+)?)\s*(?:ba(?:th(?:room)?s?)?)\b").cast("double")
-    return F.when(~matches(text, r"\b(shared|split)\s*ba"), within(count, 0, 12, open_low=True))
+    return F.when(~matches(text, SHARED_BATH), within(group(text, BATHROOMS).cast("double"), 0, 12, open_low=True))
 
 
 def parse_square_feet(raw: Column) -> Column:
-    count = group(F.replace(raw, F.lit(",")), r"(?i)(\d{2,5})\s*(?:ft2|ft²|sq\.?\s*ft\.?|sqft|square\s*feet)").cast("int")
-    return within(count, 80, 20_000)
+    return within(group(F.replace(raw, F.lit(",")), SQUARE_FEET).cast("int"), 80, 20_000)
 
 
 def price_per_square_foot(price: Column, square_feet: Column) -> Column:
@@ -64,39 +95,25 @@ def price_per_square_foot(price: Column, square_feet: Column) -> Column:
     return F.when((price != 0) & (square_feet > 0), round_half_up(price.cast("double") / square_feet, 2))
 
 
+def _first_that_occurs(text: Column, wordings: dict[str, str]) -> Column:
+    return F.coalesce(*(F.when(matches(text, w), name) for name, w in wordings.items()))
+
+
 def normalize_laundry(raw: Column) -> Column:
-    text = F.lower(raw)
-    return (
-        F.when(matches(text, r"\bno laundry\b"), "none")
-        .when(matches(text, r"\b(w/d in unit|washer\s*/?\s*dryer in unit|in[- ]unit (laundry|washer)|laundry in unit)\b"), "in_unit")
-        .when(matches(text, r"\b(laundry (in bldg|in building|on site|on-site|room)|shared laundry|coin[- ]op|laundry facilities)\b"), "in_building")
-        .when(matches(text, r"\b(w/d hookups?|washer\s*/?\s*dryer hookups?|laundry hookups?)\b"), "hookups")
-    )
+    return _first_that_occurs(F.lower(raw), LAUNDRY)
 
 
 def normalize_parking(raw: Column) -> Column:
-    text = F.lower(raw)
-    return (
-        F.when(matches(text, r"\b(garage|valet parking)\b"), "garage")
-        .when(matches(text, r"\b(off[- ]street|carport|driveway|assigned parking|parking included|parking available|parking spot)\b"), "off_street")
-        .when(matches(text, r"\bstreet parking\b"), "street")
-        .when(matches(text, r"\bno parking\b"), "none")
-    )
+    return _first_that_occurs(F.lower(raw), PARKING)
 
 
 def parse_pet_policy(raw: Column) -> Column:
     """Struct of cats_allowed, dogs_allowed (each may be unknown) and dog_restrictions_raw."""
     text = F.lower(raw)
-    ok = r" (are )?(ok|okay|welcome|allowed"
-    refused = matches(text, r"\bno pets\b|\bpets?[^a-z]{0,3}not allowed\b|\bpet[- ]free\b")
-    pets = matches(text, r"\bpets?" + ok + r"|friendly)\b|\bpet[- ]friendly\b")
-    cats = matches(text, r"\bcats?" + ok + r")\b|\bcat[- ]friendly\b")
-    dogs = matches(text, r"\bdogs?" + ok + r")\b|\bdog[- ]friendly\b")
-    only_cats = matches(text, r"\bcats? only\b")
-    limit = F.trim(group(text, r"\b(small dogs?( only)?( under \d+ ?lbs?)?|dogs? under \d+ ?lbs?|one dog max|breed restrictions?[^.,;]*)"))
-    limit = F.when(~refused, limit)
-    cat = F.when(refused, False).when(only_cats, True).when(matches(text, r"\bno cats\b"), False).when(cats | pets, True)
-    dog = F.when(refused, False).when(only_cats, False).when(matches(text, r"\bno dogs\b"), False).when(dogs | pets, True).when(limit.isNotNull(), True)
+    said = {name: matches(text, wording) for name, wording in PETS.items()}
+    limit = F.when(~said["refused"], F.trim(group(text, PETS["limit"])))
+    cat = F.when(said["refused"], False).when(said["only_cats"], True).when(said["no_cats"], False).when(said["cats"] | said["pets"], True)
+    dog = F.when(said["refused"] | said["only_cats"] | said["no_dogs"], False).when(said["dogs"] | said["pets"], True).when(limit.isNotNull(), True)
     return F.struct(cat.alias("cats_allowed"), dog.alias("dogs_allowed"), limit.alias("dog_restrictions_raw"))
 
 
@@ -114,7 +131,7 @@ def effective_monthly(price: Column, concessions: Column) -> Column:
 
 
 def extract_concessions(text: Column) -> Column:
-    return F.trim(group(text, r"(?i)(\d+(?:\.\d+)?\s*(?:months?|weeks?)\s+free(?:\s+rent)?[^.!\n]*|move[- ]in special[^.!\n]*|\$\d[\d,]*\s+off[^.!\n]*)", 0))
+    return F.trim(group(text, CONCESSION, 0))
 
 
 def address_key(address: Column, unit: Column | None = None) -> Column:
@@ -134,9 +151,8 @@ def normalize_unit(unit: Column) -> Column:
 
 def unit_from_title(title: Column) -> Column:
     """A unit after # or "unit" anywhere, or after a final dash if the title starts like an address."""
-    token = r"([A-Za-z]?\d{1,4}(?:-\d{1,4})?[A-Za-z]{0,2})"
-    anywhere = group(title, rf"(?i)(?:#\s?|\bunit\s+#?){token}\b")
-    final = group(title, rf"^\d+\s+[A-Za-z][^-–#]{{2,40}}[-–]\s*{token}\s*$")
+    anywhere = group(title, rf"(?i)(?:#\s?|\bunit\s+#?){UNIT}\b")
+    final = group(title, rf"^\d+\s+[A-Za-z][^-–#]{{2,40}}[-–]\s*{UNIT}\s*$")
     return F.coalesce(anywhere, final)
 
 
@@ -175,7 +191,7 @@ def html_to_text(html: Column) -> Column:
 
 def lease_term_months(raw: Column) -> Column:
     text = F.lower(raw)
-    return F.when(matches(text, "month[- ]to[- ]month"), F.lit(1)).otherwise(within(group(text, r"(\d{1,2})\s*[- ]?months?").cast("int"), 1, 36))
+    return F.when(matches(text, MONTH_TO_MONTH), F.lit(1)).otherwise(within(group(text, LEASE_MONTHS).cast("int"), 1, 36))
 
 
 def street_ordinals(address: Column) -> Column:

@@ -448,7 +448,7 @@ def candidate_groups(classes: DataFrame, lanes: int, rate: float, radius: int, r
         more = links_within(classes, sampled_masks(lanes, rows, rate, recall, 42 + attempt), radius, bucket_rows)
         links = materialize(more if links is None else links.unionByName(more))
         del more  # so that its shuffle can be given up
-        groups = connected_components(links, local_passes=3)
+        groups = materialize(connected_components(links, local_passes=3))  # read several times
         share = audit_groups(classes, groups, radius)
         log.info("candidate pairs within %d bits found: %.4f of the audited ones (%d classes)", radius, share, rows)
         if share >= 1 - 2 * (1 - recall):

@@ -127,7 +127,8 @@ def landed_sources(spark, sf):
     payload_source.register(spark)
     folder = f"{shared_folder(spark)}/landing-{uuid.uuid4().hex}"
     sources = _sources(spark, sf)
-    payload_source.write_batch(_payloads(spark, sf).join(sources.select(F.col("id").alias("source_id"), "adapter_type"), "source_id"), folder, 0)
+    payloads = _payloads(spark, sf).join(sources.select(F.col("id").alias("source_id"), "adapter_type"), "source_id")
+    payload_source.write_batch(payloads, folder, 0)
     return payload_source.read_listings(spark, folder, sources).select("source_listing_id", "title", "adapter_type", "original_url")
 
 

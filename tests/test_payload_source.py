@@ -83,3 +83,26 @@ def test_listings_come_from_enabled_sources_only(spark, tmp_path):
     sources = spark.createDataFrame([(1, "posts_json", True), (2, "posts_json", False), (3, "odd", True)], "id long, adapter_type string, enabled boolean")
     got = payload_source.read_listings(spark, folder, sources).select("source_listing_id", "title", "adapter_type").collect()
     assert [tuple(r) for r in got] == [("5", "Flat", "posts_json")] and "posts_json" in registry.READERS
+
+
+def test_files_and_tasks_do_not_grow_with_the_sources(spark, tmp_path):
+    payload_source.register(spark)
+    folder = str(tmp_path / "many")
+    rows = spark.range(3000).select(F.lit("posts_json").alias("adapter_type"), F.concat(F.lit("s "), "id").alias("source_id"), F.concat(F.lit("p\t"), "id").alias("payload"))
+    payload_source.write_batch(rows, folder, 0)
+    landed = spark.read.format("payloads").load(folder)
+    assert landed.rdd.getNumPartitions() == 1 and sum(n.endswith(".txt") for _, _, names in os.walk(folder) for n in names) <= payload_source.BUCKETS * payload_source.PARTS
+    assert landed.select("source_id", "payload").exceptAll(rows.select("source_id", "payload")).count() == 0 and landed.count() == 3000
+    payload_source.write_batch(rows.limit(0).unionByName(spark.createDataFrame([("posts_json", "s 7", "again")], PAYLOADS).select(rows.columns)), folder, 0)
+    assert [r.payload for r in spark.read.format("payloads").load(folder).filter("source_id = 's 7'").collect()] == ["again"]
+    assert spark.read.format("payloads").load(folder).count() == 3000  # the other sources of its bucket stay
+
+
+def test_more_sources_than_a_scan_names_are_joined(spark, tmp_path, monkeypatch):
+    payload_source.register(spark)
+    monkeypatch.setattr(payload_source, "NAMED_SOURCES", 1)
+    post = '[{"id":%d,"link":"l","title":{"rendered":"T"},"content":{"rendered":"x"}}]'
+    payload_source.write_batch(spark.createDataFrame([("posts_json", str(i), post % i) for i in range(4)], PAYLOADS), str(tmp_path), 0)
+    sources = spark.createDataFrame([(i, "posts_json", i != 2) for i in range(4)], "id long, adapter_type string, enabled boolean")
+    got = payload_source.read_listings(spark, str(tmp_path), sources).select("source_listing_id").collect()
+    assert sorted(r[0] for r in got) == ["0", "1", "3"]

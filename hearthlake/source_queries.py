@@ -10,13 +10,18 @@ from hearthlake.functions import times
 from hearthlake.operators import geocoding, merge
 from hearthlake.plans import views
 from hearthlake.queries import query, read
-from hearthlake.session import shared_folder
+from hearthlake.session import shared_folder, spread
 from hearthlake.sources import pages, payload_source, registry, store, units
 from hearthlake.streaming import liveness_state
 
 NOW = "1998-07-01"
 
 
+def _parts(spark, sf):
+    """Parts dealt to tasks before pages are made of them and parsed."""
+    return spread(read(spark, sf, "part"), "p_partkey")
+
+
 # Units
 
 
@@ -30,7 +35,7 @@ def _result_pages(spark, sf):
         F.lit(" Main St  # "), k, F.lit('</h2><h3>North  Side</h3><p class="apartment-info">'), info, F.lit('</p><ul><li class="dog"></li></ul></div>'),
         F.lit('<div class="searchListingContainer" id="post-"><a href="/none">no number</a></div></body></html>'),
     )
-    return read(spark, sf, "part").select(k.alias("page_id"), html.alias("html"))
+    return _parts(spark, sf).select(k.alias("page_id"), html.alias("html"))
 
 
 @query("""WITH m AS (SELECT p_size, max_by(p_partkey % 90 + 0.5::DOUBLE, p_partkey) AS lat FROM part WHERE p_partkey % 2 = 0 GROUP BY p_size)
@@ -58,7 +63,7 @@ def unit_details(spark, sf):
         F.lit("<body><main><p>"), F.col("p_size") + 400, F.lit(" Sq. Ft</p><div class='apt-description'>About "), "p_name", F.lit("</div><ul class='apt-amenities'><li>Pool</li><li> </li><li>"), F.when(k % 2 == 0, "Gym").otherwise(F.col("p_brand")),
         F.lit("</li><li>Pool</li></ul><p>"), when, F.lit("</p><p>Deposit: $"), "p_size", F.lit(",000</p>"), F.when(k % 2 == 0, gallery).otherwise("<a href='https://img/c.jpg'>photo</a>"), F.lit("</main></body>"),
     )
-    rows = units.unit_details(read(spark, sf, "part").select(k.alias("page_id"), html.alias("html")), "https://img/")
+    rows = units.unit_details(_parts(spark, sf).select(k.alias("page_id"), html.alias("html")), "https://img/")
     return rows.select("page_id", "square_feet_raw", "description", F.array_join("amenities", " ").alias("amenities"), F.array_join("photos", " ").alias("photos"), "availability_raw", "deposit_raw")
 
 
@@ -78,7 +83,7 @@ def _postings(spark, sf):
         F.lit('<section id="postingbody">QR Code Link to This Post Big '), "p_type", F.lit('</section><a class="thumb" href="https://t/'), k, F.lit('.jpg">t</a><p class="postinginfo">post id: '), k + 1000, F.lit('</p><p class="postinginfo">posted: <time datetime="2024-03-05T14:20:11-0800">x</time></p><p class="postinginfo">updated: <time datetime="2024-03-0'), n % 9 + 1,
         F.lit('T01:00:00+0000">y</time></p><script>'), photos, F.lit("</script></body></html>"),
     )
-    return read(spark, sf, "part").select(k.alias("page_id"), html.alias("html"))
+    return _parts(spark, sf).select(k.alias("page_id"), html.alias("html"))
 
 
 @query("""WITH d AS (SELECT *, p_partkey % 10 > 1 AS here, p_partkey % 4 AS a FROM part)
@@ -219,7 +224,7 @@ def result_cards(spark, sf):
         F.lit('<ol><li class="cl-static-search-result" title="x">'), link(0), F.lit('<div class="title">Flat  '), "p_name", F.lit('</div><div class="price">$'), "p_size", F.lit(',000</div><div class="location"> '), "p_brand", F.lit("</div></a></li>"),
         F.lit('<li class="result" title="By title">'), link(1), F.lit('x</a></li><li class="result"><b>no link</b></li></ol>'),
     )
-    return pages.read_cards(read(spark, sf, "part").select(k.alias("page_id"), html.alias("html")))
+    return pages.read_cards(_parts(spark, sf).select(k.alias("page_id"), html.alias("html")))
 
 
 @query("""SELECT 'nation' AS kind, n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 'verdict', s_suppkey, CASE WHEN s_acctbal < 5000 THEN 'kept' ELSE s_name END FROM supplier""")

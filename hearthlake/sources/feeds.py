@@ -56,10 +56,10 @@ def posts(feeds: DataFrame, payload: str = "payload") -> DataFrame:
     from hearthlake.functions.listing_text import html_to_text, parse_bathrooms, parse_bedrooms, parse_square_feet
 
     rows = feeds.select(F.explode(F.from_json(payload, POSTS)).alias("p"))
-    text = html_to_text(F.col("p.content.rendered"))
-    prose = F.coalesce(text, F.lit(""))
+    rows = rows.select("p", html_to_text(F.col("p.content.rendered")).alias("text"))  # once for all that is read from it
+    prose = F.coalesce("text", F.lit(""))
     return rows.select(
-        F.col("p.id").cast("string").alias("source_listing_id"), F.col("p.link").alias("original_url"), html_to_text(F.col("p.title.rendered")).alias("title"), text.alias("description"),
+        F.col("p.id").cast("string").alias("source_listing_id"), F.col("p.link").alias("original_url"), html_to_text(F.col("p.title.rendered")).alias("title"), F.col("text").alias("description"),
         parse_price(group(prose, r"(\$\s*[\d,]+)")).alias("price_monthly"), parse_bedrooms(prose).alias("bedrooms"), parse_bathrooms(prose).alias("bathrooms"), parse_square_feet(prose).alias("square_feet"),
     )
 

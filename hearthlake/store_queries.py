@@ -15,6 +15,7 @@ from hearthlake.operators import duplicates, latest, liveness, merge, preference
 from hearthlake.operators.prefix import running_before
 from hearthlake.plans import texts, views
 from hearthlake.queries import PHRASE_SQL, phrase, query, read
+from hearthlake.session import spread
 from hearthlake.sources import feeds
 
 NOW = "1998-07-01"
@@ -238,7 +239,7 @@ def feed_floorplans(spark, sf):
         F.lit("id"), F.concat(F.lit("f"), "p_size"), F.lit("name"), F.col("p_name"), F.lit("minRent"), F.concat(F.lit("$"), F.format_number(F.col("p_size") * 10 + 1000, 0)),
         F.lit("beds"), F.when(F.col("p_size") % 5 == 0, "N/A").otherwise((F.col("p_size") % 5).cast("string")),
     )
-    rows = read(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), F.to_json(F.array(plan)).alias("blob"))
+    rows = spread(read(spark, sf, "part"), "p_partkey").select(F.col("p_partkey").alias("page_id"), F.to_json(F.array(plan)).alias("blob"))
     return feeds.floorplans(rows, F.col("blob")).select("source_listing_id", "title", "price_monthly", "bedrooms")
 
 
@@ -246,14 +247,14 @@ def feed_floorplans(spark, sf):
 def feed_unit_types(spark, sf):
     unit = lambda t, r: F.struct(F.lit(t).alias("unitType"), F.lit(r).alias("rent"), F.lit(1).alias("count"))
     payload = F.to_json(F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.array(unit("Studio", "$900"), unit("2 BR", "1,800")).alias("general"), F.array(unit("Studio", "$1")).alias("reserved")))
-    return feeds.unit_types(read(spark, sf, "part").select(payload.alias("payload"))).select("source_listing_id", "bedrooms", "price_monthly")
+    return feeds.unit_types(spread(read(spark, sf, "part"), "p_partkey").select(payload.alias("payload"))).select("source_listing_id", "bedrooms", "price_monthly")
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS source_listing_id, 'A & ' || p_name AS title, 100.0 + p_size * 7 AS price_monthly, p_size % 4 + 1.0::DOUBLE AS bedrooms FROM part")
 def feed_posts(spark, sf):
     prose = F.concat(F.lit("<p>Rent is $"), F.col("p_size") * 7 + 100, F.lit(", a "), F.col("p_size") % 4 + 1, F.lit(" bedroom home</p>"))
     post = F.struct(F.col("p_partkey").alias("id"), F.lit("https://a.example/").alias("link"), F.struct(F.concat(F.lit("A &amp; "), "p_name").alias("rendered")).alias("title"), F.struct(prose.alias("rendered")).alias("content"))
-    return feeds.posts(read(spark, sf, "part").select(F.to_json(F.array(post)).alias("payload"))).select("source_listing_id", "title", "price_monthly", "bedrooms")
+    return feeds.posts(spread(read(spark, sf, "part"), "p_partkey").select(F.to_json(F.array(post)).alias("payload"))).select("source_listing_id", "title", "price_monthly", "bedrooms")
 
 
 @query("SELECT p_partkey, 'http://a/' || p_size || CASE WHEN p_size % 2 = 0 THEN ' http://b/' || p_partkey ELSE '' END AS photos, 'beds: ' || p_size || ', brand: ' || p_brand AS facts FROM part")
@@ -261,7 +262,7 @@ def feed_details(spark, sf):
     photo = F.concat(F.lit("http://a/"), "p_size")
     photos = F.array(photo, F.lit("data:x"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("http://b/"), "p_partkey")))
     known = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("secret"), F.lit("x"), F.lit("beds"), F.col("p_size").cast("string"))
-    return read(spark, sf, "part").select("p_partkey", F.array_join(feeds.image_urls(photo, photos), " ").alias("photos"), F.array_join(feeds.attribute_lines(known, ["secret"]), ", ").alias("facts"))
+    return spread(read(spark, sf, "part"), "p_partkey").select("p_partkey", F.array_join(feeds.image_urls(photo, photos), " ").alias("photos"), F.array_join(feeds.attribute_lines(known, ["secret"]), ", ").alias("facts"))
 
 
 @query("""WITH d AS (SELECT l_orderkey, sum(CAST(l_extendedprice * 100 AS BIGINT)) / 100 AS total FROM lineitem GROUP BY l_orderkey) SELECT o_orderkey, coalesce(o_orderstatus = 'F' AND abs(o_totalprice - total) > 0.25 * total, false) AS mismatch FROM orders LEFT JOIN d ON l_orderkey = o_orderkey""")

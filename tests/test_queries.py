@@ -48,3 +48,10 @@ def test_query(spark, duck, name):
         assert plain([[r[i] for i in order] for r in rows]) == plain(want)
     else:
         assert rows
+
+
+@pytest.mark.parametrize("name", ["posting_details", "feed_posts", "unit_listings", "unit_details", "result_cards", "polygon_bounds"])
+def test_small_tables_are_dealt_before_costly_steps(spark, name):
+    """Otherwise one task reads the file and parses all that is made of it."""
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan

@@ -105,7 +105,8 @@ def prerank(found: DataFrame, texts: DataFrame, searches: DataFrame, cap: int =
 
 def accepted(replies: DataFrame, shortlist: DataFrame) -> DataFrame:
     """Answers (search_id, listing_id, score) about listings that the search was given: score within 0..100, ``rank`` from the best on."""
-    known = replies.join(shortlist.select("search_id", "listing_id", "hits", "place"), ["search_id", "listing_id"])
+    # Answers may be many more than their source's size lets a planner expect, so neither side is broadcast by estimate.
+    known = replies.hint("merge").join(shortlist.select("search_id", "listing_id", "hits", "place"), ["search_id", "listing_id"])
     known = known.withColumn("score", F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("score"))))
     return known.withColumn("rank", F.row_number().over(Window.partitionBy("search_id").orderBy(F.desc("score"), "listing_id")))
 

@@ -97,3 +97,10 @@ def test_saved_searches_are_made_and_deleted(spark):
     one = made.filter("pos = 1").select("search_id")
     left, matches = user_state.delete_searches(made, one.withColumn("listing_id", F.lit(5)), one)
     assert left.count() == 3 and matches.count() == 0
+
+
+def test_answers_are_not_broadcast_by_their_estimated_size(spark):
+    replies = spark.range(1).select(F.col("id").alias("listing_id"), F.explode(F.sequence(F.lit(0), F.lit(999))).alias("search_id"), F.lit(1.0).alias("score"))
+    shortlist = spark.createDataFrame([(3, 0, 1, 1)], "search_id int, listing_id long, hits int, place int")
+    got = sv.accepted(replies, shortlist)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == 1

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthlake.operators import geocoding
-from hearthlake.sources import registry, units
+from hearthlake.sources import pages, registry, units
 
 CACHE = "address_key string, latitude double, longitude double, precision string"
 ROWS = "listing_id long, source_id string, geocode_enabled boolean, address_raw string, neighborhood string, latitude double, longitude double, geocode_precision string"
@@ -110,3 +110,10 @@ def test_budget_against_a_plain_loop(spark, budget):
             want[i] = "network" if key in answers else None
             left[s] -= 1
     assert {i: x[2] for i, x in done.items()} == want
+
+
+def test_references_without_a_semicolon_are_text():
+    page = pages.Elements('<title>a &amp;&lt;b&gt; c&amp</title><a href="?a=1&copy=2&amp;d=3">x &notit; &#65; & y</a><script>if (a && b &amp;&amp c) {}</script>')
+    title, link, script = page.found
+    assert title["text"] == "a &<b> c&amp" and link["attrs"]["href"] == "?a=1&copy=2&d=3" and script["text"] == "if (a && b &amp;&amp c) {}"
+    assert link["text"].endswith(" A & y")

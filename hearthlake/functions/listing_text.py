@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hearthlake.functions.scalars import blank_to_null, group, matches, pattern, round_half_up, within
+from hearthlake.functions.scalars import blank_to_null, group, matches, mentions, once, pattern, round_half_up, within
 
 # Street suffixes and their short forms.
 SUFFIXES = {
@@ -37,30 +37,44 @@ SQUARE_FEET = r"(?i)(\d{2,5})\s*(?:ft2|ft²|sq\.?\s*ft\.?|sqft|square\s*feet)"
 MONTH_TO_MONTH, LEASE_MONTHS = "month[- ]to[- ]month", r"(\d{1,2})\s*[- ]?months?"
 UNIT = r"([A-Za-z]?\d{1,4}(?:-\d{1,4})?[A-Za-z]{0,2})"
 CONCESSION = r"(?i)(\d+(?:\.\d+)?\s*(?:months?|weeks?)\s+free(?:\s+rent)?[^.!\n]*|move[- ]in special[^.!\n]*|\$\d[\d,]*\s+off[^.!\n]*)"
-# Wordings of laundry and parking, the first that occurs counts.
+# Wordings of laundry and parking, the first that occurs counts, each with fragments of which any match has one.
 LAUNDRY = {
-    "none": r"\bno laundry\b",
-    "in_unit": r"\b(w/d in unit|washer\s*/?\s*dryer in unit|in[- ]unit (laundry|washer)|laundry in unit)\b",
-    "in_building": r"\b(laundry (in bldg|in building|on site|on-site|room)|shared laundry|coin[- ]op|laundry facilities)\b",
-    "hookups": r"\b(w/d hookups?|washer\s*/?\s*dryer hookups?|laundry hookups?)\b",
+    "none": (r"\bno laundry\b", ("no laundry",)),
+    "in_unit": (r"\b(w/d in unit|washer\s*/?\s*dryer in unit|in[- ]unit (laundry|washer)|laundry in unit)\b", ("w/d in unit", "dryer in unit", "unit laundry", "unit washer", "laundry in unit")),
+    "in_building": (
+        r"\b(laundry (in bldg|in building|on site|on-site|room)|shared laundry|coin[- ]op|laundry facilities)\b",
+        ("laundry in b", "laundry on", "laundry room", "shared laundry", "coin-op", "coin op", "laundry facilities"),
+    ),
+    "hookups": (r"\b(w/d hookups?|washer\s*/?\s*dryer hookups?|laundry hookups?)\b", ("w/d hookup", "dryer hookup", "laundry hookup")),
 }
 PARKING = {
-    "garage": r"\b(garage|valet parking)\b",
-    "off_street": r"\b(off[- ]street|carport|driveway|assigned parking|parking included|parking available|parking spot)\b",
-    "street": r"\bstreet parking\b",
-    "none": r"\bno parking\b",
+    "garage": (r"\b(garage|valet parking)\b", ("garage", "valet parking")),
+    "off_street": (
+        r"\b(off[- ]street|carport|driveway|assigned parking|parking included|parking available|parking spot)\b",
+        ("off-street", "off street", "carport", "driveway", "assigned parking", "parking included", "parking available", "parking spot"),
+    ),
+    "street": (r"\bstreet parking\b", ("street parking",)),
+    "none": (r"\bno parking\b", ("no parking",)),
 }
-# Wordings about pets.
+
+
+def _allowed(animal: str) -> tuple[str, ...]:
+    return tuple(f"{animal}{s} {x}" for s in ("", "s") for x in ("are ", "ok", "welcome", "allowed")) + (f"{animal}-friendly", f"{animal} friendly")
+
+
+# Wordings about pets, with fragments of which any match has one.
 PETS = {
-    "refused": r"\bno pets\b|\bpets?[^a-z]{0,3}not allowed\b|\bpet[- ]free\b",
-    "pets": r"\bpets? (are )?(ok|okay|welcome|allowed|friendly)\b|\bpet[- ]friendly\b",
-    "cats": r"\bcats? (are )?(ok|okay|welcome|allowed)\b|\bcat[- ]friendly\b",
-    "dogs": r"\bdogs? (are )?(ok|okay|welcome|allowed)\b|\bdog[- ]friendly\b",
-    "only_cats": r"\bcats? only\b",
-    "no_cats": r"\bno cats\b",
-    "no_dogs": r"\bno dogs\b",
-    "limit": r"\b(small dogs?( only)?( under \d+ ?lbs?)?|dogs? under \d+ ?lbs?|one dog max|breed restrictions?[^.,;]*)",
+    "refused": (r"\bno pets\b|\bpets?[^a-z]{0,3}not allowed\b|\bpet[- ]free\b", ("no pets", "not allowed", "pet-free", "pet free")),
+    "pets": (r"\bpets? (are )?(ok|okay|welcome|allowed|friendly)\b|\bpet[- ]friendly\b", (*_allowed("pet"), "pets friendly")),
+    "cats": (r"\bcats? (are )?(ok|okay|welcome|allowed)\b|\bcat[- ]friendly\b", _allowed("cat")),
+    "dogs": (r"\bdogs? (are )?(ok|okay|welcome|allowed)\b|\bdog[- ]friendly\b", _allowed("dog")),
+    "only_cats": (r"\bcats? only\b", ("cat only", "cats only")),
+    "no_cats": (r"\bno cats\b", ("no cats",)),
+    "no_dogs": (r"\bno dogs\b", ("no dogs",)),
+    "limit": (r"\b(small dogs?( only)?( under \d+ ?lbs?)?|dogs? under \d+ ?lbs?|one dog max|breed restrictions?[^.,;]*)", ("small dog", "dog under ", "dogs under ", "one dog max", "breed restriction")),
 }
+# What all wordings about pets of a kind have; texts without it are searched once for the kind.
+ANIMALS = {"refused": "pet", "pets": "pet", "cats": "cat", "only_cats": "cat", "no_cats": "cat", "dogs": "dog", "no_dogs": "dog"}
 
 
 def _map(table: dict) -> Column:
@@ -95,26 +109,33 @@ def price_per_square_foot(price: Column, square_feet: Column) -> Column:
     return F.when((price != 0) & (square_feet > 0), round_half_up(price.cast("double") / square_feet, 2))
 
 
-def _first_that_occurs(text: Column, wordings: dict[str, str]) -> Column:
-    return F.coalesce(*(F.when(matches(text, w), name) for name, w in wordings.items()))
+def _first_that_occurs(text: Column, wordings: dict[str, tuple[str, tuple[str, ...]]]) -> Column:
+    return F.coalesce(*(F.when(matches(text, w, fragments), name) for name, (w, fragments) in wordings.items()))
 
 
 def normalize_laundry(raw: Column) -> Column:
-    return _first_that_occurs(F.lower(raw), LAUNDRY)
+    return once(F.lower(raw), lambda text: _first_that_occurs(text, LAUNDRY))
 
 
 def normalize_parking(raw: Column) -> Column:
-    return _first_that_occurs(F.lower(raw), PARKING)
+    return once(F.lower(raw), lambda text: _first_that_occurs(text, PARKING))
 
 
 def parse_pet_policy(raw: Column) -> Column:
     """Struct of cats_allowed, dogs_allowed (each may be unknown) and dog_restrictions_raw."""
-    text = F.lower(raw)
-    said = {name: matches(text, wording) for name, wording in PETS.items()}
-    limit = F.when(~said["refused"], F.trim(group(text, PETS["limit"])))
-    cat = F.when(said["refused"], False).when(said["only_cats"], True).when(said["no_cats"], False).when(said["cats"] | said["pets"], True)
-    dog = F.when(said["refused"] | said["only_cats"] | said["no_dogs"], False).when(said["dogs"] | said["pets"], True).when(limit.isNotNull(), True)
-    return F.struct(cat.alias("cats_allowed"), dog.alias("dogs_allowed"), limit.alias("dog_restrictions_raw"))
+    wording, fragments = PETS["limit"]
+
+    def found(text: Column) -> Column:
+        said = [F.coalesce(F.contains(text, F.lit(animal)) & matches(text, *PETS[name]), F.lit(False)).alias(name) for name, animal in ANIMALS.items()]
+        return F.struct(*said, F.when(mentions(text, fragments), F.trim(group(text, wording))).alias("limit"))
+
+    def policy(said: Column) -> Column:
+        limit = F.when(~said["refused"], said["limit"])
+        cat = F.when(said["refused"], False).when(said["only_cats"], True).when(said["no_cats"], False).when(said["cats"] | said["pets"], True)
+        dog = F.when(said["refused"] | said["only_cats"] | said["no_dogs"], False).when(said["dogs"] | said["pets"], True).when(limit.isNotNull(), True)
+        return F.struct(cat.alias("cats_allowed"), dog.alias("dogs_allowed"), limit.alias("dog_restrictions_raw"))
+
+    return once(once(F.lower(raw), found), policy)
 
 
 def effective_monthly(price: Column, concessions: Column) -> Column:

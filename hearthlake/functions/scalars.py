@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,13 +15,27 @@ _EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))
 
 
 def pattern(regex: str) -> str:
-    """``regex`` with every ``\\b`` read as an ASCII word boundary."""
-    return regex.replace(r"\b", _EDGE)
+    """``regex`` with every ``\\b`` read as an ASCII word boundary.
+
+    In front of a letter or digit the boundary is a look back from that character, so that only places with it are looked at.
+    """
+    return re.sub(r"\\b([A-Za-z0-9])(?![?*+{])", r"\1(?<![A-Za-z0-9_]\1)", regex).replace(r"\b", _EDGE)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once however often it is named there: an array of one is transformed."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def mentions(text: Column, fragments: tuple[str, ...]) -> Column:
+    """Whether one of the fragments occurs, a search that costs a small part of a regex's."""
+    return functools.reduce(operator.or_, (F.contains(text, F.lit(x)) for x in fragments))
 
 
-def matches(text: Column, regex: str) -> Column:
-    """Whether the regex occurs; false for null."""
-    return F.coalesce(text.rlike(pattern(regex)), F.lit(False))
+def matches(text: Column, regex: str, fragments: tuple[str, ...] = ()) -> Column:
+    """Whether the regex occurs; false for null. Only texts with one of ``fragments``, which all its matches have, are searched with it."""
+    found = text.rlike(pattern(regex))
+    return F.coalesce(mentions(text, fragments) & found if fragments else found, F.lit(False))
 
 
 def group(text: Column, regex: str, number: int = 1) -> Column:

@@ -82,3 +82,30 @@ def test_geometry(spark):
     assert tuple(row.b) == (0.0, 0.0, 11.0, 11.0) and row.a == 16.0 and row.m == [2.0, 2.0]
     km = spark.range(1).select(geo.haversine_km(F.lit(37.7749), F.lit(-122.4194), F.lit(37.8044), F.lit(-122.2712)).alias("k"), geo.haversine_miles(F.lit(37.7749), F.lit(-122.4194), F.lit(37.8044), F.lit(-122.2712)).alias("m")).first()
     assert abs(km.k - 13.43) < 0.05 and abs(km.m - km.k * 0.621371) < 1e-6
+
+
+def test_policies_search_each_wording_once_and_only_where_a_fragment_occurs(spark):
+    text = F.col("text")
+    rows = spark.createDataFrame([("quiet",)], "text string").select(listing_text.parse_pet_policy(text).alias("p"), listing_text.normalize_laundry(text).alias("l"), listing_text.normalize_parking(text).alias("k"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 15 and plan.count("lower(") == 3
+
+
+def test_fragments_are_in_every_wording_that_matches(spark):
+    said = ["no pets", "pets: not allowed", "petnot allowed", "pet-free", "pet free"], ["pet ok", "pets are welcome", "pet are okay", "pets friendly", "pet friendly", "pet-friendly", "pets allowed"]
+    for texts, cats in zip(said, (False, True), strict=True):
+        assert [x.cats_allowed for x in values(spark, listing_text.parse_pet_policy, texts)] == [cats] * len(texts)
+    assert [x.dogs_allowed for x in values(spark, listing_text.parse_pet_policy, ["dog are ok", "dogs welcome", "dog-friendly", "dog friendly", "dogs okay", "hotdogs okay", "dogs okays"])] == [True] * 5 + [None] * 2
+    assert [x.cats_allowed for x in values(spark, listing_text.parse_pet_policy, ["cat are ok", "Cats welcome", "cat-friendly", "cat friendly", "cat only", "education only", None])] == [True] * 5 + [None] * 2
+    limits = ["small dog", "small dogs only under 20 lb", "dog under 9lbs", "dogs under 10 lb", "one dog max", "breed restriction: large, or so"]
+    assert [x.dog_restrictions_raw for x in values(spark, listing_text.parse_pet_policy, limits)] == [*limits[:5], "breed restriction: large"]
+    laundry = ["w/d in unit", "washer/dryer in unit", "washer dryer in unit", "in-unit washer", "in unit laundry", "laundry in unit", "laundry in bldg", "laundry on-site", "laundry room", "coin op", "washer / dryer hookup", "laundry hookups", "xno laundry"]
+    assert values(spark, listing_text.normalize_laundry, laundry) == ["in_unit"] * 6 + ["in_building"] * 4 + ["hookups"] * 2 + [None]
+    parking = ["valet parking", "off street", "driveway", "assigned parking", "parking included", "parking available", "parking spot", "street parking", "no parking", "_garage"]
+    assert values(spark, listing_text.normalize_parking, parking) == ["garage"] + ["off_street"] * 6 + ["street", "none", None]
+
+
+def test_boundary_before_a_letter_or_digit(spark):
+    texts = ["no", "a no", "ano", "_no", "9no", "-no", "éno", "No"]
+    assert values(spark, lambda t: scalars.matches(t, r"(?i)\bno\b"), texts) == [True, True, False, False, False, True, True, True]
+    assert values(spark, lambda t: scalars.matches(t, r"\bn?o\b"), ["o", "no", "xo", "xno"]) == [True, True, False, False]

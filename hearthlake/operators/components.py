@@ -6,7 +6,9 @@ round's order is that of the ids, which contracts stars around their smallest
 vertex at once; each later round draws a random one. Random orders keep pointer chains short, so the edge
 table shrinks by a constant factor a round whatever the shape of the graph.
 Only joins and partial aggregations are used; nothing is collected but the
-number of edges left. ``local_passes`` contract the edges within tasks before
+number of edges left. Once no more than LAST_EDGES are left, however many there
+were, one task labels their vertices, which spares the rounds of a table that is
+small already. ``local_passes`` contract the edges within tasks before
 that: every task replaces a bounded number of edges at a time by stars around the
 smallest vertex of what they connect, so that few rounds are left.
 """
@@ -26,6 +28,8 @@ from hearthlake.session import materialize, shuffle_partitions
 ROUNDS_A_PLAN = 3
 #: Edges that a task contracts at a time, and parts that the edges of one vertex are dealt to.
 LOCAL_EDGES, LOCAL_PARTS = 1_000_000, 64
+#: Edges (16 bytes each) that end the rounds, as one task labels them at once.
+LAST_EDGES = 200_000
 
 
 def spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,6 +68,16 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield contract(held)
 
 
+def _labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every vertex of all the edges (u, v) with the smallest vertex that they connect it with."""
+    edges = np.concatenate([np.zeros((0, 2), dtype=np.int64), *(b[["u", "v"]].to_numpy(dtype=np.int64) for b in batches)])
+    names, at = np.unique(edges, return_inverse=True)
+    label = np.arange(len(names))
+    member, root = spanning(*at.reshape(edges.shape).T, len(names))
+    label[member] = root
+    yield pd.DataFrame({"id": names, "root": names[label]})
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, local_passes: int = 0) -> DataFrame:
     """Rows ``(id, component_id)`` for every vertex that has an edge to another one.
 
@@ -77,11 +91,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         ends = [F.col("v")] if k % 2 else [F.col("u"), F.pmod(F.col("v"), F.lit(LOCAL_PARTS))]
         plain = plain.repartition(shuffle_partitions(spark), *ends).mapInPandas(_stars, "u long, v long")
     left = materialize(plain.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    empty = spark.createDataFrame([], "id long, component_id long")
-    if left.isEmpty():
-        return empty
+    count = left.count()
+    if not count:
+        return spark.createDataFrame([], "id long, component_id long")
     maps: list[DataFrame] = []
     for r in range(max_rounds):
+        if count <= LAST_EDGES:
+            break
         both = left.select("u", "v").unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
         order = lambda c: F.xxhash64(F.col(c), F.lit(r * 7919 + 17)) if r else F.col(c)
         # The neighbour first in this round's order; the vertex itself if it is first.
@@ -99,13 +115,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
             .distinct()
         )
-        if left.isEmpty():
-            break
+        count = left.count()
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    found = materialize(left.coalesce(1).mapInPandas(_labels, "id long, root long"))
+    if not maps:
+        return found.withColumnRenamed("root", "component_id")
     # Follow the pointers of the rounds from the last one back; a few rounds at a time, as one plan of all keeps the driver busy with dozens of stages at once.
-    found = maps[-1].select(F.col("u").alias("id"), F.col("to").alias("root"))
-    for k, step in enumerate(reversed(maps[:-1]), 1):
+    for k, step in enumerate(reversed(maps), 1):
         found = (
             step.select(F.col("u").alias("id"), F.col("to"))
             .join(found.select(F.col("id").alias("to"), "root"), "to", "left")

@@ -35,6 +35,22 @@ def test_components_of_chains_stars_and_loops(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_few_edges_need_no_rounds_and_many_end_in_few(spark, monkeypatch):
+    edges = [((i * 7919) % 3001, ((i + 1) * 7919) % 3001) for i in range(3000)] + [(5000 + i, 5000 + i // 2) for i in range(1, 900)]
+    want = {i: 0 for i in range(3001)} | {5000 + i: 5000 for i in range(900)}
+    rows = spark.createDataFrame(edges, "src long, dst long")
+    context = spark.sparkContext
+    context.setJobGroup("components", "a long chain in one task")
+    got = connected_components(rows).collect()
+    jobs = len(context.statusTracker().getJobIdsForGroup("components"))
+    context.setJobGroup("other", "")
+    assert {r.id: r.component_id for r in got} == want and len(got) == len(want)
+    assert jobs <= 8
+    monkeypatch.setattr("hearthlake.operators.components.LAST_EDGES", 500)
+    got = connected_components(rows).collect()
+    assert {r.id: r.component_id for r in got} == want and len(got) == len(want)
+
+
 def test_address_and_unit_link_across_sources(spark):
     a = {"address_raw": "100 Main Street", "unit_number_public": "4B"}
     assert groups(spark, a, a | {"source_id": "b", "unit_number_public": "#4-b"}, a | {"unit_number_public": "5"}) == [(("l0", "l1"), "high", ("same_address_unit",), "l0")]

@@ -183,8 +183,7 @@ def effective_unit(unit: Column, title: Column) -> Column:
 
 def address_only_key(address_normalized: Column, address_raw: Column) -> Column:
     """Key of the address without a unit; null without a digit in it."""
-    key = address_key(F.coalesce(address_normalized, address_raw))
-    return F.when(key.rlike("[0-9]"), key)
+    return once(address_key(F.coalesce(address_normalized, address_raw)), lambda key: F.when(key.rlike("[0-9]"), key))
 
 
 def title_key(title: Column, price: Column, neighborhood: Column) -> Column:

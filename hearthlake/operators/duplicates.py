@@ -23,9 +23,12 @@ REASONS = {
 def with_keys(candidates: DataFrame) -> DataFrame:
     """``candidates`` with ord, unit, address and the array ``keys`` of (reason, key)."""
     c = F.col
-    unit = effective_unit(c("unit_number_public"), c("title"))
-    address = address_only_key(c("address_normalized"), c("address_raw"))
-    whole = address_key(F.coalesce(c("address_normalized"), c("address_raw")), c("unit_number_public"))
+    # Columns of their own, as keys name them several times and each takes a row of regexes.
+    parsed = {
+        "unit": effective_unit(c("unit_number_public"), c("title")), "address": address_only_key(c("address_normalized"), c("address_raw")),
+        "__whole": address_key(F.coalesce(c("address_normalized"), c("address_raw")), c("unit_number_public")),
+    }
+    address, whole = c("address"), c("__whole")
     whole = F.when(F.coalesce(c("unit_number_public") != "", F.lit(False)) | whole.rlike("[0-9]"), whole)
     specs = F.concat_ws("|", address, plain_number(c("price_monthly")), plain_number(c("bedrooms")), plain_number(c("bathrooms")))
     specs = F.when(address.isNotNull() & c("price_monthly").isNotNull() & c("bedrooms").isNotNull() & c("bathrooms").isNotNull(), specs)
@@ -36,7 +39,7 @@ def with_keys(candidates: DataFrame) -> DataFrame:
     )
     photos = F.transform(F.array_distinct(F.transform(F.coalesce("photos", F.array().cast("array<string>")), photo_key)), lambda p: key("same_photo_hash", F.concat(c("source_id"), F.lit("|"), p)))
     keys = F.filter(F.concat(single, photos), lambda k: k["key"].isNotNull())
-    return candidates.withColumns({"unit": unit, "address": address, "keys": keys})
+    return candidates.withColumns(parsed).withColumn("keys", keys).drop("__whole")
 
 
 def links(candidates: DataFrame, order: list[str]) -> DataFrame:
@@ -46,7 +49,8 @@ def links(candidates: DataFrame, order: list[str]) -> DataFrame:
     a third of all rows hold costs as many rows as it has holders; its first
     holder is found by an aggregate that combines before the shuffle.
     """
-    rows = with_keys(candidates).select("nid", F.struct(*order, "nid").alias("o"), "unit", "address", F.explode("keys").alias("k")).select("nid", "o", "unit", "address", "k.reason", "k.key")
+    # Spark would ask before an inner explode whether there are keys, and make them all once more for that.
+    rows = with_keys(candidates).select("nid", F.struct(*order, "nid").alias("o"), "unit", "address", F.explode_outer("keys").alias("k")).filter("k is not null").select("nid", "o", "unit", "address", "k.reason", "k.key")
     rows = materialize(rows)  # both sides of the join read the keys, none the texts
     first = rows.groupBy("reason", "key").agg(F.min_by(F.struct(F.col("nid").alias("a_nid"), F.col("unit").alias("a_unit"), F.col("address").alias("a_address")), "o").alias("a"), F.count(F.lit(1)).alias("n"))
     met = rows.join(first.filter("n > 1").select("reason", "key", "a.*"), ["reason", "key"]).filter("nid <> a_nid")
@@ -75,7 +79,8 @@ def duplicate_groups(candidates: DataFrame, order: list[str]) -> DataFrame:
     """One row per group: group_id, confidence, reasons, member_ids, primary_id."""
     found = links(candidates, order)
     members = connected_components(found).withColumnRenamed("id", "nid")
-    rows = candidates.join(members, "nid")
+    told = ["id", "source_id", "source_listing_id", "listing_status", "stale_status", "last_seen_at", "detail_fetched_at", "first_seen_at"]
+    rows = materialize(candidates.join(members, "nid").select("component_id", *told))  # read three times
     reasons = found.join(members.select(F.col("nid").alias("src"), "component_id"), "src").groupBy("component_id").agg(F.collect_set("reason").alias("reasons"))
     best = rows.withColumn("__n", F.row_number().over(Window.partitionBy("component_id").orderBy(*primary_order()))).filter("__n = 1").select("component_id", F.col("id").alias("primary_id"))
     repost = rows.groupBy("component_id", "source_id").agg(F.count_distinct(F.coalesce("source_listing_id", "id")).alias("k")).groupBy("component_id").agg(F.max("k").alias("k"))

@@ -335,7 +335,8 @@ def duplicate_families(spark, sf):
     k, m, who = F.col("o_orderkey"), F.col("o_orderkey") % 8, F.col("o_custkey").cast("string")
     has = lambda *kinds: m.isin(*kinds)
     number = lambda value, *kinds: F.when(has(*kinds), value).cast("double")
-    rows = read(spark, sf, "orders").select(
+    orders = spread(read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate"), "o_orderkey")
+    rows = orders.select(
         k.alias("nid"), F.concat(F.lit("l"), k).alias("id"), F.col("o_orderpriority").alias("source_id"), F.concat(F.lit("s"), k).alias("source_listing_id"), F.when(has(0, 7), F.concat(F.lit("https://Site.com/l/"), who, F.lit("/?utm_source=x&ref=y#top"))).alias("original_url"),
         F.when(has(4), F.concat(F.lit("Sunny corner flat "), who)).alias("title"), F.when(has(1, 2), F.concat(who, F.lit(" Main "), F.when(has(1), "Street").otherwise("St."))).alias("address_raw"), F.lit(None).cast("string").alias("address_normalized"),
         F.when(k % 3 == 0, "#1").when(k % 3 == 1, "2").alias("unit_number_public"), number(F.col("o_custkey") * 10, 2, 4).alias("price_monthly"), number(F.lit(2), 2).alias("bedrooms"), number(F.lit(1), 2).alias("bathrooms"), F.when(has(4), "Noe").alias("neighborhood"),

@@ -55,3 +55,19 @@ def test_small_tables_are_dealt_before_costly_steps(spark, name):
     """Otherwise one task reads the file and parses all that is made of it."""
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_families_are_dealt_first_and_make_each_key_once(spark, monkeypatch):
+    """A filter that asks for keys before they are exploded would make them a second time, in the tasks that read the file."""
+    from hearthlake.operators import duplicates
+
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return materialize(df)
+
+    materialize = duplicates.materialize
+    monkeypatch.setattr(duplicates, "materialize", seen)
+    QUERIES["duplicate_families"](spark, DATA)
+    assert "RepartitionByExpression" in plans[0] and plans[0].count("same_canonical_url") == 1

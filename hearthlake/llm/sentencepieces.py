@@ -35,7 +35,6 @@ column of the result are replaced by it.
 
 from __future__ import annotations
 
-import ctypes
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -43,19 +42,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from hearthlake.llm.pieces import PieceHash
+from hearthlake.llm.workers import give_back, lean
 
 #: Where the tokenizer files lie on every machine by default.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
 BLOCK_CHARS = 1_000_000
-#: Chunks, and piece ids in them, that a worker keeps; then it begins anew.
-KEPT_CHUNKS, KEPT_IDS = 1_000_000, 20_000_000
+#: Chunks, piece ids in them, and n-best lists that a worker keeps; then it begins anew.
+KEPT_CHUNKS, KEPT_IDS, KEPT_PATHS = 600_000, 10_000_000, 10_000
 #: Bytes of a chunk beyond which it is gone through on its own, place by place; places at a time.
 LONG_CHUNK, LONG_BLOCK = 384, 1 << 16
 ENCODED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("others", T.ArrayType(T.ArrayType(T.IntegerType())))])
@@ -377,7 +378,7 @@ def nbest_paths(chunks: list[bytes], pieces: Pieces, n: int) -> list[tuple[float
         return _nbest_paths(chunks, pieces, n)
     key = (n, *chunks)
     if key not in pieces.paths:
-        if len(pieces.paths) > 50_000:
+        if len(pieces.paths) > KEPT_PATHS:
             pieces.paths.clear()
         pieces.paths[key] = _nbest_paths(chunks, pieces, n)
     return pieces.paths[key]
@@ -508,15 +509,6 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *arrays]), type=pa.int32()))
 
 
-def _give_back() -> None:
-    """Return what a reused worker has freed, here or in an earlier stage, to the system, where the C library can."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):
-        pass
-
-
 def _model_path(path: str) -> str:
     """The path itself, or the file of that name that was shipped with ``SparkContext.addFile``."""
     return SparkFiles.get(path[len("files:") :]) if path.startswith("files:") else path
@@ -533,24 +525,28 @@ def encode(docs: DataFrame, n: int = 3, model: str = MODEL, text_col: str = "tex
     stay, at = _kept_columns(docs, {f.name for f in new_fields}, text_col)
     schema = T.StructType([*(docs.schema.fields[i] for i in stay), *new_fields])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what an earlier stage has left
         pieces = load(_model_path(model))
         for batch in batches:
-            _give_back()
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            part = np.cumsum([len(t) for t in texts]) // BLOCK_CHARS
+            part = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // BLOCK_CHARS
             for p in np.unique(part):
                 rows = np.flatnonzero(part == p)
                 a, b = int(rows[0]), int(rows[-1]) + 1
-                found = segment(texts[a:b], pieces, n)
+                texts = [t or "" for t in batch.column(at).slice(a, b - a).to_pylist()]
+                found = segment(texts, pieces, n)
                 others = _lists([o for f in found for o in f[2]])
                 offsets = pa.array(np.cumsum([0, *(len(f[2]) for f in found)]).astype(np.int32))
                 new = [_lists([f[0] for f in found]), pa.array([f[1] for f in found], type=pa.list_(pa.float64())), pa.ListArray.from_arrays(offsets, others)]
                 if check:
                     back = join_pieces(np.concatenate([f[0] for f in found]).astype(np.int64), np.cumsum([0, *(len(f[0]) for f in found)]), pieces)
-                    new.append(pa.array([x == y for x, y in zip(back, texts[a:b], strict=True)], type=pa.bool_()))
+                    new.append(pa.array([x == y for x, y in zip(back, texts, strict=True)], type=pa.bool_()))
                 own = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(own.column(i) for i in stay), *new], names=schema.names)
+                out = pa.RecordBatch.from_arrays([*(own.column(i) for i in stay), *new], names=schema.names)
+                del texts, found, others, offsets, new
+                yield out
+                del out
 
     return docs.mapInArrow(run, schema)
 

@@ -51,6 +51,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthlake.llm.workers import lean
 from hearthlake.operators.components import connected_components, spanning
 from hearthlake.session import materialize, shuffle_partitions, write_table
 
@@ -322,8 +323,7 @@ def set_prints(docs: DataFrame, words: int, lanes: int, id_col: str, text_col: s
     """
     names = [f"f{i}" for i in range(lanes)] + ["s0", "s1"]
 
-    @F.pandas_udf("size long, " + ", ".join(f"{c} long" for c in names))
-    def prints(texts: pd.Series) -> pd.DataFrame:
+    def of_texts(texts: pd.Series) -> pd.DataFrame:
         found = np.zeros((len(texts), lanes + 3), dtype=np.uint64)
         for i, t in enumerate(texts):
             shingles = shingle_set(t if isinstance(t, str) else None, words)
@@ -334,6 +334,11 @@ def set_prints(docs: DataFrame, words: int, lanes: int, id_col: str, text_col: s
                 found[i, lanes + 1 :] = np.frombuffer(xxhash.xxh128_digest(shingles.tobytes()), dtype="<u8")
         return pd.DataFrame({c: found[:, k].view(np.int64) for k, c in enumerate(["size", *names])})
 
+    @F.pandas_udf("size long, " + ", ".join(f"{c} long" for c in names))
+    @lean
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return map(of_texts, batches)
+
     return write_table(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__print", prints(docs[text_col].cast("string"))))
 
 
@@ -378,6 +383,7 @@ def resembling_components(members: DataFrame, texts: DataFrame, words: int, simi
     whole = members.withColumn("cell", F.lit(0).cast("long"))
     large = materialize(members.groupBy("group").count().filter(F.col("count") > chunk_texts))
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, ids, sets = None, [], []
 

@@ -33,6 +33,7 @@ of either kind the score is the share of toxic labels, 0.5 if there is none.
 
 from __future__ import annotations
 
+import itertools
 import pickle
 import warnings
 from collections.abc import Iterator
@@ -44,12 +45,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthlake.llm.pieces import PieceHash
+from hearthlake.llm.workers import lean
 
 WINDOW, STRIDE = 32, 24
 SLOTS, EMBED, HIDDEN = 1 << 20, 12, 8
 GRAMS, LEAST_DOCS = (3, 5), 3
 #: Windows that run through the network at a time.
 BLOCK_WINDOWS = 1024
+#: Characters that are cut into words at a time, and features whose embeddings are added up at a time.
+BLOCK_CHARS, BLOCK_FEATURES = 500_000, 1 << 16
 #: Steps of an epoch at least, as a small sample is gone through more often; how fast embeddings move.
 LEAST_STEPS, EMBED_RATE = 24, 2
 #: Labelled documents of each kind that training reads at most, the characters of their (whole) texts, and windows of a round.
@@ -79,25 +83,41 @@ class Words:
     """
 
     def __init__(self, texts: list[str]):
-        low = [t.lower() for t in texts]
-        flat = np.frombuffer(f" {' '.join(low)} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        letter = (flat >= 0x80) | ((flat >= 97) & (flat <= 122)) | ((flat >= 48) & (flat <= 57))
-        step = np.flatnonzero(letter[1:] != letter[:-1])
-        starts, ends = step[0::2], step[1::2] + 2  # with the blank at either end
-        self.counts = np.bincount(np.searchsorted(np.cumsum([len(t) + 1 for t in low]), starts, side="right"), minlength=len(texts))
-        piece = PieceHash(np.where(letter, flat, np.uint32(32)))
-        whole, at, self.of = np.unique(piece(starts, ends, 1), return_index=True, return_inverse=True)
-        size = (ends - starts)[at]
-        counts = [np.maximum(0, size - n + 1) for n in GRAMS]
-        word = np.concatenate([np.arange(len(whole)), *(np.repeat(np.arange(len(whole)), c) for c in counts)])
-        spots = [(_ranges(starts[at], c), n) for n, c in zip(GRAMS, counts, strict=True)]
-        self.feature = np.concatenate([whole, *(piece(x, x + n, n) for x, n in spots)])[np.argsort(word, kind="stable")]
-        self.many = np.bincount(word, minlength=len(whole))
+        part = np.cumsum([len(t) for t in texts]) // BLOCK_CHARS
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        found = [_cut(texts[a:b]) for a, b in itertools.pairwise(cuts)]
+        counts, whole, of, many, feature = (list(x) for x in zip(*found, strict=True))
+        del found
+        self.counts = np.concatenate(counts)
+        size = [len(w) for w in whole]
+        whole, at, place = np.unique(np.concatenate(whole), return_index=True, return_inverse=True)
+        self.of = np.concatenate([p[o] for p, o in zip(np.split(place, np.cumsum(size)[:-1]), of, strict=True)])
+        many = np.concatenate(many)
+        self.many = many[at]
+        self.feature = np.concatenate(feature)[_ranges((np.cumsum(many) - many)[at], self.many)]
         self.first = np.cumsum(self.many) - self.many
         self.weight = np.repeat(1 / np.sqrt(np.maximum(1, self.many - 1)), self.many).astype(np.float32)
         self.weight[self.first] = 1
 
 
+def _cut(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Counts, distinct words, which of them is at each place, and how many features and which ones they have."""
+    low = [t.lower() for t in texts]
+    flat = np.frombuffer(f" {' '.join(low)} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    letter = (flat >= 0x80) | ((flat >= 97) & (flat <= 122)) | ((flat >= 48) & (flat <= 57))
+    step = np.flatnonzero(letter[1:] != letter[:-1])
+    starts, ends = step[0::2], step[1::2] + 2  # with the blank at either end
+    counts = np.bincount(np.searchsorted(np.cumsum([len(t) + 1 for t in low]), starts, side="right"), minlength=len(texts))
+    piece = PieceHash(np.where(letter, flat, np.uint32(32)))
+    whole, at, of = np.unique(piece(starts, ends, 1), return_index=True, return_inverse=True)
+    size = (ends - starts)[at]
+    many = [np.maximum(0, size - n + 1) for n in GRAMS]
+    word = np.concatenate([np.arange(len(whole)), *(np.repeat(np.arange(len(whole)), c) for c in many)])
+    spots = [(_ranges(starts[at], c), n) for n, c in zip(GRAMS, many, strict=True)]
+    feature = np.concatenate([whole, *(piece(x, x + n, n) for x, n in spots)])[np.argsort(word, kind="stable")]
+    return counts, whole, of, np.bincount(word, minlength=len(whole)), feature
+
+
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word positions of each window (-1 where there is none), and the text of each window."""
     per_text = np.maximum(1, -(-(counts - (WINDOW - STRIDE)) // STRIDE))
@@ -145,8 +165,11 @@ class Network:
     def inputs(self, words: Words, rows: np.ndarray) -> np.ndarray:
         """Inputs of the distinct words, and at the end one of padding; rows: embedding rows of the features."""
         out = np.zeros((len(words.first) + 1, EMBED), dtype=np.float32)
-        if len(words.first):
-            out[:-1] = np.add.reduceat(self.p["embed"][rows] * words.weight[:, None], words.first, axis=0)
+        part = words.first // BLOCK_FEATURES
+        cuts = np.r_[np.flatnonzero(np.diff(part, prepend=-1)), len(words.first)].tolist()
+        bounds = np.r_[words.first, len(rows)][cuts].tolist()
+        for (i, j), (a, b) in zip(itertools.pairwise(cuts), itertools.pairwise(bounds), strict=True):
+            out[i:j] = np.add.reduceat(self.p["embed"][rows[a:b]] * words.weight[a:b, None], words.first[i:j] - a, axis=0)
         return out
 
     def logits(self, words: Words, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -448,6 +471,7 @@ def fit(
     rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(longest.alias("text"))
     prior = min(max(prior, 0.01), 0.99)
 
+    @lean
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sample = pd.concat([pd.DataFrame({"id": [], "y": [], "text": []}), *batches]).sort_values(["id", "y"])
         net = train(sample["text"].tolist(), sample["y"].to_numpy(dtype=float), prior=prior)
@@ -474,6 +498,7 @@ def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
     """One row per document: its id and score."""
     model = docs.sparkSession.sparkContext.broadcast(net)
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             yield pd.DataFrame({"doc_id": rows.doc_id, "score": _in_parts(model.value, rows.text.tolist())})
@@ -487,7 +512,9 @@ def drop_toxic(docs: DataFrame, net: Network, threshold: float = THRESHOLD, text
     model = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(_in_parts(model.value, texts.tolist()), dtype=float)
+    @lean
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(_in_parts(model.value, texts.tolist()), dtype=float)
 
     return docs.filter(score(F.col(text_col).cast("string")) < threshold)

@@ -17,7 +17,9 @@ label counts twice. Templates whose share is above ``limit`` (their purity below
 minus that) are rejected. Rules given by hand come before it.
 
 Counts combine before every shuffle. Joins with a node's few rows deal a node
-out by ``SALTS``; verdicts of masked paths that hold over a ``HOT``-th of all
+out by ``SALTS`` and name their kind, as the size that Spark estimates is that of the rows before they are
+copied; a tree of at most ``FEW`` masked paths, which are counted, is broadcast instead, without copies. Labels are
+merged by their numbers, never broadcast. Verdicts of masked paths that hold over a ``HOT``-th of all
 pages (fewer than ``HOT`` of them, each a digest of 64 characters) are broadcast,
 and the other paths meet theirs in a shuffle that holds no hot key.
 
@@ -41,6 +43,8 @@ LEVELS, LEAST, SHARE = 4, 5, 20
 #: Weight of the share that another one is smoothed towards, in labels; chi-square of one degree at 0.05.
 WEIGHT, ALIKE = 8.0, 3.84
 SALTS, HOT = 16, 1000
+#: Masked paths, and a hundred times as many characters of them, whose tree a broadcast may carry.
+FEW = 5000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path): a rule fits its host and all subdomains, and paths that start with its path.
 Rule = tuple[str, str, str]
@@ -69,10 +73,12 @@ def last_number(path: Column) -> Column:
     return F.when((F.length(digits) > 0) & (F.length(digits) <= 18), digits).cast("long")
 
 
-def _dealt(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
-    """Join of rows with the few rows of their keys; a key's rows on the left are dealt by ``by`` to SALTS parts."""
+def _dealt(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "inner", few: bool = False) -> DataFrame:
+    """Join of rows with the few rows of their keys; a key's rows on the left are dealt by ``by`` to SALTS parts, unless all those on the right are ``few``."""
+    if few:
+        return left.join(F.broadcast(right), keys, how)
     left = left.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
-    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     return left.join(right, [*keys, "salt"], how).drop("salt")
 
 
@@ -95,24 +101,26 @@ def grow(paths: DataFrame) -> DataFrame:
     segments = F.when(F.col("masked") == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace("masked", "^/", ""), "/"))
     cut = F.when(F.size("segments") > LEVELS, F.concat(F.slice("segments", 1, LEVELS - 1), F.array(F.lit("**")))).otherwise(F.col("segments"))
     rows = paths.withColumn("segments", segments).withColumn("segments", cut)
-    total = rows.agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"), F.max(F.size("segments")).alias("depth"))
+    signs = F.sum(F.length("host") + F.length("masked"))
+    total = rows.agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"), F.max(F.size("segments")).alias("depth"), F.count(F.lit(1)).alias("paths"), signs.alias("signs"))
     first = total.first()
     if first["all_labelled"] is None:
         return rows.select("host", "masked", F.lit("").alias("template"), F.lit(0.0).alias("bad_share"))
+    few = first["paths"] <= FEW and first["signs"] <= 100 * FEW
     share = (first["all_bad"] + 1.0) / (first["all_labelled"] + 2.0)
     rows = materialize(rows.withColumn("template", F.col("host")))
     for level in range(1, first["depth"] + 1):
-        rows = materialize(_level(rows, level, share))
+        rows = materialize(_level(rows, level, share, few))
     smooth = lambda bad, labelled, to: (bad + F.lit(WEIGHT) * to) / (labelled + F.lit(WEIGHT))
     hosts = rows.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("bad").alias("hb"))
     own = rows.groupBy("host", "template").agg(F.sum("labelled").alias("tl"), F.sum("bad").alias("tb"))
-    own = _dealt(own, hosts, ["host"], ["template"])
+    own = _dealt(own, hosts, ["host"], ["template"], few=few)
     rest = smooth(F.col("hb") - F.col("tb"), F.col("hl") - F.col("tl"), F.lit(share))
     own = own.select("host", "template", smooth(F.col("tb"), F.col("tl"), rest).alias("bad_share"))
-    return _dealt(rows.select("host", "masked", "template"), own, ["host", "template"], ["masked"])
+    return _dealt(rows.select("host", "masked", "template"), own, ["host", "template"], ["masked"], few=few)
 
 
-def _level(rows: DataFrame, level: int, share: float) -> DataFrame:
+def _level(rows: DataFrame, level: int, share: float, few: bool) -> DataFrame:
     """One level of the tree: rows whose paths reach it get the branch of their segment."""
     node = ["host", "template"]
     here = rows.filter(F.size("segments") >= level).withColumn("segment", F.col("segments")[level - 1])
@@ -121,7 +129,7 @@ def _level(rows: DataFrame, level: int, share: float) -> DataFrame:
     counted = here.withColumn("below", F.col("n") * (F.size("segments") - level)).groupBy(*node, "segment").agg(*sums)
     totals = counted.groupBy(*node).agg(F.sum("n").alias("total"))
     frequent = (F.col("n") >= LEAST) & (F.col("n") * SHARE >= F.col("total"))
-    named = _dealt(counted, totals, node, ["segment"]).withColumn("token", F.when(frequent, F.col("segment")).otherwise("*"))
+    named = _dealt(counted, totals, node, ["segment"], few=few).withColumn("token", F.when(frequent, F.col("segment")).otherwise("*"))
     branches = named.groupBy(*node, "token").agg(*sums)
     # At most SHARE + 1 branches a node, so its window is short.
     rate = (F.col("bad") + F.lit(WEIGHT) * F.lit(share)) / (F.col("labelled") + F.lit(WEIGHT))
@@ -134,8 +142,8 @@ def _level(rows: DataFrame, level: int, share: float) -> DataFrame:
     merged = branches.groupBy(*node, "deep", "part").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
     name = F.when(F.size("tokens") == 1, F.col("tokens")[0]).otherwise(F.concat(F.lit("{"), F.array_join("tokens", ","), F.lit("}")))
     branch = merged.select(*node, F.explode("tokens").alias("token"), name.alias("name"))
-    of_segment = _dealt(named.select(*node, "segment", "token"), branch, [*node, "token"], ["segment"]).select(*node, "segment", "name")
-    met = _dealt(here, of_segment, [*node, "segment"], ["masked"])
+    of_segment = _dealt(named.select(*node, "segment", "token"), branch, [*node, "token"], ["segment"], few=few).select(*node, "segment", "name")
+    met = _dealt(here, of_segment, [*node, "segment"], ["masked"], few=few)
     met = met.withColumn("template", F.concat("template", F.lit("/"), "name"))
     return ended.unionByName(met.select(*rows.columns))
 

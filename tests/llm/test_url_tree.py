@@ -105,3 +105,17 @@ def test_query_equals_its_sql_on_made_sites(spark, tmp_path):
     names = {r[5] for r in rows}
     assert any("{" in t for t in names) and any(t.endswith("/**") or "**" in t for t in names) and {r[4] for r in rows} == {"allow", "block"}
     assert any(r[3] is None and r[4] == "block" for r in rows)
+
+
+def test_copied_rows_are_not_broadcast_by_their_estimated_size(spark, monkeypatch):
+    urls = [(i, f"http://h{i % 7}.org/{'abc'[i % 3]}/{i}") for i in range(210)]
+    labels = [(i, i % 3 == 0) for i in range(210)]
+    of_few = judged(spark, urls, labels)
+    read = spark.createDataFrame([("a.org", "/x/1", 1), ("a.org", "/x", None)], "host string, path string, number long")
+    paths = url_tree.masked_paths(read, spark.createDataFrame([(1, True)], LABELS))
+    joins = lambda rows: rows._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+    assert joins(paths) == 0 and {tuple(r) for r in paths.collect()} == {("a.org", "/x/#", 1, 1, 1), ("a.org", "/x", 1, 0, 0)}
+    assert joins(url_tree.grow(paths)) > 0  # few paths, counted
+    monkeypatch.setattr(url_tree, "FEW", 0)
+    assert joins(url_tree.grow(paths)) == 0
+    assert judged(spark, urls, labels) == of_few
